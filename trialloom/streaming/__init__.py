@@ -1,0 +1 @@
+"""The analyses this library covers are batch only, so there is no streaming operator to offer."""

@@ -6,15 +6,16 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_square_1df_tail(statistic: pd.Series) -> pd.Series:
     """P(chi-square with one degree of freedom exceeds the statistic)."""
     return statistic.map(lambda s: math.erfc(math.sqrt(s / 2.0)), na_action="ignore").astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), na_action="ignore").astype("float64")
 
@@ -55,7 +56,7 @@ def f_upper(f: float, df1: float, df2: float) -> float:
     return beta_tail(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * f))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided Student t probability."""
     return pd.Series(
@@ -64,7 +65,7 @@ def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     """Upper F probability."""
     return pd.Series(

@@ -26,7 +26,7 @@ def unseen_answers(df: DataFrame, blocks: Mapping[str, tuple[Sequence[str], Colu
     return df.withColumns(flags).withColumn("any_unseen", reduce(lambda a, b: a | b, [F.col(n) for n in flags]))
 
 
-def answer_present(column: str) -> Column:
+def answer_missing(column: str) -> Column:
     """Breach of a requested response."""
     return F.col(column).isNull() | (F.trim(F.col(column)) == "")
 
@@ -39,11 +39,11 @@ def not_numeric(column: str, low: float | None = None, high: float | None = None
         bad = bad | (value < low)
     if high is not None:
         bad = bad | (value > high)
-    return ~answer_present(column) & F.coalesce(bad, F.lit(True))
+    return ~answer_missing(column) & F.coalesce(bad, F.lit(True))
 
 
 def too_short(column: str, min_chars: int) -> Column:
-    return ~answer_present(column) & (F.char_length(column) < min_chars)
+    return ~answer_missing(column) & (F.char_length(column) < min_chars)
 
 
 def choice_count_off(columns: Sequence[str], low: int, high: int) -> Column:

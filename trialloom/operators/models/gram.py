@@ -33,42 +33,47 @@ class CellSums:
         return float(self.n.sum())
 
 
-def pair_sums(df: DataFrame, columns: Sequence[str], cells: Sequence[str] = (), centre: bool = True) -> DataFrame:
-    """One row per cell: ``n``, ``s_<i>`` (sums) and ``p_<i>_<j>`` (sums of products, i <= j).
+def cell_totals(df: DataFrame, columns: Sequence[str], cells: Sequence[str] = ()) -> DataFrame:
+    """One row per cell: ``n`` and the column sums ``s_<i>``. A cell of any size is combined map-side."""
+    return df.groupBy(*cells).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c)).alias(f"s_{i}") for i, c in enumerate(columns)]
+    )
+
+
+def centred_products(df: DataFrame, columns: Sequence[str], means: Sequence[float] | None = None) -> DataFrame:
+    """One row of ``p_<i>_<j>``: sums of products of centred columns, i <= j.
 
-    One partial and one final hash aggregate; a cell of any size is combined map-side.
+    Ungrouped on purpose: the many accumulators then stay in the fields of the generated code instead of being
+    looked up per row in a hash table. Without ``means`` they are a scalar subquery over the same rows.
     """
-    if centre:
-        means = df.agg(F.struct(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).alias("m")).scalar()
-        x = [F.col(c) - means.getField(f"m{i}") for i, c in enumerate(columns)]
+    if means is None:
+        found = df.agg(F.struct(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).alias("m")).scalar()
+        centres = [found.getField(f"m{i}") for i in range(len(columns))]
     else:
-        x = [F.col(c) for c in columns]
-    centred = df.select(*cells, *[c.alias(f"_c{i}") for i, c in enumerate(x)])
-    c = [F.col(f"_c{i}") for i in range(len(columns))]
-    return centred.groupBy(*cells).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(c[i]).alias(f"s_{i}") for i in range(len(c))],
-        *[F.sum(c[i] * c[j]).alias(f"p_{i}_{j}") for i in range(len(c)) for j in range(i, len(c))],
-    )
+        centres = [F.lit(float(m)) for m in means]
+    centred = df.select(*[(F.col(c) - m).alias(f"_c{i}") for i, (c, m) in enumerate(zip(columns, centres))])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    return centred.agg(*[F.sum(F.col(f"_c{i}") * F.col(f"_c{j}")).alias(f"p_{i}_{j}") for i, j in pairs])
 
 
 def cell_sums(df: DataFrame, columns: Sequence[str], cells: Sequence[str] = (), max_cells: int = MAX_CELLS) -> CellSums:
-    """Bring the per-cell sums to the driver, after checking that the design keeps them few."""
-    means = np.array(df.agg(*[F.avg(c) for c in columns]).first(), dtype=float)
-    centred = df.select(*cells, *[(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(columns, means)])
-    found = pair_sums(centred, columns, cells, centre=False).limit(max_cells + 1).collect()
+    """Bring the per-cell sums and the overall products to the driver in two passes.
+
+    The number of cells is checked, since only the design keeps it small.
+    """
+    found = cell_totals(df, columns, cells).limit(max_cells + 1).collect()
     if len(found) > max_cells:
         raise ValueError(f"more than {max_cells} cells; a random-intercept design has to have fewer levels")
     p = len(columns)
     n = np.array([r["n"] for r in found], dtype=float)
-    sums = np.array([[r[f"s_{i}"] for i in range(p)] for r in found], dtype=float).reshape(len(found), p)
+    totals = np.array([[r[f"s_{i}"] for i in range(p)] for r in found], dtype=float).reshape(len(found), p)
+    means = totals.sum(axis=0) / n.sum()
+    upper = centred_products(df, columns, means).first()
     products = np.zeros((p, p))
-    for r in found:
-        for i in range(p):
-            for j in range(i, p):
-                products[i, j] += r[f"p_{i}_{j}"]
+    products[np.triu_indices(p)] = [upper[f"p_{i}_{j}"] for i in range(p) for j in range(i, p)]
     products = products + np.triu(products, 1).T
-    return CellSums(list(columns), means, [tuple(r[c] for c in cells) for r in found], n, sums, products)
+    keys = [tuple(r[c] for c in cells) for r in found]
+    return CellSums(list(columns), means, keys, n, totals - np.outer(n, means), products)
 
 
 def sum_arrays(df: DataFrame, partial) -> dict[int, np.ndarray]:

@@ -265,10 +265,11 @@ def fit_logistic(
                 d_beta = np.linalg.solve(right.T, cb)
                 d_u = np.linalg.solve(left.T, cu - rzx @ d_beta)
                 gain = cu @ cu + cb @ cb
-                values[k], solved[k] = value, (beta, b, right)
-                if gain > 1e-8:
-                    limit = min(1.0, 5.0 / max(np.abs(np.concatenate([d_beta, lam * d_u])).max(), 1e-12))
-                    states[k] = (beta + limit * d_beta, b + limit * lam * d_u)
+                limit = min(1.0, 5.0 / max(np.abs(np.concatenate([d_beta, lam * d_u])).max(), 1e-12))
+                states[k] = (beta + limit * d_beta, b + limit * lam * d_u)
+                # the last step needs no further pass: it lowers the criterion by ``gain``
+                values[k], solved[k] = value - gain, (*states[k], right)
+                if gain > 1e-4:
                     still.append(k)
             open_ = still
             if not open_:

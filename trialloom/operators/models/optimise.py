@@ -51,36 +51,33 @@ def batched_quadratic(
 ):
     """Trust-region search that asks for a whole batch of values at a time.
 
-    Each round fits a quadratic to a star of points around the best one, moves to its minimum within
-    the region, and shrinks the region; made for functions where a batch costs about as much as one value.
+    Each round takes a star of points around the current centre, fits a quadratic to the values near the best
+    point and centres the next, smaller star on its minimum; made for functions where a batch costs about as
+    much as one value. Ends at the best point seen.
     """
-    best = np.array(start, dtype=float)
+    centre = best = np.array(start, dtype=float)
+    value = np.inf
     k = len(best)
     known: list[tuple[float, np.ndarray]] = []
     for _ in range(rounds):
-        star = [best]
+        star = [centre]
         for i in range(k):
             for s in (-1.0, 1.0):
-                p = best.copy()
+                p = centre.copy()
                 p[i] = max(0.0, p[i] + s * radius)
                 star.append(p)
         for i, j in combinations(range(k), 2):
-            p = best.copy()
+            p = centre.copy()
             p[i] += radius
             p[j] += radius
             star.append(p)
-        values = f(star)
-        known += list(zip(values, star))
-        near = [(v, p) for v, p in known if np.abs(p - best).max() <= 2.01 * radius]
+        known += list(zip(f(star), star))
         value, best = min(known, key=lambda vp: vp[0])
+        near = [(v, p) for v, p in known if np.abs(p - best).max() <= 2.01 * radius]
         features = np.array([_quadratic_row(p - best) for _, p in near])
         fit = np.linalg.lstsq(features, np.array([v for v, _ in near]), rcond=None)[0]
         jump = _quadratic_step(fit, best, radius)
-        if jump is not None:
-            jumped = f([jump])[0]
-            known.append((jumped, jump))
-            if jumped < value:
-                value, best = jumped, jump
+        centre = best if jump is None else jump
         radius /= 3.0
     return best, value
 

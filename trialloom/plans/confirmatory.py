@@ -3,26 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.functions.nulls import flag
+from trialloom.functions.nulls import flag, member
 from trialloom.functions.scalars import paste
 from trialloom.operators.balance import balance_table
 from trialloom.operators.describe import condition_descriptives
 from trialloom.operators.exposure import ExposureSpec, assigned, exposure_flags
 from trialloom.operators.features import group_flag
 from trialloom.operators.models.design import Design, crossed, main
-from trialloom.operators.models.mixed import fit_mixed
+from trialloom.operators.models.mixed import fit_linear, fit_logistic
 from trialloom.operators.samples import SampleRegistry, planned_samples
 from trialloom.session import materialise
 
 STRATA_COVARIATES = main("intent_assess", "hours", "crs_finish", "educ")
 GROUPS = ("institution", "institution_course", "strata")
 PLANS = ["plans_long", "plans_short"]
+PARALLEL_FITS = 6
 
 MODELS = {
     "baseline": Design.of(STRATA_COVARIATES),
@@ -106,15 +108,30 @@ def fit_grid(
         flagged.filter(some).select(*sorted(needed | set(groups)), *[F.col(f"`in_{m}`") for m in sorted(masks)]),
         "sample",
     )
-    tables = [
-        fit_mixed(stored.filter(F.col(f"`in_{f.sample}`")), f.outcome, models[f.model], groups).table(
-            df.sparkSession, f.model, f.outcome, f.sample
-        )
-        for f in fits
-    ]
+    binary = _binary_outcomes(stored, fits)
+
+    def one(spec: FitSpec) -> DataFrame:
+        rows = stored.filter(F.col(f"`in_{spec.sample}`"))
+        fit = (fit_logistic if binary[spec] else fit_linear)(rows, spec.outcome, models[spec.model], groups)
+        return fit.table(df.sparkSession, spec.model, spec.outcome, spec.sample)
+
+    # the fits are independent small jobs on one stored table, so they are submitted together
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        tables = list(pool.map(one, fits))
     return reduce(lambda a, b: a.unionByName(b), tables)
 
 
+def _binary_outcomes(stored: DataFrame, fits: Sequence[FitSpec]) -> dict[FitSpec, bool]:
+    """For all fits in one pass: is every outcome of the fit's sample 0 or 1?"""
+    shares = stored.agg(
+        *[
+            F.avg(F.when(F.col(f"`in_{f.sample}`"), member(f.outcome, (0, 1)).cast("int"))).alias(f"b{i}")
+            for i, f in enumerate(fits)
+        ]
+    ).first()
+    return {f: shares[f"b{i}"] == 1 for i, f in enumerate(fits)}
+
+
 def descriptives(df: DataFrame) -> DataFrame:
     """Twelve statistics per condition on the baseline sample."""
     return condition_descriptives(df.filter(F.col("itt_sample")))

@@ -8,7 +8,7 @@ from importlib import import_module
 
 from trialloom.session import configure
 
-AREAS = ["sampling", "description", "activity", "assignment"]
+AREAS = ["sampling", "description", "activity", "assignment", "definitions", "models"]
 
 
 def _configured(query: Callable) -> Callable:

@@ -76,6 +76,7 @@ LEARNERS = {
     "enroll_verified": f"CASE WHEN {draw(_K, 58, 7)} > 0 THEN {draw(_K, 59, 2)} END",
     "upgrade_verified": f"CASE WHEN {draw(_K, 60, 9)} > 0 THEN {draw(_K, 61, 2)} END",
     "cert_verified": f"CASE WHEN {draw(_K, 62, 8)} > 0 THEN {draw(_K, 63, 2)} END",
+    "coin": f"{draw(_K, 64, 1000)} / 1000.0",
     "totalprice": "o_totalprice",
 }
 

@@ -59,7 +59,7 @@ def percentile_long(
         list(dict.fromkeys([*unique_key, *carry, *within])),
         [{"variable": F.lit(name), "value": F.col(c).cast("double")} for c, name in measures.items()],
     )
-    ranked = with_rank(long, "value", list(unique_key), ["variable", *within], rows_per_cell)
+    ranked = with_rank(long, "value", list(unique_key), ["variable", *within], rows_per_cell, store=True)
     return ranked.withColumn("tile", tile(k, legacy=legacy)).drop("rank", "total")
 
 

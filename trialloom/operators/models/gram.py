@@ -53,7 +53,7 @@ def centred_products(df: DataFrame, columns: Sequence[str], means: Sequence[floa
         centres = [F.lit(float(m)) for m in means]
     centred = df.select(*[(F.col(c) - m).alias(f"_c{i}") for i, (c, m) in enumerate(zip(columns, centres))])
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    return centred.agg(*[F.sum(F.col(f"_c{i}") * F.col(f"_c{j}")).alias(f"p_{i}_{j}") for i, j in pairs])
+    return centred.agg(*[F.expr(f"sum(_c{i} * _c{j}) AS p_{i}_{j}") for i, j in pairs])
 
 
 def cell_sums(df: DataFrame, columns: Sequence[str], cells: Sequence[str] = (), max_cells: int = MAX_CELLS) -> CellSums:

@@ -163,7 +163,7 @@ def covariate_patterns(frame: DataFrame, x: Sequence[str], outcome: str, groups:
     )
 
 
-def _levels(df: DataFrame, group: str) -> list:
+def group_levels(df: DataFrame, group: str) -> list:
     found = [r[0] for r in df.select(group).distinct().limit(MAX_LEVELS + 1).collect()]
     if len(found) > MAX_LEVELS:
         raise ValueError(f"{group} has more than {MAX_LEVELS} levels")
@@ -219,7 +219,7 @@ def fit_logistic(
     frame = design_frame(rows, design, [F.col(outcome).alias("_y"), *groups])
     x_all = [f"x{i}" for i in range(len(design.terms))]
     patterns = materialise(covariate_patterns(frame, x_all, "_y", groups), "patterns")
-    levels = {g: _levels(patterns, g) for g in groups}
+    levels = {g: group_levels(patterns, g) for g in groups}
     codes = [f"_g{i}" for i in range(len(groups))]
     sizes = [len(levels[g]) for g in groups]
     coded = patterns.select(

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from trialloom.functions.nulls import lookup
 from trialloom.operators.models.design import Design, complete_rows, crossed, design_frame, main
 from trialloom.operators.models.gram import wide_gram
-from trialloom.operators.models.mixed import _levels
+from trialloom.operators.models.mixed import group_levels
+from trialloom.session import materialise
 
 # fixed values: covariates and treatments of the exploratory model
 COVARIATES = [
@@ -54,8 +55,10 @@ def sparse_problem(
     df: DataFrame, outcome: str, treatments: Sequence[str], covariates: Sequence[str], groups: Sequence[str]
 ) -> SparseProblem:
     design = sparse_design(treatments, covariates)
-    rows = complete_rows(df, [outcome, *treatments, *covariates, *groups])
-    levels = {g: _levels(rows, g) for g in groups}
+    used = [outcome, *treatments, *covariates, *groups]
+    # one stored copy of the model's columns: levels, standardising and cross products all read it
+    rows = materialise(complete_rows(df, used).select(*dict.fromkeys(used)), "sparse")
+    levels = {g: group_levels(rows, g) for g in groups}
     frame = design_frame(rows, design, [F.col(outcome).cast("double").alias("_y"), *groups])
     codes = [f"_g{i}" for i in range(len(groups))]
     coded = frame.withColumns(
@@ -99,8 +102,7 @@ def _chain(problem: SparseProblem, draws: int, burn: int, seed: int) -> np.ndarr
         for g in kinds:
             prior[problem.owner == g] = 1.0 / group_var[g]
         chol = np.linalg.cholesky(problem.gram / s2 + np.diag(prior))
-        mean = np.linalg.solve(chol.T, np.linalg.solve(chol, problem.xty / s2))
-        beta = mean + np.linalg.solve(chol.T, rng.standard_normal(m))
+        beta = np.linalg.solve(chol.T, np.linalg.solve(chol, problem.xty / s2) + rng.standard_normal(m))
         b = beta[terms]
         rss = max(problem.yty - 2 * beta @ problem.xty + beta @ problem.gram @ beta, 1e-12)
         s2 = (rss + (b * b / tau2).sum()) / 2 / rng.gamma((problem.n + k) / 2)

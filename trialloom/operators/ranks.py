@@ -1,7 +1,7 @@
 """Exact ranks, tiles and medians without a single-task sort.
 
 A window over all rows, or over a group that holds a third of them, would sort in one task. Instead rows are cut
-into *cells* that are ordered among themselves: value ranges for ordinary values, and hash-prefix ranges of the
+into *cells* that are ordered among themselves: value ranges for ordinary values, and hash ranges of the
 tie key inside a value that is itself heavy. A row's rank is the number of rows in earlier cells plus its
 position in its own cell. Cell limits are literals, so any lost task can be recomputed to the same answer.
 Ties are ordered by the hash of a unique key, which is what makes a tied value divisible.
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from trialloom.functions.nulls import join_same
 from trialloom.functions.scalars import md5_of
+from trialloom.session import materialise, small_frame
 
 ROWS_PER_CELL = 250_000
 MAX_CELLS = 8192
@@ -34,56 +35,60 @@ class _Layout:
     n_hot: int
     limits: list[float]
     heavy: list[float]
-    digits: int
+    subcells: int
 
     @property
     def max_cells(self) -> int:
-        return self.n_hot * (len(self.limits) + len(self.heavy) * 16**self.digits)
+        return self.n_hot * (len(self.limits) + len(self.heavy) * self.subcells)
 
 
-def _hot_groups(df: DataFrame, keys: Sequence[str], rows_per_cell: int) -> tuple[list, int, int]:
-    """Groups above the cell size, the number of rows in them, and the cell size used.
+def _hot_groups(df: DataFrame, keys: Sequence[str], rows_per_cell: int) -> tuple[list[tuple], list[int], int]:
+    """Groups above the cell size, their row counts, and the cell size used.
 
     The cell size grows with the table so that there are at most ``MAX_CELLS`` hot groups to bring back.
     """
     if not keys:
         n = df.count()
         size = max(rows_per_cell, math.ceil(n / MAX_CELLS))
-        return ([()] if n > size else []), n, size
+        return ([()], [n], size) if n > size else ([], [], size)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total, top = sizes.agg(F.sum("_n"), F.max("_n")).first()
     size = max(rows_per_cell, math.ceil((total or 0) / MAX_CELLS))
     if (top or 0) <= size:
-        return [], 0, size
+        return [], [], size
     hot = sizes.filter(F.col("_n") > size).collect()
-    return [tuple(r[k] for k in keys) for r in hot], sum(r["_n"] for r in hot), size
+    return [tuple(r[k] for k in keys) for r in hot], [r["_n"] for r in hot], size
 
 
 def _layout(df: DataFrame, keys: Sequence[str], value: str | None, rows_per_cell: int) -> _Layout:
-    hot, hot_rows, size = _hot_groups(df, keys, rows_per_cell)
+    hot, counts, size = _hot_groups(df, keys, rows_per_cell)
     if not hot:
         return _Layout(None, 0, [], [], 0)
-    cells = max(2, math.ceil(hot_rows / size))
-    digits = max(1, math.ceil(math.log(cells, 16)))
-    frame = None
-    if keys:
-        schema = df.select(*keys).schema
-        frame = df.sparkSession.createDataFrame(hot, schema)
+    frame = small_frame(df.sparkSession, hot, df.select(*keys).schema) if keys else None
     if value is None:
-        return _Layout(frame, len(hot), [-math.inf, math.inf], [0.0], digits)
+        return _Layout(frame, len(hot), [-math.inf, math.inf], [0.0], math.ceil(max(counts) / size))
     rows = df if frame is None else join_same(df, F.broadcast(frame), keys, "left_semi")
+    cells = max(2, math.ceil(sum(counts) / size))
     points = rows.select(F.col(value).cast("double").alias("_v")).approxQuantile(
         "_v", [i / cells for i in range(1, cells)], 1.0 / (4 * cells)
     )
-    heavy = [v for v, times in Counter(points).items() if times > 1]
-    limits = sorted({*points, *(math.nextafter(v, math.inf) for v in heavy)})
-    return _Layout(frame, len(hot), [-math.inf, *limits, math.inf], heavy, digits)
+    repeats = {v: times for v, times in Counter(points).items() if times > 1}
+    limits = sorted({*points, *(math.nextafter(v, math.inf) for v in repeats)})
+    return _Layout(
+        frame, len(hot), [-math.inf, *limits, math.inf], list(repeats), max(repeats.values(), default=0) + 1
+    )
+
+
+def _tie_range(tie: str, parts: int) -> Column:
+    """Which of ``parts`` equal ranges of the hash an md5 falls in; follows the order of the hash."""
+    head = F.conv(F.substring(tie, 1, 7), 16, 10).cast("long")
+    return F.floor(head * F.lit(parts) / F.lit(16**7)).cast("int")
 
 
 def _place(df: DataFrame, keys: Sequence[str], value: str | None, tie: str | None, lay: _Layout) -> DataFrame:
-    """Add ``_cell`` (value range) and ``_sub`` (tie prefix); groups that are not hot stay whole."""
+    """Add ``_cell`` (value range) and ``_sub`` (tie range); groups that are not hot stay whole."""
     if lay.n_hot == 0:
-        return df.withColumns({"_cell": F.lit(0), "_sub": F.lit("")})
+        return df.withColumns({"_cell": F.lit(0), "_sub": F.lit(0)})
     if keys:
         df = join_same(df, F.broadcast(lay.hot.withColumn("_hot", F.lit(True))), keys)
         is_hot = F.coalesce("_hot", F.lit(False))
@@ -96,7 +101,7 @@ def _place(df: DataFrame, keys: Sequence[str], value: str | None, tie: str | Non
         df = cutter.transform(df.withColumn("_v", F.col(value).cast("double")))
         cell = F.when(is_hot, F.col("_range").cast("int")).otherwise(F.lit(0))
         heavy = is_hot & F.col("_v").isin(lay.heavy) if lay.heavy else F.lit(False)
-    sub = F.lit("") if tie is None else F.when(heavy, F.substring(tie, 1, lay.digits)).otherwise(F.lit(""))
+    sub = F.lit(0) if tie is None else F.when(heavy, _tie_range(tie, lay.subcells)).otherwise(F.lit(0))
     return df.withColumns({"_cell": cell, "_sub": sub}).drop("_v", "_range", "_hot")
 
 
@@ -131,13 +136,15 @@ def with_rank(
     partition_by: Sequence[str] = (),
     rows_per_cell: int = ROWS_PER_CELL,
     seed: int | None = None,
+    store: bool = False,
 ) -> DataFrame:
     """Add ``rank`` (1-based) and ``total`` by ``value`` ascending, ties by the md5 of ``unique_key``.
 
     Without ``value`` the order is the hash order alone, i.e. a reproducible random permutation. Rows whose
     value is NULL are not ranked and not counted; they keep NULL. ``df`` is read a few times (sizes, limits, cells,
-    rows), so hand in a stored frame if it is costly to compute.
+    rows): with ``store`` it is written once to the scratch area first, which pays if it is costly to compute.
     """
+    df = materialise(df, "ranked") if store else df
     keys = list(partition_by)
     parts = list(unique_key) if seed is None else [seed, *unique_key]
     hashed = df.withColumn("_tie", md5_of(*parts))

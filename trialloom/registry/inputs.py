@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trialloom.session import spread
+
 PRIME = 1000003
 
 
@@ -135,8 +137,8 @@ SURVEY = {
 }
 
 
-def _project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    return df.selectExpr(*[f"{expr} AS `{name}`" for name, expr in columns.items()])
+def _project(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    return spread(df, key).selectExpr(*[f"{expr} AS `{name}`" for name, expr in columns.items()])
 
 
 def _statement(columns: dict[str, str], table: str) -> str:
@@ -144,15 +146,21 @@ def _statement(columns: dict[str, str], table: str) -> str:
 
 
 def learners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _project(read(spark, sf_dir, "orders"), LEARNERS)
+    return _project(
+        read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", LEARNERS
+    )
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _project(read(spark, sf_dir, "orders"), ACTIONS)
+    return _project(
+        read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"),
+        "o_orderkey",
+        ACTIONS,
+    )
 
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _project(read(spark, sf_dir, "customer"), SURVEY)
+    return _project(read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", SURVEY)
 
 
 LEARNERS_SQL = _statement(LEARNERS, "orders")

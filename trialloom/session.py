@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -58,3 +62,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a small scan that is about to be worked hard.
+
+    A file too small to split is read by one task. Only then is there an exchange, by hash of ``key`` so that a
+    retried task sends the same rows; a scan with a task for every core passes through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def small_frame(spark: SparkSession, rows: Sequence[tuple], schema: StructType) -> DataFrame:
+    """A frame of a few driver-side rows that the optimizer sees as a local relation of known size."""
+    columns = list(zip(*rows)) if rows else [[] for _ in schema]
+    target = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, target.types)], schema=target), schema)

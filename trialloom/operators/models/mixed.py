@@ -244,7 +244,7 @@ def fit_logistic(
     warm = {"beta": start[[0, *(i + 1 for i in kept)]], "b": np.zeros(q), "value": math.inf}
     last: dict[tuple, tuple] = {}
 
-    def deviances(thetas: list[np.ndarray]) -> list[float]:
+    def deviances(thetas: list[np.ndarray], tolerance: float = 1e-5) -> list[float]:
         states = [(warm["beta"].copy(), warm["b"].copy()) for _ in thetas]
         for k, theta in enumerate(thetas):
             lam = theta[owner]
@@ -267,9 +267,9 @@ def fit_logistic(
                 gain = cu @ cu + cb @ cb
                 limit = min(1.0, 5.0 / max(np.abs(np.concatenate([d_beta, lam * d_u])).max(), 1e-12))
                 states[k] = (beta + limit * d_beta, b + limit * lam * d_u)
-                # the last step needs no further pass: it lowers the criterion by ``gain``
+                # a small enough step needs no further pass: it lowers the criterion by ``gain``
                 values[k], solved[k] = value - gain, (*states[k], right)
-                if gain > 1e-4:
+                if gain > tolerance:
                     still.append(k)
             open_ = still
             if not open_:
@@ -280,7 +280,8 @@ def fit_logistic(
                 warm.update(beta=solved[k][0], b=solved[k][1], value=values[k])
         return values
 
-    theta, value = batched_quadratic(deviances, [0.3] * len(groups), 0.25, rounds)
+    theta, _ = batched_quadratic(deviances, [0.3] * len(groups), 0.25, rounds)
+    value = deviances([theta], 1e-10)[0]
     beta, _, right = last[tuple(theta)]
     inverse = np.linalg.inv(right @ right.T)
     shift = np.array([1.0, *-means[kept]])

@@ -113,8 +113,8 @@ def _chain(problem: SparseProblem, draws: int, burn: int, seed: int) -> np.ndarr
             u = beta[problem.owner == g]
             group_var[g] = (u @ u / 2 + 1e-3 * problem.yty / problem.n) / rng.gamma(len(u) / 2 + 1.0)
         if it >= burn:
-            # a draw below the lasso's own threshold counts as exactly zero
-            limit = np.sqrt(lam2 * s2) / np.maximum(np.diag(problem.gram)[terms], 1e-12)
+            # a draw below the adaptive lasso's threshold (Zou 2006, JASA 101) counts as exactly zero
+            limit = np.sqrt(s2) * lam2**0.25 / np.sqrt(problem.n)
             kept[it - burn] = np.where(np.abs(b) > limit, b, 0.0)
     return kept
 

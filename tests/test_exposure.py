@@ -2,9 +2,10 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from trialloom.operators.exposure import ExposureSpec, assigned, exposure_flags, first_exposures, itt_sample
 from trialloom.operators.samples import SampleRegistry, planned_samples
-from pyspark.sql import functions as F
 
 DAY = 86400
 SCHEMA = (
@@ -88,6 +89,34 @@ def test_hot_id_shuffles_two_rows_per_task(spark):
     assert firsts.filter("id = 0").first()["row"] == 0
 
 
+def test_hot_id_is_split_in_the_join(spark):
+    """With thresholds scaled down, adaptive execution has to split the partition of an id with half the rows."""
+    rows = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).cast("int").alias("id"),
+        F.col("id").cast("int").alias("row"),
+        (F.lit(T) + F.col("id")).alias("survey_timestamp"),
+        F.lit(T).cast("bigint").alias("first_activity_timestamp"),
+        F.lit(T).cast("bigint").alias("course_start_timestamp"),
+        F.lit(False).alias("course_selfpaced"),
+    )
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        flagged = exposure_flags(rows, SPEC)
+        assert sum(r["first_exposure"] for r in flagged.collect()) == 30_001
+        assert "SortMergeJoin(skew=true)" in flagged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_assigned_drops_unknown_arms(spark):
     df = spark.createDataFrame(
         [(1, 0, 1), (1, None, 1), (0, 1, 1), (None, 1, 1), (1, 1, None)],

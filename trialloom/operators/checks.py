@@ -81,7 +81,8 @@ def recode(
             F.collect_set(F.struct(F.concat_ws("\u0001", "tag", "choice_id").alias("k"), F.col("recode").alias("v")))
         ).alias("_book")
     )
-    joined = df.join(book, F.col(survey) == F.col("_survey"), "left")
+    # keyed by structs, so that the responses of a dominant survey can be split whatever the codebook's size
+    joined = df.join(book, F.struct(survey) == F.struct("_survey"), "left")
     return joined.withColumns(
         {
             f"{prefix}{c}": F.try_element_at(

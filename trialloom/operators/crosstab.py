@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialloom.functions.nulls import ordinal
+from trialloom.functions.nulls import join_same, ordinal
 
 
 def to_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str = "variable", value: str = "value"):
@@ -54,10 +54,11 @@ def crosstab_long(
 
 
 def frequency(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """Value, n and percent; NULL is a row of its own. The total is a second, tiny aggregate of the counts."""
+    """Value, n and percent; NULL is a row of its own. Totals are a second aggregate, of the counts."""
     counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
     if by:
-        return counts.withColumn("percent", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
+        totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
+        return join_same(counts, totals, by).withColumn("percent", F.col("n") / F.col("_total")).drop("_total")
     total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("percent", F.col("n") / total)
 

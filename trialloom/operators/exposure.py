@@ -9,7 +9,7 @@ hot partitions adaptive execution splits.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,15 +92,16 @@ def exposure_flags(df: DataFrame, spec: ExposureSpec = ExposureSpec()) -> DataFr
     """Every row with ``first_exposure``, ``num_exposures``, ``days_to_next_exposure``, ``clean_exposure`` and
     the eligibility columns. ``tie_break`` must make the order within an id total."""
     marks = [spec.exposed_at, *spec.tie_break]
-    firsts = first_exposures(df.select(spec.id, *marks), spec).select(
-        spec.id,
-        F.struct(*marks).alias("_first"),
-        "days_to_next_exposure",
-        F.col("clean_exposure").alias("_clean"),
+    # a struct is never NULL itself, so a missing id is one more key of plain equality, and the count and the
+    # window share one hash partitioning; ids are unique on both sides of their join
+    keyed = df.select(F.struct(spec.id).alias("_key"), *marks)
+    firsts = first_exposures(keyed, replace(spec, id="_key")).select(
+        "_key", F.struct(*marks).alias("_first"), "days_to_next_exposure", F.col("clean_exposure").alias("_clean")
     )
-    sizes = df.groupBy(spec.id).agg(F.count(F.lit(1)).alias("num_exposures"))
-    # ids are unique on both sides here, so this join adds no rows and no skew
-    joined = join_same(df, join_same(sizes, firsts, [spec.id]), [spec.id])
+    sizes = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("num_exposures"))
+    spans = sizes.join(firsts, "_key").withColumn(spec.id, F.col("_key")[spec.id]).drop("_key")
+    # this join gets an exchange of its own on both sides, which is what lets adaptive execution split a hot id
+    joined = join_same(df, spans, [spec.id])
     is_first = F.struct(*marks).eqNullSafe(F.col("_first"))
     flagged = joined.withColumns({"first_exposure": is_first, "clean_exposure": is_first & F.col("_clean")})
     return eligibility(flagged.drop("_first", "_clean"), spec)

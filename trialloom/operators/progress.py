@@ -26,8 +26,11 @@ def later_signups(exposures: DataFrame, signups: DataFrame, learner: str, expose
     ``exposures`` has one row per learner. The matching is an inner join, whose hot learners adaptive
     execution may split on the sign-up side; learners without a match come back in a join of unique keys.
     """
+    signups = signups.filter(F.col(learner).isNotNull())
     starts = exposures.select(F.col(learner).alias("_learner"), F.col(exposed_at).alias("_exposed_at"))
-    hit = (F.col(learner) == F.col("_learner")) & (F.col(started_at) > F.col("_exposed_at"))
+    # keyed by structs, so that both sides get an exchange of their own however they were partitioned before:
+    # only then can a hot key be split
+    hit = (F.struct(learner) == F.struct("_learner")) & (F.col(started_at) > F.col("_exposed_at"))
     counts = signups.join(starts, hit).groupBy("_learner").agg(F.count(F.lit(1)).alias("_later"))
     return exposures.join(counts, F.col(learner) == F.col("_learner"), "left").select(
         learner, exposed_at, F.coalesce("_later", F.lit(0)).alias("later_signups")

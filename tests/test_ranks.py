@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from trialloom.operators import ranks
 from trialloom.operators.ranks import exact_median, tile, with_ntile, with_rank
 
 
@@ -47,6 +48,14 @@ def test_ntile_with_heavy_value(spark, k, rows_per_cell, legacy):
     assert {r["i"]: r["tile"] for r in out.collect()} == expected_tiles(rows, k, legacy)
 
 
+def test_limits_from_few_rows_leave_ranks_exact(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "LIMIT_ROWS_PER_CELL", 3)
+    rows = skewed(3_000, seed=4)
+    df = spark.createDataFrame(rows, "i int, x double").repartition(4)
+    out = with_ntile(df, "x", 100, ["i"], rows_per_cell=100)
+    assert {r["i"]: r["tile"] for r in out.collect()} == expected_tiles(rows, 100)
+
+
 def test_more_tiles_than_rows(spark):
     rows = [(1, 5.0), (2, 1.0), (3, None)]
     df = spark.createDataFrame(rows, "i int, x double")

@@ -9,9 +9,11 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from trialloom.functions.nulls import ordinal
 from trialloom.operators.features import standardised
+from trialloom.session import small_frame
 
 Term = tuple[str, ...]
 
@@ -76,6 +78,18 @@ def design_frame(df: DataFrame, design: Design, keep: Sequence[str]) -> DataFram
     return df.select(*keep, *[t.alias(f"x{i}") for i, t in enumerate(terms)])
 
 
+def level_codes(df: DataFrame, levels: dict[str, Sequence], codes: Sequence[str]) -> DataFrame:
+    """Replace each group column by its 0-based position in the group's levels.
+
+    Levels are a few thousand at most, so each table of codes is broadcast.
+    """
+    for (group, values), code in zip(levels.items(), codes):
+        schema = StructType([df.schema[group], StructField(code, IntegerType())])
+        table = small_frame(df.sparkSession, [(v, i) for i, v in enumerate(values)], schema)
+        df = df.join(F.broadcast(table), group).drop(group)
+    return df
+
+
 def numeric_code(df: DataFrame, columns: Sequence[str], levels: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """All-numeric coding: level numbers for ordered labels, 0/1 for booleans."""
     levels = levels or {}

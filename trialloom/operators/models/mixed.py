@@ -16,8 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.functions.nulls import lookup, member
-from trialloom.operators.models.design import Design, complete_rows, design_frame
+from trialloom.functions.nulls import member
+from trialloom.operators.models.design import Design, complete_rows, design_frame, level_codes
 from trialloom.operators.models.gram import MAX_CELLS, CellSums, cell_sums, sum_arrays
 from trialloom.operators.models.linear import independent_columns, result_frame
 from trialloom.operators.models.optimise import batched_quadratic, nelder_mead
@@ -222,12 +222,7 @@ def fit_logistic(
     levels = {g: group_levels(patterns, g) for g in groups}
     codes = [f"_g{i}" for i in range(len(groups))]
     sizes = [len(levels[g]) for g in groups]
-    coded = patterns.select(
-        *x_all,
-        "_n",
-        "_s",
-        *[lookup(g, {v: i for i, v in enumerate(levels[g])}).alias(c) for g, c in zip(groups, codes)],
-    )
+    coded = materialise(level_codes(patterns, levels, codes), "patterns")
     weighted = patterns.select(
         *[(F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(c) for c in x_all], F.sum("_n"), F.sum("_s")
     ).first() if x_all else patterns.select(F.sum("_n"), F.sum("_s")).first()

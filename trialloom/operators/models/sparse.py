@@ -14,8 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.functions.nulls import lookup
-from trialloom.operators.models.design import Design, complete_rows, crossed, design_frame, main
+from trialloom.operators.models.design import Design, complete_rows, crossed, design_frame, level_codes, main
 from trialloom.operators.models.gram import wide_gram
 from trialloom.operators.models.mixed import group_levels
 from trialloom.session import materialise
@@ -61,9 +60,7 @@ def sparse_problem(
     levels = {g: group_levels(rows, g) for g in groups}
     frame = design_frame(rows, design, [F.col(outcome).cast("double").alias("_y"), *groups])
     codes = [f"_g{i}" for i in range(len(groups))]
-    coded = frame.withColumns(
-        {c: lookup(g, {v: i for i, v in enumerate(levels[g])}) for g, c in zip(groups, codes)}
-    )
+    coded = level_codes(frame, levels, codes)
     x = [f"x{i}" for i in range(len(design.terms))]
     full = wide_gram(coded, [*x, "_y"], codes, [len(levels[g]) for g in groups])
     n, p = full[0, 0], len(x)

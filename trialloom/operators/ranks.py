@@ -25,6 +25,7 @@ from trialloom.session import materialise, small_frame
 ROWS_PER_CELL = 250_000
 MAX_CELLS = 8192
 BROADCAST_ROWS = 200_000
+LIMIT_ROWS_PER_CELL = 1_000
 
 
 @dataclass(frozen=True)
@@ -68,10 +69,12 @@ def _layout(df: DataFrame, keys: Sequence[str], value: str | None, rows_per_cell
     if value is None:
         return _Layout(frame, len(hot), [-math.inf, math.inf], [0.0], math.ceil(max(counts) / size))
     rows = df if frame is None else join_same(df, F.broadcast(frame), keys, "left_semi")
+    rows = rows.select(F.col(value).cast("double").alias("_v"))
     cells = max(2, math.ceil(sum(counts) / size))
-    points = rows.select(F.col(value).cast("double").alias("_v")).approxQuantile(
-        "_v", [i / cells for i in range(1, cells)], 1.0 / (4 * cells)
-    )
+    # limits only decide how even the cells are, never a rank, so a very large table is thinned for them
+    share = LIMIT_ROWS_PER_CELL * cells / sum(counts)
+    rows = rows.sample(share, seed=1) if share < 1 else rows
+    points = rows.approxQuantile("_v", [i / cells for i in range(1, cells)], 1.0 / (4 * cells))
     repeats = {v: times for v, times in Counter(points).items() if times > 1}
     limits = sorted({*points, *(math.nextafter(v, math.inf) for v in repeats)})
     return _Layout(

@@ -56,6 +56,15 @@ def test_limits_from_few_rows_leave_ranks_exact(spark, monkeypatch):
     assert {r["i"]: r["tile"] for r in out.collect()} == expected_tiles(rows, 100)
 
 
+def test_signed_zero_nan_and_infinity(spark):
+    special = [0.0, -0.0, float("inf"), float("-inf"), float("nan")]
+    rows = [(i, special[i % 5] if i % 3 else float(i % 11) - 5) for i in range(900)]
+    df = spark.createDataFrame(rows, "i int, x double").repartition(3)
+    out = {r["i"]: r["rank"] for r in with_rank(df, "x", ["i"], rows_per_cell=60).collect()}
+    order = sorted(rows, key=lambda r: (r[1] != r[1], 0.0 if r[1] != r[1] else r[1] + 0.0, md5(r[0])))
+    assert out == {i: k for k, (i, _) in enumerate(order, start=1)}
+
+
 def test_more_tiles_than_rows(spark):
     rows = [(1, 5.0), (2, 1.0), (3, None)]
     df = spark.createDataFrame(rows, "i int, x double")

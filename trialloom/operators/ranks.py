@@ -69,12 +69,13 @@ def _layout(df: DataFrame, keys: Sequence[str], value: str | None, rows_per_cell
     if value is None:
         return _Layout(frame, len(hot), [-math.inf, math.inf], [0.0], math.ceil(max(counts) / size))
     rows = df if frame is None else join_same(df, F.broadcast(frame), keys, "left_semi")
-    rows = rows.select(F.col(value).cast("double").alias("_v"))
+    rows = rows.select((F.col(value).cast("double") + F.lit(0.0)).alias("_v"))
     cells = max(2, math.ceil(sum(counts) / size))
     # limits only decide how even the cells are, never a rank, so a very large table is thinned for them
     share = LIMIT_ROWS_PER_CELL * cells / sum(counts)
     rows = rows.sample(share, seed=1) if share < 1 else rows
     points = rows.approxQuantile("_v", [i / cells for i in range(1, cells)], 1.0 / (4 * cells))
+    points = [v for v in points if math.isfinite(v)]
     repeats = {v: times for v, times in Counter(points).items() if times > 1}
     limits = sorted({*points, *(math.nextafter(v, math.inf) for v in repeats)})
     return _Layout(
@@ -101,7 +102,8 @@ def _place(df: DataFrame, keys: Sequence[str], value: str | None, tie: str | Non
         cell, heavy = F.lit(0), is_hot
     else:
         cutter = Bucketizer(splits=lay.limits, inputCol="_v", outputCol="_range", handleInvalid="keep")
-        df = cutter.transform(df.withColumn("_v", F.col(value).cast("double")))
+        # adding zero makes -0.0 and 0.0, which sort as equal, one value for the cutter too
+        df = cutter.transform(df.withColumn("_v", F.col(value).cast("double") + F.lit(0.0)))
         cell = F.when(is_hot, F.col("_range").cast("int")).otherwise(F.lit(0))
         heavy = is_hot & F.col("_v").isin(lay.heavy) if lay.heavy else F.lit(False)
     sub = F.lit(0) if tie is None else F.when(heavy, _tie_range(tie, lay.subcells)).otherwise(F.lit(0))

@@ -16,7 +16,7 @@ from trialloom.operators.models.mixed import fit_linear, fit_logistic, is_binary
 from trialloom.operators.models.sparse import posterior_draws, posterior_summary
 from trialloom.plans import confirmatory
 from trialloom.plans.exploratory import heterogeneous_effects
-from trialloom.registry.activity import classified
+from trialloom.registry.activity import CLASSIFIED, classified
 from trialloom.registry.assignment import erfc_sqrt
 from trialloom.registry.inputs import LEARNERS_SQL, learners, read
 
@@ -94,10 +94,20 @@ def q_ols_factor(spark, sf_dir):
     )
 
 
-def q_ols_funnel(spark, sf_dir):
-    """Log activity on participant type, with tail probabilities."""
+def _log_activity(spark, sf_dir):
     rows = classified(spark, sf_dir).withColumn("log_nevents", F.log1p("nevents"))
-    out = with_p_values(ols_factor(rows, "log_nevents", "group_cat"))
+    return ols_factor(rows, "log_nevents", "group_cat")
+
+
+def q_ols_log_activity(spark, sf_dir):
+    """Log activity on participant type; unclassified rows and unknown activity drop out."""
+    out = _log_activity(spark, sf_dir)
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c not in ("term", "df", "df_model")})
+
+
+def q_ols_funnel(spark, sf_dir):
+    """The same fit with its tail probabilities."""
+    out = with_p_values(_log_activity(spark, sf_dir))
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c not in ("term", "df", "df_model")})
 
 
@@ -186,6 +196,7 @@ QUERIES = {
     "gram_products": q_gram_products,
     "family_choice": q_family_choice,
     "ols_factor": q_ols_factor,
+    "ols_log_activity": q_ols_log_activity,
     "ols_funnel": q_ols_funnel,
     "ols_saturated": q_ols_saturated,
     "mixed_linear": q_mixed_linear,
@@ -264,6 +275,8 @@ UNION ALL SELECT 'cert_verified', avg(CAST(coalesce(cert_verified IN (0, 1), fal
         (3, 4, 6, 8, 6),
         "level",
     ),
+    "ols_log_activity": f"WITH {CLASSIFIED},"
+    + _factor_sql("SELECT group_cat AS level, ln(1 + nevents) AS y FROM act", (6, 6, 6, 6, 6), "group_cat"),
     "ols_saturated": """
 WITH l AS (SELECT l_extendedprice AS y, l_returnflag = 'R' AS r, l_linestatus = 'F' AS f FROM lineitem),
 g AS (SELECT r, f, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS ss FROM l GROUP BY 1, 2),

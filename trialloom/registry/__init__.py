@@ -11,7 +11,7 @@ from trialloom.session import configure
 AREAS = ["sampling", "description", "activity", "assignment", "definitions", "models"]
 
 
-def _configured(query: Callable) -> Callable:
+def configured(query: Callable) -> Callable:
     @wraps(query)
     def run(spark, sf_dir):
         return query(configure(spark), sf_dir)
@@ -27,7 +27,7 @@ def _merged(attribute: str) -> dict:
 
 
 def all_queries() -> dict[str, Callable]:
-    return {name: _configured(q) for name, q in _merged("QUERIES").items()}
+    return {name: configured(q) for name, q in _merged("QUERIES").items()}
 
 
 def all_oracles() -> dict[str, str]:

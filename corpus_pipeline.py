@@ -1,11 +1,15 @@
-"""The training-data pipeline: toxic documents go, near duplicates go, benchmark passages go, sources are mixed, shards are made."""
+"""The training-data pipeline over ``documents``: toxic documents, near duplicates and benchmark passages go, then the
+sources are mixed and the rows dealt to shards.
+
+Every stage works on all rows that its predecessor kept, and all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.llm import toxicity
+from trialloom.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from trialloom.llm.text import fresh, table
 from trialloom.session import materialise
 
@@ -17,7 +21,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.withColumn(score, toxicity.toxicity(F.col("text"), lexicon)).where(F.col(score) < 0.5).drop(score)
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by five-word shingles at 0.8 or more, the one with the smallest id."""
+    groups = ngram_join.jaccard_components(docs, k=5, percent=80)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(name := fresh(docs, "copy")))
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no item of ``benchmark``."""
+    return decontaminate.without_overlaps(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture of sources; a document that is taken more than once is there as often."""
+    return mixing.repeat_rows(mixing.mix(docs)).select(*docs.columns)
+
+
+def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with shard and slot."""
+    return sharding.rendezvous(docs, [1.0] * 24)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark),
+    ("mixing sources", mix_sources),
+    ("sharding", deal_shards),
+]
 ORACLE_SQL = None
 
 
@@ -26,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialise(docs, f"pipeline-{name}")
+            docs = materialise(docs, "pipeline-" + name.replace(" ", "-"))
     return docs

@@ -5,9 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trialloom.llm import toxicity
-from trialloom.llm.text import table
+from trialloom.llm import decontaminate, kneser_ney, mixing, ngram_join, quality, rules, secrets, sharding, toxicity
+from trialloom.llm.text import held_out, table
+
+SHARDS = 24
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit_neighbours(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +27,51 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit_lexicon(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_toxicity": op4_toxicity}
-ORACLE: dict[str, str] = {}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return kneser_ney.perplexities(docs, kneser_ney.fit(docs.where(~held_out("doc_id", 10))))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.rendezvous(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
+    return rows.select("doc_id", "size", "text_crc32", "law", F.col("shard").cast("int"), "slot", F.col("grown_shard").cast("int"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_quality, op2_decontamination, op4_toxicity, op5_mixing, op6_rules, op7_scoring, op8_jaccard_join, op9_secrets, op10_sharding)
+}
+
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_LOWER = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '')"
+
+ORACLE: dict[str, str] = {
+    "op2_decontamination": f"""
+WITH d AS (SELECT doc_id, {_LOWER} AS ws FROM documents),
+b AS (SELECT item_id, {_LOWER} AS ws FROM benchmark),
+dw AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM d),
+bw AS (SELECT item_id, len(ws) AS m, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM b),
+eq AS (SELECT doc_id, item_id, n, m, dw.pos - bw.pos AS shift, bw.pos AS pos FROM dw JOIN bw ON dw.w = bw.w),
+lines AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift) AS total FROM eq)
+          WHERE total >= 11 AND least(m, n - shift) - greatest(0, -shift) >= 13),
+near AS (SELECT doc_id, item_id, shift, total,
+                count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY pos RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS inside
+         FROM lines),
+good AS (SELECT doc_id, item_id, shift, max(total) AS total FROM near WHERE inside >= 11 GROUP BY ALL)
+SELECT doc_id, item_id, count(*) AS n_lines, max(total) AS n_matched FROM good GROUP BY doc_id, item_id""",
+}

@@ -8,10 +8,15 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 find_words = re.compile(WORD).findall
@@ -51,22 +56,39 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def map_texts(rows: DataFrame, start: Callable[[], Callable[[list], dict]], added: str, text_col: str = "text") -> DataFrame:
+    """``rows`` with the text column replaced by the columns that ``added`` declares.
+
+    ``start`` is called once for each task and gives a function from a list of texts to a dict of columns. The other
+    columns go through as Arrow arrays, so ids keep their type and their nulls.
+    """
+    kept = [f for f in rows.schema.fields if f.name != text_col]
+    schema = StructType([*kept, *StructType.fromDDL(added).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            made = work(batch.column(text_col).to_pylist())
+            same = [batch.column(f.name).cast(arrow.field(f.name).type) for f in kept]
+            yield pa.RecordBatch.from_arrays([*same, *[pa.array(made[f.name], f.type) for f in list(arrow)[len(kept) :]]], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
 class WordHashes:
     """64-bit hashes of words, with a bounded memory of the words seen last."""
 
     def __init__(self) -> None:
         self.seen: dict[str, int] = {}
 
-    def __call__(self, found: list[str]) -> list[int]:
+    def __call__(self, found: list[str]) -> np.ndarray:
         if len(self.seen) > CACHE_WORDS:
             self.seen.clear()
-        seen, out = self.seen, []
-        for w in found:
-            h = seen.get(w)
-            if h is None:
-                h = seen[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            out.append(h)
-        return out
+        seen = self.seen
+        for w in set(found).difference(seen):
+            seen[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return np.fromiter(map(seen.__getitem__, found), np.uint64, len(found))
 
 
 def labelled_sample(

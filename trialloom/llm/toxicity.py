@@ -39,7 +39,6 @@ PRIOR_WEIGHT = 3.0
 PREFIXES = (4, 5, 6, 7)
 #: Signs that stand for a letter only in front of one.
 _signs = re.compile(r"[@$|](?=[^\W_])")
-_other = re.compile(r"[^\w]+|_+")
 
 
 def _fold_table() -> dict[int, str]:
@@ -56,14 +55,22 @@ def _fold_table() -> dict[int, str]:
 
 
 FOLDED = _fold_table()
-PLAIN = {k: v for k, v in FOLDED.items() if chr(k) not in "@$|"}
 SIGNS = {"@": "a", "$": "s", "|": "i"}
+#: ASCII characters: letters and digits folded, all others blank.
+ASCII = {c: FOLDED.get(ord(chr(c).lower()), chr(c).lower()) if chr(c).isalnum() else " " for c in range(128)}
+_not_ascii = re.compile(r"[^\x00-\x7f]+")
 
 
 def fold(text: str) -> str:
-    """Folded words, each with a blank before and after."""
-    text = _signs.sub(lambda m: SIGNS[m[0]], text.lower()).translate(PLAIN)
-    return f" {_other.sub(' ', text).strip()} "
+    """Folded text with a blank at both ends; everything but letters and digits is blank."""
+    if "@" in text or "$" in text or "|" in text:
+        text = _signs.sub(lambda m: SIGNS[m[0]], text)
+    if not text.isascii():
+        # a replacement for each such character that occurs is much faster than a table look-up for each character
+        text = text.lower()
+        for c in set("".join(_not_ascii.findall(text))):
+            text = text.replace(c, FOLDED.get(ord(c), c if c.isalnum() else " "))
+    return f" {text.translate(ASCII)} "
 
 
 def entries(text: str) -> list[str]:
@@ -107,7 +114,7 @@ def weigh(text: str | None, automaton) -> tuple[float, int]:
             elif weight > best.get(start, 0.0):
                 best[start] = weight
     total = sum(w for at, w in best.items() if not any(a <= at < b for a, b in free)) if free else sum(best.values())
-    return total, folded.count(" ") - 1
+    return total, len(folded.split())
 
 
 def features(total: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -10,153 +10,31 @@ Words are known by 48 bits of their hash. A text is scored as its words and one
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import zstandard
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.llm.text import LOWER, WordHashes, find_words, held_out, map_texts
-from trialloom.session import scratch_path
+from trialloom.llm.hash_tables import BITS, Shelf, SortedTable, bucket_of, mix, new_shelf, split_by_bucket, summed, unpack
+from trialloom.llm.text import WordHashes, held_out, lower_words, map_texts
 
-BITS = 48
 BEGIN, END = 1, 2
 #: Tokens counted together by a task before they are sent, tokens per bucket, and tokens scored together.
 CHUNK, PER_BUCKET, BLOCK = 2_000_000, 1_000_000, 200_000
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    return ((mix(key) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-
-
 def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * np.uint64(0x9E3779B97F4A7C15) + second) >> np.uint64(64 - BITS)
 
 
 def token_keys(text: str | None, hashes: WordHashes) -> np.ndarray:
-    found = hashes(find_words((text or "").translate(LOWER))) >> np.uint64(64 - BITS)
+    found = hashes(lower_words(text)) >> np.uint64(64 - BITS)
     return np.append(found, np.uint64(END))
 
 
-def pack(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    """Columns of 48-bit keys, the first one sorted, and counts, as compressed byte planes."""
-    first = np.diff(columns[0], prepend=np.uint64(0))
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes() for c in (first, *columns[1:])]
-    return zstandard.compress(b"".join([*planes, counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()]), 1)
-
-
-def unpack(blob: bytes, columns: int) -> tuple[list[np.ndarray], np.ndarray]:
-    raw = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8)
-    n = len(raw) // (6 * columns + 8)
-    found = []
-    for k in range(columns):
-        wide = np.zeros((n, 8), dtype=np.uint8)
-        wide[:, :6] = raw[6 * n * k : 6 * n * (k + 1)].reshape(6, n).T
-        found.append(wide.view(np.uint64).ravel())
-    found[0] = np.cumsum(found[0], dtype=np.uint64)
-    return found, np.ascontiguousarray(raw[6 * n * columns :].reshape(8, n).T).view(np.uint64).ravel().astype(np.int64)
-
-
-def summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows in order, with their summed counts."""
-    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
-    columns, counts = [c[order] for c in columns], counts[order]
-    new = np.ones(len(counts), dtype=bool)
-    if len(counts):
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    at = np.flatnonzero(new)
-    return [c[at] for c in columns], np.add.reduceat(counts, at) if len(at) else counts
-
-
-@dataclass(frozen=True)
-class Shelf:
-    """Arrays in a folder of the shared file system; they are mapped from there, or from a local copy if it has no paths."""
-
-    uri: str
-
-    def _at(self, name: str) -> tuple[fs.FileSystem, str]:
-        system, path = fs.FileSystem.from_uri(self.uri)
-        return system, f"{path}/{name}"
-
-    def write(self, name: str, array: np.ndarray) -> None:
-        """Written aside first, then renamed: a repeated or lost task leaves a whole file or none."""
-        system, path = self._at(name)
-        system.create_dir(os.path.dirname(path), recursive=True)
-        aside = f"{path}.{os.getpid()}.{os.urandom(4).hex()}"
-        with system.open_output_stream(aside) as out:
-            np.lib.format.write_array(out, np.ascontiguousarray(array), allow_pickle=False)
-        system.move(aside, path)
-
-    def read(self, name: str) -> np.ndarray:
-        system, path = self._at(name)
-        if not isinstance(system, fs.LocalFileSystem):
-            local = os.path.join(tempfile.gettempdir(), self.uri.rsplit("/", 1)[-1], name)
-            if not os.path.exists(local):
-                os.makedirs(os.path.dirname(local), exist_ok=True)
-                fs.copy_files(path, f"{local}.{os.getpid()}", source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
-                os.replace(f"{local}.{os.getpid()}", local)
-            path = local
-        return np.load(path, mmap_mode="r", allow_pickle=False)
-
-
-class SortedTable:
-    """Sorted 48-bit keys with values: an index over the upper bits, the next 32 bits of each key, and value arrays."""
-
-    def __init__(self, shelf: Shelf, name: str) -> None:
-        self.shelf, self.name = shelf, name
-        self.index, self.low = shelf.read(f"{name}-index.npy"), shelf.read(f"{name}-low.npy")
-        self.bits = (len(self.index) - 1).bit_length() - 1
-
-    @staticmethod
-    def write(shelf: Shelf, name: str, keys: np.ndarray, **values: np.ndarray) -> None:
-        bits = min(16, max(4, int(len(keys) // 8).bit_length()))
-        short = keys >> np.uint64(BITS - bits - 32)
-        shelf.write(f"{name}-index.npy", np.searchsorted(short >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32))
-        shelf.write(f"{name}-low.npy", (short & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        for k, v in values.items():
-            shelf.write(f"{name}-{k}.npy", v)
-
-    def values(self, name: str) -> np.ndarray:
-        return self.shelf.read(f"{self.name}-{name}.npy")
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, or -1."""
-        short = keys >> np.uint64(BITS - self.bits - 32)
-        high, low = (short >> np.uint64(32)).astype(np.int64), (short & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        a, end = self.index[high].astype(np.int64), self.index[high + 1].astype(np.int64)
-        b = end.copy()
-        while len(open_ := np.flatnonzero(a < b)):
-            middle = (a[open_] + b[open_]) >> 1
-            less = self.low[middle] < low[open_]
-            a[open_[less]] = middle[less] + 1
-            b[open_[~less]] = middle[~less]
-        if not len(self.low):
-            return np.full(len(keys), -1)
-        hit = (a < end) & (self.low[np.minimum(a, len(self.low) - 1)] == low)
-        return np.where(hit, a, -1)
-
-
-def _split(bucket: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """One packed part for each bucket; rows keep their order."""
-    order = np.argsort(bucket, kind="stable")
-    at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    for a, b in zip(at, [*at[1:], len(order)]):
-        rows = order[a:b]
-        yield int(bucket[rows[0]]), pack([c[rows] for c in columns], counts[rows])
-
-
 def _counts_of_counts(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
 
@@ -245,8 +123,7 @@ def fit(docs: DataFrame, text_col: str = "text", per_bucket: int = PER_BUCKET) -
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, -(-chars // (6 * per_bucket)))
-    root = scratch_path(spark, "bigrams")
-    shelf = Shelf(root if "://" in root or root.startswith("file:") else f"file://{root}")
+    shelf = new_shelf(spark, "bigrams")
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         hashes, held, size = WordHashes(), [], 0
@@ -263,7 +140,7 @@ def fit(docs: DataFrame, text_col: str = "text", per_bucket: int = PER_BUCKET) -
     def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, _ in chunks(batches):
             found, counts = np.unique(keys, return_counts=True)
-            yield pd.DataFrame(_split(bucket_of(found, buckets), [found], counts), columns=["bucket", "part"])
+            yield pd.DataFrame(split_by_bucket(bucket_of(found, buckets), [found], counts), columns=["bucket", "part"])
 
     def merge_words(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         found = [unpack(p, 1) for p in parts["part"]]
@@ -285,7 +162,7 @@ def fit(docs: DataFrame, text_col: str = "text", per_bucket: int = PER_BUCKET) -
         for keys, before in chunks(batches):
             (first, second), counts = summed([before, keys], np.ones(len(keys), dtype=np.int64))
             route = np.where(_is_in(first, hot), pair_key(first, second), first)
-            yield pd.DataFrame(_split(bucket_of(route, buckets), [first, second], counts), columns=["bucket", "part"])
+            yield pd.DataFrame(split_by_bucket(bucket_of(route, buckets), [first, second], counts), columns=["bucket", "part"])
 
     def merge_pairs(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         found = [unpack(p, 2) for p in parts["part"]]
@@ -301,7 +178,7 @@ def fit(docs: DataFrame, text_col: str = "text", per_bucket: int = PER_BUCKET) -
         own = ~_is_in(contexts, hot)
         SortedTable.write(shelf, f"contexts/{key[0]}", contexts[own], **{n: s[own].astype(np.uint32) for n, s in zip(("total", "once", "twice", "more"), stats)})
         words, lefts = np.unique(second, return_counts=True)
-        out = pd.DataFrame(_split(bucket_of(words, buckets), [words], lefts), columns=["bucket", "part"])
+        out = pd.DataFrame(split_by_bucket(bucket_of(words, buckets), [words], lefts), columns=["bucket", "part"])
         extra = pd.DataFrame(
             {"bucket": [key[0]], "part": [None], "counts": [_counts_of_counts(counts)], "pairs": [len(counts)], "hot": [contexts[~own].astype(np.int64)], "stats": [np.concatenate([s[~own] for s in stats])]}
         )

@@ -26,7 +26,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from trialloom.llm.components import connected
-from trialloom.llm.text import LOWER, WordHashes, find_words
+from trialloom.llm.hash_tables import hash_table
+from trialloom.llm.text import WordHashes, word_blocks
 from trialloom.session import materialise
 
 HEAT_BITS = 16
@@ -42,26 +43,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``k``-word shingles; all words as one shingle if they are fewer."""
-    h = hashes(find_words((text or "").translate(LOWER)))
-    if not len(h):
-        return h
-    width = min(k, len(h))
-    value = np.full(len(h) - width + 1, width, dtype=np.uint64)
-    for i in range(width):
+def _chain(h: np.ndarray, width: int) -> np.ndarray:
+    value = np.full(max(0, len(h) - width + 1), width, dtype=np.uint64)
+    for i in range(width if len(value) else 0):
         value = _mix(value * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - width + 1 + i])
-    return np.unique(value)
+    return value
 
 
-def signature(found: np.ndarray) -> str:
-    return xxhash.xxh3_128_hexdigest(found.tobytes()) if len(found) else ""
+def shingle_sets(texts: list, k: int, hashes: WordHashes) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its ``k``-word shingles; all words as one shingle if they are fewer."""
+    for _, _, offsets, h in word_blocks(texts, hashes):
+        value = _chain(h, k)
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            yield np.unique(value[a : b - k + 1]) if b - a >= k else _chain(h[a:b], b - a) if b > a else h[:0]
+
+
+def set_hash(found: np.ndarray) -> int:
+    """64 bits that stand for a set; 0 for the empty one."""
+    return (xxhash.xxh3_64_intdigest(found.tobytes()) or 1) - (1 << 63) if len(found) else 0
 
 
 def _prefix(found: np.ndarray, heat: np.ndarray, salt: int, percent: int) -> np.ndarray:
     """The first tokens of a set under the order of ``salt``: cold before hot, then by a salted hash."""
     length = len(found) - -(-percent * len(found) // 100) + 1
-    order = _mix(found ^ np.uint64(salt)) >> np.uint64(8) | heat[found >> np.uint64(64 - HEAT_BITS)] << np.uint64(56)
+    order = _mix(found ^ np.uint64(salt)) >> np.uint64(8) | heat[found >> np.uint64(64 - HEAT_BITS)].astype(np.uint64) << np.uint64(56)
     return found[np.argpartition(order, length - 1)[:length]] if length < len(found) else found
 
 
@@ -76,19 +81,22 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = to_arrow_schema(rows.schema).field("id").type
-    schema = StructType([rows.schema["id"], *StructType.fromDDL("set_id string, n long, bucket int").fields])
+    schema = StructType([rows.schema["id"], *StructType.fromDDL("set_id long, n long, bucket int").fields])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, heat = WordHashes(), np.zeros(1 << HEAT_BITS, dtype=np.int64)
         names = ["id", "set_id", "n", "bucket"]
         for batch in batches:
-            sets = [shingle_set(t, k, hashes) for t in batch.column("text").to_pylist()]
-            for s in sets:
-                np.add.at(heat, s >> np.uint64(64 - HEAT_BITS), 1)
-            columns = [pa.array([signature(s) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64()), pa.array([-1] * len(sets), pa.int32())]
+            found, sizes = [], []
+            for s in shingle_sets(batch.column("text").to_pylist(), k, hashes):
+                found.append(set_hash(s))
+                sizes.append(len(s))
+                at, n = np.unique(s >> np.uint64(64 - HEAT_BITS), return_counts=True)
+                heat[at] += n
+            columns = [pa.array(found, pa.int64()), pa.array(sizes, pa.int64()), pa.array([-1] * len(found), pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(id_type), *columns], names)
         used = np.flatnonzero(heat)
-        columns = [pa.nulls(len(used), pa.string()), pa.array(heat[used]), pa.array(used.astype(np.int32))]
+        columns = [pa.nulls(len(used), pa.int64()), pa.array(heat[used]), pa.array(used.astype(np.int32))]
         yield pa.RecordBatch.from_arrays([pa.nulls(len(used), id_type), *columns], names)
 
     described = materialise(rows.mapInArrow(describe, schema), "sets")
@@ -98,37 +106,48 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     heat = np.zeros(1 << HEAT_BITS)
     for r in described.where("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         heat[r["bucket"]] = r["n"]
-    level = np.minimum(2 * np.log2(heat + 1), 255).astype(np.uint64)
-
-    chosen = found.where("n > 0").groupBy("set_id").agg(F.min("id").alias("id"))
+    level = np.minimum(2 * np.log2(heat + 1), 255).astype(np.uint8)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        # copies within a task are sent once; the memory of what was sent is bounded, as this only saves work
+        hashes, sent = WordHashes(), set()
         for batch in batches:
-            kept = [(i, s) for i, t in zip(batch["set_id"], batch["text"]) if signature(s := shingle_set(t, k, hashes)) == i]
-            tokens = [_prefix(s, level, ORDERS[0], percent).astype(np.int64) for _, s in kept]
-            yield pd.DataFrame({"set_id": [i for i, _ in kept], "n": [len(s) for _, s in kept], "tokens": tokens})
-
-    own = rows.join(chosen, rows["id"].eqNullSafe(chosen["id"])).select("set_id", "text")
-    index = own.mapInPandas(prefixes, "set_id string, n int, tokens array<bigint>").select("set_id", "n", F.explode("tokens").alias("token"))
+            out = []
+            for s in shingle_sets(batch["text"].tolist(), k, hashes):
+                if len(s) and (i := set_hash(s)) not in sent:
+                    out.append((i, len(s), _prefix(s, level, ORDERS[0], percent).view(np.int64)))
+                    sent.add(i)
+            if len(sent) > 1_000_000:
+                sent.clear()
+            if out:
+                yield pd.DataFrame(out, columns=["set_id", "n", "tokens"])
+
+    index = rows.select("text").mapInPandas(prefixes, "set_id long, n int, tokens array<bigint>").select("set_id", "n", F.explode("tokens").alias("token"))
     index = materialise(index, "prefixes")
     shared = index.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("token")
     index = materialise(index.join(shared, "token").distinct(), "shared-prefixes")
 
+    wanted = hash_table(index.select("set_id").distinct(), "set_id")
+
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, sent = WordHashes(), set()
         for batch in batches:
-            kept = [(i, s) for i, t in zip(batch["set_id"], batch["text"]) if signature(s := shingle_set(t, k, hashes)) == i]
-            yield pd.DataFrame(
-                {"set_id": [i for i, _ in kept], "tokens": [s.astype(np.int64) for _, s in kept]}
-                | {f"prefix{o}": [_prefix(s, level, salt, percent).astype(np.int32) for _, s in kept] for o, salt in enumerate(ORDERS[1:])}
-            )
-
-    needed = chosen.join(index.select("set_id").distinct(), "set_id", "left_semi")
-    own = rows.join(needed, rows["id"].eqNullSafe(needed["id"])).select("set_id", "text")
+            ids, sets = [], []
+            for s in shingle_sets(batch["text"].tolist(), k, hashes):
+                i = set_hash(s)
+                if i not in sent and wanted.has(np.array([i])).all():
+                    ids.append(i)
+                    sets.append(s)
+                    sent.add(i)
+            if len(sent) > 1_000_000:
+                sent.clear()
+            if ids:
+                other = {f"prefix{o}": [_prefix(s, level, salt, percent).astype(np.int32) for s in sets] for o, salt in enumerate(ORDERS[1:])}
+                yield pd.DataFrame({"set_id": ids, "tokens": [s.view(np.int64) for s in sets]} | other)
+
     extra = "".join(f", prefix{o} array<int>" for o in range(len(ORDERS) - 1))
-    sets = own.mapInPandas(whole, f"set_id string, tokens array<bigint>{extra}")
-    sets = materialise(sets.groupBy("set_id").agg(*[F.any_value(c).alias(c) for c in sets.columns if c != "set_id"]), "candidates")
+    sets = rows.select("text").mapInPandas(whole, f"set_id long, tokens array<bigint>{extra}")
+    sets = materialise(sets.dropDuplicates(["set_id"]), "candidates")
 
     near = _compare(index, sets, percent)
     links = near.where("linked").select("a", "b")

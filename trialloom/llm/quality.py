@@ -55,7 +55,7 @@ def term_vector(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.nd
         math.log(n) / 20,
     ]
     words = list(counts)
-    places = hashes(words) % np.uint64(DIMENSIONS - len(SHAPES)) + np.uint64(len(SHAPES))
+    places = hashes([w.encode().lower() for w in words]) % np.uint64(DIMENSIONS - len(SHAPES)) + np.uint64(len(SHAPES))
     places, at = np.unique(places.astype(np.int64), return_inverse=True)
     values = np.log1p(np.bincount(at, weights=np.array([counts[w] for w in words], dtype=float)))
     values /= max(np.linalg.norm(values), 1e-9)

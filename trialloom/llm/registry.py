@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.llm import decontaminate, kneser_ney, mixing, ngram_join, quality, rules, secrets, sharding, toxicity
+from trialloom.llm import decontaminate, kneser_ney, mixing, ngram_join, passages, quality, rules, secrets, sharding, toxicity
 from trialloom.llm.text import held_out, table
 
 SHARDS = 24
@@ -22,6 +22,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit_lexicon(docs, table(spark, sf_dir, "labels")))
@@ -54,11 +58,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_decontamination, op4_toxicity, op5_mixing, op6_rules, op7_scoring, op8_jaccard_join, op9_secrets, op10_sharding)
+    f.__name__: f for f in (op1_quality, op2_decontamination, op3_passages, op4_toxicity, op5_mixing, op6_rules, op7_scoring, op8_jaccard_join, op9_secrets, op10_sharding)
 }
 
-_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
-_LOWER = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLE: dict[str, str] = {
     "op2_decontamination": f"""

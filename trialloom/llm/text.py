@@ -20,7 +20,6 @@ from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 find_words = re.compile(WORD).findall
-LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 #: Words remembered with their hash by one task; the memory is emptied when full.
 CACHE_WORDS = 300_000
 
@@ -76,19 +75,39 @@ def map_texts(rows: DataFrame, start: Callable[[], Callable[[list], dict]], adde
     return rows.mapInArrow(run, schema)
 
 
-class WordHashes:
+def lower_words(text: str | None) -> list[bytes]:
+    """The lower-cased words of a text as bytes: ``bytes.lower`` and ``bytes.split`` know just A-Z and the six blanks."""
+    return text.encode().lower().split() if text else []
+
+
+class WordHashes(dict):
     """64-bit hashes of words, with a bounded memory of the words seen last."""
 
-    def __init__(self) -> None:
-        self.seen: dict[str, int] = {}
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def __call__(self, found: list[bytes]) -> np.ndarray:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+
+
+#: Words that are worked on together.
+BLOCK_WORDS = 200_000
+
 
-    def __call__(self, found: list[str]) -> np.ndarray:
-        if len(self.seen) > CACHE_WORDS:
-            self.seen.clear()
-        seen = self.seen
-        for w in set(found).difference(seen):
-            seen[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(seen.__getitem__, found), np.uint64, len(found))
+def word_blocks(texts: list, hashes: WordHashes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, text after the last, offsets, word hashes) of runs of texts of about BLOCK_WORDS words."""
+    first, held, lengths, size = 0, [], [], 0
+    for i, text in enumerate(texts):
+        found = lower_words(text)
+        held += found
+        lengths.append(len(found))
+        size += len(found)
+        if size >= BLOCK_WORDS or i + 1 == len(texts):
+            yield first, i + 1, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), hashes(held)
+            first, held, lengths, size = i + 1, [], [], 0
 
 
 def labelled_sample(

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialloom.llm.hash_tables import BITS, Shelf, SortedTable, bucket_of, mix, new_shelf, split_by_bucket, summed, unpack
-from trialloom.llm.text import WordHashes, held_out, lower_words, map_texts
+from trialloom.llm.text import WordHashes, held_out, lower_words, map_texts, small_batches
 
 BEGIN, END = 1, 2
 #: Tokens counted together by a task before they are sent, tokens per bucket, and tokens scored together.
@@ -35,6 +35,11 @@ def token_keys(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.append(found, np.uint64(END))
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in the smallest unsigned type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
 def _counts_of_counts(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
 
@@ -121,6 +126,7 @@ def fit(docs: DataFrame, text_col: str = "text", per_bucket: int = PER_BUCKET) -
     """Count the bigrams of all texts and write the model. An empty table gives a model that knows no word."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, -(-chars // (6 * per_bucket)))
     shelf = new_shelf(spark, "bigrams")
@@ -145,7 +151,7 @@ def fit(docs: DataFrame, text_col: str = "text", per_bucket: int = PER_BUCKET) -
     def merge_words(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         found = [unpack(p, 1) for p in parts["part"]]
         (keys,), counts = summed([np.concatenate([f[0][0] for f in found])], np.concatenate([f[1] for f in found]))
-        SortedTable.write(shelf, f"words/{key[0]}", keys, count=counts)
+        SortedTable.write(shelf, f"words/{key[0]}", keys, count=narrow(counts))
         often = counts > per_bucket // 2
         return pd.DataFrame(
             {"bucket": key[0], "tokens": [counts.sum()], "types": [len(keys)], "hot": [keys[often].astype(np.int64)], "begins": [int(counts[keys == END].sum())]}
@@ -172,11 +178,11 @@ def fit(docs: DataFrame, text_col: str = "text", per_bucket: int = PER_BUCKET) -
         order = np.argsort(pairs)
         SortedTable.write(shelf, f"pairs/{key[0]}", pairs[order], count=np.minimum(counts[order], 255).astype(np.uint8))
         many = order[counts[order] >= 255]
-        SortedTable.write(shelf, f"many/{key[0]}", pairs[many], count=counts[many])
+        SortedTable.write(shelf, f"many/{key[0]}", pairs[many], count=narrow(counts[many]))
         contexts, at = np.unique(first, return_inverse=True)
         stats = [np.bincount(at, weights=w, minlength=len(contexts)).astype(np.int64) for w in (counts, counts == 1, counts == 2, counts > 2)]
         own = ~_is_in(contexts, hot)
-        SortedTable.write(shelf, f"contexts/{key[0]}", contexts[own], **{n: s[own].astype(np.uint32) for n, s in zip(("total", "once", "twice", "more"), stats)})
+        SortedTable.write(shelf, f"contexts/{key[0]}", contexts[own], **{n: narrow(s[own]) for n, s in zip(("total", "once", "twice", "more"), stats)})
         words, lefts = np.unique(second, return_counts=True)
         out = pd.DataFrame(split_by_bucket(bucket_of(words, buckets), [words], lefts), columns=["bucket", "part"])
         extra = pd.DataFrame(
@@ -188,7 +194,7 @@ def fit(docs: DataFrame, text_col: str = "text", per_bucket: int = PER_BUCKET) -
         blobs = [p for p in parts["part"] if p is not None]
         found = [unpack(p, 1) for p in blobs] or [([np.zeros(0, np.uint64)], np.zeros(0, np.int64))]
         (keys,), counts = summed([np.concatenate([f[0][0] for f in found])], np.concatenate([f[1] for f in found]))
-        SortedTable.write(shelf, f"left/{key[0]}", keys, count=counts.astype(np.uint32))
+        SortedTable.write(shelf, f"left/{key[0]}", keys, count=narrow(counts))
         rest = parts[parts["part"].isna()].drop(columns="part")
         return pd.concat([rest.assign(left=None, left_more=0), pd.DataFrame({"bucket": [key[0]], "counts": [None], "pairs": [0], "hot": [None], "stats": [None], "left": [_counts_of_counts(counts)], "left_more": [int((counts > 2).sum())]})])
 

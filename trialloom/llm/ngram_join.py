@@ -27,13 +27,13 @@ from pyspark.sql.types import StructType
 
 from trialloom.llm.components import connected
 from trialloom.llm.hash_tables import hash_table
-from trialloom.llm.text import WordHashes, word_blocks
+from trialloom.llm.text import WordHashes, small_batches, word_blocks
 from trialloom.session import materialise
 
 HEAT_BITS = 16
 #: Salts of the global orders; the first finds candidates, the others filter them.
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B)
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,6 +79,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     Repeated rows are copies of each other; a null id is never the smallest, and a component of null ids only has a
     null id. An empty table gives no rows. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = to_arrow_schema(rows.schema).field("id").type
     schema = StructType([rows.schema["id"], *StructType.fromDDL("set_id long, n long, bucket int").fields])
@@ -127,26 +128,21 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     shared = index.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("token")
     index = materialise(index.join(shared, "token").distinct(), "shared-prefixes")
 
-    wanted = hash_table(index.select("set_id").distinct(), "set_id")
+    # the whole sets of candidates only: one row of each is enough, and rows that no candidate needs are passed over
+    needed = found.join(index.select("set_id").distinct(), "set_id").groupBy("set_id").agg(F.min("id").alias("id"))
+    wanted = hash_table(needed.select(F.xxhash64("id").alias("key")), "key")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, sent = WordHashes(), set()
+        hashes = WordHashes()
         for batch in batches:
-            ids, sets = [], []
-            for s in shingle_sets(batch["text"].tolist(), k, hashes):
-                i = set_hash(s)
-                if i not in sent and wanted.has(np.array([i])).all():
-                    ids.append(i)
-                    sets.append(s)
-                    sent.add(i)
-            if len(sent) > 1_000_000:
-                sent.clear()
-            if ids:
+            texts = batch["text"][wanted.has(batch["key"].to_numpy())].tolist()
+            sets = [s for s in shingle_sets(texts, k, hashes) if len(s)]
+            if sets:
                 other = {f"prefix{o}": [_prefix(s, level, salt, percent).astype(np.int32) for s in sets] for o, salt in enumerate(ORDERS[1:])}
-                yield pd.DataFrame({"set_id": ids, "tokens": [s.view(np.int64) for s in sets]} | other)
+                yield pd.DataFrame({"set_id": [set_hash(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]} | other)
 
     extra = "".join(f", prefix{o} array<int>" for o in range(len(ORDERS) - 1))
-    sets = rows.select("text").mapInPandas(whole, f"set_id long, tokens array<bigint>{extra}")
+    sets = rows.select(F.xxhash64("id").alias("key"), "text").mapInPandas(whole, f"set_id long, tokens array<bigint>{extra}")
     sets = materialise(sets.dropDuplicates(["set_id"]), "candidates")
 
     near = _compare(index, sets, percent)

@@ -78,4 +78,28 @@ near AS (SELECT doc_id, item_id, shift, total,
          FROM lines),
 good AS (SELECT doc_id, item_id, shift, max(total) AS total FROM near WHERE inside >= 11 GROUP BY ALL)
 SELECT doc_id, item_id, count(*) AS n_lines, max(total) AS n_matched FROM good GROUP BY doc_id, item_id""",
+    "op5_mixing": f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size,
+                  (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null id') || ':0:' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5)
+                  / 4503599627370496.0::DOUBLE AS u
+           FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS most,
+             CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+      FROM d GROUP BY source),
+o AS (SELECT *, most::DOUBLE / weight AS ratio, (SELECT sum(size) FROM d)::BIGINT AS wanted,
+             coalesce(sum(most) OVER (ORDER BY most::DOUBLE / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS full_size,
+             sum(weight) OVER (ORDER BY most::DOUBLE / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS rest
+      FROM s),
+lev AS (SELECT (wanted - full_size)::DOUBLE / rest AS lev FROM o WHERE (wanted - full_size)::DOUBLE / rest <= ratio ORDER BY ratio LIMIT 1),
+t AS (SELECT source, source_size, least(most::DOUBLE, weight * lev) AS target FROM s, lev),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
+p AS (SELECT source, source_size, target, floor(rate)::BIGINT AS whole, rate - floor(rate)::BIGINT AS p,
+             target - floor(rate)::BIGINT * source_size AS extra FROM r),
+q AS (SELECT d.*, p.source_size, p.target, p.whole, p.p, p.extra,
+             CASE WHEN p.p > 0 THEN (u / (1 - u)) / (p.p / (1 - p.p)) END AS odds
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+k AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (whole + CASE WHEN p > 0 AND upto - size / 2.0 <= extra THEN 1 ELSE 0 END) * size AS taken
+FROM k""",
 }

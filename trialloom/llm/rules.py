@@ -129,9 +129,9 @@ def apply_rules(
 ) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, the base counts, ``anomaly``, ``base_failed`` and ``kept``.
 
-    The forest grows on at most ``fit_rows`` good labelled documents (the first by hash of their id), so that what is unlike
-    good text is isolated early. The threshold is taken over all labelled rows that pass the base rules: the anomaly
-    that splits them best, but never one that would lose more than ``lost`` of the good ones. Without good examples every
+    The forest grows on at most ``fit_rows`` labelled documents that pass the base rules (the first by hash of their id);
+    the labels have no part in that. The threshold is taken over all labelled rows that pass the base rules: the anomaly
+    that splits them best, but never one that would lose more than ``lost`` of the good ones. Without labelled rows every
     row that passes the base rules is kept. Null texts count as empty; repeated rows and null ids are judged like any
     other; an empty table gives no rows. Other columns are not read.
     """
@@ -147,10 +147,10 @@ def apply_rules(
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label).alias("label"))
     rows = materialise(rows, "statistics")
     passed = rows.where(~F.col("base_failed")).join(known, "doc_id").select("doc_id", "x", "label")
-    good = passed.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).toPandas()
-    if not len(good):
+    some = passed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).toPandas()
+    if not len(some):
         return rows.select("doc_id", *BASE, F.lit(0.0).alias("anomaly"), "base_failed", (~F.col("base_failed")).alias("kept"))
-    forest = grow(np.stack(good["x"].to_numpy()))
+    forest = grow(np.stack(some["x"].to_numpy()))
 
     @F.pandas_udf("double")
     def anomaly(x: pd.Series) -> pd.Series:

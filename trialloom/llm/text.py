@@ -28,6 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of at most ``rows``, so that a worker's memory does not follow the session's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def words(text: Column | str, lower: bool = False) -> Column:
     """The words of a text as an array, by built-in functions; empty for a null text."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -61,6 +68,7 @@ def map_texts(rows: DataFrame, start: Callable[[], Callable[[list], dict]], adde
     ``start`` is called once for each task and gives a function from a list of texts to a dict of columns. The other
     columns go through as Arrow arrays, so ids keep their type and their nulls.
     """
+    small_batches(rows.sparkSession)
     kept = [f for f in rows.schema.fields if f.name != text_col]
     schema = StructType([*kept, *StructType.fromDDL(added).fields])
     arrow = to_arrow_schema(schema)

@@ -21,11 +21,11 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from trialloom.llm.text import find_words, held_out, labelled_sample
+from trialloom.llm.text import find_words, held_out, labelled_sample, small_batches
 
 # General insults to start from, phrases in which such words are harmless, and look-alike characters.
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb imbecile".split()
@@ -213,6 +213,8 @@ def fit_lexicon(
 def toxicity(text: Column | str, lexicon: Lexicon) -> Column:
     """Probability that a text is toxic; null and empty texts are scored as texts without words."""
 
+    small_batches(SparkSession.active())
+
     @F.pandas_udf(DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton, beta = lexicon.automaton(), np.array(lexicon.curve)

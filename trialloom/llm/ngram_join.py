@@ -1,8 +1,9 @@
 """Exact Jaccard self-join of word n-gram sets, with prefix filters under several global token orders.
 
-Equal sets are one node from the start, so copies cost nothing further. A global order of the n-grams puts those that
-are frequent last (frequencies are counted over all documents in a fixed number of hash buckets: any order is right,
-this one keeps prefixes rare). Two sets of similarity t or more share a token among the first ``n - ceil(t n) + 1`` of
+Equal sets are one node from the start, so copies cost nothing further. The n-grams of all documents are counted as
+packed sorted arrays, and those that occur twice or more are written as a hash table with their frequency. The global
+orders put n-grams of one document first and frequent ones last, so the prefix of a text that resembles no other holds
+nothing that could be shared, and it is no candidate. Two sets of similarity t or more share a token among the first ``n - ceil(t n) + 1`` of
 each, under every order; the first order finds candidates, the others are tested on each candidate, and what is left
 is verified on the whole sets.
 
@@ -15,6 +16,7 @@ inequality, and distances from the leaders are known), so no link between differ
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -26,11 +28,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from trialloom.llm.components import connected
-from trialloom.llm.hash_tables import hash_table
+from trialloom.llm.hash_tables import (
+    BITS, Shelf, SortedTable, bucket_of, fill_gaps, hash_table, new_shelf, split_by_bucket, summed, unpack,
+)
 from trialloom.llm.text import WordHashes, small_batches, word_blocks
 from trialloom.session import materialise
 
-HEAT_BITS = 16
+#: Shingles counted together by a task before they are sent.
+CHUNK = 1_000_000
 #: Salts of the global orders; the first finds candidates, the others filter them.
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B)
 LEADER_ROUNDS = 2
@@ -50,12 +55,12 @@ def _chain(h: np.ndarray, width: int) -> np.ndarray:
     return value
 
 
-def shingle_sets(texts: list, k: int, hashes: WordHashes) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its ``k``-word shingles; all words as one shingle if they are fewer."""
+def shingle_sets(texts: list, k: int, hashes: WordHashes) -> Iterator[list[np.ndarray]]:
+    """In blocks of texts, the sorted distinct 64-bit hashes of each text's ``k``-word shingles; all words as one shingle if they are fewer."""
     for _, _, offsets, h in word_blocks(texts, hashes):
         value = _chain(h, k)
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            yield np.unique(value[a : b - k + 1]) if b - a >= k else _chain(h[a:b], b - a) if b > a else h[:0]
+        ends = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+        yield [np.unique(value[a : b - k + 1]) if b - a >= k else _chain(h[a:b], b - a) if b > a else h[:0] for a, b in ends]
 
 
 def set_hash(found: np.ndarray) -> int:
@@ -63,11 +68,42 @@ def set_hash(found: np.ndarray) -> int:
     return (xxhash.xxh3_64_intdigest(found.tobytes()) or 1) - (1 << 63) if len(found) else 0
 
 
-def _prefix(found: np.ndarray, heat: np.ndarray, salt: int, percent: int) -> np.ndarray:
-    """The first tokens of a set under the order of ``salt``: cold before hot, then by a salted hash."""
+@dataclass
+class Frequencies:
+    """Logarithms of the frequencies of shingles, from a table of those that occur twice or more."""
+
+    shelf: Shelf
+    buckets: int
+    opened: dict = field(default_factory=dict)
+
+    def levels(self, sets: list[np.ndarray]) -> list[np.ndarray]:
+        """For each set, 0 for a shingle that occurs once, else 1 and more."""
+        keys = short_keys(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+        bucket, found = bucket_of(keys, self.buckets), np.zeros(len(keys), dtype=np.uint64)
+        order = np.argsort(bucket, kind="stable")
+        at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        for a, b in zip(at, [*at[1:], len(order)]):
+            rows = order[a:b]
+            number = int(bucket[rows[0]])
+            if number not in self.opened:
+                table = SortedTable(self.shelf, str(number))
+                self.opened[number] = (table, table.values("level"))
+            table, level = self.opened[number]
+            place = table.find(keys[rows])
+            found[rows[place >= 0]] = level[place[place >= 0]]
+        return np.split(found, np.cumsum([len(s) for s in sets])[:-1]) if sets else []
+
+
+def short_keys(shingles: np.ndarray) -> np.ndarray:
+    return shingles >> np.uint64(64 - BITS)
+
+
+def _prefix(found: np.ndarray, level: np.ndarray, salt: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first tokens of a set under the order of ``salt``, rare before frequent, then by a salted hash; and their levels."""
     length = len(found) - -(-percent * len(found) // 100) + 1
-    order = _mix(found ^ np.uint64(salt)) >> np.uint64(8) | heat[found >> np.uint64(64 - HEAT_BITS)].astype(np.uint64) << np.uint64(56)
-    return found[np.argpartition(order, length - 1)[:length]] if length < len(found) else found
+    order = _mix(found ^ np.uint64(salt)) >> np.uint64(8) | level << np.uint64(56)
+    at = np.argpartition(order, length - 1)[:length] if length < len(found) else np.arange(len(found))
+    return found[at], level[at]
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,42 +118,66 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = to_arrow_schema(rows.schema).field("id").type
-    schema = StructType([rows.schema["id"], *StructType.fromDDL("set_id long, n long, bucket int").fields])
+    schema = StructType([rows.schema["id"], *StructType.fromDDL("set_id long, n long, bucket int, part binary").fields])
+    names = [f.name for f in schema]
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(1, -(-chars // 6_000_000))
+    shelf = new_shelf(docs.sparkSession, "shingles")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, heat = WordHashes(), np.zeros(1 << HEAT_BITS, dtype=np.int64)
-        names = ["id", "set_id", "n", "bucket"]
+        hashes, held, size = WordHashes(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            parts = list(split_by_bucket(bucket_of(keys, buckets), [keys], counts))
+            n = len(parts)
+            columns = [pa.array([b for b, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *columns], names)
+
         for batch in batches:
             found, sizes = [], []
-            for s in shingle_sets(batch.column("text").to_pylist(), k, hashes):
-                found.append(set_hash(s))
-                sizes.append(len(s))
-                at, n = np.unique(s >> np.uint64(64 - HEAT_BITS), return_counts=True)
-                heat[at] += n
-            columns = [pa.array(found, pa.int64()), pa.array(sizes, pa.int64()), pa.array([-1] * len(found), pa.int32())]
+            for sets in shingle_sets(batch.column("text").to_pylist(), k, hashes):
+                found += [set_hash(s) for s in sets]
+                sizes += [len(s) for s in sets]
+                held.append(short_keys(np.concatenate(sets)))
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield flush()
+                    held, size = [], 0
+            n = len(found)
+            columns = [pa.array(found, pa.int64()), pa.array(sizes, pa.int64()), pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(id_type), *columns], names)
-        used = np.flatnonzero(heat)
-        columns = [pa.nulls(len(used), pa.int64()), pa.array(heat[used]), pa.array(used.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), id_type), *columns], names)
+        if size:
+            yield flush()
 
     described = materialise(rows.mapInArrow(describe, schema), "sets")
     found = described.where("bucket < 0").select("id", "set_id", "n")
 
-    # a fixed number of buckets, so the levels fit into a closure of known size
-    heat = np.zeros(1 << HEAT_BITS)
-    for r in described.where("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        heat[r["bucket"]] = r["n"]
-    level = np.minimum(2 * np.log2(heat + 1), 255).astype(np.uint8)
+    def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        got = [unpack(p, 1) for p in parts["part"]]
+        (keys,), counts = summed([np.concatenate([g[0][0] for g in got])], np.concatenate([g[1] for g in got]))
+        often = counts > 1
+        SortedTable.write(shelf, str(key[0]), keys[often], level=np.minimum(2 * np.log2(counts[often]), 255).astype(np.uint8))
+        return pd.DataFrame({"bucket": [key[0]]})
+
+    parts = described.where("bucket >= 0").select("bucket", "part")
+    made = parts.groupBy("bucket").applyInPandas(merge, "bucket int").toPandas()
+    fill_gaps(shelf, buckets, made["bucket"], level=np.zeros(0, np.uint8))
+    frequencies = Frequencies(shelf, buckets)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # copies within a task are sent once; the memory of what was sent is bounded, as this only saves work
         hashes, sent = WordHashes(), set()
         for batch in batches:
             out = []
-            for s in shingle_sets(batch["text"].tolist(), k, hashes):
-                if len(s) and (i := set_hash(s)) not in sent:
-                    out.append((i, len(s), _prefix(s, level, ORDERS[0], percent).view(np.int64)))
-                    sent.add(i)
+            for sets in shingle_sets(batch["text"].tolist(), k, hashes):
+                for s, level in zip(sets, frequencies.levels(sets)):
+                    if len(s) and (i := set_hash(s)) not in sent:
+                        tokens, level = _prefix(s, level, ORDERS[0], percent)
+                        # what occurs in one text only is shared with none
+                        if len(tokens := tokens[level > 0]):
+                            out.append((i, len(s), tokens.view(np.int64)))
+                        sent.add(i)
             if len(sent) > 1_000_000:
                 sent.clear()
             if out:
@@ -136,10 +196,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
         hashes = WordHashes()
         for batch in batches:
             texts = batch["text"][wanted.has(batch["key"].to_numpy())].tolist()
-            sets = [s for s in shingle_sets(texts, k, hashes) if len(s)]
-            if sets:
-                other = {f"prefix{o}": [_prefix(s, level, salt, percent).astype(np.int32) for s in sets] for o, salt in enumerate(ORDERS[1:])}
-                yield pd.DataFrame({"set_id": [set_hash(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]} | other)
+            for block in shingle_sets(texts, k, hashes):
+                kept = [(s, level) for s, level in zip(block, frequencies.levels(block)) if len(s)]
+                if kept:
+                    other = {f"prefix{o}": [_prefix(s, level, salt, percent)[0].astype(np.int32) for s, level in kept] for o, salt in enumerate(ORDERS[1:])}
+                    yield pd.DataFrame({"set_id": [set_hash(s) for s, _ in kept], "tokens": [s.view(np.int64) for s, _ in kept]} | other)
 
     extra = "".join(f", prefix{o} array<int>" for o in range(len(ORDERS) - 1))
     sets = rows.select(F.xxhash64("id").alias("key"), "text").mapInPandas(whole, f"set_id long, tokens array<bigint>{extra}")

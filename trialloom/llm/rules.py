@@ -91,31 +91,34 @@ def expected_path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2.0 * (math.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
 
 
-def _tree(x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
-    feature, split, left, length = [], [], [], []
-    todo = [(np.arange(len(x)), 0)]
-    feature.append(-1), split.append(0.0), left.append(0), length.append(0.0)
-    for at, (rows, level) in enumerate(todo):
-        low, high = (x[rows].min(0), x[rows].max(0)) if len(rows) else (np.zeros(x.shape[1]),) * 2
+def _tree(x: np.ndarray, box: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    feature, split, left, length = [-1], [0.0], [0], [0.0]
+    todo = [(np.arange(len(x)), box, 0)]
+    for at, (rows, (low, high), level) in enumerate(todo):
         wide = np.flatnonzero(high > low)
         if level >= depth or len(rows) < 2 or not len(wide):
             length[at] = level + expected_path(len(rows))
             continue
-        feature[at] = int(rng.choice(wide))
-        split[at] = float(rng.uniform(low[feature[at]], high[feature[at]]))
+        f = feature[at] = int(rng.choice(wide))
+        split[at] = float(rng.uniform(low[f], high[f]))
         left[at] = len(todo)
-        right = x[rows, feature[at]] >= split[at]
-        todo += [(rows[~right], level + 1), (rows[right], level + 1)]
+        right = x[rows, f] >= split[at]
+        below, above = np.array([low, high]), np.array([low, high])
+        below[1, f] = above[0, f] = split[at]
+        todo += [(rows[~right], below, level + 1), (rows[right], above, level + 1)]
         for _ in range(2):
             feature.append(-1), split.append(0.0), left.append(0), length.append(0.0)
     return tuple(np.array(a) for a in (feature, split, left, length))
 
 
-def grow(x: np.ndarray, trees: int = 150, sample: int = 256, seed: int = 7) -> Forest:
+def grow(x: np.ndarray, box: np.ndarray | None = None, trees: int = 150, sample: int = 256, seed: int = 7) -> Forest:
+    """Trees over samples of ``x``. Splits are drawn over ``box`` (lowest and highest values, of ``x`` by default) and its
+    parts, so a region that holds no sample is a leaf near the root even where the sample does not vary at all."""
+    box = np.array([x.min(0), x.max(0)]) if box is None else box
     rng = np.random.default_rng(seed)
     sample = min(sample, len(x))
     depth = max(1, math.ceil(math.log2(max(2, sample))))
-    return Forest(tuple(_tree(x[rng.choice(len(x), sample, replace=False)], depth, rng) for _ in range(trees)) if sample else (), sample)
+    return Forest(tuple(_tree(x[rng.choice(len(x), sample, replace=False)], box, depth, rng) for _ in range(trees)) if sample else (), sample)
 
 
 def apply_rules(
@@ -129,9 +132,9 @@ def apply_rules(
 ) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, the base counts, ``anomaly``, ``base_failed`` and ``kept``.
 
-    The forest grows on at most ``fit_rows`` labelled documents that pass the base rules (the first by hash of their id);
-    the labels have no part in that. The threshold is taken over all labelled rows that pass the base rules: the anomaly
-    that splits them best, but never one that would lose more than ``lost`` of the good ones. Without labelled rows every
+    The forest grows on at most ``fit_rows`` good labelled documents that pass the base rules (the first by hash of their
+    id), with splits over the range of all labelled ones. The threshold is taken over all labelled rows that pass the base rules: the anomaly
+    that splits them best, but never one that would lose more than ``lost`` of the good ones. Without good examples every
     row that passes the base rules is kept. Null texts count as empty; repeated rows and null ids are judged like any
     other; an empty table gives no rows. Other columns are not read.
     """
@@ -147,10 +150,11 @@ def apply_rules(
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label).alias("label"))
     rows = materialise(rows, "statistics")
     passed = rows.where(~F.col("base_failed")).join(known, "doc_id").select("doc_id", "x", "label")
-    some = passed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).toPandas()
-    if not len(some):
+    good = passed.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).toPandas()
+    if not len(good):
         return rows.select("doc_id", *BASE, F.lit(0.0).alias("anomaly"), "base_failed", (~F.col("base_failed")).alias("kept"))
-    forest = grow(np.stack(some["x"].to_numpy()))
+    ends = passed.agg(*[f(F.col("x")[k]).alias(f"{f.__name__}{k}") for f in (F.min, F.max) for k in range(len(STATISTICS))]).first()
+    forest = grow(np.stack(good["x"].to_numpy()), np.array(ends, dtype=float).reshape(2, -1))
 
     @F.pandas_udf("double")
     def anomaly(x: pd.Series) -> pd.Series:

@@ -8,6 +8,7 @@ from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from trialloom.operators.models.optimise import batched_quadratic, nelder_mead
 from trialloom.functions.tails import beta_tail, chi_square_1df_tail, f_upper, t_two_sided
 from trialloom.operators.features import composite_index, group_flag, with_zscores
 from trialloom.operators.models.design import Design, crossed, design_frame, main
@@ -84,8 +85,11 @@ def test_mixed_linear_matches_dense_likelihood(data):
 def laplace(columns, theta):
     """Dense penalised fit and Laplace criterion of the logistic model."""
     inst, course, strata, a, x, y, b = columns
-    X = np.column_stack([np.ones(len(b)), a, x])
-    Z = np.column_stack([(g[:, None] == np.unique(g)[None, :]) * t for g, t in zip((inst, course, strata), theta)])
+    return dense_laplace(np.column_stack([np.ones(len(b)), a, x]), (inst, course, strata), b, theta)
+
+
+def dense_laplace(X, groups, b, theta):
+    Z = np.column_stack([(g[:, None] == np.unique(g)[None, :]) * t for g, t in zip(groups, theta)])
     D = np.column_stack([X, Z])
     P = np.diag([0.0] * X.shape[1] + [1.0] * Z.shape[1])
     g = np.zeros(D.shape[1])
@@ -103,7 +107,7 @@ def laplace(columns, theta):
 
 def test_mixed_logistic_matches_dense_fit(data):
     df, columns = data
-    fit = fit_logistic(df, "b", DESIGN, GROUPS, rounds=6)
+    fit = fit_logistic(df, "b", DESIGN, GROUPS)
     value, beta, errors = laplace(columns, fit.theta)
     assert fit.criterion == pytest.approx(value, abs=2e-3)
     assert fit.estimates == pytest.approx(beta, abs=2e-3)
@@ -115,6 +119,34 @@ def test_mixed_logistic_matches_dense_fit(data):
             assert laplace(columns, moved)[0] >= value - 5e-3
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.3, 1.0, 2.6, 5.0])
+def test_logistic_search_reaches_every_spread(spark, spread):
+    rng = np.random.default_rng(int(spread * 10) + 1)
+    g = np.repeat(np.arange(40), 60)
+    a = rng.integers(0, 2, len(g))
+    b = (rng.random(len(g)) < 1 / (1 + np.exp(-(0.4 * a - 0.2 + spread * rng.standard_normal(40)[g])))).astype(int)
+    df = spark.createDataFrame(list(zip(g.tolist(), a.tolist(), b.tolist())), "g int, a int, b int")
+    fit = fit_logistic(df, "b", Design.of(main("a")), ["g"])
+    assert fit.converged
+    X = np.column_stack([np.ones(len(b)), a])
+    value, beta, errors = dense_laplace(X, (g,), b, fit.theta)
+    assert fit.criterion == pytest.approx(value, abs=2e-3)
+    assert fit.estimates == pytest.approx(beta, abs=2e-3) and fit.std_errors == pytest.approx(errors, rel=2e-2)
+    t = float(fit.theta[0])
+    for other in (0.0, 0.5 * t, 0.9 * t, 1.1 * t, 2 * t, t + 0.1, abs(t - 0.1)):
+        assert dense_laplace(X, (g,), b, [other])[0] >= value - 5e-3
+
+
+def test_search_grows_and_reports():
+    point, value, done = batched_quadratic(lambda ps: [float(((p - 7) ** 2).sum()) for p in ps], [0.3, 0.3, 0.3], 0.25)
+    assert done and value < 1e-4 and np.abs(point - 7).max() < 0.01
+    point, _, done = batched_quadratic(lambda ps: [float((p + 1).sum()) for p in ps], [0.3], 0.25)
+    assert done and point[0] < 1e-3
+    assert not batched_quadratic(lambda ps: [-float(p.sum()) for p in ps], [0.3], 0.25, rounds=8)[2]
+    assert nelder_mead(lambda x: float(((x - 2) ** 2).sum()), [0.5, 0.5])[2]
+    assert not nelder_mead(lambda x: float(((x - 2) ** 2).sum()), [0.5, 0.5], rounds=3)[2]
+
+
 def test_family_choice(spark):
     df = spark.createDataFrame([(1, 0.5, 1), (0, 1.0, None), (1, 0.0, 0)], "b int, x double, gap int")
     assert [is_binary(df, c) for c in ("b", "x", "gap")] == [True, False, False]

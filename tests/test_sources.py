@@ -48,7 +48,12 @@ SURVEY = {
                         "Flow": [
                             {
                                 "Type": "Branch", "FlowID": "F3", "BranchLogic": logic(term("plans", "EqualTo", "2")),
-                                "Flow": [{"Type": "Branch", "FlowID": "F4", "BranchLogic": logic(term("x", "NotEqualTo", 1))}],
+                                "Flow": [
+                                    {
+                                        "Type": "Branch", "FlowID": "F4", "BranchLogic": logic(term("x", "NotEqualTo", 1)),
+                                        "Flow": [{"Type": "Group", "Flow": [{"Type": "Branch", "FlowID": "F6", "BranchLogic": logic(term("deep", "Displayed"))}]}],
+                                    }
+                                ],
                             }
                         ],
                     },
@@ -117,7 +122,7 @@ def test_rules(definitions):
     assert out == sorted(
         [
             ("F2", "q://a", "Displayed", None, None), ("F3", "plans", "EqualTo", "2", None),
-            ("F4", "x", "NotEqualTo", "1", None), ("intent", "q://s/1", "Selected", None, None),
+            ("F4", "x", "NotEqualTo", "1", None), ("F6", "deep", "Displayed", None, None), ("intent", "q://s/1", "Selected", None, None),
             ("intent", "q://s/2", "NotSelected", None, "Or"), ("hours", "q://h/text", "DoesNotContain", "x", None),
         ],
         key=str,
@@ -200,6 +205,18 @@ def test_harmonise(spark):
     assert rows(out, "id", "sex", "pob", "institution") == [(1, 2, None, "MIT"), (3, 1, "z", "Stanford")]
 
 
+def test_harmonise_aligns_codes(spark):
+    out = harmonise(
+        {
+            "Harvard": spark.createDataFrame([(1, 185, 187), (2, 9, None)], "id int, pob int, country int"),
+            "MIT": spark.createDataFrame([(3, 187)], "id int, country int"),
+        },
+        recodes={"Harvard": {"pob_own_codes": {185: 187}}},
+    )
+    got = rows(out, "id", "pob", "pob_own_codes", "institution")
+    assert got == [(1, 187, 187, "Harvard"), (2, None, None, "Harvard"), (3, 187, None, "MIT")]
+
+
 def test_small_frame_is_local(spark):
     schema = spark.createDataFrame([(1, "a")], "i int, s string").schema
     df = small_frame(spark, [(1, None), (2, "b")], schema)

@@ -5,6 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from trialloom.operators.columns import except_for, from_to, sorted_by_level, with_prefix
 from trialloom.operators.crosstab import crosstab_long, crosstab_pct, frequency, to_long, with_midpoint
 from trialloom.operators.describe import activity_profile, country_share, median_interval, numeric_answers
 from trialloom.operators.funnel import STAGES, participant_type, percentile_long, percentile_profile
@@ -29,6 +30,23 @@ def test_crosstab_keeps_declared_levels(spark):
     assert sums == {"x": pytest.approx(1.0), "y": pytest.approx(1.0)}
 
 
+def test_crosstab_labels_may_hold_the_prefix(spark):
+    df = spark.createDataFrame([("a", "x pct_1"), ("a", "pct_")], "r string, c string")
+    long = crosstab_long(df, "r", ["a"], "c", ["x pct_1", "pct_"])
+    assert {r["group_label"] for r in long.collect()} == {"x pct_1", "pct_"}
+
+
+def test_column_choice_and_level_order(spark):
+    df = spark.createDataFrame([("low", 1, 2, 3), ("high", 1, 2, 3), ("?", 1, 2, 3), (None, 1, 2, 3)], "v string, q_a int, q_b int, z int")
+    assert with_prefix(df, "q_", "z") == ["q_a", "q_b", "z"] and from_to(df, "q_a", "z") == ["q_a", "q_b", "z"]
+    assert except_for(df, "v", "z") == ["q_a", "q_b"]
+    for wrong in (lambda: from_to(df, "z", "v"), lambda: except_for(df, "nope")):
+        with pytest.raises(ValueError):
+            wrong()
+    got = [r.v for r in sorted_by_level(df, "v", ["low", "high"], descending=True, then=["v"]).collect()]
+    assert got == ["high", "low", None, "?"]
+
+
 def test_frequency_counts_missing(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "v string")
     assert rows(frequency(df, "v"), "v", "n", "percent") == [("a", 2, 0.5), ("b", 1, 0.25), (None, 1, 0.25)]
@@ -138,8 +156,7 @@ def test_joins(spark):
     right = spark.createDataFrame([("c", "one"), (None, "two"), ("c", "three")], "k string, w string")
     assert rows(natural_left_join(left, right), "i", "w") == [(1, "one"), (1, "three"), (2, "two"), (3, None)]
     unique = spark.createDataFrame([("c", "one")], "k string, w string")
-    for limit in (10, 0):
-        assert rows(attribute_join(left, unique, "k", limit), "i", "w") == [(1, "one"), (2, None), (3, None)]
+    assert rows(attribute_join(left, unique, "k"), "i", "w") == [(1, "one"), (2, None), (3, None)]
 
 
 def test_progress_and_signups(spark):
@@ -149,6 +166,9 @@ def test_progress_and_signups(spark):
     )
     out = rows(course_progress(seen, "learner", "course", "video"), "learner", "course", "used", "items", "progress")
     assert out == [("u", "c", 1, 2, 50.0), ("u", "d", 1, 1, 100.0), ("w", "c", 2, 2, 100.0)]
+    listed = spark.createDataFrame([("c", 8)], "course string, total int")
+    out = rows(course_progress(seen, "learner", "course", "video", listed), "learner", "course", "items", "progress")
+    assert out == [("u", "c", 8, 12.5), ("u", "d", 1, 100.0), ("w", "c", 8, 25.0)]
     exposed = spark.createDataFrame([("u", 10), ("w", 10), ("x", 1)], "learner string, at int")
     starts = spark.createDataFrame([("u", 9), ("u", 11), ("u", 12), ("w", 10)], "learner string, started int")
     out = rows(later_signups(exposed, starts, "learner", "at", "started"), "learner", "later_signups")

@@ -82,6 +82,9 @@ def days_between(later: Column, earlier: Column) -> Column:
 
 
 def md5_of(*parts: Column | str | int) -> Column:
-    """Reproducible hash of the parts; used wherever a random order has to survive task retries."""
+    """Reproducible hash of the parts; used wherever a random order has to survive task retries.
+
+    A NULL part counts as a zero character, so keys that differ only in which part is NULL hash differently.
+    """
     cols = [F.lit(p) if isinstance(p, int) else as_col(p) for p in parts]
-    return F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))
+    return F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in cols]))

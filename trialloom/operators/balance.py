@@ -57,20 +57,19 @@ def adjust_p(df: DataFrame, p: str = "p_value", by: Sequence[str] = (), tie_brea
     Expects one row per test. Families are as large as the number of strata, not of learners.
     """
     family = Window.partitionBy(*(by or [F.lit(0)]))
-    ascending = family.orderBy(F.col(p), *tie_break)
-    known = df.filter(F.col(p).isNotNull())
-    ranked = known.withColumns({"_m": F.count(F.lit(1)).over(family), "_i": F.row_number().over(ascending)})
+    ascending = family.orderBy(F.col(p).asc_nulls_last(), *tie_break)
+    # one pass over all tests: those without a p-value sort last, are not counted and get none
+    known = F.col(p).isNotNull()
+    ranked = df.withColumns({"_m": F.count(p).over(family), "_i": F.row_number().over(ascending)})
     upto = ascending.rowsBetween(Window.unboundedPreceding, 0)
     onward = ascending.rowsBetween(0, Window.unboundedFollowing)
     one = F.lit(1.0)
-    adjusted = ranked.withColumns(
+    holm = F.when(known, F.least(one, (F.col("_m") - F.col("_i") + 1) * F.col(p)))
+    bh = F.when(known, F.least(one, F.col("_m") / F.col("_i") * F.col(p)))
+    return ranked.withColumns(
         {
-            "p_bonferroni": F.least(one, F.col("_m") * F.col(p)),
-            "p_holm": F.max(F.least(one, (F.col("_m") - F.col("_i") + 1) * F.col(p))).over(upto),
-            "p_bh": F.min(F.least(one, F.col("_m") / F.col("_i") * F.col(p))).over(onward),
+            "p_bonferroni": F.when(known, F.least(one, F.col("_m") * F.col(p))),
+            "p_holm": F.when(known, F.max(holm).over(upto)),
+            "p_bh": F.when(known, F.min(bh).over(onward)),
         }
     ).drop("_m", "_i")
-    untested = df.filter(F.col(p).isNull()).withColumns(
-        {c: F.lit(None).cast("double") for c in ("p_bonferroni", "p_holm", "p_bh")}
-    )
-    return adjusted.unionByName(untested)

@@ -50,7 +50,7 @@ def crosstab_long(
     """The same table as ``(row, ordinal, group_label, pct)``."""
     wide = crosstab_pct(df, row, row_levels, col, col_levels)
     long = wide.unpivot([row, "ordinal"], [f"pct_{c}" for c in col_levels], "group_label", "pct")
-    return long.withColumn("group_label", F.substring_index("group_label", "pct_", -1))
+    return long.withColumn("group_label", F.substr("group_label", F.lit(len("pct_") + 1)))
 
 
 def frequency(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:

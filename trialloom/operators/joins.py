@@ -5,12 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from trialloom.functions.nulls import join_same
 
-SMALL_TABLE_ROWS = 100_000
-
 
 def natural_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Left join on all shared columns; NULL keys match each other and duplicate right keys multiply rows."""
@@ -18,11 +15,6 @@ def natural_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str] | N
     return join_same(left, right, on)
 
 
-def attribute_join(facts: DataFrame, attributes: DataFrame, key: str, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Add the columns of an attribute table.
-
-    The table is broadcast after its size has been checked; a larger one takes the shuffled join.
-    """
-    small = attributes.limit(max_rows + 1).count() <= max_rows
-    right = F.broadcast(attributes) if small else attributes
-    return facts.join(right, key, "left")
+def attribute_join(facts: DataFrame, attributes: DataFrame, key: str) -> DataFrame:
+    """Add the columns of an attribute table; adaptive execution broadcasts it if its size allows."""
+    return facts.join(attributes, key, "left")

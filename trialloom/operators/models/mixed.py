@@ -28,7 +28,10 @@ MAX_LEVELS = 2_000
 
 @dataclass
 class MixedFit:
-    """Fixed effects with standard errors, and the spread of each random intercept."""
+    """Fixed effects with standard errors, and the spread of each random intercept.
+
+    ``converged`` is false where a search or an inner loop ended on its guard; such a fit must not be used for tests.
+    """
 
     terms: list[str]
     estimates: np.ndarray
@@ -40,6 +43,7 @@ class MixedFit:
     family: str
     dropped: list[str] = field(default_factory=list)
     theta: np.ndarray | None = None
+    converged: bool = True
 
     def table(self, spark, model: str, outcome: str, sample: str) -> DataFrame:
         z = self.estimates / self.std_errors
@@ -53,6 +57,8 @@ class MixedFit:
         ]
         if self.sigma is not None:
             rows.append((model, outcome, sample, self.family, "sd(residual)", self.sigma, *([float("nan")] * 3)))
+        if not self.converged:
+            rows.append((model, outcome, sample, self.family, "(not converged)", *([float("nan")] * 4)))
         return result_frame(spark, rows)
 
 
@@ -125,7 +131,7 @@ def solve_linear(sums: CellSums, groups: Sequence[str], names: Sequence[str]) ->
         logs = 2 * (np.log(np.diag(left)).sum() + np.log(np.diag(right)).sum())
         return float(logs + (n - p) * (1 + math.log(2 * math.pi * r2 / (n - p))))
 
-    theta, value = nelder_mead(deviance, [0.5] * len(groups))
+    theta, value, converged = nelder_mead(deviance, [0.5] * len(groups))
     _, right, cb, r2 = pieces(theta)
     beta = np.linalg.solve(right.T, cb)
     inverse = np.linalg.inv(right @ right.T)
@@ -209,7 +215,7 @@ def _weighted_pass(patterns: DataFrame, x: list[str], codes: list[str], sizes: l
 
 
 def fit_logistic(
-    df: DataFrame, outcome: str, design: Design, groups: Sequence[str], inner: int = 12, rounds: int = 5
+    df: DataFrame, outcome: str, design: Design, groups: Sequence[str], inner: int = 60
 ) -> MixedFit:
     """Logistic fit whose outer search is over the random-intercept spreads only.
 
@@ -238,6 +244,7 @@ def fit_logistic(
     x = [x_all[i] for i in kept]
     warm = {"beta": start[[0, *(i + 1 for i in kept)]], "b": np.zeros(q), "value": math.inf}
     last: dict[tuple, tuple] = {}
+    unfinished: set[tuple] = set()
 
     def deviances(thetas: list[np.ndarray], tolerance: float = 1e-5) -> list[float]:
         states = [(warm["beta"].copy(), warm["b"].copy()) for _ in thetas]
@@ -269,13 +276,15 @@ def fit_logistic(
             open_ = still
             if not open_:
                 break
+        else:
+            unfinished.update(tuple(thetas[k]) for k in open_)
         for k, theta in enumerate(thetas):
             last[tuple(theta)] = solved[k]
             if values[k] < warm["value"]:
                 warm.update(beta=solved[k][0], b=solved[k][1], value=values[k])
         return values
 
-    theta, _ = batched_quadratic(deviances, [0.3] * len(groups), 0.25, rounds)
+    theta, _, converged = batched_quadratic(deviances, [0.3] * len(groups), 0.25)
     value = deviances([theta], 1e-10)[0]
     beta, _, right = last[tuple(theta)]
     inverse = np.linalg.inv(right @ right.T)
@@ -291,6 +300,7 @@ def fit_logistic(
         "binomial",
         [design.names[i] for i in range(len(x_all)) if i not in kept],
         theta,
+        converged and tuple(theta) not in unfinished,
     )
 
 

@@ -8,8 +8,11 @@ from itertools import combinations
 import numpy as np
 
 
-def nelder_mead(f: Callable[[np.ndarray], float], start: Sequence[float], step: float = 0.5, rounds: int = 400):
-    """Simplex search over the non-negative orthant (points are reflected into it)."""
+def nelder_mead(f: Callable[[np.ndarray], float], start: Sequence[float], step: float = 0.5, rounds: int = 4000):
+    """Simplex search over the non-negative orthant (points are reflected into it).
+
+    Returns the point, its value and whether the simplex has contracted to it.
+    """
     g = lambda x: f(np.abs(x))
     points = [np.array(start, dtype=float)]
     for i in range(len(start)):
@@ -21,7 +24,7 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: Sequence[float], step:
         if abs(simplex[-1][0] - simplex[0][0]) < 1e-10 * (1 + abs(simplex[0][0])) and max(
             np.abs(x - simplex[0][1]).max() for _, x in simplex
         ) < 1e-7:
-            break
+            return np.abs(simplex[0][1]), simplex[0][0], True
         worst = simplex[-1][1]
         centre = np.mean([x for _, x in simplex[:-1]], axis=0)
         trial = centre + (centre - worst)
@@ -43,22 +46,29 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: Sequence[float], step:
                     (g(x), x) for x in (best + 0.5 * (x - best) for _, x in simplex[1:])
                 ]
         simplex.sort(key=lambda fx: fx[0])
-    return np.abs(simplex[0][1]), simplex[0][0]
+    return np.abs(simplex[0][1]), simplex[0][0], False
 
 
 def batched_quadratic(
-    f: Callable[[list[np.ndarray]], list[float]], start: Sequence[float], radius: float, rounds: int = 6
-):
-    """Trust-region search that asks for a whole batch of values at a time.
+    f: Callable[[list[np.ndarray]], list[float]],
+    start: Sequence[float],
+    radius: float,
+    smallest: float = 2e-3,
+    tolerance: float = 1e-6,
+    rounds: int = 60,
+) -> tuple[np.ndarray, float, bool]:
+    """Trust-region search over the non-negative orthant that asks for a whole batch of values at a time.
 
-    Each round takes a star of points around the current centre, fits a quadratic to the values near the best
-    point and centres the next, smaller star on its minimum; made for functions where a batch costs about as
-    much as one value. Ends at the best point seen.
+    Each round takes a star of points around the centre; made for functions where a batch costs about as much as one
+    value. If the best point lies on the star's edge the star moves there and grows; only when it lies inside is a
+    quadratic fitted, its minimum taken as the next centre, and the star shrunk. Ends when the star is smaller than
+    ``smallest`` of the centre and the last interior step gained less than ``tolerance``. Returns the best point, its
+    value and whether it ended so; ``rounds`` guards against a function without a minimum.
     """
     centre = best = np.array(start, dtype=float)
     value = np.inf
     k = len(best)
-    known: list[tuple[float, np.ndarray]] = []
+    known: dict[tuple, float] = {}
     for _ in range(rounds):
         star = [centre]
         for i in range(k):
@@ -71,15 +81,23 @@ def batched_quadratic(
             p[i] += radius
             p[j] += radius
             star.append(p)
-        known += list(zip(f(star), star))
-        value, best = min(known, key=lambda vp: vp[0])
-        near = [(v, p) for v, p in known if np.abs(p - best).max() <= 2.01 * radius]
+        new = [p for p in {tuple(p): p for p in star}.values() if tuple(p) not in known]
+        known.update(zip([tuple(p) for p in new], f(new)))
+        before = value
+        value, best = min((known[tuple(p)], tuple(p)) for p in [*star, best] if tuple(p) in known)
+        best = np.array(best)
+        if np.abs(best - centre).max() > 0.5 * radius:
+            centre, radius = best, 2 * radius
+            continue
+        if radius < smallest * (1.0 + np.abs(best).max()) and before - value < tolerance * (1.0 + abs(value)):
+            return best, value, True
+        near = [(v, np.array(p)) for p, v in known.items() if np.abs(np.array(p) - best).max() <= 2.01 * radius]
         features = np.array([_quadratic_row(p - best) for _, p in near])
         fit = np.linalg.lstsq(features, np.array([v for v, _ in near]), rcond=None)[0]
-        jump = _quadratic_step(fit, best, radius)
+        jump = _quadratic_step(fit, best, radius / 2)
         centre = best if jump is None else jump
         radius /= 3.0
-    return best, value
+    return best, value, False
 
 
 def _quadratic_row(d: np.ndarray) -> list[float]:

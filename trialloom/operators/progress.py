@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 from trialloom.functions.nulls import join_same
 
 
-def course_progress(watched: DataFrame, learner: str, course: str, item: str) -> DataFrame:
-    """Distinct items a learner used, in percent of the course's distinct items.
-
-    Repeats are removed map-side first; both counts then come from the deduplicated triples.
+def course_progress(
+    watched: DataFrame, learner: str, course: str, item: str, catalogue: DataFrame | None = None, total: str = "total"
+) -> DataFrame:
+    """Distinct items a learner used, in percent of the course's items.
+
+    ``catalogue`` gives the number of items of each course (one row each) in ``total``; without it, or for a course it
+    does not list, items that nobody used cannot be counted and the distinct items used by anyone are taken. Repeats
+    are removed map-side first; both counts then come from the deduplicated triples.
     """
     used = watched.select(learner, course, item).filter(F.col(item).isNotNull()).distinct()
     totals = used.select(course, item).distinct().groupBy(course).agg(F.count(F.lit(1)).alias("items"))
+    if catalogue is not None:
+        listed = catalogue.select(F.col(course).alias("_course"), F.col(total).alias("_listed"))
+        totals = totals.join(listed, F.col(course).eqNullSafe(F.col("_course")), "left")
+        totals = totals.select(course, F.coalesce("_listed", "items").alias("items"))
     mine = used.groupBy(learner, course).agg(F.count(F.lit(1)).alias("used"))
     joined = join_same(mine, totals, [course])
     return joined.withColumn("progress", F.col("used") * 100.0 / F.col("items"))

@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialloom.functions.nulls import flag, member
@@ -17,6 +17,7 @@ from trialloom.operators.describe import condition_descriptives
 from trialloom.operators.exposure import ExposureSpec, assigned, exposure_flags
 from trialloom.operators.features import group_flag
 from trialloom.operators.models.design import Design, crossed, main
+from trialloom.operators.models.linear import result_frame
 from trialloom.operators.models.mixed import fit_linear, fit_logistic
 from trialloom.operators.samples import SampleRegistry, planned_samples
 from trialloom.session import materialise
@@ -109,8 +110,11 @@ def fit_grid(
         "sample",
     )
     binary = _binary_outcomes(stored, fits)
+    enough = _enough_rows(stored, fits, models, groups)
 
     def one(spec: FitSpec) -> DataFrame:
+        if not enough[spec]:
+            return _without_fit(df.sparkSession, spec)
         rows = stored.filter(F.col(f"`in_{spec.sample}`"))
         fit = (fit_logistic if binary[spec] else fit_linear)(rows, spec.outcome, models[spec.model], groups)
         return fit.table(df.sparkSession, spec.model, spec.outcome, spec.sample)
@@ -132,6 +136,22 @@ def _binary_outcomes(stored: DataFrame, fits: Sequence[FitSpec]) -> dict[FitSpec
     return {f: shares[f"b{i}"] == 1 for i, f in enumerate(fits)}
 
 
+def _enough_rows(stored: DataFrame, fits: Sequence[FitSpec], models: dict[str, Design], groups: Sequence[str]) -> dict[FitSpec, bool]:
+    """For all fits in one pass: has the sample more complete rows than the model has coefficients and spreads?"""
+
+    def complete(f: FitSpec) -> Column:
+        known = [F.col(c).isNotNull() for c in dict.fromkeys([f.outcome, *models[f.model].columns, *groups])]
+        return F.count_if(reduce(lambda a, b: a & b, known, F.col(f"`in_{f.sample}`")))
+
+    found = stored.agg(*[complete(f).alias(f"n{i}") for i, f in enumerate(fits)]).first()
+    return {f: found[f"n{i}"] > len(models[f.model].terms) + len(groups) + 1 for i, f in enumerate(fits)}
+
+
+def _without_fit(spark: SparkSession, spec: FitSpec) -> DataFrame:
+    """The row that stands for a fit whose sample is too small."""
+    return result_frame(spark, [(spec.model, spec.outcome, spec.sample, "none", "(too few complete rows)", *[float("nan")] * 4)])
+
+
 def descriptives(df: DataFrame) -> DataFrame:
     """Twelve statistics per condition on the baseline sample."""
     return condition_descriptives(df.filter(F.col("itt_sample")))

@@ -130,8 +130,15 @@ def q_harmonise(spark, sf_dir):
             F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("gender_pcs"), F.col("c_mktsegment").alias("country")
         ),
         "Stanford": suppliers.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("sex")),
+        # asks for the country twice, with codes of its own in ``pob``, and numbers the sexes the other way round
+        "Harvard": customers.select(
+            F.col("c_custkey").alias("id"),
+            F.col("c_nationkey").alias("pob"),
+            F.col("c_mktsegment").alias("country"),
+            (F.col("c_custkey") % 4).cast("int").alias("gender_pcs"),
+        ),
     }
-    return harmonise(sources)
+    return harmonise(sources, recodes={"Harvard": {"sex": {1: 2, 2: 1}}})
 
 
 def q_catalogue_dates(spark, sf_dir):
@@ -248,8 +255,9 @@ SELECT "group", count(*) AS n, count(*) FILTER (a) AS hours_missing, count(*) FI
        count(*) FILTER (c) AS comp_not_numeric, count(*) FILTER (d) AS goal_too_short, count(*) FILTER (e) AS choices_off,
        count(*) FILTER (a OR b OR c OR d OR e) AS any_failure FROM f GROUP BY 1""",
     "harmonise": """
-SELECT c_custkey AS id, c_nationkey AS sex, c_mktsegment AS pob, 'MIT' AS institution FROM customer
-UNION ALL SELECT s_suppkey, s_nationkey, NULL, 'Stanford' FROM supplier""",
+SELECT c_custkey AS id, c_nationkey AS sex, c_mktsegment AS pob, 'MIT' AS institution, NULL::BIGINT AS pob_own_codes FROM customer
+UNION ALL SELECT s_suppkey, s_nationkey, NULL, 'Stanford', NULL FROM supplier
+UNION ALL SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN 2 WHEN 2 THEN 1 END, c_mktsegment, 'Harvard', c_nationkey FROM customer""",
     "catalogue_dates": """
 SELECT o_orderstatus AS school, o_orderkey AS number, concat('The "', o_orderpriority, '", a course') AS name,
        CASE WHEN o_orderpriority <> '1-URGENT'

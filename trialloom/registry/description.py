@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trialloom.functions.nulls import proportion, strict_mean
 from trialloom.functions.scalars import course_of_run, round_even, token
+from trialloom.operators.columns import by_level, except_for, from_to, with_prefix
 from trialloom.operators.crosstab import crosstab_long, crosstab_pct, frequency, to_long, with_midpoint
 from trialloom.operators.describe import activity_profile, median_interval, numeric_answers, summarise
 from trialloom.operators.likert import (
@@ -19,6 +21,22 @@ GROUPS = {1: "blended", 2: "comparison"}
 ROWS_PER_CELL = 2_000
 
 
+def q_level_order(spark, sf_dir):
+    """Priorities from the highest level down; one of them is outside the scale and comes last."""
+    counts = read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    place = Window.orderBy(by_level("o_orderpriority", PRIORITIES[:-1], descending=True), "o_orderpriority")
+    return counts.withColumn("place", F.row_number().over(place))
+
+
+def q_column_choice(spark, sf_dir):
+    """Columns by place, by prefix and by exclusion."""
+    lines = read(spark, sf_dir, "lineitem")
+    measures = [c for c in from_to(lines, "l_quantity", "l_tax") if c not in with_prefix(lines, "l_disc")]
+    kept = lines.select(*measures, *with_prefix(lines, "l_return", "l_line"))
+    kept = kept.select(*except_for(kept, "l_linenumber"))
+    return kept.groupBy(*with_prefix(kept, "l_return", "l_line")).agg(*[F.round(F.sum(c), 2).alias(c) for c in measures])
+
+
 def rounded(df, columns, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -206,6 +224,8 @@ def q_round_even(spark, sf_dir):
 
 
 QUERIES = {
+    "level_order": q_level_order,
+    "column_choice": q_column_choice,
     "measures": q_measures,
     "median_ci": q_median_ci,
     "median_ties": q_median_ties,
@@ -288,6 +308,15 @@ FROM ({SURVEY_SQL}) WHERE group_name <> 'Residential' AND regexp_matches({c}, '.
 )
 
 ORACLE = {
+    "level_order": """
+SELECT o_orderpriority, count(*) AS n,
+       row_number() OVER (ORDER BY CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '4-NOT SPECIFIED' THEN 2 WHEN '3-MEDIUM' THEN 3
+                                   WHEN '2-HIGH' THEN 4 END DESC NULLS LAST, o_orderpriority) AS place
+FROM orders GROUP BY o_orderpriority""",
+    "column_choice": """
+SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS l_quantity, round(sum(l_extendedprice), 2) AS l_extendedprice,
+       round(sum(l_tax), 2) AS l_tax
+FROM lineitem GROUP BY 1, 2""",
     "measures": """
 WITH l AS (SELECT *, nullif(l_tax, 0.0) AS tax, CASE WHEN l_linenumber < 8 THEN l_extendedprice END AS price
            FROM lineitem)

@@ -20,7 +20,8 @@ from trialloom.registry.activity import CLASSIFIED, classified
 from trialloom.registry.assignment import erfc_sqrt
 from trialloom.registry.inputs import LEARNERS_SQL, learners, read
 
-SPEC = ExposureSpec(id="row_id", tie_break=("row_id",))
+# ids repeat, so the exposure history decides who is in a sample; the gap is short enough for the spread of the stand-in times
+SPEC = ExposureSpec(tie_break=("row_id",), clean_gap_days=3)
 
 
 def experiment(spark, sf_dir):
@@ -151,9 +152,9 @@ def q_mixed_logistic(spark, sf_dir):
 
 
 def q_plan_grid(spark, sf_dir):
-    """Every planned model on the self-reported outcome, each on its own sample."""
+    """Every planned model on every planned outcome, each on its own sample."""
     prepared = confirmatory.prepare(experiment(spark, sf_dir), SPEC)
-    return rounded_fit(confirmatory.fit_grid(prepared, confirmatory.planned_fits(["likely_complete_1"])), 3)
+    return rounded_fit(confirmatory.fit_grid(prepared, confirmatory.planned_fits()), 3)
 
 
 def q_plan_descriptives(spark, sf_dir):
@@ -167,7 +168,7 @@ def q_plan_balance(spark, sf_dir):
 
 
 def q_sparse_hte(spark, sf_dir):
-    out = heterogeneous_effects(experiment(spark, sf_dir), spec=SPEC, chains=2, draws=150, burn=100)
+    out = heterogeneous_effects(experiment(spark, sf_dir), spec=SPEC)
     return out.withColumns({c: F.round(c, 6) for c in ("median", "low", "high", "share_nonzero")})
 
 
@@ -220,7 +221,10 @@ outc AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.2::DOUBLE + 0.03::
                  + 0.02::DOUBLE * (course % 7) + 0.05::DOUBLE * coalesce(affirm, 0) * (1 - "highHDI")
                  + 0.025::DOUBLE * plans_short + 0.05::DOUBLE * plans_long + 0.3::DOUBLE * noise)) AS y_prob FROM ind),
 exper AS (SELECT *, CAST(coin < y_prob AS INT) AS cert_basic, 100 * y_prob AS course_progress FROM outc),
-itt AS (SELECT * FROM exper WHERE webservice_call_complete = 1 AND affirm IS NOT NULL
+expo AS (SELECT *, row_number() OVER w AS nth, lead(survey_timestamp) OVER w AS next_at FROM exper
+         WHERE webservice_call_complete = 1 AND affirm IS NOT NULL AND plans IS NOT NULL
+         WINDOW w AS (PARTITION BY id ORDER BY survey_timestamp NULLS LAST, row_id)),
+itt AS (SELECT * FROM expo WHERE nth = 1 AND (next_at IS NULL OR (next_at - survey_timestamp) / 86400.0 > 3)
         AND (survey_timestamp - first_activity_timestamp) / 3600.0 < 1
         AND ((course_selfpaced AND (1487145600 - first_activity_timestamp) / 86400.0 > 29)
              OR (NOT course_selfpaced AND (first_activity_timestamp - course_start_timestamp) / 86400.0 < 15)))

@@ -36,7 +36,7 @@ exposures AS (
          epoch_us(ts) / 1e6 - value * 60 AS first_activity_at,
          epoch_us(date_trunc('week', ts)::TIMESTAMP) / 1e6 AS course_start_at,
          CASE WHEN event_type <> 'purchase' THEN event_type IN ('view', 'click') END AS self_paced
-  FROM events WHERE event_type <> 'error' AND value < 200),
+  FROM events WHERE event_type <> 'error'),
 flagged AS (
   SELECT *, row_number() OVER w = 1 AS first_exposure,
          count(*) OVER (PARTITION BY user_id) AS num_exposures,
@@ -59,10 +59,10 @@ itt AS (
 
 
 def event_exposures(spark, sf_dir):
-    """Event rows in the shape the exposure operators read; service failures and spoiled rows are out."""
-    events = read(spark, sf_dir, "events").filter((F.col("event_type") != "error") & (F.col("value") < 200))
+    """All event rows in the shape the exposure operators read; an error is a failed assignment call, which is excluded."""
+    events = read(spark, sf_dir, "events")
     exposed = epoch_micros("ts") / F.lit(1e6)
-    return events.select(
+    shaped = events.select(
         "event_id",
         "user_id",
         "event_type",
@@ -71,7 +71,9 @@ def event_exposures(spark, sf_dir):
         (exposed - F.col("value") * 60).alias("first_activity_at"),
         (F.unix_micros(F.date_trunc("week", F.col("ts").cast("timestamp"))) / F.lit(1e6)).alias("course_start_at"),
         F.when(F.col("event_type") != "purchase", F.col("event_type").isin("view", "click")).alias("self_paced"),
+        (F.col("event_type") != "error").cast("int").alias("call_complete"),
     )
+    return assigned(shaped, "call_complete", ())
 
 
 def q_exposure_flags(spark, sf_dir):
@@ -121,7 +123,9 @@ def q_sample_rows(spark, sf_dir):
 
 def q_progress(spark, sf_dir):
     items = read(spark, sf_dir, "lineitem")
-    out = course_progress(items, "l_suppkey", "l_returnflag", "l_partkey")
+    # the catalogue lists every part for one flag, also those that were never returned
+    catalogue = read(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("total")).select(F.lit("R").alias("l_returnflag"), "total")
+    out = course_progress(items, "l_suppkey", "l_returnflag", "l_partkey", catalogue)
     return out.withColumn("progress", F.round("progress", 6))
 
 
@@ -236,7 +240,8 @@ FROM e""",
 SELECT l_suppkey, count(*) AS n, max(l_quantity) AS max_quantity FROM lineitem
 WHERE l_quantity > 10 AND l_returnflag = 'R' GROUP BY l_suppkey""",
     "progress": """
-WITH t AS (SELECT l_returnflag, count(DISTINCT l_partkey) AS items FROM lineitem GROUP BY 1),
+WITH t AS (SELECT l_returnflag, CASE WHEN l_returnflag = 'R' THEN (SELECT count(*) FROM part) ELSE count(DISTINCT l_partkey) END AS items
+           FROM lineitem GROUP BY 1),
 m AS (SELECT l_suppkey, l_returnflag, count(DISTINCT l_partkey) AS used FROM lineitem GROUP BY 1, 2)
 SELECT l_suppkey, m.l_returnflag, used, items, round(used * 100.0::DOUBLE / items, 6) AS progress
 FROM m JOIN t ON m.l_returnflag = t.l_returnflag""",

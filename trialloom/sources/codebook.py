@@ -151,18 +151,18 @@ def custom_validation_rules(definitions: DataFrame, column: str = "definition")
 
 
 def _flow_nodes(definitions: DataFrame, column: str) -> DataFrame:
-    """Flow nodes of all three nesting levels."""
-    top = (
+    """Flow nodes of all nesting levels: one more level is walked until no node has children."""
+    level = (
         elements(definitions, column)
         .filter(F.col("kind") == "FL")
         .select("survey", F.explode(F.try_variant_get("element", "$.Payload.Flow", "array<variant>")).alias("node"))
     )
-
-    def children(level: DataFrame) -> DataFrame:
-        return level.select("survey", F.explode(F.try_variant_get("node", "$.Flow", "array<variant>")).alias("node"))
-
-    second = children(top)
-    return top.unionByName(second).unionByName(children(second))
+    found = level
+    while True:
+        level = level.select("survey", F.explode(F.try_variant_get("node", "$.Flow", "array<variant>")).alias("node"))
+        if level.isEmpty():
+            return found
+        found = found.unionByName(level)
 
 
 def branch_rules(definitions: DataFrame, column: str = "definition") -> DataFrame:

@@ -155,6 +155,7 @@ def test_blocks():
     block = passages.Block(offsets, np.concatenate(parts), 50)
     prints = block.fingerprints()
     assert (prints[100:151] == prints[303 : 303 + 51]).all()
+    assert len(np.unique(prints[:251])) == 251
     alone = [passages.Block(np.array([0, len(p)]), p, 50).bands() for p in parts]
     for band, (first, last, place, key) in enumerate(block.bands()):
         who = block.text_of(first)

@@ -66,7 +66,7 @@ def test_jaccard_components_are_exact(spark, near_texts, k, percent):
 
 
 def test_jaccard_leftovers_are_compared(spark, near_texts, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LEADER_ROUNDS", 1)
+    monkeypatch.setattr(ngram_join, "LEADER_ROUNDS", 1)  # more is left for the last comparison
     got = ngram_join.jaccard_components(frame(spark, near_texts)).orderBy("doc_id").collect()
     assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == brute_components(near_texts, 3, 90)
 
@@ -80,6 +80,20 @@ def test_jaccard_awkward(spark):
     assert ngram_join.jaccard_components(empty(spark)).count() == 0
 
 
+def test_sketch_bounds_the_overlap(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for _ in range(200):
+        base = rng.integers(0, 1 << 63, int(rng.integers(1, 3000))).astype(np.uint64)
+        x, y = (np.unique(np.concatenate([base[rng.random(len(base)) < q], rng.integers(0, 1 << 63, int(rng.integers(1, 60))).astype(np.uint64)])) for q in (0.97, 0.95))
+        common = len(np.intersect1d(x, y))
+        rows.append((len(x), ngram_join.sketch(x).tolist(), len(y), ngram_join.sketch(y).tolist(), 100 * common >= 80 * (len(x) + len(y) - common)))
+    df = spark.createDataFrame(rows, "n int, p array<long>, m int, q array<long>, linked boolean")
+    may = ngram_join._may_link("n", "p", "m", "q", 80)
+    assert df.where("linked").count() > 20 and df.where("linked").where(~may).count() == 0
+    assert df.where(~may).count() > 20
+
+
 def test_components(spark):
     links = [("b", "a"), ("c", "b"), ("d", "c"), ("x", "y"), ("q", "q"), ("z", "y"), ("x", "y")]
     got = components.connected(spark.createDataFrame(links, "a string, b string")).collect()

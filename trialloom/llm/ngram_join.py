@@ -8,21 +8,23 @@ each, under every order; the first order finds candidates, the others are tested
 is verified on the whole sets.
 
 Links are wanted as components, which saves pairs: in a bucket of sets that share a prefix token, members are first
-compared with one leader only. Whatever is then in the same component needs no more comparisons. Between members of
-different components every pair is compared that the metric still allows (the Jaccard distance obeys the triangle
-inequality, and distances from the leaders are known), so no link between different components is missed.
+compared with one leader only, the most central one (its shingles are the most frequent), then with another leader in
+each bucket. Whatever is then in the same component needs no more comparisons. Between members of different components
+every pair is compared, once, unless a sketch rules it out: a set's shingles mark bits of a short map, and each bit that
+only one of two maps has is a shingle that the other set lacks. So no link between different components is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -38,6 +40,8 @@ from trialloom.session import materialise
 CHUNK = 1_000_000
 #: Salts of the global orders; the first finds candidates, the others filter them.
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B)
+#: 64-bit words of a sketch.
+SKETCH = 16
 LEADER_ROUNDS = 2
 
 
@@ -173,17 +177,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
             for sets in shingle_sets(batch["text"].tolist(), k, hashes):
                 for s, level in zip(sets, frequencies.levels(sets)):
                     if len(s) and (i := set_hash(s)) not in sent:
+                        core = float(level.mean())
                         tokens, level = _prefix(s, level, ORDERS[0], percent)
                         # what occurs in one text only is shared with none
                         if len(tokens := tokens[level > 0]):
-                            out.append((i, len(s), tokens.view(np.int64)))
+                            out.append((i, len(s), core, np.sort(tokens.view(np.int64))))
                         sent.add(i)
             if len(sent) > 1_000_000:
                 sent.clear()
             if out:
-                yield pd.DataFrame(out, columns=["set_id", "n", "tokens"])
+                yield pd.DataFrame(out, columns=["set_id", "n", "core", "tokens"])
 
-    index = rows.select("text").mapInPandas(prefixes, "set_id long, n int, tokens array<bigint>").select("set_id", "n", F.explode("tokens").alias("token"))
+    index = rows.select("text").mapInPandas(prefixes, "set_id long, n int, core double, tokens array<bigint>").select("set_id", "n", "core", F.explode("tokens").alias("token"))
     index = materialise(index, "prefixes")
     shared = index.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("token")
     index = materialise(index.join(shared, "token").distinct(), "shared-prefixes")
@@ -200,10 +205,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
                 kept = [(s, level) for s, level in zip(block, frequencies.levels(block)) if len(s)]
                 if kept:
                     other = {f"prefix{o}": [_prefix(s, level, salt, percent)[0].astype(np.int32) for s, level in kept] for o, salt in enumerate(ORDERS[1:])}
-                    yield pd.DataFrame({"set_id": [set_hash(s) for s, _ in kept], "tokens": [s.view(np.int64) for s, _ in kept]} | other)
+                    own = {"set_id": [set_hash(s) for s, _ in kept], "tokens": [s.view(np.int64) for s, _ in kept], "bits": [sketch(s) for s, _ in kept]}
+                    yield pd.DataFrame(own | other)
 
     extra = "".join(f", prefix{o} array<int>" for o in range(len(ORDERS) - 1))
-    sets = rows.select(F.xxhash64("id").alias("key"), "text").mapInPandas(whole, f"set_id long, tokens array<bigint>{extra}")
+    sets = rows.select(F.xxhash64("id").alias("key"), "text").mapInPandas(whole, f"set_id long, tokens array<bigint>, bits array<bigint>{extra}")
     sets = materialise(sets.dropDuplicates(["set_id"]), "candidates")
 
     near = _compare(index, sets, percent)
@@ -224,6 +230,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, common, total, linked) of candidate pairs; ``common`` is null where a prefix filter has ruled the pair out."""
+    sets = sets.drop("bits")
     left = sets.select(*[F.col(c).alias(f"a_{c}") for c in sets.columns])
     right = sets.select(*[F.col(c).alias(f"b_{c}") for c in sets.columns])
     both = pairs.join(left, F.col("a") == F.col("a_set_id")).join(right, F.col("b") == F.col("b_set_id"))
@@ -244,9 +251,10 @@ def _compare(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tested = None
     members = index.withColumn("component", F.col("set_id"))
     for turn in range(LEADER_ROUNDS):
-        # the leader of a bucket: another one in each round, and one per bucket whatever its size
-        rank = F.struct(F.xxhash64(F.lit(turn), "set_id").alias("h"), F.col("set_id").alias("leader"), F.col("component").alias("lead"), F.col("n").alias("m"))
-        leaders = members.groupBy("token").agg(F.min(rank).alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
+        # one leader per bucket, whatever its size: the most central member, later a central one drawn for the bucket
+        draw = F.pmod(F.xxhash64(F.lit(turn), "token", "set_id"), F.lit(1000)) / 1000 if turn else F.lit(0.0)
+        rank = F.struct((F.col("core") * (1 + 0.3 * draw)).alias("r"), F.col("set_id").alias("leader"), F.col("component").alias("lead"), F.col("n").alias("m"))
+        leaders = members.groupBy("token").agg(F.max(rank).alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
         leaders = leaders.where("low <> high").select("token", "first.leader", "first.lead", "first.m")
         pairs = (
             members.join(leaders, "token")
@@ -267,20 +275,43 @@ def _compare(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # what is left: pairs of different components. One of the two is outside the bucket's largest component
     sizes = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    outer = members.join(main, "token").where("component <> main").select("token", "set_id", "component", "n")
-    inner = members.join(main.select("token"), "token").select("token", F.col("set_id").alias("other"), F.col("component").alias("theirs"), F.col("n").alias("m"))
+    open_ = materialise(members.join(main, "token"), "open")
+    # each pair in the bucket of its first common token only, told by the tokens that both have in open buckets
+    tokens = open_.groupBy("set_id").agg(F.array_sort(F.collect_list("token")).alias("tokens")).join(sets.select("set_id", "bits"), "set_id")
+    outer = open_.where("component <> main").join(tokens, "set_id").select("token", "set_id", "component", "n", "tokens", "bits")
+    inner = open_.join(tokens, "set_id").select("token", F.col("set_id").alias("other"), F.col("component").alias("theirs"), F.col("n").alias("m"), F.col("tokens").alias("others"), F.col("bits").alias("their_bits"), "main")
+    first = F.get(F.array_intersect("tokens", "others"), F.lit(0)) == F.col("token")
+    # two outer members meet twice in a bucket: once is enough
+    once = (F.col("theirs") == F.col("main")) | (F.col("set_id") < F.col("other"))
     pairs = (
         outer.join(inner, "token")
-        .where("component <> theirs")
-        .where(sized)
+        .where(F.expr("component <> theirs") & F.expr(sized) & once & _may_link("n", "bits", "m", "their_bits", percent) & first)
         .select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"))
         .distinct()
         .join(tested, ["a", "b"], "left_anti")
-        .withColumn("measure", F.lit(False))
     )
+    pairs = materialise(pairs.withColumn("measure", F.lit(False)), "pairs")
     return tested.select("a", "b", "linked").unionAll(materialise(_verify(pairs, sets, percent), "rest").select("a", "b", "linked"))
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """A map with a bit for each shingle's hash value modulo its length."""
+    marked = np.zeros(64 * SKETCH, dtype=bool)
+    marked[(found & np.uint64(64 * SKETCH - 1)).astype(np.int64)] = True
+    return np.packbits(marked).view(np.int64)
+
+
+def _may_link(n: str, mine: str, m: str, theirs: str, percent: int) -> Column:
+    """Whether two sizes and sketches leave room for enough common shingles."""
+
+    def lacking(x: str, y: str) -> Column:
+        bits = [F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(SKETCH)]
+        return reduce(lambda p, q: p + q, bits)
+
+    most = F.least(F.col(n) - lacking(mine, theirs), F.col(m) - lacking(theirs, mine))
+    return 100 * most >= percent * (F.col(n) + F.col(m) - most)
+
+
 def _grouped(index: DataFrame, tested: DataFrame) -> DataFrame:
     groups = connected(tested.where("linked")).withColumnRenamed("node", "set_id")
     return index.join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

@@ -52,8 +52,8 @@ def source_targets(rows: DataFrame, weights: Sequence[int], share: float, most:
 
 
 def _rank(u: Column, p: Column) -> Column:
-    """The Pareto rank, brought to the range 0 to 1."""
-    q = (u / (1 - u)) / (p / (1 - p))
+    """The Pareto rank, brought to the range 0 to 1; null for p = 0."""
+    q = F.try_divide(u / (1 - u), p / (1 - p))
     return q / (1 + q)
 
 

@@ -162,7 +162,9 @@ def fit_lexicon(
 
         def flush():
             keys = list({*hits[0], *hits[1]})
-            yield pd.DataFrame({"entry": keys} | {f"{name}{y}": [c[y][k] for k in keys] for name, c in (("hits", hits), ("docs", seen)) for y in (0, 1)})
+            if not keys:
+                return
+            yield pd.DataFrame({"entry": pd.Series(keys, dtype=object)} | {f"{name}{y}": [c[y][k] for k in keys] for name, c in (("hits", hits), ("docs", seen)) for y in (0, 1)})
             for c in (*hits, *seen):
                 c.clear()
 

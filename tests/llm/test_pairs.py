@@ -206,3 +206,19 @@ def test_repeated_passages(spark):
     assert any(r.exact for r in got) and any(not r.exact for r in got)
     assert passages.repeated_passages(empty(spark)).count() == 0
     assert {r.doc_id for r in passages.repeated_passages(awkward(spark)).collect()} <= {8, None, 0, 1}
+
+
+def test_hot_key_loses_no_near_passage(spark):
+    """60 pairs of near copies that all share one key; many have no other key in common."""
+    pool = prose(1000, 20_000, 10**6).split()
+    value = passages.shingles(passages.WordHashes()([w.encode() for w in pool]))
+    least = [int(np.argmin(passages.mix(value ^ np.uint64(0x9E3779B97F4A7C15 * (2 * f + 1) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(1))) for f in passages.BANDS[0]]
+    line = [w for i in least for w in pool[i : i + passages.SHINGLE]]
+    docs = []
+    for c in range(60):
+        passage = [*prose(2000 + c, 20, 10**6).split(), *line, *prose(3000 + c, 20, 10**6).split()]
+        near = [*passage]
+        near[10 if c % 2 else 38] = "changed"
+        docs += [" ".join([prose(4000 + 4 * c + 2 * i, 40, 10**6), *w, prose(4001 + 4 * c + 2 * i, 40, 10**6)]) for i, w in enumerate((passage, near))]
+    got = passages.repeated_passages(frame(spark, docs)).collect()
+    assert {tuple(sorted((r.doc_id, r.other_id))) for r in got} == {(2 * c, 2 * c + 1) for c in range(60)}

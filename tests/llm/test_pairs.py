@@ -71,6 +71,20 @@ def test_jaccard_leftovers_are_compared(spark, near_texts, monkeypatch):
     assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == brute_components(near_texts, 3, 90)
 
 
+def brute_links(texts, k, percent):
+    sets = [frozenset(shingle_set(t, k)) for t in texts]
+    near = {x: sum(x != y and 100 * len(x & y) >= percent * len(x | y) for y in set(sets) if x and y) for x in set(sets)}
+    return [near[x] for x in sets]
+
+
+@pytest.mark.parametrize("block", [256, 4])
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_links_are_all_counted(spark, near_texts, k, percent, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block, raising=False)
+    got = ngram_join.jaccard_components(frame(spark, near_texts), k, percent).orderBy("doc_id").collect()
+    assert [r.n_links for r in got] == brute_links(near_texts, k, percent)
+
+
 def test_jaccard_awkward(spark):
     got = ngram_join.jaccard_components(awkward(spark)).collect()
     assert len(got) == 15

@@ -12,6 +12,10 @@ compared with one leader only, the most central one (its shingles are the most f
 each bucket. Whatever is then in the same component needs no more comparisons. Between members of different components
 every pair is compared, once, unless a sketch rules it out: a set's shingles mark bits of a short map, and each bit that
 only one of two maps has is a shingle that the other set lacks. So no link between different components is missed.
+
+The links of a set are counted last, when components are known: those within its component, as no others are left. The
+sets of a component are dealt over blocks by hash, and a task compares all sets of two blocks, so a large component is
+work for many tasks and no pair ever becomes a row.
 """
 
 from __future__ import annotations
@@ -43,6 +47,9 @@ ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B)
 #: 64-bit words of a sketch.
 SKETCH = 16
 LEADER_ROUNDS = 2
+#: Sets, and shingles of sets, in a block of a component whose links are counted.
+BLOCK_SETS = 256
+BLOCK_SHINGLES = 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -114,8 +121,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``n_links`` and ``component_id``.
 
     Two rows link when the Jaccard similarity of their sets is ``percent`` / 100 or more; ``component_id`` is the
-    smallest id that links lead to. ``n_links`` counts the verified links of the row's set with different sets, among
-    those that had to be compared. Texts without words have an empty set, no link and their own id as component.
+    smallest id that links lead to. ``n_links`` counts the different sets that the row's set links with; copies of a set
+    count once. Texts without words have an empty set, no link and their own id as component.
     Repeated rows are copies of each other; a null id is never the smallest, and a component of null ids only has a
     null id. An empty table gives no rows. Other columns are not read.
     """
@@ -215,7 +222,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     near = _compare(index, sets, percent)
     links = near.where("linked").select("a", "b")
     groups = connected(links)
-    counts = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links"))
+    counts = _count_links(groups.withColumnRenamed("node", "set_id"), sets, percent)
     ids = found.where("n > 0").groupBy("set_id").agg(F.min("id").alias("id"))
     ids = ids.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     lowest = ids.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -294,6 +301,63 @@ def _compare(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return tested.select("a", "b", "linked").unionAll(materialise(_verify(pairs, sets, percent), "rest").select("a", "b", "linked"))
 
 
+def link_counts(first: np.ndarray, sets: list[np.ndarray], alone: bool, percent: int) -> np.ndarray:
+    """How many sets each set links with: those marked ``first`` with those that are not, or all with all if there is one block ``alone``."""
+    sizes = np.array([len(s) for s in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    left = np.arange(len(sets)) if alone else np.flatnonzero(first)
+    right = left if alone else np.flatnonzero(~first)
+    counts = np.zeros(len(sets), dtype=np.int64)
+    if not len(left) or not len(right):
+        return counts
+    theirs = np.concatenate([own[r] for r in right])
+    starts = np.concatenate([[0], np.cumsum(sizes[right])[:-1]])
+    mark = np.zeros(int(flat.max()) + 1, dtype=np.int32)
+    for l in left.tolist():
+        mark[own[l]] = 1
+        common = np.add.reduceat(mark[theirs], starts).astype(np.int64)
+        mark[own[l]] = 0
+        linked = (100 * common >= percent * (sizes[l] + sizes[right] - common)) & (right != l)
+        counts[l] += linked.sum()
+        if not alone:
+            counts[right] += linked
+    return counts
+
+
+def _count_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(set_id, n_links) of all sets of ``groups``, from every pair within a component."""
+    sizes = groups.join(sets.select("set_id", F.size("tokens").alias("n")), "set_id").groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    sizes = sizes.select("component", F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = groups.join(sizes, "component").withColumn("own", F.expr("cast(pmod(xxhash64(set_id), blocks) as int)"))
+    dealt = own.join(sets.select("set_id", "tokens"), "set_id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "set_id", "tokens")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+
+        def flush() -> pd.DataFrame:
+            own, ids, found = zip(*held)
+            links = link_counts(np.array(own) == now[1], list(found), now[1] == now[2], percent)
+            return pd.DataFrame({"set_id": ids, "links": links})
+
+        for batch in batches:
+            out = []
+            for component, x, y, *row in batch.itertuples(index=False, name=None):
+                if (component, x, y) != now:
+                    if held:
+                        out.append(flush())
+                    now, held = (component, x, y), []
+                held.append(row)
+            if out:
+                yield pd.concat(out)
+        if held:
+            yield flush()
+
+    dealt = dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
+    return dealt.mapInPandas(count, "set_id long, links long").groupBy("set_id").agg(F.sum("links").alias("n_links"))
+
+
 def sketch(found: np.ndarray) -> np.ndarray:
     """A map with a bit for each shingle's hash value modulo its length."""
     marked = np.zeros(64 * SKETCH, dtype=bool)

@@ -232,6 +232,15 @@ def test_entropy_counts():
             assert {i for a, b in secrets.dense_spans(run, rule) for i in range(a, b)} == marked
 
 
+def test_secrets_of_one_case():
+    rng = random.Random(4)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        keys = ["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(300)]
+        assert sum(bool(secrets.find_secrets(f"see {k} there")[1]) for k in keys) >= 280
+    for text in ("internationalization2024", "z" * 26 + "1", "section" * 5 + "7"):
+        assert secrets.find_secrets(text)[1] == [], text
+
+
 def test_secrets(spark):
     key = "AKIA" + "Q7XW2N5ZP8RT4LVB"
     cases = {

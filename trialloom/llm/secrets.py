@@ -3,7 +3,7 @@
 Candidate strings are long runs of token characters. Within one, each character class is looked at on its own: over
 every maximal run of the class a window slides by one character at a time, its Shannon entropy kept up by incremental
 counts. Windows above the class's limit that mix kinds of characters, as keys do and words do not, are joined into
-spans. Spans that meet an allow-listed string (identifiers, dates, well-known digests, placeholders) are suppressed.
+spans. Keys in one case mix two kinds only, so their classes ask for longer windows and more entropy. Spans that meet an allow-listed string (identifiers, dates, well-known digests, placeholders) are suppressed.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ class CharClass:
 CLASSES = (
     CharClass("hex digits", r"[0-9A-Fa-f]{20,}", 20, 3.0, 2),
     CharClass("letters and digits", r"[A-Za-z0-9]{20,}", 20, 3.6, 3),
+    CharClass("lower-case letters and digits", r"[a-z0-9]{24,}", 24, 3.8, 2),
+    CharClass("upper-case letters and digits", r"[A-Z0-9]{24,}", 24, 3.8, 2),
     CharClass("base64", r"[A-Za-z0-9+/=]{24,}", 24, 3.9, 3),
     CharClass("url-safe base64", r"[A-Za-z0-9_-]{24,}", 24, 3.9, 3),
 )
@@ -67,7 +69,7 @@ def _kind_of(c: str) -> int:
 def dense_spans(run: str, rule: CharClass) -> list[tuple[int, int]]:
     """Spans of a run made of windows above the limit. Each step changes the counts of two characters only."""
     w = rule.width
-    part = [0.0] + [c * math.log2(c) for c in range(1, w + 1)]
+    part = [0.0] + [c * math.log2(c) for c in range(1, w + 2)]  # the new character is counted before the old one leaves
     counts: dict[str, int] = {}
     mixed, kinds, total, spans = [0] * 4, 0, 0.0, []
     for at, new in enumerate(run):

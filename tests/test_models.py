@@ -277,3 +277,12 @@ def test_planned_fits_recover_known_effects(spark):
     assert abs(table["simple", "plans_long"]["estimate"] - 5.0) < 4 * table["simple", "plans_long"]["std_error"]
     # the sample holds one value of intent_assess, so the term is gone
     assert ("plan.original", "intent_assess") not in table and ("plan.original", "hours") in table
+
+
+def test_sparse_lines_takes_the_default_draws(spark, monkeypatch):
+    from trialloom.registry import models
+
+    seen = []
+    monkeypatch.setattr(models, "posterior_draws", lambda *a, **b: seen.append(b) or spark.createDataFrame([("x", 1.0)], "term string, value double"))
+    models.q_sparse_lines(spark, "/root/testdata/sf0.001")
+    assert not {"chains", "draws", "burn"} & set(seen[0])

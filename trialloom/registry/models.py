@@ -184,8 +184,7 @@ def q_sparse_lines(spark, sf_dir):
         "l_returnflag",
     )
     draws = posterior_draws(
-        lines, "price", ["returned", "filled"], ["l_quantity", "l_discount", "l_tax"], ["l_linenumber"],
-        chains=2, draws=200, burn=100,
+        lines, "price", ["returned", "filled"], ["l_quantity", "l_discount", "l_tax"], ["l_linenumber"]
     )
     out = posterior_summary(draws)
     return out.withColumns({c: F.round(c, 4) for c in ("median", "low", "high", "share_nonzero")})

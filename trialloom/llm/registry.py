@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.llm import decontaminate, kneser_ney, mixing, ngram_join, passages, quality, rules, secrets, sharding, toxicity
+from trialloom.llm import bpe, decontaminate, kneser_ney, mixing, ngram_join, passages, quality, rules, secrets, sharding, toxicity
 from trialloom.llm.text import held_out, table
 
 SHARDS = 24
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +58,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", "law", F.col("shard").cast("int"), "slot", F.col("grown_shard").cast("int"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_decontamination, op3_passages, op4_toxicity, op5_mixing, op6_rules, op7_scoring, op8_jaccard_join, op9_secrets, op10_sharding)
+    f.__name__: f for f in (op1_quality, op2_decontamination, op3_passages, op4_toxicity, op5_mixing, op6_rules, op7_scoring, op8_jaccard_join, op9_secrets, op10_sharding, op13_bpe)
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

@@ -78,7 +78,8 @@ def map_texts(rows: DataFrame, start: Callable[[], Callable[[list], dict]], adde
         for batch in batches:
             made = work(batch.column(text_col).to_pylist())
             same = [batch.column(f.name).cast(arrow.field(f.name).type) for f in kept]
-            yield pa.RecordBatch.from_arrays([*same, *[pa.array(made[f.name], f.type) for f in list(arrow)[len(kept) :]]], schema=arrow)
+            new = [made[f.name].cast(f.type) if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in list(arrow)[len(kept) :]]
+            yield pa.RecordBatch.from_arrays([*same, *new], schema=arrow)
 
     return rows.mapInArrow(run, schema)
 

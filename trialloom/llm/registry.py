@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.llm import bpe, decontaminate, kneser_ney, mixing, ngram_join, passages, quality, rules, secrets, sharding, toxicity
-from trialloom.llm.text import held_out, table
+from trialloom.llm import bpe, decontaminate, kneser_ney, mixing, ngram_join, passages, quality, rules, runs, secrets, sharding, toxicity
+from trialloom.llm.text import held_out, table, words
 
 SHARDS = 24
 TOKENIZER = "word_bpe_49k.json"
@@ -58,6 +58,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", "law", F.col("shard").cast("int"), "slot", F.col("grown_shard").cast("int"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    planted = docs.select("doc_id", runs.with_repeated_tail(F.col("doc_id"), F.col("text"), words("text")).alias("text"))
+    return runs.digests(runs.periodic_runs(planted))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,7 +71,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_decontamination, op3_passages, op4_toxicity, op5_mixing, op6_rules, op7_scoring, op8_jaccard_join, op9_secrets, op10_sharding, op13_bpe)
+    f.__name__: f for f in (op1_quality, op2_decontamination, op3_passages, op4_toxicity, op5_mixing, op6_rules, op7_scoring, op8_jaccard_join, op9_secrets, op10_sharding, op11_runs, op13_bpe)
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -85,6 +91,29 @@ near AS (SELECT doc_id, item_id, shift, total,
          FROM lines),
 good AS (SELECT doc_id, item_id, shift, max(total) AS total FROM near WHERE inside >= 11 GROUP BY ALL)
 SELECT doc_id, item_id, count(*) AS n_lines, max(total) AS n_matched FROM good GROUP BY doc_id, item_id""",
+    "op11_runs": rf"""
+WITH h AS (SELECT doc_id, {_WORDS} AS ws, row_number() OVER () AS row_id,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS h
+    FROM documents),
+g AS (SELECT row_id, doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS planted, h // 10 AS g FROM h),
+a AS (SELECT *, CASE WHEN planted THEN g % n END AS a FROM g),
+p AS (SELECT *, CASE WHEN planted THEN 1 + (n - a) // (3 + g % 8) END AS p FROM a),
+d AS (SELECT row_id, doc_id, n, CASE WHEN planted
+             THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE ws END AS ws FROM p),
+w AS (SELECT row_id, n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM d),
+eq AS (SELECT x.row_id, x.pos, y.pos - x.pos AS q FROM w x JOIN w y ON x.row_id = y.row_id AND x.w = y.w AND y.pos > x.pos AND 4 * (y.pos - x.pos) <= x.n),
+isl AS (SELECT *, pos - row_number() OVER (PARTITION BY row_id, q ORDER BY pos) AS i FROM eq),
+st AS (SELECT row_id, q, min(pos) AS s, count(*) + q AS len FROM isl GROUP BY row_id, q, i HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT row_id, s, len, min(q) AS q FROM st GROUP BY row_id, s, len),
+per AS (SELECT row_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS txt FROM runs GROUP BY row_id),
+best AS (SELECT r.row_id, r.s, r.len, r.q FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.row_id = r.row_id
+         AND (o.len * r.q > r.len * o.q OR (o.len * r.q = r.len * o.q AND (o.s < r.s OR (o.s = r.s AND o.q < r.q)))))),
+gone AS (SELECT DISTINCT row_id, unnest(range(s + q, s + len)) AS pos FROM runs),
+kept AS (SELECT w.row_id, string_agg(w, ' ' ORDER BY w.pos) AS txt FROM w ANTI JOIN gone ON w.row_id = gone.row_id AND w.pos = gone.pos GROUP BY w.row_id)
+SELECT d.doc_id, coalesce(per.n_runs, 0) AS n_runs, best.s AS start, best.len AS length, best.q AS period,
+       (1000 * best.len) // best.q AS exponent_milli, sha256(coalesce(per.txt, '')) AS runs_sha256, sha256(coalesce(kept.txt, '')) AS collapsed_sha256
+FROM d LEFT JOIN per USING (row_id) LEFT JOIN best USING (row_id) LEFT JOIN kept USING (row_id)""",
     "op5_mixing": f"""
 WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size,
                   (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null id') || ':0:' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5)

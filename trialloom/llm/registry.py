@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.llm import bpe, decontaminate, kneser_ney, mixing, ngram_join, passages, quality, rules, runs, secrets, sharding, toxicity
+from trialloom.llm import bpe, collocations, decontaminate, kneser_ney, mixing, ngram_join, passages, quality, rules, runs, secrets, sharding, toxicity
 from trialloom.llm.text import held_out, table, words
 
 SHARDS = 24
@@ -64,6 +64,10 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(planted))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,7 +75,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_decontamination, op3_passages, op4_toxicity, op5_mixing, op6_rules, op7_scoring, op8_jaccard_join, op9_secrets, op10_sharding, op11_runs, op13_bpe)
+    f.__name__: f for f in (op1_quality, op2_decontamination, op3_passages, op4_toxicity, op5_mixing, op6_rules, op7_scoring, op8_jaccard_join, op9_secrets, op10_sharding, op11_runs, op12_collocations, op13_bpe)
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -114,6 +118,32 @@ kept AS (SELECT w.row_id, string_agg(w, ' ' ORDER BY w.pos) AS txt FROM w ANTI J
 SELECT d.doc_id, coalesce(per.n_runs, 0) AS n_runs, best.s AS start, best.len AS length, best.q AS period,
        (1000 * best.len) // best.q AS exponent_milli, sha256(coalesce(per.txt, '')) AS runs_sha256, sha256(coalesce(kept.txt, '')) AS collapsed_sha256
 FROM d LEFT JOIN per USING (row_id) LEFT JOIN best USING (row_id) LEFT JOIN kept USING (row_id)""",
+    "op12_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+                  string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps
+           FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, doc, unnest(ps) AS piece, generate_subscripts(ps, 1) AS pc FROM d),
+w AS (SELECT lang, doc, pc, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+t AS (SELECT lang, doc, pc, unnest(ws) AS w1, generate_subscripts(ws, 1) AS pos FROM w),
+g AS (SELECT lang, w1, lead(w1) OVER x AS w2, lead(w1, 2) OVER x AS w3 FROM t WINDOW x AS (PARTITION BY doc, pc ORDER BY pos)),
+n AS (SELECT lang, count(*) AS n FROM g GROUP BY lang),
+f1 AS (SELECT lang, w1, count(*) AS f FROM g GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT c.lang, c.w1, c.w2, c.w3, c.f AS a, x.f AS l1, y.f AS r1, z.f AS l2, u.f AS r2,
+              (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS s1, (1000000::HUGEINT * c.f * c.f) // (z.f::HUGEINT * u.f) AS s2
+       FROM f3 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f2 y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+       JOIN f2 z ON z.lang = c.lang AND z.w1 = c.w1 AND z.w2 = c.w2 JOIN f1 u ON u.lang = c.lang AND u.w1 = c.w3 WHERE c.f >= 10),
+o AS (SELECT lang, w1, w2, max(a) AS over FROM (SELECT lang, w1, w2, a FROM c3 UNION ALL SELECT lang, w2, w3, a FROM c3) GROUP BY ALL),
+c2 AS (SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, c.f AS a, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
+       FROM f2 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w2
+       LEFT JOIN o ON o.lang = c.lang AND o.w1 = c.w1 AND o.w2 = c.w2
+       WHERE c.f >= 10 AND NOT coalesce(100 * o.over >= 50 * c.f, false)),
+a AS (SELECT * FROM c2 UNION ALL
+      SELECT lang, w1 || ' ' || w2 || ' ' || w3, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM c3)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM a) JOIN n USING (lang)
+WHERE rank <= 2000""",
     "op5_mixing": f"""
 WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size,
                   (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null id') || ':0:' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5)

@@ -65,7 +65,8 @@ class Vocabulary:
         self.text = {**{i: t for t, i in model["vocab"].items()}, **{i: t for t, i in self.added.items()}}
         self.id_of = {self._symbols(t): i for t, i in model["vocab"].items()}
         self.size = {i: len(s) for s, i in self.id_of.items()}
-        self.longest = max(self.size.values())
+        #: Every end of every token with the token it is, or -1: what no token ends in is known after a few symbols.
+        self.ends = {s[k:]: -1 for s in self.id_of for k in range(len(s))} | self.id_of
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, merge in enumerate(model["merges"]):
@@ -160,17 +161,20 @@ class TrieEncoder:
     def _last_token(self, symbols: str, n: int, before: list[int]) -> int:
         """The last token of the first ``n`` symbols, given the last tokens of all shorter prefixes."""
         v, stay = self.vocabulary, self.stay
-        find = v.id_of.get
-        for size in range(min(n, v.longest), 0, -1):
-            token = find(symbols[n - size : n])
+        find, found = v.ends.get, []
+        for at in range(n - 1, -1, -1):
+            token = find(symbols[at:n])
             if token is None:
-                continue
-            if size == n:
+                break
+            if token >= 0:
+                found.append((at, token))
+        for at, token in reversed(found):
+            if at == 0:
                 good = self.whole.get(token)
                 if good is None:
                     good = self.whole[token] = v.merged(symbols[:n]) == [token]
             else:
-                pair = (before[n - size], token)
+                pair = (before[at], token)
                 good = stay.get(pair)
                 if good is None:
                     good = stay[pair] = v.apart(*pair)

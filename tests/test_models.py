@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import resource
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from trialloom.operators.models import levels, mixed
 from trialloom.operators.models.optimise import batched_quadratic, nelder_mead
 from trialloom.functions.tails import beta_tail, chi_square_1df_tail, f_upper, t_two_sided
 from trialloom.operators.features import composite_index, group_flag, with_zscores
@@ -137,6 +139,60 @@ def test_logistic_search_reaches_every_spread(spark, spread):
         assert dense_laplace(X, (g,), b, [other])[0] >= value - 5e-3
 
 
+@pytest.mark.parametrize("kind", ["one", "nested", "crossed", "nested and crossed", "nested twice", "crossed thrice", "apart"])
+@pytest.mark.parametrize("fill", [30_000_000, 0])
+def test_elimination_is_the_dense_solution(monkeypatch, kind, fill):
+    monkeypatch.setattr(levels, "FILL_PAIRS", fill)
+    rng = np.random.default_rng(len(kind))
+    n, course = 300, rng.integers(0, 40, 300)
+    codes = {
+        "one": [course], "nested": [course // 8, course], "crossed": [rng.integers(0, 6, n), course],
+        "nested and crossed": [course // 8, course, rng.integers(0, 9, n)], "nested twice": [course // 20, course // 4, course],
+        "crossed thrice": [course % 7, rng.integers(0, 5, n), rng.integers(0, 12, n)], "apart": [course // 20, course // 20],
+    }[kind]
+    sizes = [int(c.max()) + 1 for c in codes]
+    Z = np.column_stack([np.eye(s)[c] for s, c in zip(sizes, codes)])
+    w, X = rng.random(n), rng.normal(size=(n, 4))
+    W = Z.T @ (Z * w[:, None])
+    left, right = np.nonzero(np.triu(W, 1))
+    structure = levels.Structure(sizes, left, right)
+    assert len(structure.dense) == {"crossed": 6, "nested and crossed": 14, "crossed thrice": 12}.get(kind, 0) or fill == 0
+    scale = rng.random(len(W)) * (rng.random(len(W)) < 0.9)
+    R, A = (Z.T @ (X * w[:, None])) * scale[:, None], W * np.outer(scale, scale) + np.eye(len(W))
+    out = levels.eliminate(structure, scale, np.diag(W), W[left, right], R, X.T @ (X * w[:, None]))
+    assert out.fixed == pytest.approx(X.T @ (X * w[:, None]) - R.T @ np.linalg.solve(A, R))
+    assert out.log_det == pytest.approx(np.linalg.slogdet(A)[1])
+    beta = rng.normal(size=3)
+    assert out.back(beta) == pytest.approx(np.linalg.solve(A, R[:, 3] - R[:, :3] @ beta))
+
+
+def test_cut_search_is_reported(data, monkeypatch):
+    df, _ = data
+    assert fit_linear(df, "y", DESIGN, GROUPS).converged
+    monkeypatch.setattr(mixed, "nelder_mead", lambda f, start: nelder_mead(f, start, rounds=1))
+    fit = fit_linear(df, "y", DESIGN, GROUPS)
+    assert not fit.converged
+    assert "(not converged)" in [r["term"] for r in fit.table(df.sparkSession, "m", "y", "s").collect()]
+
+
+def test_many_levels_and_cells(spark):
+    """64,000 cells of 5,000 levels: courses in institutions, crossed with strata."""
+    effect = lambda lane, n: F.expr(f"(pmod(xxhash64({lane}, {n}), 2001) - 1000) / 577.35")
+    rows = spark.range(192_000, numPartitions=8).select(
+        (F.col("id") % 4000).alias("course"), (F.col("id") % 100).alias("inst"),
+        ((F.col("id") / 4000).cast("int") % 16 * 56 + F.col("id") % 56).alias("strata"), (F.xxhash64("id") % 2).alias("a"), "id",
+    )
+    y = 2 + 0.5 * F.col("a") + 0.8 * effect(1, "inst") + 0.6 * effect(2, "course") + 0.4 * effect(3, "strata") + effect(4, "id")
+    rows = rows.withColumn("y", y)
+    assert rows.select("course", "strata").distinct().count() > 60_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    fit = fit_linear(rows, "y", Design.of(main("a")), ["inst", "course", "strata"])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 2_000_000
+    assert fit.converged and fit.estimates[1] == pytest.approx(0.5, abs=0.02)
+    assert fit.sigma == pytest.approx(1, abs=0.02) and fit.group_sd["course"] == pytest.approx(0.6, abs=0.05)
+    assert fit.group_sd["strata"] == pytest.approx(0.4, abs=0.05) and fit.group_sd["inst"] == pytest.approx(0.8, abs=0.2)
+
+
 def test_search_grows_and_reports():
     point, value, done = batched_quadratic(lambda ps: [float(((p - 7) ** 2).sum()) for p in ps], [0.3, 0.3, 0.3], 0.25)
     assert done and value < 1e-4 and np.abs(point - 7).max() < 0.01

@@ -14,24 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CELLS = 50_000
-
-
 @dataclass
-class CellSums:
-    """Per-cell counts and sums, and overall cross products, of centred columns."""
+class ColumnSums:
+    """Row count, means and cross products of centred columns."""
 
-    columns: list[str]
+    rows: float
     means: np.ndarray
-    cells: list[tuple]
-    n: np.ndarray
-    sums: np.ndarray
     products: np.ndarray
 
-    @property
-    def rows(self) -> float:
-        return float(self.n.sum())
-
 
 def cell_totals(df: DataFrame, columns: Sequence[str], cells: Sequence[str] = ()) -> DataFrame:
     """One row per cell: ``n`` and the column sums ``s_<i>``. A cell of any size is combined map-side."""
@@ -56,24 +46,18 @@ def centred_products(df: DataFrame, columns: Sequence[str], means: Sequence[floa
     return centred.agg(*[F.expr(f"sum(_c{i} * _c{j}) AS p_{i}_{j}") for i, j in pairs])
 
 
-def cell_sums(df: DataFrame, columns: Sequence[str], cells: Sequence[str] = (), max_cells: int = MAX_CELLS) -> CellSums:
-    """Bring the per-cell sums and the overall products to the driver in two passes.
+def upper_matrix(row, size: int) -> np.ndarray:
+    """The symmetric matrix of a row's ``p_<i>_<j>``, i <= j."""
+    out = np.zeros((size, size))
+    out[np.triu_indices(size)] = [row[f"p_{i}_{j}"] for i in range(size) for j in range(i, size)]
+    return out + np.triu(out, 1).T
 
-    The number of cells is checked, since only the design keeps it small.
-    """
-    found = cell_totals(df, columns, cells).limit(max_cells + 1).collect()
-    if len(found) > max_cells:
-        raise ValueError(f"more than {max_cells} cells; a random-intercept design has to have fewer levels")
-    p = len(columns)
-    n = np.array([r["n"] for r in found], dtype=float)
-    totals = np.array([[r[f"s_{i}"] for i in range(p)] for r in found], dtype=float).reshape(len(found), p)
-    means = totals.sum(axis=0) / n.sum()
-    upper = centred_products(df, columns, means).first()
-    products = np.zeros((p, p))
-    products[np.triu_indices(p)] = [upper[f"p_{i}_{j}"] for i in range(p) for j in range(i, p)]
-    products = products + np.triu(products, 1).T
-    keys = [tuple(r[c] for c in cells) for r in found]
-    return CellSums(list(columns), means, keys, n, totals - np.outer(n, means), products)
+
+def column_sums(df: DataFrame, columns: Sequence[str]) -> ColumnSums:
+    """Two passes over the rows; one row of sums each reaches the driver."""
+    found = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(columns)]).first()
+    means = np.array([found[f"s_{i}"] for i in range(len(columns))], dtype=float) / found["n"]
+    return ColumnSums(float(found["n"]), means, upper_matrix(centred_products(df, columns, means).first(), len(columns)))
 
 
 def sum_arrays(df: DataFrame, partial) -> dict[int, np.ndarray]:

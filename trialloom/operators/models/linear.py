@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trialloom.functions.tails import f_tail, f_upper, t_tail, t_two_sided
 from trialloom.operators.models.design import Design, complete_rows, design_frame
-from trialloom.operators.models.gram import cell_sums
+from trialloom.operators.models.gram import column_sums
 
 RESULT = (
     "model string, outcome string, sample string, family string, term string, estimate double, "
@@ -97,7 +97,7 @@ def ols(
     rows = complete_rows(df, [outcome, *design.columns])
     frame = design_frame(rows, design, [F.col(outcome).cast("double").alias("_y")])
     x = [f"x{i}" for i in range(len(design.terms))]
-    sums = cell_sums(frame, [*x, "_y"])
+    sums = column_sums(frame, [*x, "_y"])
     p = len(x)
     kept = independent_columns(sums.products[:p, :p])
     xtx, xty, yty = sums.products[np.ix_(kept, kept)], sums.products[kept, p], sums.products[p, p]

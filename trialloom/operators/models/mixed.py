@@ -1,30 +1,32 @@
 """Mixed models with random intercepts, fitted from distributed sums.
 
-The likelihood of a linear model with random intercepts depends on the rows only through sums per
-combination of group levels (Bates, Maechler, Bolker and Walker 2015, J. Stat. Softw. 67(1)): one grouped aggregate is
-the whole data pass. The logistic model repeats a weighted pass over distinct covariate patterns, with the
-fixed effects taken from the penalised weighted least squares step.
+The likelihood of a linear model with random intercepts depends on the rows only through cross products of the fixed
+terms, sums per level and row counts per pair of levels (Bates, Maechler, Bolker and Walker 2015, J. Stat. Softw. 67(1)).
+The logistic model asks for the same sums with weights, again for each step; they are grouped aggregates over the
+distinct covariate patterns. What leaves the cluster grows with the levels and with the pairs of levels that meet.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialloom.functions.nulls import member
 from trialloom.operators.models.design import Design, complete_rows, design_frame, level_codes
-from trialloom.operators.models.gram import MAX_CELLS, CellSums, cell_sums, sum_arrays
+from trialloom.operators.models.gram import centred_products, upper_matrix
+from trialloom.operators.models.levels import Solved, Structure, eliminate, level_totals, pair_totals
 from trialloom.operators.models.linear import independent_columns, result_frame
 from trialloom.operators.models.optimise import batched_quadratic, nelder_mead
 from trialloom.session import materialise
 
-MAX_LEVELS = 2_000
-
 
 @dataclass
 class MixedFit:
@@ -68,83 +70,83 @@ def is_binary(df: DataFrame, outcome: str) -> bool:
     return share == 1
 
 
-class _Penalised:
-    """Blocks of the penalised normal equations for given cross products."""
-
-    def __init__(self, zz: np.ndarray, zx: np.ndarray, xx: np.ndarray, owner: np.ndarray):
-        self.zz, self.zx, self.xx, self.owner = zz, zx, xx, owner
+def _columns(table: pa.Table, names: Sequence[str]) -> np.ndarray:
+    return np.column_stack([table[c].to_numpy() for c in names]).astype(float) if len(table) else np.zeros((0, len(names)))
 
-    def factor(self, theta: np.ndarray):
-        lam = theta[self.owner]
-        left = np.linalg.cholesky(self.zz * np.outer(lam, lam) + np.eye(len(lam)))
-        rzx = np.linalg.solve(left, self.zx * lam[:, None])
-        right = np.linalg.cholesky(self.xx - rzx.T @ rzx)
-        return lam, left, rzx, right
 
+def _solve_fixed(out: Solved) -> tuple[np.ndarray, np.ndarray, float]:
+    """Cholesky factor of the fixed block, its coefficients, and what the fixed terms leave of the last column."""
+    right = np.linalg.cholesky(out.fixed[:-1, :-1])
+    cb = np.linalg.solve(right, out.fixed[:-1, -1])
+    return right, np.linalg.solve(right.T, cb), float(out.fixed[-1, -1] - cb @ cb)
 
-def _level_index(cells: list[tuple]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Column of each cell's level per factor, the factor of each column, and the number of columns."""
-    factors = len(cells[0])
-    columns = np.zeros((len(cells), factors), dtype=int)
-    owner: list[int] = []
-    for f in range(factors):
-        at: dict = {}
-        for i, cell in enumerate(cells):
-            if cell[f] not in at:
-                at[cell[f]] = len(owner)
-                owner.append(f)
-            columns[i, f] = at[cell[f]]
-    return columns, np.array(owner), len(owner)
 
-
-def solve_linear(sums: CellSums, groups: Sequence[str], names: Sequence[str]) -> MixedFit:
-    """REML fit from per-cell sums; the last column of ``sums`` is the outcome, the others the terms."""
-    p_all = len(sums.columns) - 1
+@dataclass
+class LinearSums:
+    """Everything a linear fit needs: per level the row count and the sums of centred columns (the outcome last), the
+    row counts of level pairs, and the overall products of the centred columns."""
+
+    structure: Structure
+    counts: np.ndarray
+    sums: np.ndarray
+    pairs: np.ndarray
+    means: np.ndarray
+    products: np.ndarray
+    rows: float
+
+
+def linear_sums(frame: DataFrame, columns: Sequence[str], groups: Sequence[str]) -> LinearSums:
+    """Three passes of grouped aggregates: levels, pairs of levels, products around the means."""
+    sums = {"n": F.count(F.lit(1)), **{f"s_{i}": F.sum(c) for i, c in enumerate(columns)}}
+    tables = level_totals(frame, groups, sums)
+    pairs = pair_totals(frame, groups, F.count(F.lit(1)))
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in tables])])
+    counts = np.concatenate([t["n"].to_numpy() for t in tables]).astype(float)
+    found = np.concatenate([_columns(t, list(sums)[1:]) for t in tables])
+    rows = counts[: starts[1]].sum()
+    means = found[: starts[1]].sum(axis=0) / rows
+    left, right, shared = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+    for f, g, t in pairs:
+        for at, k in ((left, f), (right, g)):
+            place = pc.index_in(t[groups[k]], tables[k][groups[k]].combine_chunks())
+            at.append(starts[k] + place.to_numpy().astype(int))
+        shared.append(t["w"].to_numpy().astype(float))
+    structure = Structure([len(t) for t in tables], np.concatenate(left), np.concatenate(right))
+    products = upper_matrix(centred_products(frame, columns, means).first(), len(columns))
+    return LinearSums(structure, counts, found - np.outer(counts, means), np.concatenate(shared), means, products, float(rows))
+
+
+def solve_linear(sums: LinearSums, groups: Sequence[str], names: Sequence[str]) -> MixedFit:
+    """REML fit; the last column of ``sums`` is the outcome, the others the terms."""
+    p_all = len(sums.means) - 1
     kept = independent_columns(sums.products[:p_all, :p_all])
-    columns, owner, q = _level_index(sums.cells)
-    zz = np.zeros((q, q))
-    zx = np.zeros((q, len(kept) + 1))
-    zy = np.zeros(q)
-    cell_x = np.column_stack([sums.n, sums.sums[:, kept]])
-    for c, cols in enumerate(columns):
-        zz[np.ix_(cols, cols)] += sums.n[c]
-        zx[cols] += cell_x[c]
-        zy[cols] += sums.sums[c, p_all]
-    n = sums.rows
-    xx = np.zeros((len(kept) + 1, len(kept) + 1))
-    xx[0, 0] = n
-    xx[1:, 1:] = sums.products[np.ix_(kept, kept)]
-    xx[0, 1:] = xx[1:, 0] = sums.sums[:, kept].sum(axis=0)
-    xy = np.array([sums.sums[:, p_all].sum(), *sums.products[kept, p_all]])
-    yy = sums.products[p_all, p_all]
-    system = _Penalised(zz, zx, xx, owner)
-    p = len(xy)
-
-    def pieces(theta):
-        lam, left, rzx, right = system.factor(theta)
-        cu = np.linalg.solve(left, zy * lam)
-        cb = np.linalg.solve(right, xy - rzx.T @ cu)
-        return left, right, cb, max(float(yy - cu @ cu - cb @ cb), 1e-300)
-
-    def deviance(theta):
-        left, right, _, r2 = pieces(theta)
-        logs = 2 * (np.log(np.diag(left)).sum() + np.log(np.diag(right)).sum())
-        return float(logs + (n - p) * (1 + math.log(2 * math.pi * r2 / (n - p))))
+    used = [*kept, p_all]
+    levels = np.column_stack([sums.counts, sums.sums[:, used]])
+    fixed = np.zeros((len(used) + 1, len(used) + 1))
+    fixed[0, 0] = sums.rows
+    fixed[1:, 1:] = sums.products[np.ix_(used, used)]
+    n, p = sums.rows, len(kept) + 1
+
+    def pieces(theta: np.ndarray):
+        scale = np.asarray(theta)[sums.structure.owner]
+        out = eliminate(sums.structure, scale, sums.counts, sums.pairs, levels * scale[:, None], fixed)
+        right, beta, r2 = _solve_fixed(out)
+        return out.log_det, right, beta, max(r2, 1e-300)
+
+    def deviance(theta: np.ndarray) -> float:
+        log_det, right, _, r2 = pieces(theta)
+        return float(log_det + 2 * np.log(np.diag(right)).sum() + (n - p) * (1 + math.log(2 * math.pi * r2 / (n - p))))
 
     theta, value, converged = nelder_mead(deviance, [0.5] * len(groups))
-    _, right, cb, r2 = pieces(theta)
-    beta = np.linalg.solve(right.T, cb)
+    _, right, beta, r2 = pieces(theta)
     inverse = np.linalg.inv(right @ right.T)
     s2 = r2 / (n - p)
-    centre = sums.means[kept]
-    shift = np.array([1.0, *-centre])
-    estimates = np.array([shift @ beta + sums.means[p_all], *beta[1:]])
-    errors = np.sqrt(s2 * np.array([shift @ inverse @ shift, *np.diag(inverse)[1:]]))
+    shift = np.array([1.0, *-sums.means[kept]])
     sigma = math.sqrt(s2)
     return MixedFit(
         ["(Intercept)", *(names[i] for i in kept)],
-        estimates,
-        errors,
+        np.array([shift @ beta + sums.means[p_all], *beta[1:]]),
+        np.sqrt(s2 * np.array([shift @ inverse @ shift, *np.diag(inverse)[1:]])),
         {g: float(t * sigma) for g, t in zip(groups, theta)},
         sigma,
         value,
@@ -152,14 +154,16 @@ def solve_linear(sums: CellSums, groups: Sequence[str], names: Sequence[str]) ->
         "gaussian",
         [names[i] for i in range(p_all) if i not in kept],
         theta,
+        converged,
     )
 
 
 def fit_linear(df: DataFrame, outcome: str, design: Design, groups: Sequence[str]) -> MixedFit:
+    """Linear fit. The driver holds 8 bytes for every level and column, and 24 for every pair of levels that meet."""
     rows = complete_rows(df, [outcome, *design.columns, *groups])
     frame = design_frame(rows, design, [F.col(outcome).cast("double").alias("_y"), *groups])
     x = [f"x{i}" for i in range(len(design.terms))]
-    return solve_linear(cell_sums(frame, [*x, "_y"], groups, MAX_CELLS), groups, design.names)
+    return solve_linear(linear_sums(frame, [*x, "_y"], groups), groups, design.names)
 
 
 def covariate_patterns(frame: DataFrame, x: Sequence[str], outcome: str, groups: Sequence[str]) -> DataFrame:
@@ -170,56 +174,131 @@ def covariate_patterns(frame: DataFrame, x: Sequence[str], outcome: str, groups:
 
 
 def group_levels(df: DataFrame, group: str) -> list:
-    found = [r[0] for r in df.select(group).distinct().limit(MAX_LEVELS + 1).collect()]
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"{group} has more than {MAX_LEVELS} levels")
-    return sorted(found)
-
-
-def _weighted_pass(patterns: DataFrame, x: list[str], codes: list[str], sizes: list[int], points: list[tuple]):
-    """For every (beta, u-scaled intercepts) point: log likelihood, gradient and weighted cross products."""
-    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
-    q, p = int(starts[-1]), len(x) + 1
-
-    def partial(batches):
-        totals = [np.zeros(1 + p + q + p * p + q * p + q * q) for _ in points]
-        for batch in batches:
-            xs = np.column_stack([np.ones(len(batch)), batch[x].to_numpy(dtype=float)])
-            at = batch[codes].to_numpy(dtype=int) + starts[:-1]
-            n, s = batch["_n"].to_numpy(), batch["_s"].to_numpy()
-            for total, (beta, b) in zip(totals, points):
-                eta = xs @ beta + b[at].sum(axis=1)
-                mu = 1.0 / (1.0 + np.exp(-np.clip(eta, -35, 35)))
-                w, r = n * mu * (1 - mu), s - n * mu
-                wx = xs * w[:, None]
-                zr, zx, zz = np.zeros(q), np.zeros((q, p)), np.zeros((q, q))
-                for f in range(len(codes)):
-                    zr += np.bincount(at[:, f], r, q)
-                    for j in range(p):
-                        zx[:, j] += np.bincount(at[:, f], wx[:, j], q)
-                    for g in range(len(codes)):
-                        zz += np.bincount(at[:, f] * q + at[:, g], w, q * q).reshape(q, q)
-                loglik = s @ eta - n @ np.logaddexp(0, eta)
-                total += np.concatenate(
-                    [[loglik], xs.T @ r, zr, (xs.T @ wx).ravel(), zx.ravel(), zz.ravel()]
-                )
-        for i, total in enumerate(totals):
-            yield i, total
-
-    found = sum_arrays(patterns, partial)
-    out = []
-    for i in range(len(points)):
-        parts = np.split(found[i], np.cumsum([1, p, q, p * p, q * p]))
-        out.append((parts[0][0], parts[1], parts[2], parts[3].reshape(p, p), parts[4].reshape(q, p), parts[5].reshape(q, q)))
-    return out
+    return sorted(df.select(group).distinct().toArrow()[group].to_pylist())
+
+
+@dataclass
+class WeightedSums:
+    """Log likelihood, gradient and weights at one point: for the fixed terms, the levels, and pairs of levels."""
+
+    loglik: float
+    gx: np.ndarray
+    xx: np.ndarray
+    gz: np.ndarray
+    zx: np.ndarray
+    pairs: np.ndarray
+
+
+@dataclass
+class _Patterns:
+    """Stored patterns with numbered levels, and the structure of the levels."""
+
+    frame: DataFrame
+    x: list[str]
+    codes: list[str]
+    structure: Structure
+    starts: np.ndarray
+    pair_keys: np.ndarray
+
+    @classmethod
+    def of(cls, frame: DataFrame, x: list[str], codes: list[str], sizes: Sequence[int]) -> _Patterns:
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
+        q, keys = int(starts[-1]), [np.zeros(0, int)]
+        for f, g, t in pair_totals(frame, codes, F.count(F.lit(1))):
+            keys.append((t[codes[f]].to_numpy().astype(int) + starts[f]) * q + t[codes[g]].to_numpy().astype(int) + starts[g])
+        found = np.sort(np.concatenate(keys))
+        return cls(frame, x, codes, Structure(sizes, found // max(q, 1), found % max(q, 1)), starts, found)
+
+    def weighted(self, points: Sequence[tuple[np.ndarray, np.ndarray]]) -> list[WeightedSums]:
+        """The sums at every (coefficients, intercepts) point, from grouped aggregates over all patterns.
+
+        A point is a row beside each pattern; coefficients are array literals and intercepts a table per factor, so the
+        same generated code serves every step.
+        """
+        m, p, q = len(points), len(self.x) + 1, self.structure.q
+        df = self.frame
+        for f, code in enumerate(self.codes):
+            own = np.stack([b[self.starts[f] : self.starts[f + 1]] for _, b in points], axis=1)
+            lists = pa.ListArray.from_arrays(np.arange(0, own.size + 1, m, dtype=np.int32), own.ravel())
+            table = pa.table({code: pa.array(np.arange(len(own), dtype=np.int32)), f"_b{f}": lists})
+            df = df.join(df.sparkSession.createDataFrame(table), code)
+        beta = F.lit([float(v) for b, _ in points for v in b])
+        rows = df.withColumn("_k", F.explode(F.lit(list(range(m)))))
+        at = lambda j: beta[F.col("_k") * p + j]
+        eta: Column = at(0)
+        for j, c in enumerate(self.x):
+            eta = eta + at(j + 1) * F.col(c)
+        for f in range(len(self.codes)):
+            eta = eta + F.col(f"_b{f}")[F.col("_k")]
+        rows = rows.select("_k", *self.codes, *self.x, "_n", "_s", eta.alias("_eta"))
+        rows = rows.withColumn("_mu", 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), F.col("_eta"))))))
+        rows = rows.withColumns({"_w": F.col("_n") * F.col("_mu") * (1 - F.col("_mu")), "_r": F.col("_s") - F.col("_n") * F.col("_mu")})
+        loglik = F.col("_s") * F.col("_eta") - F.col("_n") * (F.greatest(F.col("_eta"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("_eta"))))
+        ones = [F.lit(1.0), *[F.col(c) for c in self.x]]
+        upper = [(i, j) for i in range(p) for j in range(i, p)]
+        whole = [F.sum(loglik).alias("ll"), *[F.sum(F.col("_r") * c).alias(f"g{j}") for j, c in enumerate(ones)]]
+        whole += [F.sum(F.col("_w") * ones[i] * ones[j]).alias(f"p_{i}_{j}") for i, j in upper]
+        per_level = {"r": F.sum("_r"), **{f"z{j}": F.sum(F.col("_w") * c) for j, c in enumerate(ones)}}
+        # three independent jobs over one stored table
+        with ThreadPoolExecutor(3) as pool:
+            first = pool.submit(lambda: rows.groupBy("_k").agg(*whole).collect())
+            second = pool.submit(level_totals, rows, self.codes, per_level, ["_k"])
+            third = pool.submit(pair_totals, rows, self.codes, F.sum("_w"), ["_k"])
+            overall, levels, pairs = first.result(), second.result(), third.result()
+        out = [None] * m
+        for r in overall:
+            out[r["_k"]] = WeightedSums(r["ll"], np.array([r[f"g{j}"] for j in range(p)]), upper_matrix(r, p), np.zeros(q), np.zeros((q, p)), np.zeros(len(self.pair_keys)))
+        for f, t in enumerate(levels):
+            point, place, values = t["_k"].to_numpy(), t[self.codes[f]].to_numpy().astype(int) + self.starts[f], _columns(t, list(per_level))
+            for k in range(m):
+                mine = point == k
+                out[k].gz[place[mine]] = values[mine, 0]
+                out[k].zx[place[mine]] = values[mine, 1:]
+        for f, g, t in pairs:
+            key = (t[self.codes[f]].to_numpy().astype(int) + self.starts[f]) * q + t[self.codes[g]].to_numpy().astype(int) + self.starts[g]
+            point, place, w = t["_k"].to_numpy(), np.searchsorted(self.pair_keys, key), t["w"].to_numpy()
+            for k in range(m):
+                out[k].pairs[place[point == k]] = w[point == k]
+        return out
+
+    def _bordered(self, sums: WeightedSums, scale: np.ndarray, right_levels: np.ndarray, right_fixed: np.ndarray) -> Solved:
+        p = len(right_fixed)
+        fixed = np.zeros((p + 1, p + 1))
+        fixed[:p, :p], fixed[p, :p], fixed[:p, p] = sums.xx, right_fixed, right_fixed
+        rhs = np.column_stack([sums.zx * scale[:, None], right_levels])
+        return eliminate(self.structure, scale, sums.zx[:, 0], sums.pairs, rhs, fixed)
+
+    def step(self, sums: WeightedSums, theta: np.ndarray, b: np.ndarray):
+        """Criterion at the point, and the Newton step: gain, change of the coefficients and of the intercepts."""
+        scale = theta[self.structure.owner]
+        u = np.divide(b, scale, out=np.zeros_like(b), where=scale > 0)
+        out = self._bordered(sums, scale, scale * sums.gz - u, sums.gx)
+        right, d_beta, corner = _solve_fixed(out)
+        return -2 * sums.loglik + u @ u + out.log_det, -corner, d_beta, scale * out.back(d_beta), right
+
+    def quadratic(self, sums: WeightedSums, beta: np.ndarray, b: np.ndarray):
+        """The penalised fit for any spreads, if the log likelihood were the parabola that it is at a known point."""
+        s = self.structure
+        levels = sums.gz + sums.zx[:, 0] * b + sums.zx @ beta
+        levels += np.bincount(s.left, sums.pairs * b[s.right], s.q) + np.bincount(s.right, sums.pairs * b[s.left], s.q)
+        fixed = sums.gx + sums.xx @ beta + sums.zx.T @ b
+
+        def fit(theta: np.ndarray):
+            scale = np.asarray(theta)[s.owner]
+            out = self._bordered(sums, scale, scale * levels, fixed)
+            _, new, corner = _solve_fixed(out)
+            return out.log_det + corner, new, lambda: scale * out.back(new)
+
+        return fit
 
 
 def fit_logistic(
     df: DataFrame, outcome: str, design: Design, groups: Sequence[str], inner: int = 60
 ) -> MixedFit:
-    """Logistic fit whose outer search is over the random-intercept spreads only.
+    """Logistic fit by the Laplace criterion; the outer search is over the random-intercept spreads only.
 
-    A whole batch of candidate spreads shares each pass over the stored patterns.
+    First the spreads are taken from the parabola at the last point, which needs one pass each time and ends close by;
+    then a whole batch of candidates shares each pass, every one started where the parabola puts it.
     """
     rows = complete_rows(df, [outcome, *design.columns, *groups])
     frame = design_frame(rows, design, [F.col(outcome).alias("_y"), *groups])
@@ -234,45 +313,59 @@ def fit_logistic(
     ).first() if x_all else patterns.select(F.sum("_n"), F.sum("_s")).first()
     means = np.array(weighted[: len(x_all)], dtype=float)
     n, successes = float(weighted[len(x_all)]), float(weighted[len(x_all) + 1])
-    centred = coded.withColumns({c: F.col(c) - F.lit(float(m)) for c, m in zip(x_all, means)})
-    owner = np.repeat(np.arange(len(groups)), sizes)
+    centre = F.lit([float(m) for m in means]) if x_all else None
+    centred = coded.withColumns({c: F.col(c) - centre[i] for i, c in enumerate(x_all)}) if x_all else coded
+    data = _Patterns.of(centred, x_all, codes, sizes)
+    q = data.structure.q
     start = np.zeros(len(x_all) + 1)
     start[0] = math.log(max(successes, 0.5) / max(n - successes, 0.5))
-    q = int(sum(sizes))
-    first = _weighted_pass(centred, x_all, codes, sizes, [(start, np.zeros(q))])[0]
-    kept = independent_columns(first[3][1:, 1:] if len(x_all) else np.zeros((0, 0)))
-    x = [x_all[i] for i in kept]
-    warm = {"beta": start[[0, *(i + 1 for i in kept)]], "b": np.zeros(q), "value": math.inf}
+    first = data.weighted([(start, np.zeros(q))])[0]
+    kept = independent_columns(first.xx[1:, 1:] if len(x_all) else np.zeros((0, 0)))
+    columns = [0, *(i + 1 for i in kept)]
+    data.x = [x_all[i] for i in kept]
+    first.gx, first.xx, first.zx = first.gx[columns], first.xx[np.ix_(columns, columns)], first.zx[:, columns]
+    # the best known point with its sums
+    at = {"beta": start[columns], "b": np.zeros(q), "sums": first, "value": math.inf}
     last: dict[tuple, tuple] = {}
     unfinished: set[tuple] = set()
 
+    theta = np.full(len(groups), 0.5)
+    for _ in range(inner):
+        fit = data.quadratic(at["sums"], at["beta"], at["b"])
+        before, (theta, _, _) = theta, nelder_mead(lambda t: fit(t)[0], theta, rounds=400, tolerance=1e-5)
+        _, beta, intercepts = fit(theta)
+        b = intercepts()
+        limit = min(1.0, 5.0 / max(np.abs(np.concatenate([beta - at["beta"], b - at["b"]])).max(), 1e-12))
+        at["beta"], at["b"] = at["beta"] + limit * (beta - at["beta"]), at["b"] + limit * (b - at["b"])
+        at["sums"] = data.weighted([(at["beta"], at["b"])])[0]
+        if np.abs(theta - before).max() < 0.02 * (0.1 + theta.max()):
+            break
+
     def deviances(thetas: list[np.ndarray], tolerance: float = 1e-5) -> list[float]:
-        states = [(warm["beta"].copy(), warm["b"].copy()) for _ in thetas]
-        for k, theta in enumerate(thetas):
-            lam = theta[owner]
-            states[k] = (states[k][0], np.where(lam > 0, states[k][1], 0.0))
-        values = [math.inf] * len(thetas)
-        solved = [None] * len(thetas)
+        fit = data.quadratic(at["sums"], at["beta"], at["b"])
+        states = []
+        for theta in thetas:
+            _, beta, intercepts = fit(theta)
+            b = intercepts()
+            far = max(np.abs(np.concatenate([beta - at["beta"], b - at["b"]])).max(), 1e-12)
+            # a parabola is no guide far away from its point
+            states.append((beta, b) if far < 2.0 else (at["beta"], np.where(theta[data.structure.owner] > 0, at["b"], 0.0)))
+        values, solved = [math.inf] * len(thetas), [None] * len(thetas)
         open_ = list(range(len(thetas)))
         for _ in range(inner):
-            found = _weighted_pass(centred, x, codes, sizes, [states[k] for k in open_])
+            found = data.weighted([states[k] for k in open_])
             still = []
-            for k, (loglik, gx, gz, xx, zx, zz) in zip(open_, found):
-                theta, (beta, b) = thetas[k], states[k]
-                lam, left, rzx, right = _Penalised(zz, zx, xx, owner).factor(theta)
-                u = np.divide(b, lam, out=np.zeros_like(b), where=lam > 0)
-                value = -2 * loglik + u @ u + 2 * np.log(np.diag(left)).sum()
-                cu = np.linalg.solve(left, lam * gz - u)
-                cb = np.linalg.solve(right, gx - rzx.T @ cu)
-                d_beta = np.linalg.solve(right.T, cb)
-                d_u = np.linalg.solve(left.T, cu - rzx @ d_beta)
-                gain = cu @ cu + cb @ cb
-                limit = min(1.0, 5.0 / max(np.abs(np.concatenate([d_beta, lam * d_u])).max(), 1e-12))
-                states[k] = (beta + limit * d_beta, b + limit * lam * d_u)
+            for k, sums in zip(open_, found):
+                beta, b = states[k]
+                value, gain, d_beta, d_b, right = data.step(sums, thetas[k], b)
+                limit = min(1.0, 5.0 / max(np.abs(np.concatenate([d_beta, d_b])).max(), 1e-12))
                 # a small enough step needs no further pass: it lowers the criterion by ``gain``
-                values[k], solved[k] = value - gain, (*states[k], right)
+                values[k], solved[k] = value - gain, (beta + limit * d_beta, b + limit * d_b, right)
+                states[k] = solved[k][:2]
                 if gain > tolerance:
                     still.append(k)
+                elif value - gain < at["value"]:
+                    at.update(beta=beta, b=b, sums=sums, value=value - gain)
             open_ = still
             if not open_:
                 break
@@ -280,11 +373,9 @@ def fit_logistic(
             unfinished.update(tuple(thetas[k]) for k in open_)
         for k, theta in enumerate(thetas):
             last[tuple(theta)] = solved[k]
-            if values[k] < warm["value"]:
-                warm.update(beta=solved[k][0], b=solved[k][1], value=values[k])
         return values
 
-    theta, _, converged = batched_quadratic(deviances, [0.3] * len(groups), 0.25)
+    theta, _, converged = batched_quadratic(deviances, theta, 0.1 * max(0.3, float(theta.max())))
     value = deviances([theta], 1e-10)[0]
     beta, _, right = last[tuple(theta)]
     inverse = np.linalg.inv(right @ right.T)

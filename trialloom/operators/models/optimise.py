@@ -8,8 +8,10 @@ from itertools import combinations
 import numpy as np
 
 
-def nelder_mead(f: Callable[[np.ndarray], float], start: Sequence[float], step: float = 0.5, rounds: int = 4000):
-    """Simplex search over the non-negative orthant (points are reflected into it).
+def nelder_mead(
+    f: Callable[[np.ndarray], float], start: Sequence[float], step: float = 0.5, rounds: int = 4000, tolerance: float = 1e-7
+):
+    """Simplex search over the non-negative orthant (points are reflected into it), to ``tolerance`` in every direction.
 
     Returns the point, its value and whether the simplex has contracted to it.
     """
@@ -23,7 +25,7 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: Sequence[float], step:
     for _ in range(rounds):
         if abs(simplex[-1][0] - simplex[0][0]) < 1e-10 * (1 + abs(simplex[0][0])) and max(
             np.abs(x - simplex[0][1]).max() for _, x in simplex
-        ) < 1e-7:
+        ) < tolerance:
             return np.abs(simplex[0][1]), simplex[0][0], True
         worst = simplex[-1][1]
         centre = np.mean([x for _, x in simplex[:-1]], axis=0)

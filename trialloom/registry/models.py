@@ -13,6 +13,7 @@ from trialloom.operators.models.design import Design, crossed, design_frame, mai
 from trialloom.operators.models.gram import cell_totals, centred_products
 from trialloom.operators.models.linear import ols, ols_factor, with_p_values
 from trialloom.operators.models.mixed import fit_linear, fit_logistic, is_binary
+from trialloom.operators.ranks import with_rank
 from trialloom.operators.models.sparse import posterior_draws, posterior_summary
 from trialloom.plans import confirmatory
 from trialloom.plans.exploratory import heterogeneous_effects
@@ -61,9 +62,9 @@ def q_design_matrix(spark, sf_dir):
     return frame.select("row_id", *[F.round(x, 6).alias(n) for x, n in names.items()])
 
 
-def _lines_with_nation(spark, sf_dir):
+def _lines_with_nation(spark, sf_dir, *more):
     lines = read(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_returnflag", "l_linenumber", "l_quantity", "l_discount", "l_tax"
+        "l_suppkey", "l_returnflag", "l_linenumber", "l_quantity", "l_discount", "l_tax", *more
     )
     suppliers = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     return lines.join(suppliers, "l_suppkey")
@@ -151,6 +152,35 @@ def q_mixed_logistic(spark, sf_dir):
     return rounded_fit(fit.table(spark, "simple", "cert_basic", "all"), 3)
 
 
+def q_mixed_one_way(spark, sf_dir):
+    """Mean price per nation and line number with an intercept per nation: a balanced one-way layout."""
+    cells = _lines_with_nation(spark, sf_dir, "l_extendedprice").groupBy("s_nationkey", "l_linenumber").agg(
+        (F.avg("l_extendedprice") / 100).alias("price")
+    )
+    return _mixed_rows(fit_linear(cells, "price", Design.of(), ["s_nationkey"]), spark)
+
+
+def q_mixed_saturated(spark, sf_dir):
+    """Late lines on two crossed indicators, with an intercept per lane that is dealt to be without effect."""
+    lines = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        flag(F.col("l_returnflag") == "R").alias("returned"),
+        flag(F.col("l_quantity") > 25).alias("large"),
+        flag(F.col("l_discount") > 0.05).alias("reduced"),
+    )
+    ranked = with_rank(lines, None, ["l_orderkey", "l_linenumber"], ["returned", "large", "reduced"])
+    fit = fit_logistic(ranked.withColumn("lane", F.col("rank") % 5), "reduced", Design.of(crossed("returned", "large")), ["lane"])
+    return _mixed_rows(fit, spark)
+
+
+def _mixed_rows(fit, spark):
+    """Terms with estimates, and the spread of the intercepts; the row that flags a cut search would show as one more."""
+    rows = fit.table(spark, "m", "y", "all")
+    digits = F.when(F.col("term").startswith("sd("), F.round("estimate", 2)).otherwise(F.round("estimate", 3))
+    return rows.select("term", digits.alias("estimate"), F.round("std_error", 3).alias("std_error"))
+
+
 def q_plan_grid(spark, sf_dir):
     """Every planned model on every planned outcome, each on its own sample."""
     prepared = confirmatory.prepare(experiment(spark, sf_dir), SPEC)
@@ -201,6 +231,8 @@ QUERIES = {
     "ols_saturated": q_ols_saturated,
     "mixed_linear": q_mixed_linear,
     "mixed_logistic": q_mixed_logistic,
+    "mixed_one_way": q_mixed_one_way,
+    "mixed_saturated": q_mixed_saturated,
     "plan_descriptives": q_plan_descriptives,
     "plan_balance": q_plan_balance,
     "plan_grid": q_plan_grid,
@@ -250,6 +282,28 @@ SELECT term, round(estimate, {e}) AS estimate, round(std_error, {s}) AS std_erro
 
 
 ORACLE = {
+    "mixed_one_way": """
+WITH c AS (SELECT s_nationkey AS g, l_linenumber, avg(l_extendedprice) / 100 AS y
+           FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+g AS (SELECT g, count(*) AS m, avg(y) AS mean, sum(y * y) - count(*) * pow(avg(y), 2) AS ss FROM c GROUP BY g),
+t AS (SELECT count(*) AS k, min(m)::DOUBLE AS m, avg(mean) AS grand, sum(ss) AS within_ss, m * (count(*) * var_pop(mean)) AS between_ss FROM g GROUP BY m),
+v AS (SELECT *, within_ss / (k * (m - 1)) AS mse, between_ss / (k - 1) AS msb, (within_ss + between_ss) / (k * m - 1) AS mst FROM t),
+f AS (SELECT *, CASE WHEN msb > mse THEN mse ELSE mst END AS s2, CASE WHEN msb > mse THEN msb ELSE mst END AS top FROM v)
+SELECT '(Intercept)' AS term, round(grand, 3) AS estimate, round(sqrt(top / (k * m)), 3) AS std_error FROM f
+UNION ALL SELECT 'sd(s_nationkey)', round(sqrt((top - s2) / m), 2), NULL FROM f
+UNION ALL SELECT 'sd(residual)', round(sqrt(s2), 2), NULL FROM f""",
+    "mixed_saturated": """
+WITH l AS (SELECT l_returnflag = 'R' AS r, l_quantity > 25 AS b, CAST(l_discount > 0.05 AS INT) AS y FROM lineitem),
+g AS (SELECT r, b, ln(sum(y) / (count(*) - sum(y))) AS lo, 1 / sum(y) + 1 / (count(*) - sum(y)) AS v FROM l GROUP BY 1, 2),
+w AS (SELECT max(lo) FILTER (NOT r AND NOT b) AS m00, max(lo) FILTER (r AND NOT b) AS m10,
+             max(lo) FILTER (NOT r AND b) AS m01, max(lo) FILTER (r AND b) AS m11,
+             max(v) FILTER (NOT r AND NOT b) AS v00, max(v) FILTER (r AND NOT b) AS v10,
+             max(v) FILTER (NOT r AND b) AS v01, max(v) FILTER (r AND b) AS v11 FROM g)
+SELECT '(Intercept)' AS term, round(m00, 3) AS estimate, round(sqrt(v00), 3) AS std_error FROM w
+UNION ALL SELECT 'returned', round(m10 - m00, 3), round(sqrt(v10 + v00), 3) FROM w
+UNION ALL SELECT 'large', round(m01 - m00, 3), round(sqrt(v01 + v00), 3) FROM w
+UNION ALL SELECT 'returned:large', round(m11 - m10 - m01 + m00, 3), round(sqrt(v11 + v10 + v01 + v00), 3) FROM w
+UNION ALL SELECT 'sd(lane)', 0.0, NULL""",
     "design_matrix": f"""
 WITH r AS (SELECT *, CAST(HDI > 0.7 AS INT) AS h, CAST(course_selfpaced AS INT) AS cs FROM ({LEARNERS_SQL}) WHERE affirm IS NOT NULL),
 z AS (SELECT *, (threat_country - avg(threat_country) OVER ()) / stddev_samp(threat_country) OVER () AS z FROM r)

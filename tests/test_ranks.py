@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from trialloom.operators import ranks
 from trialloom.operators.ranks import exact_median, tile, with_ntile, with_rank
@@ -48,12 +49,21 @@ def test_ntile_with_heavy_value(spark, k, rows_per_cell, legacy):
     assert {r["i"]: r["tile"] for r in out.collect()} == expected_tiles(rows, k, legacy)
 
 
-def test_limits_from_few_rows_leave_ranks_exact(spark, monkeypatch):
-    monkeypatch.setattr(ranks, "LIMIT_ROWS_PER_CELL", 3)
-    rows = skewed(3_000, seed=4)
-    df = spark.createDataFrame(rows, "i int, x double").repartition(4)
-    out = with_ntile(df, "x", 100, ["i"], rows_per_cell=100)
-    assert {r["i"]: r["tile"] for r in out.collect()} == expected_tiles(rows, 100)
+@pytest.mark.parametrize("fan,rows_per_cell", [(2, 60), (4, 30), (64, 20)])
+def test_cells_stay_small_at_any_size(spark, monkeypatch, fan, rows_per_cell):
+    """Several levels of limits; no cell, and no block of offsets, grows with the table."""
+    monkeypatch.setattr(ranks, "FAN", fan)
+    monkeypatch.setattr(ranks, "RANGES_PER_BLOCK", 3)
+    for n in (700, 4_000):
+        rows = skewed(n, seed=4)
+        df = spark.createDataFrame(rows, "i int, x double").repartition(4)
+        out = with_ntile(df, "x", 100, ["i"], rows_per_cell=rows_per_cell)
+        assert {r["i"]: r["tile"] for r in out.collect()} == expected_tiles(rows, 100)
+        known = df.filter("x is not null").withColumn("_tie", F.md5(F.col("i").cast("string")))
+        cells = ranks._place(known, [], "x", "_tie", rows_per_cell)
+        sizes = [r["count"] for r in cells.rows.groupBy("_cell", "_sub").count().collect()]
+        # tie ranges are even up to chance
+        assert max(sizes) <= 2 * rows_per_cell and cells.depth >= 1
 
 
 def test_signed_zero_nan_and_infinity(spark):

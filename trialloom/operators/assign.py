@@ -95,9 +95,13 @@ def even_randomizer(
     output: str,
     seed: int,
     rows_per_cell: int = ROWS_PER_CELL,
+    store: bool = False,
 ) -> DataFrame:
-    """Unstratified draw of 0..arms-1 with counts that differ by at most one."""
-    ranked = with_rank(df, None, unique_key, (), rows_per_cell, seed=seed)
+    """Unstratified draw of 0..arms-1 with counts that differ by at most one.
+
+    ``store`` writes ``df`` once before it is ranked, which pays if it is itself the result of a draw.
+    """
+    ranked = with_rank(df, None, unique_key, (), rows_per_cell, seed=seed, store=store)
     return ranked.withColumn(output, modulo(F.col("rank") - 1, arms).cast("int")).drop("rank", "total")
 
 

@@ -1,137 +1,127 @@
 """Exact ranks, tiles and medians without a single-task sort.
 
-A window over all rows, or over a group that holds a third of them, would sort in one task. Instead rows are cut
-into *cells* that are ordered among themselves: value ranges for ordinary values, and hash ranges of the
-tie key inside a value that is itself heavy. A row's rank is the number of rows in earlier cells plus its
-position in its own cell. Cell limits are literals, so any lost task can be recomputed to the same answer.
-Ties are ordered by the hash of a unique key, which is what makes a tied value divisible.
+A window over all rows, or over a group that holds a third of them, would sort in one task. Instead the rows of large
+groups are cut into *cells* of a fixed size that are ordered among themselves. Cutting goes level by level: a cell that
+is too large gets up to ``FAN`` limits at its own quantiles, kept in a table that is joined to its rows, and falls apart
+into what lies between the limits and what equals them; what is still too large is cut again. A value that alone is too
+large for a cell is cut by ranges of the tie key's hash. A row's rank is the number of rows in earlier cells plus its
+position in its own cell. Limits are written down before they are used, so any lost task can be recomputed to the same
+answer, and neither groups nor limits ever reach the driver.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialloom.functions.nulls import join_same
 from trialloom.functions.scalars import md5_of
-from trialloom.session import materialise, small_frame
+from trialloom.session import materialise
 
 ROWS_PER_CELL = 250_000
-MAX_CELLS = 8192
+#: Most parts between limits into which one level cuts a cell; a power of two.
+FAN = 64
 BROADCAST_ROWS = 200_000
-LIMIT_ROWS_PER_CELL = 1_000
+#: Tie ranges that are summed together in the prefix sums of a group without limits.
+RANGES_PER_BLOCK = 4_096
 
 
 @dataclass(frozen=True)
-class _Layout:
-    """Where to cut: groups large enough to be cut at all, value limits, and the heavy values."""
+class _Cells:
+    """Rows with ``_cell`` and ``_sub``, whether any group had to be cut and which, and the levels of limits."""
 
+    rows: DataFrame
+    is_cut: bool
     hot: DataFrame | None
-    n_hot: int
-    limits: list[float]
-    heavy: list[float]
-    subcells: int
-
-    @property
-    def max_cells(self) -> int:
-        return self.n_hot * (len(self.limits) + len(self.heavy) * self.subcells)
+    depth: int
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast only if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _below(df: DataFrame, limits: str, value: str, output: str) -> DataFrame:
+    """How many of at most FAN - 1 sorted limits lie below a value: one comparison for each bit of the answer."""
+    df = df.withColumn(output, F.lit(0))
+    step = FAN // 2
+    while step:
+        here = F.coalesce(F.get(limits, F.col(output) + (step - 1)) < F.col(value), F.lit(False))
+        df = df.withColumn(output, F.col(output) + F.when(here, F.lit(step)).otherwise(F.lit(0)))
+        step //= 2
+    return df
+
+
+def _large(df: DataFrame, keys: Sequence[str], value: str | None, rows_per_cell: int) -> DataFrame | None:
+    """Cells above the size with their row count and range of values, stored; none if there are none."""
+    stats = [F.count(F.lit(1)).alias("_n")]
+    if value is not None:
+        stats += [F.min("_v").alias("_low"), F.max("_v").alias("_high"), (F.min(value) == F.max(value)).alias("_single")]
+    sizes = df.groupBy(*keys, "_cell").agg(*stats)
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= rows_per_cell:
+        return None
+    return materialise(sizes.filter(F.col("_n") > rows_per_cell), "large-cells")
+
+
+def _place(df: DataFrame, keys: Sequence[str], value: str | None, tie: str | None, rows_per_cell: int) -> _Cells:
+    """Add ``_cell`` (value range) and ``_sub`` (tie range); groups that are small enough stay whole."""
+    df = df.withColumns({"_cell": F.lit(0).cast("long"), "_sub": F.lit(0)})
+    if value is not None:
+        # adding zero makes -0.0 and 0.0, which sort as equal, one value for the limits too
+        df = df.withColumn("_v", F.col(value).cast("double") + F.lit(0.0))
+    at, depth = [*keys, "_cell"], 0
+    large = _large(df, keys, value, rows_per_cell)
+    is_cut, hot = large is not None, large.select(*keys) if large is not None and keys else None
+    points = F.array(*[F.lit(i / FAN) for i in range(1, FAN)])
+    while large is not None and value is not None and not (wide := large.filter(F.col("_low") < F.col("_high"))).isEmpty():
+        inside = join_same(df, _checked(wide.select(*at)), at, "left_semi")
+        plain = F.when(~F.isnan("_v"), F.col("_v"))
+        found = inside.groupBy(*at).agg(F.array_sort(F.array_distinct(F.percentile_approx(plain, points, 16 * FAN))).alias("_limits"))
+        df = join_same(df, _checked(materialise(found, "cell-limits")), at)
+        df = _below(df, "_limits", "_v", "_p")
+        equal = F.coalesce(F.get("_limits", F.col("_p")) == F.col("_v"), F.lit(False))
+        df = df.withColumn("_cell", F.col("_cell") * (2 * FAN) + 2 * F.col("_p") + equal.cast("int")).drop("_limits", "_p")
+        depth += 1
+        large = _large(df, keys, value, rows_per_cell)
+    if large is not None and tie is not None:
+        single = large if value is None else large.filter("_single")
+        parts = single.select(*at, F.ceil(F.col("_n") / rows_per_cell).alias("_parts"))
+        df = join_same(df, _checked(materialise(parts, "tie-ranges")), at)
+        df = df.withColumn("_sub", F.coalesce(_tie_range(tie, F.col("_parts")), F.lit(0))).drop("_parts")
+    return _Cells(df.drop("_v"), is_cut, hot, depth)
+
+
+def _tie_range(tie: str, parts: Column) -> Column:
+    """Which of ``parts`` equal ranges of the hash an md5 falls in; follows the order of the hash."""
+    head = F.conv(F.substring(tie, 1, 8), 16, 10).cast("long")
+    return F.floor(head * parts / F.lit(16**8)).cast("int")
 
 
-def _hot_groups(df: DataFrame, keys: Sequence[str], rows_per_cell: int) -> tuple[list[tuple], list[int], int]:
-    """Groups above the cell size, their row counts, and the cell size used.
+def _offsets(placed: DataFrame, keys: Sequence[str], depth: int, weight: Column, hot: DataFrame | None) -> DataFrame:
+    """``_before`` (weight of earlier cells of the group), ``_size`` and ``_total``; one stored row per cell.
 
-    The cell size grows with the table so that there are at most ``MAX_CELLS`` hot groups to bring back.
+    The prefix sums have two levels: over blocks of neighbouring cells, and within a block. A block is a cell of the
+    first level of limits, or some thousand tie ranges of a group that has no limits.
     """
-    if not keys:
-        n = df.count()
-        size = max(rows_per_cell, math.ceil(n / MAX_CELLS))
-        return ([()], [n], size) if n > size else ([], [], size)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total, top = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    size = max(rows_per_cell, math.ceil((total or 0) / MAX_CELLS))
-    if (top or 0) <= size:
-        return [], [], size
-    hot = sizes.filter(F.col("_n") > size).collect()
-    return [tuple(r[k] for k in keys) for r in hot], [r["_n"] for r in hot], size
-
-
-def _layout(df: DataFrame, keys: Sequence[str], value: str | None, rows_per_cell: int) -> _Layout:
-    hot, counts, size = _hot_groups(df, keys, rows_per_cell)
-    if not hot:
-        return _Layout(None, 0, [], [], 0)
-    frame = small_frame(df.sparkSession, hot, df.select(*keys).schema) if keys else None
-    if value is None:
-        return _Layout(frame, len(hot), [-math.inf, math.inf], [0.0], math.ceil(max(counts) / size))
-    rows = df if frame is None else join_same(df, F.broadcast(frame), keys, "left_semi")
-    rows = rows.select((F.col(value).cast("double") + F.lit(0.0)).alias("_v"))
-    cells = max(2, math.ceil(sum(counts) / size))
-    # limits only decide how even the cells are, never a rank, so a very large table is thinned for them
-    share = LIMIT_ROWS_PER_CELL * cells / sum(counts)
-    rows = rows.sample(share, seed=1) if share < 1 else rows
-    points = rows.approxQuantile("_v", [i / cells for i in range(1, cells)], 1.0 / (4 * cells))
-    points = [v for v in points if math.isfinite(v)]
-    repeats = {v: times for v, times in Counter(points).items() if times > 1}
-    limits = sorted({*points, *(math.nextafter(v, math.inf) for v in repeats)})
-    return _Layout(
-        frame, len(hot), [-math.inf, *limits, math.inf], list(repeats), max(repeats.values(), default=0) + 1
-    )
-
-
-def _tie_range(tie: str, parts: int) -> Column:
-    """Which of ``parts`` equal ranges of the hash an md5 falls in; follows the order of the hash."""
-    head = F.conv(F.substring(tie, 1, 7), 16, 10).cast("long")
-    return F.floor(head * F.lit(parts) / F.lit(16**7)).cast("int")
-
-
-def _place(df: DataFrame, keys: Sequence[str], value: str | None, tie: str | None, lay: _Layout) -> DataFrame:
-    """Add ``_cell`` (value range) and ``_sub`` (tie range); groups that are not hot stay whole."""
-    if lay.n_hot == 0:
-        return df.withColumns({"_cell": F.lit(0), "_sub": F.lit(0)})
-    if keys:
-        df = join_same(df, F.broadcast(lay.hot.withColumn("_hot", F.lit(True))), keys)
-        is_hot = F.coalesce("_hot", F.lit(False))
-    else:
-        is_hot = F.lit(True)
-    if value is None:
-        cell, heavy = F.lit(0), is_hot
-    else:
-        cutter = Bucketizer(splits=lay.limits, inputCol="_v", outputCol="_range", handleInvalid="keep")
-        # adding zero makes -0.0 and 0.0, which sort as equal, one value for the cutter too
-        df = cutter.transform(df.withColumn("_v", F.col(value).cast("double") + F.lit(0.0)))
-        cell = F.when(is_hot, F.col("_range").cast("int")).otherwise(F.lit(0))
-        heavy = is_hot & F.col("_v").isin(lay.heavy) if lay.heavy else F.lit(False)
-    sub = F.lit(0) if tie is None else F.when(heavy, _tie_range(tie, lay.subcells)).otherwise(F.lit(0))
-    return df.withColumns({"_cell": cell, "_sub": sub}).drop("_v", "_range", "_hot")
-
-
-def _offsets(placed: DataFrame, keys: Sequence[str], lay: _Layout) -> DataFrame:
-    """Rows before each cell within its group, and the group size. One row per cell."""
-    sizes = placed.groupBy(*keys, "_cell", "_sub").agg(F.count(F.lit(1)).alias("_n"))
-    if keys and lay.n_hot:
+    sizes = placed.groupBy(*keys, "_cell", "_sub").agg(weight.alias("_size"))
+    if hot is not None and keys:
         # other groups hold one cell each and need no offset
-        sizes = join_same(sizes, F.broadcast(lay.hot), keys, "left_semi")
+        sizes = join_same(sizes, _checked(hot), keys, "left_semi")
+    block = F.floor(F.col("_cell") / (2 * FAN) ** (depth - 1)) if depth else F.floor(F.col("_sub") / RANGES_PER_BLOCK)
+    sizes = sizes.withColumn("_block", block)
+    blocks = sizes.groupBy(*keys, "_block").agg(F.sum("_size").alias("_n"))
     group = Window.partitionBy(*keys)
-    before = group.orderBy("_cell", "_sub").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(
-        *keys,
-        "_cell",
-        "_sub",
-        F.col("_n").alias("_size"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(group).alias("_total"),
+    earlier = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        *keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"), F.sum("_n").over(group).alias("_total")
     )
-
-
-def _attach(placed: DataFrame, keys: Sequence[str], lay: _Layout) -> DataFrame:
-    offsets = _offsets(placed, keys, lay)
-    small = lay.max_cells <= BROADCAST_ROWS
-    return join_same(placed, F.broadcast(offsets) if small else offsets, [*keys, "_cell", "_sub"])
+    within = Window.partitionBy(*keys, "_block").orderBy("_cell", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_inner", F.coalesce(F.sum("_size").over(within), F.lit(0)))
+    found = join_same(sizes, blocks, [*keys, "_block"])
+    return materialise(found.select(*keys, "_cell", "_sub", "_size", (F.col("_start") + F.col("_inner")).alias("_before"), "_total"), "cell-offsets")
 
 
 def with_rank(
@@ -154,13 +144,14 @@ def with_rank(
     parts = list(unique_key) if seed is None else [seed, *unique_key]
     hashed = df.withColumn("_tie", md5_of(*parts))
     known = hashed if value is None else hashed.filter(F.col(value).isNotNull())
-    lay = _layout(known, keys, value, rows_per_cell)
-    placed = _place(known, keys, value, "_tie", lay)
+    cells = _place(known, keys, value, "_tie", rows_per_cell)
+    placed = cells.rows
     group = Window.partitionBy(*keys, "_cell", "_sub")
     order = [F.col(c) for c in ([] if value is None else [value]) + ["_tie", *unique_key]]
     position = F.row_number().over(group.orderBy(*order))
-    if lay.n_hot:
-        placed = _attach(placed, keys, lay)
+    if cells.is_cut:
+        offsets = _offsets(placed, keys, cells.depth, F.count(F.lit(1)), cells.hot)
+        placed = join_same(placed, _checked(offsets), [*keys, "_cell", "_sub"])
         rank = F.coalesce("_before", F.lit(0)) + position
         total = F.coalesce("_total", F.count(F.lit(1)).over(group))
     else:
@@ -209,28 +200,27 @@ def with_ntile(
 def exact_median(
     df: DataFrame, value: str, partition_by: Sequence[str] = (), rows_per_cell: int = ROWS_PER_CELL
 ) -> DataFrame:
-    """Interpolated median per group, NULLs skipped. Of a hot group only the middle cells are shuffled."""
+    """Interpolated median per group, NULLs skipped.
+
+    Equal values are counted where they are read, so only distinct values are shuffled; they are stored, cut into cells
+    where a group has too many, and the two middle places are found by cumulative counts.
+    """
     keys = list(partition_by)
-    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value"))
-    lay = _layout(known, keys, "_value", rows_per_cell)
-    if not lay.n_hot:
-        return known.groupBy(*keys).agg(F.median("_value").alias("median"))
-    placed = _attach(_place(known, keys, "_value", None, lay), keys, lay)
+    known = df.filter(F.col(value).isNotNull()).select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("_value"))
+    counted = materialise(known.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    cells = _place(counted, keys, "_value", None, rows_per_cell)
+    rows = cells.rows
     low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
-    middle = placed.filter((F.col("_before") < high) & (F.col("_before") + F.col("_size") >= low))
-    # equal values are merged map-side, so a heavy value is one row per cell
-    merged = middle.groupBy(*keys, "_cell", "_before", "_total", "_value").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*keys, "_cell").orderBy("_value")
-    last = F.col("_before") + F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, 0))
-    covered = merged.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_n") + 1)
+    if cells.is_cut:
+        offsets = _offsets(rows, keys, cells.depth, F.sum("_n"), None)
+        rows = join_same(rows, _checked(offsets), [*keys, "_cell", "_sub"])
+        rows = rows.filter((F.col("_before") < high) & (F.col("_before") + F.col("_size") >= low))
+    else:
+        rows = rows.withColumns({"_before": F.lit(0), "_total": F.sum("_n").over(Window.partitionBy(*keys, "_cell"))})
+    upto = Window.partitionBy(*keys, "_cell").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.col("_before") + F.sum("_n").over(upto)
+    covered = rows.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_n") + 1)
     covers_low = (F.col("_first") <= low) & (F.col("_last") >= low)
     covers_high = (F.col("_first") <= high) & (F.col("_last") >= high)
-    hot_part = covered.groupBy(*keys).agg(
-        ((F.max(F.when(covers_low, F.col("_value"))) + F.max(F.when(covers_high, F.col("_value")))) / 2).alias(
-            "median"
-        )
-    )
-    if not keys:
-        return hot_part
-    cold = join_same(known, F.broadcast(lay.hot), keys, "left_anti")
-    return hot_part.unionByName(cold.groupBy(*keys).agg(F.median("_value").alias("median")))
+    middle = (F.max(F.when(covers_low, F.col("_value"))) + F.max(F.when(covers_high, F.col("_value")))) / 2
+    return covered.groupBy(*keys).agg(middle.alias("median"))

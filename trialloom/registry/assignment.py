@@ -48,7 +48,7 @@ def q_block_composition(spark, sf_dir):
 def q_even_randomizer(spark, sf_dir):
     keys = learners(spark, sf_dir).select("row_id", "webservice_call_complete", "affirm", "plans")
     affirm = even_randomizer(keys, ["row_id"], 2, "own_affirm", 11, 2_000)
-    both = even_randomizer(affirm, ["row_id"], 3, "own_plans", 12, 2_000)
+    both = even_randomizer(affirm, ["row_id"], 3, "own_plans", 12, 2_000, store=True)
     out = with_service_override(
         both,
         {"final_affirm": "affirm", "final_plans": "plans"},

@@ -23,7 +23,7 @@ from trialloom.session import materialise
 
 ROWS_PER_CELL = 250_000
 #: Most parts between limits into which one level cuts a cell; a power of two.
-FAN = 64
+FAN = 256
 BROADCAST_ROWS = 200_000
 #: Tie ranges that are summed together in the prefix sums of a group without limits.
 RANGES_PER_BLOCK = 4_096
@@ -31,17 +31,20 @@ RANGES_PER_BLOCK = 4_096
 
 @dataclass(frozen=True)
 class _Cells:
-    """Rows with ``_cell`` and ``_sub``, whether any group had to be cut and which, and the levels of limits."""
+    """Rows with ``_cell`` and ``_sub``; if any group had to be cut, a stored table of the cut groups' cells.
+
+    ``table`` has ``_size``, the weight of each cell; ``depth`` is the number of levels of limits.
+    """
 
     rows: DataFrame
-    is_cut: bool
-    hot: DataFrame | None
-    depth: int
+    table: DataFrame | None = None
+    count: int = 0
+    depth: int = 0
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    """A stored table, to be broadcast only if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, count: int) -> DataFrame:
+    """A table to be broadcast only if its counted rows are few."""
+    return F.broadcast(df) if count <= BROADCAST_ROWS else df
 
 
 def _below(df: DataFrame, limits: str, value: str, output: str) -> DataFrame:
@@ -55,43 +58,56 @@ def _below(df: DataFrame, limits: str, value: str, output: str) -> DataFrame:
     return df
 
 
-def _large(df: DataFrame, keys: Sequence[str], value: str | None, rows_per_cell: int) -> DataFrame | None:
-    """Cells above the size with their row count and range of values, stored; none if there are none."""
-    stats = [F.count(F.lit(1)).alias("_n")]
-    if value is not None:
-        stats += [F.min("_v").alias("_low"), F.max("_v").alias("_high"), (F.min(value) == F.max(value)).alias("_single")]
-    sizes = df.groupBy(*keys, "_cell").agg(*stats)
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= rows_per_cell:
-        return None
-    return materialise(sizes.filter(F.col("_n") > rows_per_cell), "large-cells")
-
+def _place(df: DataFrame, keys: Sequence[str], value: str | None, tie: str | None, rows_per_cell: int, weight: Column) -> _Cells:
+    """Add ``_cell`` (value range) and ``_sub`` (tie range); groups that are small enough stay whole.
 
-def _place(df: DataFrame, keys: Sequence[str], value: str | None, tie: str | None, rows_per_cell: int) -> _Cells:
-    """Add ``_cell`` (value range) and ``_sub`` (tie range); groups that are small enough stay whole."""
+    Every level takes two passes over the rows: quantiles of the cells that are too large, and sizes of what they fell
+    into. A table of groups or cells is counted before it is used, and broadcast if it is small.
+    """
     df = df.withColumns({"_cell": F.lit(0).cast("long"), "_sub": F.lit(0)})
+    stats = [F.count(F.lit(1)).alias("_n"), weight.alias("_size")]
     if value is not None:
         # adding zero makes -0.0 and 0.0, which sort as equal, one value for the limits too
         df = df.withColumn("_v", F.col(value).cast("double") + F.lit(0.0))
+        stats += [F.min("_v").alias("_low"), F.max("_v").alias("_high"), (F.min(value) == F.max(value)).alias("_single")]
+    large = F.col("_n") > rows_per_cell
+    wide = large & (F.col("_low") < F.col("_high")) if value is not None else F.lit(False)
     at, depth = [*keys, "_cell"], 0
-    large = _large(df, keys, value, rows_per_cell)
-    is_cut, hot = large is not None, large.select(*keys) if large is not None and keys else None
+
+    def counts(table: DataFrame) -> tuple[int, int, int]:
+        return tuple(table.agg(F.count(F.lit(1)), F.count_if(large), F.count_if(wide)).first())
+
+    table = materialise(df.groupBy(*at).agg(*stats).filter(large), "large-groups")
+    n, n_large, n_wide = counts(table)
+    if not n:
+        return _Cells(df.drop("_v"))
+    hot, n_hot = table.select(*keys), n
     points = F.array(*[F.lit(i / FAN) for i in range(1, FAN)])
-    while large is not None and value is not None and not (wide := large.filter(F.col("_low") < F.col("_high"))).isEmpty():
-        inside = join_same(df, _checked(wide.select(*at)), at, "left_semi")
+    while n_wide:
+        inside = join_same(df, _small(table.filter(wide).select(*at), n_wide), at, "left_semi")
         plain = F.when(~F.isnan("_v"), F.col("_v"))
-        found = inside.groupBy(*at).agg(F.array_sort(F.array_distinct(F.percentile_approx(plain, points, 16 * FAN))).alias("_limits"))
-        df = join_same(df, _checked(materialise(found, "cell-limits")), at)
-        df = _below(df, "_limits", "_v", "_p")
+        limits = F.array_sort(F.array_distinct(F.percentile_approx(plain, points, 4 * FAN))).alias("_limits")
+        stored = materialise(inside.groupBy(*at).agg(limits), "cell-limits")
+        df = _below(join_same(df, _small(stored, n_wide), at), "_limits", "_v", "_p")
         equal = F.coalesce(F.get("_limits", F.col("_p")) == F.col("_v"), F.lit(False))
         df = df.withColumn("_cell", F.col("_cell") * (2 * FAN) + 2 * F.col("_p") + equal.cast("int")).drop("_limits", "_p")
         depth += 1
-        large = _large(df, keys, value, rows_per_cell)
-    if large is not None and tie is not None:
-        single = large if value is None else large.filter("_single")
+        table = materialise(_of(hot, n_hot, keys, df.groupBy(*at).agg(*stats)), "cells")
+        n, n_large, n_wide = counts(table)
+    table = table.withColumn("_sub", F.lit(0))
+    if n_large and tie is not None:
+        single = table.filter(large) if value is None else table.filter(large & F.col("_single"))
         parts = single.select(*at, F.ceil(F.col("_n") / rows_per_cell).alias("_parts"))
-        df = join_same(df, _checked(materialise(parts, "tie-ranges")), at)
+        df = join_same(df, _small(parts, n_large), at)
         df = df.withColumn("_sub", F.coalesce(_tie_range(tie, F.col("_parts")), F.lit(0))).drop("_parts")
-    return _Cells(df.drop("_v"), is_cut, hot, depth)
+        table = materialise(_of(hot, n_hot, keys, df.groupBy(*at, "_sub").agg(weight.alias("_size"))), "cells")
+        n = table.count()
+    return _Cells(df.drop("_v"), table, n, depth)
+
+
+def _of(hot: DataFrame, n_hot: int, keys: Sequence[str], sizes: DataFrame) -> DataFrame:
+    """The sizes of the cut groups; other groups hold one cell each and need no offset."""
+    return join_same(sizes, _small(hot, n_hot), keys, "left_semi") if keys else sizes
 
 
 def _tie_range(tie: str, parts: Column) -> Column:
@@ -100,18 +116,15 @@ def _tie_range(tie: str, parts: Column) -> Column:
     return F.floor(head * parts / F.lit(16**8)).cast("int")
 
 
-def _offsets(placed: DataFrame, keys: Sequence[str], depth: int, weight: Column, hot: DataFrame | None) -> DataFrame:
-    """``_before`` (weight of earlier cells of the group), ``_size`` and ``_total``; one stored row per cell.
+def _with_offsets(cells: _Cells, keys: Sequence[str]) -> DataFrame:
+    """Rows with ``_before`` (weight of earlier cells of the group), ``_size`` and ``_total``.
 
     The prefix sums have two levels: over blocks of neighbouring cells, and within a block. A block is a cell of the
     first level of limits, or some thousand tie ranges of a group that has no limits.
     """
-    sizes = placed.groupBy(*keys, "_cell", "_sub").agg(weight.alias("_size"))
-    if hot is not None and keys:
-        # other groups hold one cell each and need no offset
-        sizes = join_same(sizes, _checked(hot), keys, "left_semi")
+    depth = cells.depth
     block = F.floor(F.col("_cell") / (2 * FAN) ** (depth - 1)) if depth else F.floor(F.col("_sub") / RANGES_PER_BLOCK)
-    sizes = sizes.withColumn("_block", block)
+    sizes = cells.table.withColumn("_block", block)
     blocks = sizes.groupBy(*keys, "_block").agg(F.sum("_size").alias("_n"))
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -121,7 +134,8 @@ def _offsets(placed: DataFrame, keys: Sequence[str], depth: int, weight: Column,
     within = Window.partitionBy(*keys, "_block").orderBy("_cell", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_inner", F.coalesce(F.sum("_size").over(within), F.lit(0)))
     found = join_same(sizes, blocks, [*keys, "_block"])
-    return materialise(found.select(*keys, "_cell", "_sub", "_size", (F.col("_start") + F.col("_inner")).alias("_before"), "_total"), "cell-offsets")
+    found = found.select(*keys, "_cell", "_sub", "_size", (F.col("_start") + F.col("_inner")).alias("_before"), "_total")
+    return join_same(cells.rows, _small(found, cells.count), [*keys, "_cell", "_sub"])
 
 
 def with_rank(
@@ -144,14 +158,13 @@ def with_rank(
     parts = list(unique_key) if seed is None else [seed, *unique_key]
     hashed = df.withColumn("_tie", md5_of(*parts))
     known = hashed if value is None else hashed.filter(F.col(value).isNotNull())
-    cells = _place(known, keys, value, "_tie", rows_per_cell)
+    cells = _place(known, keys, value, "_tie", rows_per_cell, F.count(F.lit(1)))
     placed = cells.rows
     group = Window.partitionBy(*keys, "_cell", "_sub")
     order = [F.col(c) for c in ([] if value is None else [value]) + ["_tie", *unique_key]]
     position = F.row_number().over(group.orderBy(*order))
-    if cells.is_cut:
-        offsets = _offsets(placed, keys, cells.depth, F.count(F.lit(1)), cells.hot)
-        placed = join_same(placed, _checked(offsets), [*keys, "_cell", "_sub"])
+    if cells.table is not None:
+        placed = _with_offsets(cells, keys)
         rank = F.coalesce("_before", F.lit(0)) + position
         total = F.coalesce("_total", F.count(F.lit(1)).over(group))
     else:
@@ -208,12 +221,13 @@ def exact_median(
     keys = list(partition_by)
     known = df.filter(F.col(value).isNotNull()).select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("_value"))
     counted = materialise(known.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n")), "value-counts")
-    cells = _place(counted, keys, "_value", None, rows_per_cell)
+    cells = _place(counted, keys, "_value", None, rows_per_cell, F.sum("_n"))
     rows = cells.rows
     low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
-    if cells.is_cut:
-        offsets = _offsets(rows, keys, cells.depth, F.sum("_n"), None)
-        rows = join_same(rows, _checked(offsets), [*keys, "_cell", "_sub"])
+    if cells.table is not None:
+        rows = _with_offsets(cells, keys)
+        own = Window.partitionBy(*keys, "_cell")
+        rows = rows.withColumns({"_before": F.coalesce("_before", F.lit(0)), "_size": F.coalesce("_size", F.sum("_n").over(own)), "_total": F.coalesce("_total", F.sum("_n").over(own))})
         rows = rows.filter((F.col("_before") < high) & (F.col("_before") + F.col("_size") >= low))
     else:
         rows = rows.withColumns({"_before": F.lit(0), "_total": F.sum("_n").over(Window.partitionBy(*keys, "_cell"))})

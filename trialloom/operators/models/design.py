@@ -79,14 +79,14 @@ def design_frame(df: DataFrame, design: Design, keep: Sequence[str]) -> DataFram
 
 
 def level_codes(df: DataFrame, levels: dict[str, Sequence], codes: Sequence[str]) -> DataFrame:
-    """Replace each group column by its 0-based position in the group's levels.
+    """Replace each group column by its 0-based position in the group's levels; NULL stays NULL.
 
     A table of codes has a known size, by which Spark decides whether it is broadcast.
     """
     for (group, values), code in zip(levels.items(), codes):
         schema = StructType([df.schema[group], StructField(code, IntegerType())])
         table = small_frame(df.sparkSession, [(v, i) for i, v in enumerate(values)], schema)
-        df = df.join(table, group).drop(group)
+        df = df.join(table, group, "left").drop(group)
     return df
 
 

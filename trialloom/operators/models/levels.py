@@ -31,7 +31,7 @@ def _grouped(df: DataFrame, sets: Sequence[Sequence[str]], groups: Sequence[str]
     return df.groupingSets(wanted, *every).agg(F.grouping_id().alias("_set"), *[c.alias(n) for n, c in sums.items()]).toArrow()
 
 
-def _set_id(chosen: Sequence[str], groups: Sequence[str]) -> int:
+def set_number(chosen: Sequence[str], groups: Sequence[str]) -> int:
     """The number Spark gives to a grouping set: a bit for each column that is rolled up."""
     return sum(1 << (len(groups) - 1 - i) for i, g in enumerate(groups) if g not in chosen)
 
@@ -39,7 +39,7 @@ def _set_id(chosen: Sequence[str], groups: Sequence[str]) -> int:
 def level_totals(df: DataFrame, groups: Sequence[str], sums: dict[str, Column], keys: Sequence[str] = ()) -> list[pa.Table]:
     """For each factor a table of its levels with the sums; all factors share one pass."""
     found = _grouped(df, [[g] for g in groups], groups, keys, sums)
-    return [found.filter(pc.equal(found["_set"], _set_id([g], groups))).select([*keys, g, *sums]) for g in groups]
+    return [found.filter(pc.equal(found["_set"], set_number([g], groups))).select([*keys, g, *sums]) for g in groups]
 
 
 def pair_totals(df: DataFrame, groups: Sequence[str], weight: Column, keys: Sequence[str] = ()) -> list[tuple[int, int, pa.Table]]:
@@ -49,7 +49,7 @@ def pair_totals(df: DataFrame, groups: Sequence[str], weight: Column, keys: Sequ
         return []
     found = _grouped(df, [[groups[f], groups[g]] for f, g in pairs], groups, keys, {"w": weight})
     return [
-        (f, g, found.filter(pc.equal(found["_set"], _set_id([groups[f], groups[g]], groups))).select([*keys, groups[f], groups[g], "w"]))
+        (f, g, found.filter(pc.equal(found["_set"], set_number([groups[f], groups[g]], groups))).select([*keys, groups[f], groups[g], "w"]))
         for f, g in pairs
     ]
 

@@ -8,25 +8,30 @@ distinct covariate patterns. What leaves the cluster grows with the levels and w
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialloom.functions.nulls import member
 from trialloom.operators.models.design import Design, complete_rows, design_frame, level_codes
 from trialloom.operators.models.gram import centred_products, upper_matrix
-from trialloom.operators.models.levels import Solved, Structure, eliminate, level_totals, pair_totals
+from trialloom.operators.models.levels import Solved, Structure, eliminate, level_totals, pair_totals, set_number
 from trialloom.operators.models.linear import independent_columns, result_frame
 from trialloom.operators.models.optimise import batched_quadratic, nelder_mead
 from trialloom.session import materialise
 
+#: Intercepts of all points that may be written into a query; more go through a joined table.
+LITERAL_INTERCEPTS = 100_000
+
 
 @dataclass
 class MixedFit:
@@ -174,7 +179,14 @@ def covariate_patterns(frame: DataFrame, x: Sequence[str], outcome: str, groups:
 
 
 def group_levels(df: DataFrame, group: str) -> list:
-    return sorted(df.select(group).distinct().toArrow()[group].to_pylist())
+    return sorted(df.select(group).where(F.col(group).isNotNull()).distinct().toArrow()[group].to_pylist())
+
+
+def number_levels(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[int]]:
+    """The group columns as level numbers from 0 on, in the order of the levels, and how many levels each has."""
+    levels = {g: group_levels(df, g) for g in groups}
+    names = [f"_number{i}" for i in range(len(groups))]
+    return level_codes(df, levels, names).withColumnsRenamed(dict(zip(names, groups))), [len(levels[g]) for g in groups]
 
 
 @dataclass
@@ -209,47 +221,63 @@ class _Patterns:
         found = np.sort(np.concatenate(keys))
         return cls(frame, x, codes, Structure(sizes, found // max(q, 1), found % max(q, 1)), starts, found)
 
-    def weighted(self, points: Sequence[tuple[np.ndarray, np.ndarray]]) -> list[WeightedSums]:
-        """The sums at every (coefficients, intercepts) point, from grouped aggregates over all patterns.
-
-        A point is a row beside each pattern; coefficients are array literals and intercepts a table per factor, so the
-        same generated code serves every step.
-        """
-        m, p, q = len(points), len(self.x) + 1, self.structure.q
-        df = self.frame
+    def _terms(self, points: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[DataFrame, str]:
+        """Patterns and, as SQL, the intercept at point ``_k``: a literal while it is small, else a table per factor."""
+        m, q, df = len(points), self.structure.q, self.frame
+        if m * q <= LITERAL_INTERCEPTS:
+            return df, " + ".join(f"_own[_k * {q} + {c} + {at}]" for c, at in zip(self.codes, self.starts))
         for f, code in enumerate(self.codes):
             own = np.stack([b[self.starts[f] : self.starts[f + 1]] for _, b in points], axis=1)
             lists = pa.ListArray.from_arrays(np.arange(0, own.size + 1, m, dtype=np.int32), own.ravel())
             table = pa.table({code: pa.array(np.arange(len(own), dtype=np.int32)), f"_b{f}": lists})
             df = df.join(df.sparkSession.createDataFrame(table), code)
-        beta = F.lit([float(v) for b, _ in points for v in b])
-        rows = df.withColumn("_k", F.explode(F.lit(list(range(m)))))
-        at = lambda j: beta[F.col("_k") * p + j]
-        eta: Column = at(0)
-        for j, c in enumerate(self.x):
-            eta = eta + at(j + 1) * F.col(c)
-        for f in range(len(self.codes)):
-            eta = eta + F.col(f"_b{f}")[F.col("_k")]
-        rows = rows.select("_k", *self.codes, *self.x, "_n", "_s", eta.alias("_eta"))
-        rows = rows.withColumn("_mu", 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), F.col("_eta"))))))
-        rows = rows.withColumns({"_w": F.col("_n") * F.col("_mu") * (1 - F.col("_mu")), "_r": F.col("_s") - F.col("_n") * F.col("_mu")})
-        loglik = F.col("_s") * F.col("_eta") - F.col("_n") * (F.greatest(F.col("_eta"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("_eta"))))
-        ones = [F.lit(1.0), *[F.col(c) for c in self.x]]
-        upper = [(i, j) for i in range(p) for j in range(i, p)]
-        whole = [F.sum(loglik).alias("ll"), *[F.sum(F.col("_r") * c).alias(f"g{j}") for j, c in enumerate(ones)]]
-        whole += [F.sum(F.col("_w") * ones[i] * ones[j]).alias(f"p_{i}_{j}") for i, j in upper]
-        per_level = {"r": F.sum("_r"), **{f"z{j}": F.sum(F.col("_w") * c) for j, c in enumerate(ones)}}
+        return df, " + ".join(f"_b{f}[_k]" for f in range(len(self.codes)))
+
+    def weighted(self, points: Sequence[tuple[np.ndarray, np.ndarray]]) -> list[WeightedSums]:
+        """The sums at every (coefficients, intercepts) point, from grouped aggregates over all patterns.
+
+        A point is a row beside each pattern. Coefficients are array literals that the generated code refers to, so the
+        same code serves every step.
+        """
+        m, p, q, codes = len(points), len(self.x) + 1, self.structure.q, ", ".join(self.codes)
+        df, intercept = self._terms(points)
+        args = {"m": m, "beta": json.dumps([float(v) for b, _ in points for v in b]), "own": "[]"}
+        if df is self.frame:
+            args["own"] = json.dumps([float(v) for _, b in points for v in b])
+        slopes = "".join(f" + _beta[_k * {p} + {j + 1}] * {c}" for j, c in enumerate(self.x))
+        kept = ", ".join(["_k", *self.codes, *self.x, "_n", "_s"])
+        rows = f"""
+        WITH a AS (SELECT *, from_json(:beta, 'array<double>') AS _beta, from_json(:own, 'array<double>') AS _own,
+                          explode(sequence(0, :m - 1)) AS _k FROM {{patterns}}),
+        e AS (SELECT {kept}, _beta[_k * {p}]{slopes} + {intercept} AS _eta FROM a),
+        v AS (SELECT *, 1 / (1 + exp(-greatest(-35D, least(35D, _eta)))) AS _mu FROM e),
+        r AS (SELECT *, _n * _mu * (1 - _mu) AS _w, _s - _n * _mu AS _r FROM v)"""
+        ones = ["1D", *self.x]
+        whole = ["sum(_s * _eta - _n * (greatest(_eta, 0D) + log1p(exp(-abs(_eta))))) AS ll"]
+        whole += [f"sum(_r * {c}) AS g{j}" for j, c in enumerate(ones)]
+        whole += [f"sum(_w * {ones[i]} * {ones[j]}) AS p_{i}_{j}" for i in range(p) for j in range(i, p)]
+        per_level = ["sum(_r) AS r", *[f"sum(_w * {c}) AS z{j}" for j, c in enumerate(ones)]]
+
+        def grouped(sets: Sequence[Sequence[str]], sums: Sequence[str]) -> list[pa.Table]:
+            if not sets:
+                return []
+            listed = ", ".join(f"(_k, {', '.join(s)})" for s in sets)
+            text = f"{rows} SELECT _k, {codes}, grouping_id() AS _set, {', '.join(sums)} FROM r GROUP BY _k, {codes} GROUPING SETS ({listed})"
+            found = df.sparkSession.sql(text, args, patterns=df).toArrow()
+            return [found.filter(pc.equal(found["_set"], set_number(s, self.codes))) for s in sets]
+
+        two = list(combinations(range(len(self.codes)), 2))
         # three independent jobs over one stored table
         with ThreadPoolExecutor(3) as pool:
-            first = pool.submit(lambda: rows.groupBy("_k").agg(*whole).collect())
-            second = pool.submit(level_totals, rows, self.codes, per_level, ["_k"])
-            third = pool.submit(pair_totals, rows, self.codes, F.sum("_w"), ["_k"])
-            overall, levels, pairs = first.result(), second.result(), third.result()
+            first = pool.submit(lambda: df.sparkSession.sql(f"{rows} SELECT _k, {', '.join(whole)} FROM r GROUP BY _k", args, patterns=df).collect())
+            second = pool.submit(grouped, [[c] for c in self.codes], per_level)
+            third = pool.submit(grouped, [[self.codes[f], self.codes[g]] for f, g in two], ["sum(_w) AS w"])
+            overall, levels, pairs = first.result(), second.result(), [(*fg, t) for fg, t in zip(two, third.result())]
         out = [None] * m
         for r in overall:
             out[r["_k"]] = WeightedSums(r["ll"], np.array([r[f"g{j}"] for j in range(p)]), upper_matrix(r, p), np.zeros(q), np.zeros((q, p)), np.zeros(len(self.pair_keys)))
         for f, t in enumerate(levels):
-            point, place, values = t["_k"].to_numpy(), t[self.codes[f]].to_numpy().astype(int) + self.starts[f], _columns(t, list(per_level))
+            point, place, values = t["_k"].to_numpy(), t[self.codes[f]].to_numpy().astype(int) + self.starts[f], _columns(t, ["r", *[f"z{j}" for j in range(p)]])
             for k in range(m):
                 mine = point == k
                 out[k].gz[place[mine]] = values[mine, 0]
@@ -293,10 +321,13 @@ class _Patterns:
 
 
 def fit_logistic(
-    df: DataFrame, outcome: str, design: Design, groups: Sequence[str], inner: int = 60
+    df: DataFrame, outcome: str, design: Design, groups: Sequence[str], inner: int = 60, numbered: Sequence[int] | None = None
 ) -> MixedFit:
     """Logistic fit by the Laplace criterion; the outer search is over the random-intercept spreads only.
 
+    ``numbered`` says that the groups hold level numbers from 0 on, and how many each has (see ``number_levels``); a
+    level without rows changes nothing.
+
     First the spreads are taken from the parabola at the last point, which needs one pass each time and ends close by;
     then a whole batch of candidates shares each pass, every one started where the parabola puts it.
     """
@@ -304,10 +335,12 @@ def fit_logistic(
     frame = design_frame(rows, design, [F.col(outcome).alias("_y"), *groups])
     x_all = [f"x{i}" for i in range(len(design.terms))]
     patterns = materialise(covariate_patterns(frame, x_all, "_y", groups), "patterns")
-    levels = {g: group_levels(patterns, g) for g in groups}
     codes = [f"_g{i}" for i in range(len(groups))]
-    sizes = [len(levels[g]) for g in groups]
-    coded = materialise(level_codes(patterns, levels, codes), "patterns")
+    if numbered is None:
+        coded, sizes = number_levels(patterns, groups)
+        coded = materialise(coded.withColumnsRenamed(dict(zip(groups, codes))), "patterns")
+    else:
+        coded, sizes = patterns.withColumnsRenamed(dict(zip(groups, codes))), list(numbered)
     weighted = patterns.select(
         *[(F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(c) for c in x_all], F.sum("_n"), F.sum("_s")
     ).first() if x_all else patterns.select(F.sum("_n"), F.sum("_s")).first()

@@ -18,7 +18,7 @@ from trialloom.operators.exposure import ExposureSpec, assigned, exposure_flags
 from trialloom.operators.features import group_flag
 from trialloom.operators.models.design import Design, crossed, main
 from trialloom.operators.models.linear import result_frame
-from trialloom.operators.models.mixed import fit_linear, fit_logistic
+from trialloom.operators.models.mixed import fit_linear, fit_logistic, number_levels
 from trialloom.operators.samples import SampleRegistry, planned_samples
 from trialloom.session import materialise
 
@@ -109,6 +109,9 @@ def fit_grid(
         flagged.filter(some).select(*sorted(needed | set(groups)), *[F.col(f"`in_{m}`") for m in sorted(masks)]),
         "sample",
     )
+    # levels are numbered once for all fits
+    stored, sizes = number_levels(stored, groups)
+    stored = materialise(stored, "numbered-sample")
     binary = _binary_outcomes(stored, fits)
     enough = _enough_rows(stored, fits, models, groups)
 
@@ -116,7 +119,10 @@ def fit_grid(
         if not enough[spec]:
             return _without_fit(df.sparkSession, spec)
         rows = stored.filter(F.col(f"`in_{spec.sample}`"))
-        fit = (fit_logistic if binary[spec] else fit_linear)(rows, spec.outcome, models[spec.model], groups)
+        if binary[spec]:
+            fit = fit_logistic(rows, spec.outcome, models[spec.model], groups, numbered=sizes)
+        else:
+            fit = fit_linear(rows, spec.outcome, models[spec.model], groups)
         return fit.table(df.sparkSession, spec.model, spec.outcome, spec.sample)
 
     # the fits are independent small jobs on one stored table, so they are submitted together

@@ -32,6 +32,8 @@ from trialloom.session import materialise
 CHUNK_WORDS, HELD_WORDS = 500_000, 1_000_000
 #: Distinct phrases that one merge is meant to hold, and the most buckets that a round of merging deals to.
 BUCKET_ENTRIES, ROUND_BUCKETS = 2_000_000, 512
+#: Lanes by the hash of a phrase in which the best phrases of a language are found before they meet.
+LANES = 64
 #: Ranges of the hash of a word within which words are numbered.
 NUMBER_RANGES = 1024
 
@@ -397,7 +399,9 @@ def collocations(
             rows = rows.where(F.coalesce(100 * F.col("over") < inside_percent * F.col("a"), F.lit(True))).drop("over")
         scored = rows if scored is None else scored.unionByName(rows)
     scored = scored.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
-    # the filter on the rank lets every task keep its own best rows before anything is shuffled
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # the best of each of a fixed number of lanes first, so that what one task gets of a language has a bound
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    lane = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(LANES))).orderBy(*order)
+    best = scored.withColumn("rank", F.row_number().over(lane)).where(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(lengths, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 from check import DATA, check, duck
 from samples import awkward, empty, prose
 from trialloom.llm import mixing, registry, sharding
@@ -108,6 +109,9 @@ def test_rendezvous(spark, rows_per_cell):
 
 def test_rendezvous_awkward(spark, tmp_path):
     docs = awkward(spark)
+    clash = docs.select("doc_id", "text", *[F.lit(1).alias(f"__{c}") for c in ("s", "c", "n", "order", "cell", "before", "count", "shard", "its_cell")])
+    got = sharding.rendezvous(clash, [1.0] * 3)
+    assert got.count() == 15 and {*clash.columns} < {*got.columns}
     got = sharding.rendezvous(docs, [1.0] * 24)
     assert got.count() == 15 and len(set(got.columns)) == len(got.columns)
     assert sharding.rendezvous(empty(spark), [1.0] * 3).count() == 0
@@ -157,3 +161,13 @@ def test_pipeline_stages_awkward(spark):
                 assert out.columns == docs.columns
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Null and repeated ids: rows are told apart by themselves, not by their ids."""
+    a, b, c, d = (prose(seed, 60) for seed in range(4))
+    rows = [(None, a), (None, a), (1, b), (1, b), (2, c), (2, b + " more"), (5, d), (None, None), (None, None), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, f"{DATA}/sf0.001")
+    assert out.columns == docs.columns
+    # texts without words resemble nothing
+    wanted = [(None, a), (1, b), (2, c), (5, d), (None, None), (None, None), (3, ""), (3, "")]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(wanted, key=str)

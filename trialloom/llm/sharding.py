@@ -57,7 +57,7 @@ def rendezvous(
     more = grown_weight or sum(weights) / len(weights)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     key = record_key(id_col)
-    order, cell, before = fresh(docs, "order"), fresh(docs, "cell"), fresh(docs, "before")
+    order, cell, before, count, its_shard, its_cell = (fresh(docs, n) for n in ("order", "cell", "before", "count", "shard", "its_cell"))
     cells = max(1, math.ceil(docs.count() / (len(weights) * rows_per_cell)))
     rows = docs.withColumns(
         {
@@ -72,10 +72,10 @@ def rendezvous(
     placed = Window.partitionBy("shard", cell).orderBy(order, "text_crc32", "size")
     earlier = Window.partitionBy("shard").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     # one row for each shard and cell: the running sum is over counts, not over documents
-    counts = rows.groupBy("shard", cell).agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.select(F.col("shard").alias("__s"), F.col(cell).alias("__c"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias(before))
+    counts = rows.groupBy("shard", cell).agg(F.count(F.lit(1)).alias(count))
+    counts = counts.select(F.col("shard").alias(its_shard), F.col(cell).alias(its_cell), F.coalesce(F.sum(count).over(earlier), F.lit(0)).alias(before))
     numbered = rows.withColumn("slot", (F.row_number().over(placed) - 1).cast("long"))
-    joined = numbered.join(counts, (F.col("shard") == F.col("__s")) & (F.col(cell) == F.col("__c")))
+    joined = numbered.join(counts, (F.col("shard") == F.col(its_shard)) & (F.col(cell) == F.col(its_cell)))
     return joined.withColumn("slot", F.col("slot") + F.col(before)).select(*docs.columns, *added)
 
 

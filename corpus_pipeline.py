@@ -15,31 +15,55 @@ from trialloom.session import materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below one half."""
+    """Documents whose toxicity is below one half.
+
+    Every row is judged by its own text, so repeated rows and ids stay or go alike; null and empty texts hold no
+    lexicon entry. Rows without id are judged, but teach nothing. An empty table stays empty.
+    """
     lexicon = toxicity.fit_lexicon(docs, table(spark, sf_dir, "labels"))
     score = fresh(docs, "toxicity")
     return docs.withColumn(score, toxicity.toxicity(F.col("text"), lexicon)).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.8 or more, the one with the smallest id."""
-    groups = ngram_join.jaccard_components(docs, k=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(name := fresh(docs, "copy")))
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    """Of each group of rows linked by five-word shingles at 0.8 or more, the one with the smallest id.
+
+    Exactly one row of a group stays, whatever the ids: rows carry a number of their own, which also decides between
+    equal ids; null ids come last. Rows without words are no copies of anything and stay. An empty table stays empty.
+    """
+    number, key = fresh(docs, "number"), fresh(docs, "key")
+    rows = docs.withColumn(number, F.monotonically_increasing_id())
+    rows = rows.withColumn(key, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(number).alias("number")))
+    # written once, so that a number means the same row in both readings
+    rows = materialise(rows, "numbered-documents")
+    groups = ngram_join.jaccard_components(rows.select(key, "text"), k=5, percent=80, id_col=key)
+    gone = groups.where(F.col("doc_id.number") != F.col("component_id.number")).select(F.col("doc_id.number").alias(number))
+    return rows.join(gone, number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no item of ``benchmark``."""
+    """Documents that overlap with no item of ``benchmark``.
+
+    Ids of overlapping rows go, with every row that has such an id; null and empty texts overlap with nothing. An empty
+    table stays empty.
+    """
     return decontaminate.without_overlaps(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of sources; a document that is taken more than once is there as often."""
+    """The mixture of sources; a document that is taken more than once is there as often.
+
+    A null source is a source of its own; texts without words have size 0. Rows equal in id and text are drawn alike.
+    An empty table stays empty.
+    """
     return mixing.repeat_rows(mixing.mix(docs)).select(*docs.columns)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with shard and slot."""
+    """All rows with shard and slot.
+
+    Equal ids share a shard and null ids share one; equal rows take neighbouring slots. An empty table gives no rows.
+    """
     return sharding.rendezvous(docs, [1.0] * 24)
 
 

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from trialloom.operators.rules import rule_truth
 from trialloom.operators.checks import (
     answer_missing, choice_count_off, failure_counts, not_numeric, recode, too_short, with_checks,
 )
@@ -129,6 +130,59 @@ def test_rules(definitions):
     )
 
 
+def test_rules_of_any_depth_from_one_scan(spark, tmp_path):
+    flow, logic = {"FlowID": "F40", "BranchLogic": {"0": {"0": {"LogicType": "Question", "LeftOperand": "end"}}}}, {"LeftOperand": "leaf"}
+    for i in range(39, 0, -1):
+        flow = {"FlowID": f"F{i}", "Flow": [flow, {"FlowID": "x"}]}
+    for i in range(12):
+        logic = {str(i % 3): logic, "Type": "Group"}
+    doc = {"SurveyEntry": {"SurveyName": "s"}, "SurveyElements": [
+        {"Element": "FL", "Payload": {"Flow": [flow]}},
+        {"Element": "SQ", "Payload": {"DataExportTag": "q", "DisplayLogic": logic}},
+        {"Element": "SQ", "Payload": {"DataExportTag": "none", "DisplayLogic": "text"}},
+        {"Element": "NT"},
+    ]}
+    path = str(tmp_path / "defs")
+    spark.createDataFrame([(json.dumps(doc),), (None,)], "definition string").write.parquet(path)
+    out = rules(spark.read.parquet(path))
+    assert rows(out, "target", "path", "left") == [("F40", "0.0", "end"), ("q", "2.1.0.2.1.0.2.1.0.2.1.0", "leaf")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_recode_of_large_codebook(spark):
+    """A choice listed twice counts once; rows stay single."""
+    book = spark.range(100_000).select(F.lit("s").alias("survey"), F.lit("a").alias("tag"), F.col("id").cast("string").alias("choice_id"), (F.col("id") * 2).cast("string").alias("recode"))
+    book = book.unionByName(book.limit(0)).unionByName(spark.createDataFrame([("s", "a", "7", "99"), ("s", "b", "1", "5"), ("t", "a", "1", "6")], book.schema))
+    df = spark.createDataFrame([(1, "s", "7", 1), (2, "s", "99999", None), (3, "t", "1", 1), (4, None, "1", 1), (5, "s", None, 2)], "i int, survey string, a string, b int")
+    out = recode(df, ["a", "b"], book, prefix="c_")
+    assert sorted((r.i, r.c_a, r.c_b) for r in out.collect()) == [(1, 14.0, 5.0), (2, 199998.0, None), (3, 6.0, None), (4, None, None), (5, None, None)]
+
+
+def test_rule_truth(spark):
+    """Groups and terms fold from the deepest level; "and" binds tighter than "or"; what is unknown stays so."""
+    terms = [
+        # a or b and (c or not d)
+        ("s", "t1", "0.0", "a", "Selected", None, None), ("s", "t1", "0.1", "b", "Selected", None, "Or"),
+        ("s", "t1", "0.2.0", "c", "Selected", None, "And"), ("s", "t1", "0.2.1", "d", "NotSelected", None, "Or"),
+        # (x = 10) or (y > 2)
+        ("s", "t2", "0.0", "x", "EqualTo", "10", None), ("s", "t2", "1.0", "y", "GreaterThan", "2", "Or"),
+        ("s", "t3", "0.0", "a", "Displayed", None, None), ("s", "t3", "0.1", "b", "Selected", None, "And"),
+    ]
+    table = spark.createDataFrame(terms, "survey string, target string, path string, left string, operator string, right string, conjunction string")
+    cases = [(i, [k for k, on in zip("abcd", f"{i:04b}") if on == "1"], x, y) for i, (x, y) in enumerate([("10", "1"), ("10.0", None), ("9", "3"), (None, None)] * 4)]
+    responses = spark.createDataFrame([(i, "s") for i, *_ in cases] + [(99, "other")], "i int, survey string")
+    known = [(i, k, None) for i, on, _, _ in cases for k in on] + [(i, k, v) for i, _, x, y in cases for k, v in (("x", x), ("y", y)) if v]
+    out = {(r.i, r.target): r.holds for r in rule_truth(responses, ["i"], "survey", table, spark.createDataFrame(known, "i int, left string, value string")).collect()}
+    for i, on, x, y in cases:
+        a, b, c, d = (k in on for k in "abcd")
+        assert out[i, "t1"] == (a or (b and (c or not d)))
+        left, right = None if x is None else float(x) == 10, None if y is None else float(y) > 2
+        assert out[i, "t2"] == (True if left or right else None if None in (left, right) else False)
+        assert out[i, "t3"] == (None if b else False)
+    assert len(out) == 48
+
+
 def test_validations(definitions):
     out = {r["tag"]: r for r in validations(definitions).collect()}
     assert (out["hours"]["requested"], out["hours"]["max_value"], out["hours"]["min_chars"]) == (True, 100.0, None)

@@ -72,22 +72,17 @@ def recode(
 ) -> DataFrame:
     """Raw choice ids to analysis codes by the codebook's ``choices(survey, tag, choice_id, recode)``.
 
-    The codebook is folded to one row per survey holding a map ``tag -> choice -> code``, so that responses
-    stay wide: one join on the survey however many columns are recoded, no unpivot and no pivot back.
+    Every column is joined to the choices of its own tag, so a row costs the same however many choices a survey has, and
+    responses stay wide. Choices that a codebook lists twice count once, with the smallest code; an answer that is no
+    choice, or whose choice has no code, gives NULL.
     """
     coded = choices.filter(F.col("tag").isin(list(columns)) & F.col("recode").isNotNull())
-    book = coded.groupBy(F.col("survey").alias("_survey")).agg(
-        F.map_from_entries(
-            F.collect_set(F.struct(F.concat_ws("\u0001", "tag", "choice_id").alias("k"), F.col("recode").alias("v")))
-        ).alias("_book")
-    )
-    # keyed by structs, so that the responses of a dominant survey can be split whatever the codebook's size
-    joined = df.join(book, F.struct(survey) == F.struct("_survey"), "left")
-    return joined.withColumns(
-        {
-            f"{prefix}{c}": F.try_element_at(
-                "_book", F.concat_ws("\u0001", F.lit(c), F.col(c).cast("string"))
-            ).try_cast("double")
-            for c in columns
-        }
-    ).drop("_survey", "_book")
+    book = coded.groupBy("survey", "tag", "choice_id").agg(F.min("recode").alias("_code"))
+    found = {}
+    for i, c in enumerate(columns):
+        own = book.filter(F.col("tag") == c).select(F.col("survey").alias("_survey"), F.col("choice_id").alias("_choice"), F.col("_code").alias(f"_code{i}"))
+        # an answer takes part in the key, so the responses of a dominant survey are spread over its choices, and those of
+        # a dominant choice can be split
+        df = df.join(own, F.struct(survey, F.col(c).cast("string")) == F.struct("_survey", "_choice"), "left").drop("_survey", "_choice")
+        found[f"{prefix}{c}"] = F.col(f"_code{i}").try_cast("double")
+    return df.withColumns(found).drop(*[f"_code{i}" for i in range(len(columns))])

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from trialloom.operators.checks import (
     answer_missing, choice_count_off, failure_counts, not_numeric, recode, too_short, with_checks,
 )
+from trialloom.operators.rules import breaches, facts, rule_truth
 from trialloom.registry.inputs import SURVEY_SQL, read, survey
-from trialloom.session import scratch_path
-from trialloom.sources.codebook import answers, choices, questions, rules, validations
+from trialloom.session import materialise, scratch_path
+from trialloom.sources.codebook import answers, choices, display_rules, questions, rules, validations
 from trialloom.sources.harmonise import harmonise
 from trialloom.sources.tables import load_snapshot, read_catalogue, read_csv, save_snapshot
 
@@ -21,7 +22,9 @@ DEFINITION = """{"SurveyEntry":{"SurveyName":"S%1$d"},"SurveyElements":[
 {"0":{"0":{"LogicType":"Question","LeftOperand":"q://Q1/Displayed","Operator":"Displayed"},"Type":"If"},
 "Type":"BooleanExpression"},"Flow":[{"Type":"Branch","FlowID":"F2","BranchLogic":{"0":{"0":
 {"LogicType":"EmbeddedField","LeftOperand":"affirm","Operator":"EqualTo","RightOperand":"%2$d"},"Type":"If"},
-"Type":"BooleanExpression"}}]}]}},
+"Type":"BooleanExpression"},"Flow":[{"Type":"Group","FlowID":"F3","Flow":[{"Type":"Group","FlowID":"F4","Flow":[
+{"Type":"Branch","FlowID":"F5","BranchLogic":{"0":{"0":{"LogicType":"Question","LeftOperand":"q://Q4/2",
+"Operator":"Selected"},"Type":"If"},"Type":"BooleanExpression"}}]}]}]}]}]}},
 {"Element":"SQ","Payload":{"DataExportTag":"kind","QuestionID":"Q1","QuestionType":"MC","Selector":"SAVR",
 "SubSelector":"TX","QuestionText":"<b>%3$s</b>","Choices":{"1":{"Display":" %4$s "},"10":{"Display":"%5$s"}},
 "RecodeValues":{"1":"%2$d","10":0},"DisplayLogic":{"0":{"0":{"LogicType":"Question","LeftOperand":"q://Q2/1",
@@ -37,7 +40,10 @@ DEFINITION = """{"SurveyEntry":{"SurveyName":"S%1$d"},"SurveyElements":[
 "LeftOperand":"q://Q3/text","Operator":"DoesNotContain","RightOperand":"%4$s"},"Type":"If"},
 "Type":"BooleanExpression"}}}}}},
 {"Element":"SQ","Payload":{"DataExportTag":"values","QuestionID":"Q4","QuestionType":"MC","Selector":"MAVR",
-"QuestionText":"Pick","Validation":{"Settings":{"ForceResponse":"OFF","MinChoices":"2","MaxChoices":"12"}}}}]}"""
+"QuestionText":"Pick","DisplayLogic":{"0":{"0":{"0":{"LogicType":"Question","LeftOperand":"q://Q2/1",
+"Operator":"Selected"},"1":{"LogicType":"EmbeddedField","LeftOperand":"plans","Operator":"GreaterThan",
+"RightOperand":"%2$d","Conjuction":"And"},"Type":"Group"},"1":{"LogicType":"Question","LeftOperand":"q://Q1/10",
+"Operator":"Selected","Conjuction":"Or"},"Type":"If"},"Type":"BooleanExpression"},"Validation":{"Settings":{"ForceResponse":"OFF","MinChoices":"2","MaxChoices":"12"}}}}]}"""
 
 
 def definitions(spark, sf_dir):
@@ -106,6 +112,44 @@ def q_recode(spark, sf_dir):
     return coded.select("event_id", "k", F.col("code_k").cast("int").alias("code_k"))
 
 
+def _line_responses(spark, sf_dir):
+    """Every order line as a response to its part's survey."""
+    lines = read(spark, sf_dir, "lineitem")
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    return lines.select(
+        "l_orderkey",
+        "l_linenumber",
+        F.concat(F.lit("S"), "l_partkey").alias("survey"),
+        F.when(q > 40, "10").when(q > 30, "1").alias("kind"),
+        F.when(n % 3 > 0, n % 3).alias("grid"),
+        F.when(n < 5, F.concat((3 * q).cast("int"), F.when(q > 48, " or so").otherwise(""))).alias("listed"),
+        F.when(q % 2 == 0, "1").alias("values"),
+        q.cast("int").alias("plans"),
+    )
+
+
+_TAGS = {t: t for t in ("kind", "grid", "listed", "values")}
+
+
+def q_rule_breaches(spark, sf_dir):
+    """Answers that break a validation of their survey, by question."""
+    out = breaches(_line_responses(spark, sf_dir), ["l_orderkey", "l_linenumber"], "survey", _TAGS, validations(definitions(spark, sf_dir)))
+    kinds = ["missing", "not_numeric", "out_of_range", "too_short"]
+    return out.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c)).alias(c) for c in kinds])
+
+
+def q_rule_display(spark, sf_dir):
+    """Display rules of a response's survey, and whether a question was answered though its rule hid it."""
+    # lines have no key, so each gets a number, written once before it is joined on
+    responses = materialise(_line_responses(spark, sf_dir).withColumn("row_id", F.monotonically_increasing_id()), "responses")
+    book, ids = definitions(spark, sf_dir), ["row_id"]
+    choices_ = {t: t for t in ("kind", "grid")}
+    known = facts(responses, ids, "survey", choices_, ["plans"], questions(book))
+    shown = rule_truth(responses, ids, "survey", display_rules(book), known)
+    answered = responses.select(*ids, F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("string").isNotNull().alias("answered")) for t in ("kind", "values")])))
+    return shown.join(answered, [*ids, "target"]).groupBy("target", "holds").agg(F.count(F.lit(1)).alias("n"), F.count_if("answered").alias("n_answered"))
+
+
 def q_validate(spark, sf_dir):
     rows = survey(spark, sf_dir)
     ticks = [f"tick_{i}" for i in range(1, 11)]
@@ -201,6 +245,8 @@ QUERIES = {
     "rules": q_rules,
     "validations": q_validations,
     "recode": q_recode,
+    "rule_breaches": q_rule_breaches,
+    "rule_display": q_rule_display,
     "validate": q_validate,
     "harmonise": q_harmonise,
     "catalogue_dates": q_catalogue_dates,
@@ -210,6 +256,12 @@ QUERIES = {
 
 _TICKS = " + ".join(f"CAST(coalesce(mrmi_mrmi_{i} = 'Very Important', false) AS INT)" for i in range(1, 11))
 
+_RESPONSES = """r AS (SELECT p_size, CASE WHEN l_quantity > 40 THEN '10' WHEN l_quantity > 30 THEN '1' END AS kind,
+             CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber % 3 END AS grid,
+             CASE WHEN l_linenumber < 5 THEN concat(CAST(3 * l_quantity AS INT), CASE WHEN l_quantity > 48 THEN ' or so' ELSE '' END) END AS listed,
+             CASE WHEN l_quantity % 2 = 0 THEN '1' END AS vals, CAST(l_quantity AS INT) AS plans
+      FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
 ORACLE = {
     "codebook_questions": """
 SELECT concat('S', p_partkey) AS survey, 'kind' AS tag, 'Q1' AS qid, 'MC' AS type, 'SAVR' AS selector, 'TX' AS sub_selector,
@@ -228,12 +280,16 @@ UNION ALL SELECT concat('S', p_partkey), 'listed', '2', 'other', NULL FROM part"
 SELECT concat('S', p_partkey) AS survey, 'grid' AS tag, '1' AS answer_id, 'Very' AS label, '5' AS recode FROM part
 UNION ALL SELECT concat('S', p_partkey), 'grid', '2', 'Not', CAST(p_size AS VARCHAR) FROM part""",
     "rules": """
-SELECT concat('S', p_partkey) AS survey, 'F1' AS target, 'Question' AS logic_type, 'q://Q1/Displayed' AS left,
+SELECT concat('S', p_partkey) AS survey, 'F1' AS target, '0.0' AS path, 'Question' AS logic_type, 'q://Q1/Displayed' AS left,
        'Displayed' AS operator, NULL AS right, NULL AS conjunction FROM part
-UNION ALL SELECT concat('S', p_partkey), 'F2', 'EmbeddedField', 'affirm', 'EqualTo', CAST(p_size AS VARCHAR), NULL FROM part
-UNION ALL SELECT concat('S', p_partkey), 'kind', 'Question', 'q://Q2/1', 'Selected', NULL, NULL FROM part
-UNION ALL SELECT concat('S', p_partkey), 'kind', 'Question', 'q://Q2/2', 'NotSelected', NULL, 'Or' FROM part
-UNION ALL SELECT concat('S', p_partkey), 'listed', 'Question', 'q://Q3/text', 'DoesNotContain', p_type, NULL FROM part""",
+UNION ALL SELECT concat('S', p_partkey), 'F2', '0.0', 'EmbeddedField', 'affirm', 'EqualTo', CAST(p_size AS VARCHAR), NULL FROM part
+UNION ALL SELECT concat('S', p_partkey), 'F5', '0.0', 'Question', 'q://Q4/2', 'Selected', NULL, NULL FROM part
+UNION ALL SELECT concat('S', p_partkey), 'kind', '0.0', 'Question', 'q://Q2/1', 'Selected', NULL, NULL FROM part
+UNION ALL SELECT concat('S', p_partkey), 'kind', '0.1', 'Question', 'q://Q2/2', 'NotSelected', NULL, 'Or' FROM part
+UNION ALL SELECT concat('S', p_partkey), 'values', '0.0.0', 'Question', 'q://Q2/1', 'Selected', NULL, NULL FROM part
+UNION ALL SELECT concat('S', p_partkey), 'values', '0.0.1', 'EmbeddedField', 'plans', 'GreaterThan', CAST(p_size AS VARCHAR), 'And' FROM part
+UNION ALL SELECT concat('S', p_partkey), 'values', '0.1', 'Question', 'q://Q1/10', 'Selected', NULL, 'Or' FROM part
+UNION ALL SELECT concat('S', p_partkey), 'listed', '0.0', 'Question', 'q://Q3/text', 'DoesNotContain', p_type, NULL FROM part""",
     "validations": """
 WITH q AS (SELECT concat('S', p_partkey) AS survey, p_size FROM part)
 SELECT survey, tag, CASE tag WHEN 'listed' THEN true WHEN 'values' THEN false END AS requested,
@@ -245,6 +301,19 @@ FROM q, (VALUES ('kind'), ('grid'), ('listed'), ('values')) t(tag)""",
     "recode": """
 WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)
 SELECT event_id, k, CASE WHEN CAST(k AS INT) < 90 THEN 100 - CAST(k AS INT) END AS code_k FROM e""",
+    "rule_breaches": f"""
+WITH {_RESPONSES}
+SELECT tag, count(*) AS n, count(*) FILTER (tag = 'listed' AND v IS NULL) AS missing,
+       count(*) FILTER (tag = 'listed' AND v IS NOT NULL AND try_cast(v AS DOUBLE) IS NULL) AS not_numeric,
+       count(*) FILTER (tag = 'listed' AND coalesce(try_cast(v AS DOUBLE) NOT BETWEEN 0 AND 100, false)) AS out_of_range,
+       count(*) FILTER (tag = 'listed' AND coalesce(length(v) < p_size, false)) AS too_short
+FROM (SELECT 'kind' AS tag, kind AS v, p_size FROM r UNION ALL SELECT 'grid', grid::VARCHAR, p_size FROM r
+      UNION ALL SELECT 'listed', listed, p_size FROM r UNION ALL SELECT 'values', vals, p_size FROM r) GROUP BY tag""",
+    "rule_display": f"""
+WITH {_RESPONSES},
+t AS (SELECT 'kind' AS target, (grid IS NOT NULL AND grid = 1) OR NOT (grid IS NOT NULL AND grid = 2) AS holds, kind IS NOT NULL AS answered FROM r
+      UNION ALL SELECT 'values', (grid IS NOT NULL AND grid = 1 AND plans > p_size) OR (kind IS NOT NULL AND kind = '10'), vals IS NOT NULL FROM r)
+SELECT target, holds, count(*) AS n, count(*) FILTER (answered) AS n_answered FROM t GROUP BY 1, 2""",
     "validate": f"""
 WITH s AS (SELECT *, {_TICKS} AS ticks FROM ({SURVEY_SQL})),
 f AS (SELECT "group", hours IS NULL OR trim(hours) = '' AS a,

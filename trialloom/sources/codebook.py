@@ -7,6 +7,8 @@ work is spread over documents, and one document is bounded by what a person can
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,101 +90,119 @@ def answers(definitions: DataFrame, column: str = "definition") -> DataFrame:
     return _options(definitions, column, "Answers").withColumnRenamed("option_id", "answer_id")
 
 
+def _empty_variants() -> Column:
+    return F.array().cast("array<variant>")
+
+
+def _numbered(node: Column) -> Column:
+    """Entries of a map that are keyed by numbers; none for anything else."""
+    members = F.map_filter(F.try_variant_get(node, "$", "map<string,variant>"), lambda k, v: k.rlike("^[0-9]+$"))
+    return F.coalesce(F.map_entries(members), F.array().cast("array<struct<key:string,value:variant>>"))
+
+
+def _walk(start: Column, children, steps: Column) -> Column:
+    """All nodes of a tree: ``start``, their children, and so on for ``steps`` levels.
+
+    The walk is a fold inside the row; a level that has no children leaves nothing to do for the ones after it.
+    """
+
+    def deeper(state: Column, _: Column) -> Column:
+        below = F.flatten(F.transform(state["level"], children))
+        return F.struct(F.concat(state["found"], below).alias("found"), below.alias("level"))
+
+    first = F.struct(start.alias("found"), start.alias("level"))
+    return F.aggregate(F.array_repeat(F.lit(0), steps), first, deeper, lambda state: state["found"])
+
+
+_PLACED = "array<struct<path:array<int>,node:variant>>"
+
+
 def _terms(logic: Column) -> Column:
-    """All ``Expression`` terms of a two-level rule tree, in document order."""
-    outer = F.try_variant_get(logic, "$", "map<string,variant>")
-    groups = F.map_filter(outer, lambda k, v: k.rlike("^[0-9]+$"))
-    return F.flatten(
-        F.transform(
-            F.map_entries(groups),
-            lambda g: F.transform(
-                F.map_entries(
-                    F.map_filter(
-                        F.try_variant_get(g["value"], "$", "map<string,variant>"), lambda k, v: k.rlike("^[0-9]+$")
-                    )
-                ),
-                lambda t: F.struct(g["key"].alias("group_no"), t["key"].alias("term_no"), t["value"].alias("term")),
-            ),
-        )
-    )
+    """All terms of a rule tree with their paths; a term is a node without numbered members.
 
+    No branch is longer than the number of opening braces in the text of the tree.
+    """
 
-def _rule_rows(frame: DataFrame) -> DataFrame:
-    """``survey, target, _logic`` to one row per rule term."""
-    return (
-        frame.filter(F.col("_logic").isNotNull())
-        .select("survey", "target", F.explode(_terms(F.col("_logic"))).alias("_t"))
-        .select(
-            "survey",
-            "target",
-            F.col("_t.group_no").cast("int").alias("group_no"),
-            F.col("_t.term_no").cast("int").alias("term_no"),
-            _text("_t.term", "$.LogicType").alias("logic_type"),
-            _text("_t.term", "$.LeftOperand").alias("left"),
-            _text("_t.term", "$.Operator").alias("operator"),
-            _text("_t.term", "$.RightOperand").alias("right"),
-            _text("_t.term", "$.Conjuction").alias("conjunction"),
-        )
+    def members(placed: Column) -> Column:
+        return F.transform(
+            _numbered(placed["node"]),
+            lambda e: F.struct(F.concat(placed["path"], F.array(e["key"].cast("int"))).alias("path"), e["value"].alias("node")),
+        ).cast(_PLACED)
+
+    root = F.array(F.struct(F.array().cast("array<int>").alias("path"), logic.alias("node"))).cast(_PLACED)
+    nodes = _walk(root, members, F.regexp_count(F.to_json(logic), F.lit(r"\{")))
+    return F.filter(nodes, lambda n: (F.size(n["path"]) > 0) & (F.size(_numbered(n["node"])) == 0))
+
+
+def _flow_nodes(element: Column) -> Column:
+    """Flow nodes of all nesting levels; there are no more levels than members named Flow."""
+    nodes = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), _empty_variants())
+    steps = F.regexp_count(F.to_json(element), F.lit('"Flow"'))
+    return _walk(nodes(element, "$.Payload.Flow"), lambda n: nodes(n, "$.Flow"), steps)
+
+
+_SOURCES = "array<struct<target:string,logic:variant>>"
+
+
+def _source(target: Column, logic: Column) -> Column:
+    return F.struct(target.alias("target"), logic.alias("logic"))
+
+
+def _branch_sources(element: Column) -> Column:
+    return F.transform(_flow_nodes(element), lambda n: _source(_text(n, "$.FlowID"), F.try_variant_get(n, "$.BranchLogic", "variant")))
+
+
+def _question_sources(element: Column, *paths: str) -> Column:
+    tag = _text(element, "$.Payload.DataExportTag")
+    return F.array(*[_source(tag, F.try_variant_get(element, p, "variant")) for p in paths])
+
+
+_DISPLAY = "$.Payload.DisplayLogic"
+_CUSTOM = "$.Payload.Validation.Settings.CustomValidation.Logic"
+
+
+def _rule_rows(definitions: DataFrame, column: str, branches: bool, paths: Sequence[str]) -> DataFrame:
+    """One row per rule term, from one parse of each document.
+
+    ``path`` gives the numbers that lead to the term, ``group_no`` and ``term_no`` the first and the last of them.
+    """
+    element = F.col("element")
+    nothing = F.array().cast(_SOURCES)
+    found = F.when(F.col("kind") == "FL", _branch_sources(element).cast(_SOURCES) if branches else nothing)
+    found = found.when(F.col("kind") == "SQ", _question_sources(element, *paths).cast(_SOURCES) if paths else nothing)
+    rows = elements(definitions, column).select("survey", F.inline(found)).filter(F.col("logic").isNotNull())
+    return rows.select("survey", "target", F.inline(_terms(F.col("logic")))).select(
+        "survey",
+        "target",
+        F.concat_ws(".", F.col("path").cast("array<string>")).alias("path"),
+        F.element_at("path", 1).alias("group_no"),
+        F.element_at("path", -1).alias("term_no"),
+        _text("node", "$.LogicType").alias("logic_type"),
+        _text("node", "$.LeftOperand").alias("left"),
+        _text("node", "$.Operator").alias("operator"),
+        _text("node", "$.RightOperand").alias("right"),
+        _text("node", "$.Conjuction").alias("conjunction"),
     )
 
 
 def display_rules(definitions: DataFrame, column: str = "definition") -> DataFrame:
     """When a question is shown, keyed by its export tag."""
-    return _rule_rows(
-        _question_elements(definitions, column).select(
-            "survey",
-            _text("element", "$.Payload.DataExportTag").alias("target"),
-            F.try_variant_get("element", "$.Payload.DisplayLogic", "variant").alias("_logic"),
-        )
-    )
+    return _rule_rows(definitions, column, False, [_DISPLAY])
 
 
 def custom_validation_rules(definitions: DataFrame, column: str = "definition") -> DataFrame:
     """Conditions an answer has to meet, keyed by the question's export tag."""
-    return _rule_rows(
-        _question_elements(definitions, column).select(
-            "survey",
-            _text("element", "$.Payload.DataExportTag").alias("target"),
-            F.try_variant_get("element", "$.Payload.Validation.Settings.CustomValidation.Logic", "variant").alias(
-                "_logic"
-            ),
-        )
-    )
-
-
-def _flow_nodes(definitions: DataFrame, column: str) -> DataFrame:
-    """Flow nodes of all nesting levels: one more level is walked until no node has children."""
-    level = (
-        elements(definitions, column)
-        .filter(F.col("kind") == "FL")
-        .select("survey", F.explode(F.try_variant_get("element", "$.Payload.Flow", "array<variant>")).alias("node"))
-    )
-    found = level
-    while True:
-        level = level.select("survey", F.explode(F.try_variant_get("node", "$.Flow", "array<variant>")).alias("node"))
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
+    return _rule_rows(definitions, column, False, [_CUSTOM])
 
 
 def branch_rules(definitions: DataFrame, column: str = "definition") -> DataFrame:
-    """When a branch of the survey flow is taken, keyed by its flow id."""
-    return _rule_rows(
-        _flow_nodes(definitions, column).select(
-            "survey",
-            _text("node", "$.FlowID").alias("target"),
-            F.try_variant_get("node", "$.BranchLogic", "variant").alias("_logic"),
-        )
-    )
+    """When a branch of the survey flow is taken, keyed by its flow id; at any depth of the flow."""
+    return _rule_rows(definitions, column, True, [])
 
 
 def rules(definitions: DataFrame, column: str = "definition") -> DataFrame:
-    """Branch, display and custom validation rules in one table."""
-    return (
-        branch_rules(definitions, column)
-        .unionByName(display_rules(definitions, column))
-        .unionByName(custom_validation_rules(definitions, column))
-    )
+    """Branch, display and custom validation rules in one table, from one scan of the definitions."""
+    return _rule_rows(definitions, column, True, [_DISPLAY, _CUSTOM])
 
 
 def validations(definitions: DataFrame, column: str = "definition") -> DataFrame:

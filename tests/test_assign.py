@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from trialloom.operators.assign import (
@@ -113,3 +115,22 @@ def test_arm_counts_even_over_strata(spark):
     df = spark.range(0, 1200).selectExpr("id", "cast(id % 2 as string) as strata")
     counts = Counter(r["cond"] for r in permuted_blocks(df, "strata", ["id"], rows_per_cell=100).collect())
     assert set(counts.values()) == {200}
+
+
+@pytest.mark.parametrize("rows_per_cell", [40, 100_000])
+def test_adjusted_p_of_large_families(spark, rows_per_cell):
+    """A scan over many ranges gives what one pass over the sorted family gives."""
+    rng = random.Random(8)
+    rows = [(i, "a" if i % 3 else None, None if i % 11 == 0 else rng.choice([rng.random() ** 4, 0.001, 0.5])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "t int, family string, p double").repartition(4)
+    out = {r.t: r for r in adjust_p(df, "p", ["family"], ["t"], rows_per_cell).collect()}
+    for family in ("a", None):
+        known = sorted((p, t) for t, f, p in rows if f == family and p is not None)
+        m, high, low, holm, bh = len(known), 0.0, 1.0, {}, {}
+        for i, (p, t) in enumerate(known, start=1):
+            holm[t] = high = max(high, min(1.0, (m - i + 1) * p))
+        for i, (p, t) in reversed(list(enumerate(known, start=1))):
+            bh[t] = low = min(low, 1.0, m / i * p)
+        for p, t in known:
+            assert (out[t].p_holm, out[t].p_bh, out[t].p_bonferroni) == (holm[t], pytest.approx(bh[t]), min(1.0, m * p))
+    assert all(out[t].p_holm is out[t].p_bh is out[t].p_bonferroni is None for t, _, p in rows if p is None)

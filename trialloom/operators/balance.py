@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialloom.functions.nulls import as_col, strict_mean
 from trialloom.functions.tails import chi_square_1df_tail
+from trialloom.operators.ranks import ROWS_PER_CELL, running_extremes
 
 
 def proportion_statistic(x: Column | str, n: Column | str, p: float) -> Column:
@@ -51,25 +52,17 @@ def balance_table(
     return long.withColumn("p_value", chi_square_1df_tail("statistic"))
 
 
-def adjust_p(df: DataFrame, p: str = "p_value", by: Sequence[str] = (), tie_break: Sequence[str] = ()) -> DataFrame:
+def adjust_p(
+    df: DataFrame, p: str = "p_value", by: Sequence[str] = (), tie_break: Sequence[str] = (), rows_per_cell: int = ROWS_PER_CELL
+) -> DataFrame:
     """Bonferroni, Holm and Benjamini-Hochberg values within each family of tests.
 
-    Expects one row per test. Families are as large as the number of strata, not of learners.
+    Expects one row per test; ``tie_break`` tells tests of one family apart. A family of any size is scanned range by
+    range. Tests without a p-value are not counted and get none.
     """
-    family = Window.partitionBy(*(by or [F.lit(0)]))
-    ascending = family.orderBy(F.col(p).asc_nulls_last(), *tie_break)
-    # one pass over all tests: those without a p-value sort last, are not counted and get none
-    known = F.col(p).isNotNull()
-    ranked = df.withColumns({"_m": F.count(p).over(family), "_i": F.row_number().over(ascending)})
-    upto = ascending.rowsBetween(Window.unboundedPreceding, 0)
-    onward = ascending.rowsBetween(0, Window.unboundedFollowing)
-    one = F.lit(1.0)
-    holm = F.when(known, F.least(one, (F.col("_m") - F.col("_i") + 1) * F.col(p)))
-    bh = F.when(known, F.least(one, F.col("_m") / F.col("_i") * F.col(p)))
-    return ranked.withColumns(
-        {
-            "p_bonferroni": F.when(known, F.least(one, F.col("_m") * F.col(p))),
-            "p_holm": F.when(known, F.max(holm).over(upto)),
-            "p_bh": F.when(known, F.min(bh).over(onward)),
-        }
-    ).drop("_m", "_i")
+    one, known = F.lit(1.0), F.col(p).isNotNull()
+    holm = F.least(one, (F.col("total") - F.col("rank") + 1) * F.col(p))
+    bh = F.least(one, F.col("total") / F.col("rank") * F.col(p))
+    scanned = running_extremes(df, p, {"p_holm": holm}, {"p_bh": bh}, list(tie_break) or [p], by, rows_per_cell)
+    bonferroni = F.when(known, F.least(one, F.col("total") * F.col(p)))
+    return scanned.withColumn("p_bonferroni", bonferroni).select(*df.columns, "p_bonferroni", "p_holm", "p_bh")

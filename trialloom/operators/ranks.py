@@ -238,3 +238,39 @@ def exact_median(
     covers_high = (F.col("_first") <= high) & (F.col("_last") >= high)
     middle = (F.max(F.when(covers_low, F.col("_value"))) + F.max(F.when(covers_high, F.col("_value")))) / 2
     return covered.groupBy(*keys).agg(middle.alias("median"))
+
+
+def running_extremes(
+    df: DataFrame,
+    order_by: str,
+    upto: dict[str, Column],
+    onward: dict[str, Column],
+    unique_key: Sequence[str],
+    partition_by: Sequence[str] = (),
+    rows_per_cell: int = ROWS_PER_CELL,
+) -> DataFrame:
+    """Running maxima from the start (``upto``) and running minima from the end (``onward``) in the order of a value.
+
+    The columns may use ``rank`` and ``total``. A group of any size is an ordered scan over ranges of ranks: each range
+    gives its own maximum and minimum, these are carried over the few ranges of a group, and rows add what lies in
+    their own range. Rows without a value keep NULL.
+    """
+    keys = list(partition_by)
+    at = [*keys, "_range"]
+    # sizes, ranks, ends and rows all read it
+    ranked = materialise(with_rank(df, order_by, unique_key, keys, rows_per_cell, store=True), "ranked")
+    ranked = ranked.withColumns({**upto, **onward}).withColumn("_range", F.floor((F.col("rank") - 1) / rows_per_cell))
+    known = F.col("rank").isNotNull()
+    within = Window.partitionBy(*at).orderBy("rank")
+    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    own = {c: F.when(known, F.max(c).over(within.rowsBetween(first, 0))) for c in upto}
+    own |= {c: F.when(known, F.min(c).over(within.rowsBetween(0, last))) for c in onward}
+    ends = ranked.filter(known).groupBy(*at).agg(*[F.max(c).alias(f"_{c}") for c in upto], *[F.min(c).alias(f"_{c}") for c in onward])
+    ranges = Window.partitionBy(*keys).orderBy("_range")
+    carried = {f"_{c}": F.max(f"_{c}").over(ranges.rowsBetween(first, -1)) for c in upto}
+    carried |= {f"_{c}": F.min(f"_{c}").over(ranges.rowsBetween(1, last)) for c in onward}
+    ends = materialise(ends.select(*at, *[v.alias(k) for k, v in carried.items()]), "range-ends")
+    out = join_same(ranked.withColumns(own), _small(ends, ends.count()), at)
+    # the extreme of a NULL and a value is the value
+    out = out.withColumns({c: F.when(known, F.greatest(c, f"_{c}")) for c in upto} | {c: F.when(known, F.least(c, f"_{c}")) for c in onward})
+    return out.drop("_range", *carried)

@@ -221,6 +221,14 @@ def q_sparse_lines(spark, sf_dir):
     return out.withColumns({c: F.round(c, 4) for c in ("median", "low", "high", "share_nonzero")})
 
 
+def q_draws_summary(spark, sf_dir):
+    """The summary of draws on a table of values with many zeros."""
+    value = F.when(F.col("l_discount") < 0.02, 0).otherwise(F.col("l_discount") * (F.col("l_quantity") - 25))
+    lines = read(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("term"), value.alias("value"))
+    out = posterior_summary(lines)
+    return out.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("median", "low", "high", "share_nonzero")})
+
+
 QUERIES = {
     "design_matrix": q_design_matrix,
     "gram_cells": q_gram_cells,
@@ -239,6 +247,7 @@ QUERIES = {
     "plan_grid": q_plan_grid,
     "sparse_hte": q_sparse_hte,
     "sparse_lines": q_sparse_lines,
+    "draws_summary": q_draws_summary,
 }
 
 EXPERIMENT = f"""
@@ -282,6 +291,20 @@ SELECT term, round(estimate, {e}) AS estimate, round(std_error, {s}) AS std_erro
        round(f_statistic, {f}) AS f_statistic{extra} FROM c"""
 
 
+def _beta_sql(y: str, b: str, a: str) -> str:
+    """The regularised incomplete beta function I_y(b, a) as a series; terms are taken in logarithms."""
+    return f"""list_sum(list_transform(range(4000), lambda k: exp(lgamma({a} + {b} + k) - lgamma({a}) - lgamma({b} + 1 + k)
+        + (k + {b}) * ln({y}) + {a} * ln(1 - {y}))))"""
+
+
+def _tail_sql(f: str, m: str, n: str) -> str:
+    """Upper tail of F with m and n degrees of freedom, from the series that ends sooner."""
+    y = f"greatest({m} * ({f}) / ({n} + {m} * ({f})), 1e-300)"
+    x = f"({n} / ({n} + {m} * ({f})))"
+    b, a = f"({m} / 2.0::DOUBLE)", f"({n} / 2.0::DOUBLE)"
+    return f"greatest(0.0::DOUBLE, CASE WHEN {y} > 0.1 THEN {_beta_sql(x, a, b)} ELSE 1 - {_beta_sql(y, b, a)} END)"
+
+
 ORACLE = {
     "mixed_one_way": """
 WITH c AS (SELECT s_nationkey AS g, l_linenumber, avg(l_extendedprice) / 100 AS y
@@ -335,6 +358,17 @@ UNION ALL SELECT 'cert_verified', avg(CAST(coalesce(cert_verified IN (0, 1), fal
     ),
     "ols_log_activity": f"WITH {CLASSIFIED},"
     + _factor_sql("SELECT group_cat AS level, ln(1 + nevents) AS y FROM act", (6, 6, 6, 6, 6), "group_cat"),
+    "ols_funnel": f"WITH {CLASSIFIED},"
+    + _factor_sql(
+        "SELECT group_cat AS level, ln(1 + nevents) AS y FROM act", (6, 6, 6, 6, 6), "group_cat",
+        f""", round({_tail_sql("pow(estimate / std_error, 2)", "1", "df")}, 6) AS p_value,
+       round({_tail_sql("f_statistic", "df_model", "df")}, 6) AS f_p_value""",
+    ),
+    "draws_summary": """
+SELECT term, round(quantile_cont(value, 0.5), 6) + 0.0 AS median, round(quantile_cont(value, 0.025), 6) AS low,
+       round(quantile_cont(value, 0.975), 6) AS high, round(avg(CAST(value <> 0 AS INT)), 6) AS share_nonzero
+FROM (SELECT concat(l_returnflag, l_linestatus) AS term,
+             CASE WHEN l_discount < 0.02 THEN 0 ELSE l_discount * (l_quantity - 25) END AS value FROM lineitem) GROUP BY term""",
     "ols_saturated": """
 WITH l AS (SELECT l_extendedprice AS y, l_returnflag = 'R' AS r, l_linestatus = 'F' AS f FROM lineitem),
 g AS (SELECT r, f, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS ss FROM l GROUP BY 1, 2),

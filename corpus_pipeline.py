@@ -28,17 +28,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of rows linked by five-word shingles at 0.8 or more, the one with the smallest id.
 
-    Exactly one row of a group stays, whatever the ids: rows carry a number of their own, which also decides between
-    equal ids; null ids come last. Rows without words are no copies of anything and stay. An empty table stays empty.
+    Exactly one row of a group stays, whatever the ids: a row is known by its id and a hash of its text, null ids come
+    last, and of rows equal in both one stays. Rows without words are no copies of anything and stay. An empty table
+    stays empty.
     """
-    number, key = fresh(docs, "number"), fresh(docs, "key")
-    rows = docs.withColumn(number, F.monotonically_increasing_id())
-    rows = rows.withColumn(key, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(number).alias("number")))
-    # written once, so that a number means the same row in both readings
-    rows = materialise(rows, "numbered-documents")
-    groups = ngram_join.jaccard_components(rows.select(key, "text"), k=5, percent=80, id_col=key)
-    gone = groups.where(F.col("doc_id.number") != F.col("component_id.number")).select(F.col("doc_id.number").alias(number))
-    return rows.join(gone, number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, row = fresh(docs, "key"), fresh(docs, "row")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    # the operator leaves keys empty on rows of its own, so they have to be allowed to be NULL
+    rows = docs.withColumn(key, F.when(F.xxhash64("text").isNotNull(), own.cast(f"struct<no_id:boolean,doc_id:{id_type},text:bigint>")))
+    groups = ngram_join.jaccard_components(rows, k=5, percent=80, id_col=key)
+    groups = materialise(groups.select(F.col("doc_id").alias(key), "component_id", "n_shingles"), "near-duplicates")
+    gone = groups.where(F.col(key) != F.col("component_id")).select(key)
+    kept = rows.join(gone, key, "left_anti")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    repeated = groups.where("n_shingles > 0").where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    if repeated.isEmpty():
+        return kept.select(*names)
+    first = kept.join(repeated, key, "left_semi").groupBy(key).agg(F.first(F.struct(*names)).alias(row))
+    return kept.join(repeated, key, "left_anti").select(*names).unionByName(first.select(f"{row}.*"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

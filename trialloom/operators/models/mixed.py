@@ -31,6 +31,8 @@ from trialloom.session import materialise
 
 #: Intercepts of all points that may be written into a query; more go through a joined table.
 LITERAL_INTERCEPTS = 100_000
+#: Rounds that look for a start of the search over spreads; where they end does not decide the result.
+START_ROUNDS = 6
 
 
 @dataclass
@@ -363,7 +365,7 @@ def fit_logistic(
     unfinished: set[tuple] = set()
 
     theta = np.full(len(groups), 0.5)
-    for _ in range(inner):
+    for _ in range(START_ROUNDS):
         fit = data.quadratic(at["sums"], at["beta"], at["b"])
         before, (theta, _, _) = theta, nelder_mead(lambda t: fit(t)[0], theta, rounds=400, tolerance=1e-5)
         _, beta, intercepts = fit(theta)
@@ -371,7 +373,7 @@ def fit_logistic(
         limit = min(1.0, 5.0 / max(np.abs(np.concatenate([beta - at["beta"], b - at["b"]])).max(), 1e-12))
         at["beta"], at["b"] = at["beta"] + limit * (beta - at["beta"]), at["b"] + limit * (b - at["b"])
         at["sums"] = data.weighted([(at["beta"], at["b"])])[0]
-        if np.abs(theta - before).max() < 0.02 * (0.1 + theta.max()):
+        if np.abs(theta - before).max() < 0.05 * (0.1 + theta.max()):
             break
 
     def deviances(thetas: list[np.ndarray], tolerance: float = 1e-5) -> list[float]:

@@ -70,11 +70,43 @@ def test_mix(spark, mixed_rows, monkeypatch, cells):
         by[r.source].append(r)
     for source, rows in by.items():
         assert abs(taken[source] - float(targets[source])) <= largest[source] / 2 + 1e-6
-        # extra copies go to the lowest Pareto ranks
-        rate = float(targets[source]) / sizes[source] if sizes[source] else 0
-        if p := rate - math.floor(rate):
-            rank = lambda r: (u := unit(f"{r.doc_id}:0:{hashlib.md5((r.text or '').encode()).hexdigest()}")) / (1 - u) / (p / (1 - p))  # noqa: E731, F821
-            assert max([rank(r) for r in rows if r.copies > math.floor(rate)], default=0) <= min([rank(r) for r in rows if r.copies == math.floor(rate)], default=math.inf)
+        # copies follow the expected number, and extra ones go to the lowest Pareto ranks
+        expect = brute_expected([r.size for r in rows], float(targets[source]), 3)
+        ranks = {True: [], False: []}
+        for r, e in zip(rows, expect):
+            assert r.copies - math.floor(e) in (0, 1)
+            if p := e - math.floor(e):
+                u = unit(f"{r.doc_id}:0:{hashlib.md5((r.text or '').encode()).hexdigest()}")
+                ranks[r.copies > math.floor(e)].append(u / (1 - u) / (p / (1 - p)))
+        assert max(ranks[True], default=0) <= min(ranks[False], default=math.inf)
+
+
+def brute_expected(sizes, target, most):
+    """Expected copies by root of size: the level is searched by halving."""
+    if not sum(sizes):
+        return [0.0] * len(sizes)
+    expected = lambda level: [min(most, level * math.sqrt(max(s, 1))) for s in sizes]
+    low, high = 0.0, 3.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(e * s for e, s in zip(expected(middle), sizes)) < target else (low, middle)
+    return expected(low)
+
+
+def test_mix_follows_its_inclusion_probabilities(spark):
+    """Documents of 64 words are taken twice as often as those of 16, whatever the draw, and not in the order of u alone."""
+    rows = [(i, " ".join(["w"] * (64 if i % 2 else 16)), "a") for i in range(3000)] + [(9000 + i, "x " * 100, "b") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    share = Counter()
+    for seed in range(3):
+        got = mixing.mix(docs, weights=(1, 15), share=0.3, seed=seed, most=3).where("source = 'a'").collect()
+        for r in got:
+            share[r.size] += r.copies / 4500
+        e = dict(zip((16, 64), brute_expected([16, 64], got[0].target / 1500, 3)))
+        u = lambda r: unit(f"{r.doc_id}:{seed}:{hashlib.md5(r.text.encode()).hexdigest()}")
+        assert max(u(r) for r in got if r.copies) > min(u(r) for r in got if not r.copies)
+    assert 0 < e[16] < e[64] < 1 and e[64] == pytest.approx(2 * e[16])
+    assert share[16] == pytest.approx(e[16], abs=0.03) and share[64] == pytest.approx(e[64], abs=0.03)
 
 
 def test_mix_awkward(spark):

@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Sources share the wanted number of words by weight; no target exceeds a multiple of its source, and the excess is
-shared again. A source's rate is target over size. Every document is taken as many whole times as its expected number
-of copies says for certain; the fraction left over is its inclusion probability p. Documents are then ranked by
+shared again. Within a source a document's expected number of copies grows with a power of its size, up to the same
+multiple, at the one level where the expected words add up to the target. The whole part of that number is taken for
+certain; the fraction left over is the document's inclusion probability p. Documents are then ranked by
 ``(u / (1 - u)) / (p / (1 - p))`` with a uniform u from a hash, and taken in this order until the words still wanted are
 reached, so the sample's size is fixed to within one document.
 
@@ -51,12 +52,47 @@ def source_targets(rows: DataFrame, weights: Sequence[int], share: float, most:
     return found.select("source", "source_size", F.least(F.col("limit").cast("double"), F.col("weight") * F.lit(level)).alias("target"))
 
 
+def _pull(size: Column, power: float) -> Column:
+    """What a document's expected copies are in proportion to; one without words counts as one of one word."""
+    return F.pow(F.greatest(size, F.lit(1)), F.lit(power))
+
+
+def expected_copies(size: Column, level: Column, power: float, most: int) -> Column:
+    """Copies of a document of this size; at a null level all documents are taken as often as is allowed."""
+    return F.coalesce(F.least(F.lit(float(most)), level * _pull(size, power)), F.lit(float(most)))
+
+
+def source_levels(rows: DataFrame, targets: DataFrame, power: float, most: int) -> DataFrame:
+    """``targets`` with the ``level`` of each source's expected copies and the words ``wanted`` beside its whole copies.
+
+    Only the counts of each size are ordered, not documents: if the sizes from some size upwards are taken ``most``
+    times, the rest of the target is shared by the sizes up to it. The largest size that then stays within ``most``
+    gives the level.
+    """
+    sizes = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    known = sizes.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    whole = Window.partitionBy("source")
+    upto = whole.orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    drawn = F.sum(F.col("n") * F.col("size") * _pull(F.col("size"), power)).over(upto)
+    beyond = most * (F.col("source_size") - F.sum(F.col("n") * F.col("size")).over(upto))
+    known = known.withColumn("level", F.try_divide(F.col("target") - beyond, drawn))
+    fits = F.col("level") * _pull(F.col("size"), power) <= most
+    level = F.max_by("level", F.when(fits, F.col("size"))).over(whole)
+    known = known.withColumn("level", F.when(F.col("source_size") == 0, 0.0).otherwise(level))
+    taken = F.sum(F.col("n") * F.col("size") * F.floor(expected_copies(F.col("size"), F.col("level"), power, most)))
+    return known.groupBy("source", "source_size", "target", "level").agg((F.col("target") - taken).alias("wanted"))
+
+
 def _rank(u: Column, p: Column) -> Column:
     """The Pareto rank, brought to the range 0 to 1; null for p = 0."""
     q = F.try_divide(u / (1 - u), p / (1 - p))
     return q / (1 + q)
 
 
+def _fraction(copies: Column) -> Column:
+    return copies - F.floor(copies)
+
+
 def _last_ranks(rows: DataFrame) -> DataFrame:
     """(source, last): the highest rank taken, from rows of (source, size, rank, wanted)."""
     whole = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,6 +120,7 @@ def mix(
     weights: Sequence[int] = (5, 2, 1),
     share: float = 1.0,
     most: int = 3,
+    power: float = 0.5,
     seed: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -91,8 +128,9 @@ def mix(
 ) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``, replacing columns of these names.
 
-    ``copies`` is how often the document is taken, ``taken`` the words this makes. A null text has no words; a document
-    without words is taken as often as its rank says and adds nothing. Null is a source of its own, last in order. Rows
+    ``copies`` is how often the document is taken, ``taken`` the words this makes. Expected copies grow with size to the
+    ``power``: at 0 all documents of a source are equally likely, at 1 long ones are taken by their words. A null text
+    has no words; a document without words is taken as often as one of one word would be, and adds nothing. Null is a source of its own, last in order. Rows
     equal in id and text share one decision. Reruns agree: ranks come from a hash of id, text and seed. A source without
     words gets target 0. An empty table gives no rows.
     """
@@ -101,22 +139,20 @@ def mix(
     u = unit(F.concat(record_key(id_col), F.lit(f":{seed}:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     rows = docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), u.alias("u"))
     rows = materialise(rows, "sizes")
-    targets = source_targets(rows.select("source", "size"), weights, share, most)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = targets.withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("long"))
-    targets = targets.withColumn("p", F.col("rate") - F.col("whole")).withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
-    targets = materialise(targets, "targets")
-    keys = targets.select(F.col("source").alias("s"), "p", "wanted").where("p > 0")
-    ranked = rows.join(keys, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", _rank(F.col("u"), F.col("p")).alias("rank"), "wanted")
-    last = _last_ranks(ranked).withColumnRenamed("source", "s")
+    targets = materialise(source_targets(rows.select("source", "size"), weights, share, most), "targets")
+    targets = materialise(source_levels(rows, targets, power, most), "levels")
+    keys = targets.select(F.col("source").alias("s"), "level", "wanted").where("wanted > 0")
+    drawn = rows.join(keys, F.col("source").eqNullSafe(F.col("s"))).withColumn("p", _fraction(expected_copies(F.col("size"), F.col("level"), power, most)))
+    last = _last_ranks(drawn.where("p > 0").select("source", "size", _rank(F.col("u"), F.col("p")).alias("rank"), "wanted")).withColumnRenamed("source", "s")
     rule = targets.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.struct(*[F.col(c) for c in ("source", "source_size", "target", "whole", "p", "last")]).alias(rule_name := fresh(docs, "rule"))
+        F.struct(*[F.col(c) for c in ("source", "source_size", "target", "level", "last")]).alias(rule_name := fresh(docs, "rule"))
     )
     rule = materialise(rule, "rules")
     r = F.col(rule_name)
-    extra = (r["p"] > 0) & r["last"].isNotNull() & (_rank(u, r["p"]) <= r["last"])
-    out = docs.join(rule, F.col(source_col).eqNullSafe(r["source"]))
-    out = out.withColumns({"size": n_words(F.col(text_col)), "source_size": r["source_size"], "target": r["target"], "copies": r["whole"] + F.coalesce(extra, F.lit(False)).cast("long")})
+    copies = expected_copies(F.col("size"), r["level"], power, most)
+    extra = F.coalesce(_rank(u, _fraction(copies)) <= r["last"], F.lit(False))
+    out = docs.join(rule, F.col(source_col).eqNullSafe(r["source"])).withColumn("size", n_words(F.col(text_col)))
+    out = out.withColumns({"source_size": r["source_size"], "target": r["target"], "copies": F.floor(copies).cast("long") + extra.cast("long")})
     return out.withColumn("taken", F.col("copies") * F.col("size")).select(*docs.columns, *added)
 
 

@@ -158,14 +158,22 @@ o AS (SELECT *, most::DOUBLE / weight AS ratio, (SELECT sum(size) FROM d)::BIGIN
       FROM s),
 lev AS (SELECT (wanted - full_size)::DOUBLE / rest AS lev FROM o WHERE (wanted - full_size)::DOUBLE / rest <= ratio ORDER BY ratio LIMIT 1),
 t AS (SELECT source, source_size, least(most::DOUBLE, weight * lev) AS target FROM s, lev),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
-p AS (SELECT source, source_size, target, floor(rate)::BIGINT AS whole, rate - floor(rate)::BIGINT AS p,
-             target - floor(rate)::BIGINT * source_size AS extra FROM r),
-q AS (SELECT d.*, p.source_size, p.target, p.whole, p.p, p.extra,
-             CASE WHEN p.p > 0 THEN (u / (1 - u)) / (p.p / (1 - p.p)) END AS odds
-      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-k AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q)
+z AS (SELECT source, size, count(*) AS n FROM d GROUP BY source, size),
+lv AS (SELECT z.source, z.size, t.source_size, t.target,
+              (t.target - 3 * (t.source_size - sum(n * z.size) OVER upto))
+              / nullif(sum(n * z.size * pow(greatest(z.size, 1), 0.5)) OVER upto, 0) AS level
+       FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source
+       WINDOW upto AS (PARTITION BY z.source ORDER BY z.size)),
+le AS (SELECT source, source_size, target,
+              CASE WHEN source_size > 0 THEN arg_max(level, size) FILTER (WHERE level * pow(greatest(size, 1), 0.5) <= 3) ELSE 0 END AS level
+       FROM lv GROUP BY source, source_size, target),
+e AS (SELECT d.*, le.source_size, le.target, coalesce(least(3.0::DOUBLE, le.level * pow(greatest(size, 1), 0.5)), 3.0::DOUBLE) AS copies
+      FROM d JOIN le ON d.source IS NOT DISTINCT FROM le.source),
+q AS (SELECT *, floor(copies)::BIGINT AS whole, copies - floor(copies) AS p,
+             target - sum(floor(copies)::BIGINT * size) OVER (PARTITION BY source) AS extra FROM e),
+o2 AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM q),
+k AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM o2)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-       (whole + CASE WHEN p > 0 AND upto - size / 2.0 <= extra THEN 1 ELSE 0 END) * size AS taken
+       (whole + CASE WHEN p > 0 AND extra > 0 AND upto - size / 2.0 <= extra THEN 1 ELSE 0 END) * size AS taken
 FROM k""",
 }

@@ -61,10 +61,22 @@ def near_texts():
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
 def test_jaccard_components_are_exact(spark, near_texts, k, percent):
-    got = ngram_join.jaccard_components(frame(spark, near_texts), k, percent).orderBy("doc_id").collect()
+    report = {}
+    got = ngram_join.jaccard_components(frame(spark, near_texts), k, percent, report=report).orderBy("doc_id").collect()
+    assert report["order 1"] >= report["order 2"] >= report["order 3"] > 0
     assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == brute_components(near_texts, k, percent)
 
 
+def test_every_order_filters(spark):
+    """A pair is passed on as far as its prefixes meet, and only what meets under all orders is verified."""
+    sets = spark.createDataFrame(
+        [(1, [1, 2], [5]), (2, [2], [5, 6]), (3, [2], [7]), (4, [9], [5]), (5, [], [5])], "set_id long, prefix0 array<int>, prefix1 array<int>"
+    )
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (1, 5)], "a long, b long")
+    got = ngram_join._filtered(pairs, sets, "pairs").collect()
+    assert {(r.a, r.b): r.passed for r in got} == {(1, 2): 2, (1, 3): 1, (1, 4): 0, (1, 5): 0}
+
+
 def test_jaccard_leftovers_are_compared(spark, near_texts, monkeypatch):
     monkeypatch.setattr(ngram_join, "LEADER_ROUNDS", 1)  # more is left for the last comparison
     got = ngram_join.jaccard_components(frame(spark, near_texts)).orderBy("doc_id").collect()

@@ -3,9 +3,10 @@
 Equal sets are one node from the start, so copies cost nothing further. The n-grams of all documents are counted as
 packed sorted arrays, and those that occur twice or more are written as a hash table with their frequency. The global
 orders put n-grams of one document first and frequent ones last, so the prefix of a text that resembles no other holds
-nothing that could be shared, and it is no candidate. Two sets of similarity t or more share a token among the first ``n - ceil(t n) + 1`` of
-each, under every order; the first order finds candidates, the others are tested on each candidate, and what is left
-is verified on the whole sets.
+nothing that could be shared, and it is no candidate. Two sets of similarity t or more share a token among the first
+``n - ceil(t n) + 1`` of each, under every order. The first order finds candidates; every candidate, whoever it was
+found by, then has to share a token under each of the others, which is told from the prefixes alone. Whole sets are
+joined to the pairs that remain, and verified.
 
 Links are wanted as components, which saves pairs: in a bucket of sets that share a prefix token, members are first
 compared with one leader only, the most central one (its shingles are the most frequent), then with another leader in
@@ -109,22 +110,24 @@ def short_keys(shingles: np.ndarray) -> np.ndarray:
     return shingles >> np.uint64(64 - BITS)
 
 
-def _prefix(found: np.ndarray, level: np.ndarray, salt: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first tokens of a set under the order of ``salt``, rare before frequent, then by a salted hash; and their levels."""
+def _shared_prefix(found: np.ndarray, level: np.ndarray, salt: int, percent: int) -> np.ndarray:
+    """The first tokens of a set under the order of ``salt``, rare before frequent, then by a salted hash, but for those
+    of one text only, which are shared with none."""
     length = len(found) - -(-percent * len(found) // 100) + 1
     order = _mix(found ^ np.uint64(salt)) >> np.uint64(8) | level << np.uint64(56)
     at = np.argpartition(order, length - 1)[:length] if length < len(found) else np.arange(len(found))
-    return found[at], level[at]
+    return found[at][level[at] > 0]
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", report: dict[str, int] | None = None) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``n_links`` and ``component_id``.
 
     Two rows link when the Jaccard similarity of their sets is ``percent`` / 100 or more; ``component_id`` is the
     smallest id that links lead to. ``n_links`` counts the different sets that the row's set links with; copies of a set
     count once. Texts without words have an empty set, no link and their own id as component.
     Repeated rows are copies of each other; a null id is never the smallest, and a component of null ids only has a
-    null id. An empty table gives no rows. Other columns are not read.
+    null id. An empty table gives no rows. Other columns are not read. A dict given as
+    ``report`` receives how many pairs the first order proposed and how many each further order left.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -185,9 +188,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
                 for s, level in zip(sets, frequencies.levels(sets)):
                     if len(s) and (i := set_hash(s)) not in sent:
                         core = float(level.mean())
-                        tokens, level = _prefix(s, level, ORDERS[0], percent)
-                        # what occurs in one text only is shared with none
-                        if len(tokens := tokens[level > 0]):
+                        if len(tokens := _shared_prefix(s, level, ORDERS[0], percent)):
                             out.append((i, len(s), core, np.sort(tokens.view(np.int64))))
                         sent.add(i)
             if len(sent) > 1_000_000:
@@ -211,7 +212,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
             for block in shingle_sets(texts, k, hashes):
                 kept = [(s, level) for s, level in zip(block, frequencies.levels(block)) if len(s)]
                 if kept:
-                    other = {f"prefix{o}": [_prefix(s, level, salt, percent)[0].astype(np.int32) for s, level in kept] for o, salt in enumerate(ORDERS[1:])}
+                    other = {f"prefix{o}": [_shared_prefix(s, level, salt, percent).astype(np.int32) for s, level in kept] for o, salt in enumerate(ORDERS[1:])}
                     own = {"set_id": [set_hash(s) for s, _ in kept], "tokens": [s.view(np.int64) for s, _ in kept], "bits": [sketch(s) for s, _ in kept]}
                     yield pd.DataFrame(own | other)
 
@@ -219,9 +220,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     sets = rows.select(F.xxhash64("id").alias("key"), "text").mapInPandas(whole, f"set_id long, tokens array<bigint>, bits array<bigint>{extra}")
     sets = materialise(sets.dropDuplicates(["set_id"]), "candidates")
 
-    near = _compare(index, sets, percent)
-    links = near.where("linked").select("a", "b")
-    groups = connected(links)
+    groups = connected(_compare(index, sets, percent, {} if report is None else report))
     counts = _count_links(groups.withColumnRenamed("node", "set_id"), sets, percent)
     ids = found.where("n > 0").groupBy("set_id").agg(F.min("id").alias("id"))
     ids = ids.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
@@ -235,27 +234,42 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     )
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, common, total, linked) of candidate pairs; ``common`` is null where a prefix filter has ruled the pair out."""
-    sets = sets.drop("bits")
-    left = sets.select(*[F.col(c).alias(f"a_{c}") for c in sets.columns])
-    right = sets.select(*[F.col(c).alias(f"b_{c}") for c in sets.columns])
-    both = pairs.join(left, F.col("a") == F.col("a_set_id")).join(right, F.col("b") == F.col("b_set_id"))
-    may = F.lit(True)
-    for c in sets.columns:
-        if c.startswith("prefix"):
-            may = may & F.arrays_overlap(f"a_{c}", f"b_{c}")
-    sizes = F.size("a_tokens") + F.size("b_tokens")
-    common = F.when(may | F.col("measure"), F.size(F.array_intersect("a_tokens", "b_tokens")))
-    out = both.select("a", "b", common.alias("common"), sizes.alias("sizes"))
-    total = F.col("sizes") - F.col("common")
-    return out.select("a", "b", "common", total.alias("total"), F.coalesce(100 * F.col("common") >= percent * total, F.lit(False)).alias("linked"))
-
-
-def _compare(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified pairs (a, b, linked) that hold every component together."""
+def _filtered(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """The pairs with ``passed``: under how many of the further orders, one after the other, their prefixes share a token."""
+    prefixes = [c for c in sets.columns if c.startswith("prefix")]
+    a, b = (sets.select(F.col("set_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in prefixes]) for s in "ab")
+    passed = F.lit(len(prefixes))
+    for k, c in reversed(list(enumerate(prefixes))):
+        passed = F.when(F.arrays_overlap(f"a_{c}", f"b_{c}"), passed).otherwise(F.lit(k))
+    return materialise(pairs.join(a, "a").join(b, "b").select("a", "b", passed.alias("passed")), label)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
+    """(a, b) of the pairs whose whole sets are similar."""
+    a, b = (sets.select(F.col("set_id").alias(s), F.col("tokens").alias(f"{s}_tokens")) for s in "ab")
+    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    linked = 100 * common >= percent * (F.size("a_tokens") + F.size("b_tokens") - common)
+    return materialise(pairs.join(a, "a").join(b, "b").where(linked).select("a", "b"), label)
+
+
+def _compare(index: DataFrame, sets: DataFrame, percent: int, report: dict[str, int]) -> DataFrame:
+    """(a, b) of links that hold every component together."""
     sized = f"least(n, m) * 100 >= greatest(n, m) * {percent}"
-    tested = None
+    orders = len(ORDERS) - 1
+    tested = links = None
+
+    def verify(pairs: DataFrame, label: str) -> None:
+        nonlocal tested, links
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        now = _filtered(pairs, sets, f"pairs-{label}")
+        for r in now.groupBy("passed").agg(F.count(F.lit(1)).alias("n")).collect():
+            for k in range(r["passed"] + 1):
+                report[f"order {k + 1}"] = report.get(f"order {k + 1}", 0) + r["n"]
+        found = _links(now.where(F.col("passed") == orders).select("a", "b"), sets, percent, f"links-{label}")
+        now = now.select("a", "b")
+        tested, links = (now, found) if tested is None else (tested.unionAll(now), links.unionAll(found))
+
     members = index.withColumn("component", F.col("set_id"))
     for turn in range(LEADER_ROUNDS):
         # one leader per bucket, whatever its size: the most central member, later a central one drawn for the bucket
@@ -263,21 +277,9 @@ def _compare(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         rank = F.struct((F.col("core") * (1 + 0.3 * draw)).alias("r"), F.col("set_id").alias("leader"), F.col("component").alias("lead"), F.col("n").alias("m"))
         leaders = members.groupBy("token").agg(F.max(rank).alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
         leaders = leaders.where("low <> high").select("token", "first.leader", "first.lead", "first.m")
-        pairs = (
-            members.join(leaders, "token")
-            .where("component <> lead")
-            .where(sized)
-            .select(F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b"))
-            .distinct()
-            .withColumn("measure", F.lit(True))
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        now = materialise(_verify(pairs, sets, percent), f"leaders-{turn}")
-        tested = now if tested is None else tested.unionAll(now)
-        if now.isEmpty():
-            break
-        members = _grouped(index, tested)
+        led = members.join(leaders, "token").where("component <> lead").where(sized)
+        verify(led.select(F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b")).distinct(), f"leaders-{turn}")
+        members = _grouped(index, links)
 
     # what is left: pairs of different components. One of the two is outside the bucket's largest component
     sizes = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
@@ -290,15 +292,9 @@ def _compare(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = F.get(F.array_intersect("tokens", "others"), F.lit(0)) == F.col("token")
     # two outer members meet twice in a bucket: once is enough
     once = (F.col("theirs") == F.col("main")) | (F.col("set_id") < F.col("other"))
-    pairs = (
-        outer.join(inner, "token")
-        .where(F.expr("component <> theirs") & F.expr(sized) & once & _may_link("n", "bits", "m", "their_bits", percent) & first)
-        .select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"))
-        .distinct()
-        .join(tested, ["a", "b"], "left_anti")
-    )
-    pairs = materialise(pairs.withColumn("measure", F.lit(False)), "pairs")
-    return tested.select("a", "b", "linked").unionAll(materialise(_verify(pairs, sets, percent), "rest").select("a", "b", "linked"))
+    rest = outer.join(inner, "token").where(F.expr("component <> theirs") & F.expr(sized) & once & _may_link("n", "bits", "m", "their_bits", percent) & first)
+    verify(rest.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct(), "rest")
+    return links
 
 
 def link_counts(first: np.ndarray, sets: list[np.ndarray], alone: bool, percent: int) -> np.ndarray:
@@ -376,6 +372,6 @@ def _may_link(n: str, mine: str, m: str, theirs: str, percent: int) -> Column:
     return 100 * most >= percent * (F.col(n) + F.col(m) - most)
 
 
-def _grouped(index: DataFrame, tested: DataFrame) -> DataFrame:
-    groups = connected(tested.where("linked")).withColumnRenamed("node", "set_id")
+def _grouped(index: DataFrame, links: DataFrame) -> DataFrame:
+    groups = connected(links).withColumnRenamed("node", "set_id")
     return index.join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

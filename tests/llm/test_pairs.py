@@ -248,3 +248,86 @@ def test_hot_key_loses_no_near_passage(spark):
         docs += [" ".join([prose(4000 + 4 * c + 2 * i, 40, 10**6), *w, prose(4001 + 4 * c + 2 * i, 40, 10**6)]) for i, w in enumerate((passage, near))]
     got = passages.repeated_passages(frame(spark, docs)).collect()
     assert {tuple(sorted((r.doc_id, r.other_id))) for r in got} == {(2 * c, 2 * c + 1) for c in range(60)}
+
+
+def brute_passages(texts, width=50, percent=80):
+    """(text, first word, last word, class) of all passages, by comparing every window with all of the other texts."""
+    t, lists = width - 4, [WORD.findall((x or "").translate(LOWER)) for x in texts]
+    windows = [(d, s, frozenset(tuple(w[p : p + 5]) for p in range(s, s + t))) for d, w in enumerate(lists) for s in range(len(w) - width + 1)]
+    number = {x: k for k, x in enumerate(sorted({x for _, _, xs in windows for x in xs}))}
+    has = np.zeros((len(windows), len(number)), dtype=np.float32)
+    for i, (_, _, xs) in enumerate(windows):
+        has[i, [number[x] for x in xs]] = 1
+    size, own = has.sum(1), np.array([d for d, _, _ in windows])
+    both = has @ has.T
+    near = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (own[:, None] != own[None, :])
+    found, of = [], {}
+    for i in np.flatnonzero(near.any(1)).tolist():
+        d, s, _ = windows[i]
+        if found and found[-1][0] == d and s - found[-1][2] < width:
+            found[-1][2] = s
+        else:
+            found.append([d, s, s])
+        of[i] = len(found) - 1
+    root = list(range(len(found)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+        a, b = sorted((find(of[i]), find(of[j])))
+        root[b] = a
+    return {(d, a, b + width - 1, *found[find(k)][:2]) for k, (d, a, b) in enumerate(found)}
+
+
+def linked_words(texts, d, first, e, other, percent=80):
+    x, y = (shingle_set(" ".join(WORD.findall(texts[k].translate(LOWER))[s : s + 50]), 5) for k, s in ((d, first), (e, other)))
+    return 100 * len(x & y) >= percent * len(x | y)
+
+
+def changed(words, rng):
+    """One to three changes: words replaced, put in, left out, or two halves in the other order."""
+    w = list(words)
+    for _ in range(rng.randrange(1, 4)):
+        at, kind = rng.randrange(len(w)), rng.randrange(8)
+        if kind < 4:
+            w[at] = f"new{rng.randrange(10**6)}"
+        elif kind < 6:
+            w.insert(at, f"new{rng.randrange(10**6)}")
+        elif kind < 7:
+            del w[at]
+        else:
+            w = w[at:] + w[:at]
+    return w
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_passages_are_exact(spark, seed):
+    """All passages and classes, of texts with changed copies, chains, joined passages, repeats and copies of one text."""
+    rng = random.Random(seed)
+    pool = [prose(700 + 10 * seed + k, rng.choice([50, 52, 58, 70]), 10**5).split() for k in range(8)]
+    pool += [("again and again it says so " * 12).split()[: rng.choice([50, 60])], [*prose(800 + seed, 30, 10**5).split()] * 2, ["same"] * 60]
+    texts = []
+    for k in range(70):
+        parts = [prose(9000 + 100 * seed + k, rng.randrange(25), 10**6).split()]
+        for _ in range(rng.randrange(1, 3)):
+            line = rng.choice(pool)
+            parts += [changed(line, rng) if rng.random() < 0.7 else line, prose(20_000 + rng.randrange(10**6), rng.randrange(25), 10**6).split()]
+        texts.append(" ".join(w for p in parts for w in p))
+    step = prose(600 + seed, 55, 10**5).split()
+    for _ in range(10):  # neighbours are linked, the ends are not
+        texts.append(" ".join(step))
+        step = changed(step, rng)
+    twice = " ".join(prose(500 + seed, 60, 10**5) for _ in range(2))  # equal to itself only
+    texts += [twice, None, "", "short", texts[3], texts[3].upper(), texts[5]]
+    got = passages.repeated_passages(frame(spark, texts)).collect()
+    expected = brute_passages(texts)
+    assert len(expected) > 40 and len({x[3:] for x in expected}) > 5
+    assert len(got) == len(expected)
+    assert {(r.doc_id, r.first_word, r.last_word, r.class_id, r.class_word) for r in got} == expected
+    for r in got:
+        assert r.doc_id != r.other_id and linked_words(texts, r.doc_id, r.first_word, r.other_id, r.other_word)
+        mine, other = (WORD.findall(texts[d].translate(LOWER))[s : s + 50] for d, s in ((r.doc_id, r.first_word), (r.other_id, r.other_word)))
+        assert r.exact == (mine == other) or not r.exact

@@ -1,41 +1,49 @@
-"""Near-duplicate passages by compact windows.
-
-Under one min-hash function all subsequences around a position whose shingle has the smallest value share that value:
-they form a compact window, and the windows of a text are the nodes of the Cartesian tree over its hash values. Only
-nodes as wide as the shortest passage matter, and these are found from sliding minima, about two for every passage
-length of text. Within a text the windows of several functions are joined as intervals: a run is a range of starts of
-shortest passages that agree in the values of a band of functions.
-
-Runs with the same band key in different texts are candidates. Keys are counted first, as packed sorted arrays, and
-written as hash tables, so only runs whose key occurs in two texts are ever made rows. Rows with the same first or last
-passage are equal at once; one of them stands for all. What remains in a group is compared with some leaders, word by
-word; those no leader matches get new leaders under the same key, more each time, until every run has been matched, or
-compared with all that led its group before it.
+"""Near-duplicate passages by compact windows, without loss.
+
+Two passages of ``width`` words are similar by the Jaccard similarity of their sets of five-word shingles. A passage can
+only be similar to one of another text if enough of its shingles occur in other texts, so shingles are counted first, as
+packed sorted arrays, and all other passages go at once. Under a min-hash function all passages around a position whose
+shingle has the smallest value share that value: they form a compact window, and the windows of a text are the nodes of
+the Cartesian tree over its hash values. They are found from sliding minima and cut what is left of a text into tiles,
+ranges of starts with one minimum. Equal passages have the same minimum at the same place, so copies fall into equal
+tiles, and a tile is worked on once however often it occurs.
+
+Different tiles with the same minimum are compared with the one that leads them, passage by passage. What this leaves is
+found by prefixes: under one order of all shingles, rare ones first, similar passages share a shingle within the first
+few of each. Tiles that share one are compared, again with a leader first, then pair by pair, but for pairs that are in
+one class already and have no passage without a partner. No pair that may still tell something is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from trialloom.llm.hash_tables import BITS, SortedTable, bucket_of, fill_gaps, hash_table, mix, new_shelf, split_by_bucket, summed, unpack
-from trialloom.llm.text import WordHashes, lower_words, map_texts, small_batches, word_blocks
+from trialloom.llm.components import connected
+from trialloom.llm.hash_tables import BITS, Shelf, SortedTable, bucket_of, fill_gaps, mix, new_shelf, split_by_bucket, summed, unpack
+from trialloom.llm.text import WordHashes, map_texts, small_batches, word_blocks
 from trialloom.session import materialise
 
 SHINGLE = 5
-#: Pairs of min-hash functions; a passage of similarity 0.8 misses one pair with probability 0.36.
-BANDS = ((0, 1), (2, 3), (4, 5))
-FUNCTIONS = 6
+#: Min-hash functions; the passages of a run agree in the minima of a band of them. Tiles are cut by the first one alone.
+BANDS = ((0, 1),)
 CHUNK = 1_000_000
-#: Leaders of a group at once, round by round; the last number holds from then on.
-LEADERS = (4, 8, 32, 128, 512)
-#: Leaders that are handed to the comparison in one row.
-TOGETHER = 32
+#: Most starts of a tile, which are known by the bits of a long.
+STARTS = 60
+#: Tiles that one task remembers to have sent.
+SENT = 200_000
+#: Passages whose prefixes are found together.
+TOGETHER = 20_000
+#: The order of shingles: how many texts have it, then its number.
+NUMBER_BITS = 43
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -93,7 +101,7 @@ def starts(windows: list[tuple[int, int, int]], t: int) -> tuple[np.ndarray, np.
 
 @dataclass
 class Block:
-    """The runs of several texts, worked on as one sequence. Positions are counted in words from the first text.
+    """Several texts, worked on as one sequence. Positions are counted in words from the first text.
 
     The last words of each text begin no shingle; they get the smallest value, so no window of another text reaches
     over them and those that hold one are no passages.
@@ -103,24 +111,35 @@ class Block:
     words: np.ndarray
     width: int
 
-    def bands(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each band (first start, last start, place of the first function's minimum, key) of its runs, by interval join."""
-        n, t = len(self.words), self.width - SHINGLE + 1
-        if n < self.width:
-            return [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)] * len(BANDS)
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """The shingle at each position, and whether it is within one text."""
         value = shingles(self.words)
         ends = self.offsets[1:, None] - np.arange(1, SHINGLE)
         ends = ends[(ends >= self.offsets[:-1, None]) & (ends < len(value))]
         inside = np.ones(len(value), dtype=bool)
         inside[ends] = False
-        tiles = []
-        for f in range(FUNCTIONS):
+        return value, inside
+
+    def bands(self, usable: np.ndarray | None = None, bands: tuple = BANDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each band (first start, last start, place of the first function's minimum, key) of its runs, by interval join.
+
+        Shingles that are not ``usable`` are no minimum of a passage that has others.
+        """
+        n, t = len(self.words), self.width - SHINGLE + 1
+        if n < self.width:
+            return [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)] * len(bands)
+        value, inside = self.shingles()
+        tiles = {}
+        for f in {f for band in bands for f in band}:
             v = mix(value ^ np.uint64(0x9E3779B97F4A7C15 * (2 * f + 1) & 0xFFFFFFFFFFFFFFFF))
-            v = np.where(inside, v >> np.uint64(1) | np.uint64(1 << 63), np.uint64(0))
+            v = v >> np.uint64(2) | np.uint64(1 << 62)
+            if usable is not None:
+                v = np.where(usable, v, v | np.uint64(1 << 63))
+            v = np.where(inside, v, np.uint64(0))
             first, c = starts(compact_windows(v, t), t)
-            tiles.append((first, c, v[c]))
+            tiles[f] = (first, c, v[c])
         found = []
-        for number, band in enumerate(BANDS):
+        for number, band in enumerate(bands):
             cuts = np.unique(np.concatenate([tiles[f][0] for f in band]))
             at = {f: np.searchsorted(tiles[f][0], cuts, "right") - 1 for f in band}
             place = tiles[band[0]][1][at[band[0]]]
@@ -152,264 +171,474 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return mix((total[width:] - total[:n]) * up)
 
 
-def matched(a: np.ndarray, b: np.ndarray, shift: int, width: int, percent: int) -> tuple[int, int] | None:
-    """First and last start in ``a`` whose passage of ``width`` words is similar to the one ``shift`` further in ``b``."""
-    sa, sb = shingles(a), shingles(b)
+def within(flag: np.ndarray, t: int) -> np.ndarray:
+    """How many of each ``t`` neighbours are set."""
+    total = np.concatenate([[0], np.cumsum(flag)])
+    return total[t:] - total[:-t]
+
+
+def grouped(value: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions ordered so that equal values of one text are neighbours, by place; and whether each begins such a group."""
+    own = mix(value.astype(np.uint64) ^ mix(who.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
+    order = np.argsort(own, kind="stable")
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = own[order[1:]] != own[order[:-1]]
+    return order, new
+
+
+def distinct_within(order: np.ndarray, new: np.ndarray, t: int) -> np.ndarray:
+    """How many different values each ``t`` neighbours hold; ``order`` and ``new`` as from :func:`grouped`."""
+    again = np.flatnonzero(~new)
+    before, after = order[again - 1], order[again]
+    near = after - before < t
+    step = np.zeros(len(order) + 1, dtype=np.int64)
+    np.add.at(step, np.maximum(after[near] - t + 1, 0), -1)
+    np.add.at(step, before[near] + 1, 1)
+    return t + np.cumsum(step)[: len(order) - t + 1]
+
+
+@dataclass(frozen=True)
+class Bound:
+    """What similarity asks of the sets of ``t`` shingles."""
+
+    t: int
+    percent: int
+
+    def alone(self, size):
+        """Least number of shingles that a set has in common with a similar one of any size."""
+        return -(-self.percent * size // 100)
+
+    def both(self) -> int:
+        """The same for two sets without repeats."""
+        return -(-2 * self.t * self.percent // (100 + self.percent))
+
+
+@dataclass
+class Shingles:
+    """The shingles that occur in two texts or more: their numbers, how many texts have them, and whether they stand in a
+    passage that repeats a shingle."""
+
+    shelf: Shelf
+    offsets: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.tables = {}
+
+    def table(self, b: int) -> tuple[SortedTable, np.ndarray, np.ndarray]:
+        if b not in self.tables:
+            one = SortedTable(self.shelf, str(b))
+            self.tables[b] = one, one.values("texts"), one.values("odd")
+        return self.tables[b]
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each shingle, or -1, and its odd flag."""
+        key = value >> np.uint64(64 - BITS)
+        bucket = bucket_of(key, len(self.offsets) - 1)
+        number, odd = np.full(len(key), -1, dtype=np.int64), np.zeros(len(key), dtype=bool)
+        order = np.argsort(bucket, kind="stable")
+        at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        for a, end in zip(at, [*at[1:], len(order)]):
+            rows, b = order[a:end], int(bucket[order[a]])
+            one, _, flags = self.table(b)
+            place = one.find(key[rows])
+            hit = place >= 0
+            number[rows[hit]] = place[hit] + self.offsets[b]
+            odd[rows[hit]] = flags[place[hit]]
+        return number, odd
+
+    def facts(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In how many texts each numbered shingle is, and its odd flag."""
+        bucket = np.searchsorted(self.offsets, number, "right") - 1
+        texts, odd = np.zeros(len(number), dtype=np.int64), np.zeros(len(number), dtype=bool)
+        for b in np.unique(bucket).tolist():
+            at = np.flatnonzero(bucket == b)
+            _, have, flags = self.table(b)
+            texts[at], odd[at] = have[number[at] - self.offsets[b]], flags[number[at] - self.offsets[b]]
+        return texts, odd
+
+
+def shared_shingles(rows: DataFrame, width: int, per_bucket: int) -> Shingles:
+    """Count in how many texts that have passages each shingle occurs, and write those of two or more as sorted tables."""
     t = width - SHINGLE + 1
-    places = np.arange(max(0, -shift), min(len(a) - width, len(b) - width - shift) + 1)
-    if len(places) and len(np.unique(sa)) == len(sa) and len(np.unique(sb)) == len(sb):
-        # without repeats both passages have t shingles, and no more in common than the first has anywhere in b
-        most = np.cumsum(np.concatenate([[0], np.isin(sa, sb)]))
-        most = most[places + t] - most[places]
-        places = places[100 * most >= percent * (2 * t - most)]
-    hits = []
-    for s in places.tolist():
-        x, y = np.unique(sa[s : s + t]), np.unique(sb[s + shift : s + shift + t])
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        if 100 * common >= percent * (len(x) + len(y) - common):
-            hits.append(s)
-    return (hits[0], hits[-1]) if hits else None
-
-
-def repeated_passages(docs: DataFrame, width: int = 50, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 1_000_000) -> DataFrame:
-    """Passages of ``width`` words or more of a text that occur, word for word or nearly, in another.
-
-    One row per passage and passage it goes with: ``doc_id``, ``first_word``, ``last_word`` (inclusive, from 0),
-    ``other_id``, ``other_word`` and ``exact``. Equal passages all go with one of theirs, the one with the smallest id
-    and place, and this one goes with the leader that it is similar to (Jaccard similarity of five-word shingles over
-    some ``width`` words, ``percent`` / 100 or more), so every passage is linked with one representative and no pairs
-    within a group of copies are listed. Words are lower-cased. Shorter, empty and null texts have no passages. Rows
-    that repeat an id count as texts of their own. An empty table gives no rows. Other columns are not read.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    small_batches(docs.sparkSession)
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(1, -(-chars // (25 * per_bucket)))
-    shelf = new_shelf(docs.sparkSession, "windows")
+    letters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(1, -(-letters // (6 * per_bucket)))
+    shelf = new_shelf(rows.sparkSession, "shingles")
+    odd_one = 1 << 32
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held, size = WordHashes(), [], 0
+        hashes, held, weights, size = WordHashes(), [], [], 0
 
         def flush():
-            found, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame(split_by_bucket(bucket_of(found, buckets), [found], counts), columns=["bucket", "part"])
+            (keys,), counts = summed([np.concatenate(held)], np.concatenate(weights))
+            return pd.DataFrame(split_by_bucket(bucket_of(keys, buckets), [keys], counts), columns=["bucket", "part"])
 
         for batch in batches:
             for _, _, offsets, h in word_blocks(batch["text"].tolist(), hashes):
+                if len(h) < width:
+                    continue
                 block = Block(offsets, h, width)
-                for first, _, _, key in block.bands():
-                    # once for each text: a key must come from two texts to be shared
-                    (_, keys), _ = summed([block.text_of(first).astype(np.uint64), key >> np.uint64(64 - BITS)], np.ones(len(key), np.int64))
-                    held.append(keys)
-                    size += len(keys)
+                value, inside = block.shingles()
+                who = block.text_of(np.arange(len(value)))
+                order, new = grouped(value, who)
+                passage = within(inside, t) == t
+                odd = np.flatnonzero(passage & (distinct_within(order, new, t) < t))
+                step = np.zeros(len(value) + 1, dtype=np.int64)
+                step[odd] += 1
+                step[odd + t] -= 1
+                odd = np.cumsum(step)[:-1] > 0
+                group = np.flatnonzero(new)
+                kept = inside & (np.diff(offsets)[who] >= width)
+                first = kept[order[group]]
+                any_odd = np.logical_or.reduceat(odd[order], group)
+                # a group may begin inside a text and end on its last words, where no shingle is, never the other way
+                held.append(value[order[group[first]]] >> np.uint64(64 - BITS))
+                weights.append(1 + any_odd[first].astype(np.int64) * odd_one)
+                size += len(held[-1])
                 if size >= CHUNK:
                     yield flush()
-                    held, size = [], 0
+                    held, weights, size = [], [], 0
         if size:
             yield flush()
 
     def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         found = [unpack(p, 1) for p in parts["part"]]
         (keys,), counts = summed([np.concatenate([f[0][0] for f in found])], np.concatenate([f[1] for f in found]))
-        SortedTable.write(shelf, str(key[0]), keys[counts > 1])
-        return pd.DataFrame({"bucket": [key[0]]})
+        texts = counts % odd_one
+        kept = texts > 1
+        SortedTable.write(shelf, str(key[0]), keys[kept], texts=texts[kept].astype(np.uint32), odd=counts[kept] >= odd_one)
+        return pd.DataFrame({"bucket": [key[0]], "n": [int(kept.sum())]})
 
-    made = rows.select("text").mapInPandas(count, "bucket int, part binary").groupBy("bucket").applyInPandas(merge, "bucket int").toPandas()
-    fill_gaps(shelf, buckets, made["bucket"])
+    made = rows.select("text").mapInPandas(count, "bucket int, part binary").groupBy("bucket").applyInPandas(merge, "bucket int, n bigint").toPandas()
+    fill_gaps(shelf, buckets, made["bucket"], texts=np.zeros(0, np.uint32), odd=np.zeros(0, bool))
+    sizes = np.zeros(buckets, dtype=np.int64)
+    sizes[made["bucket"].to_numpy(dtype=np.int64)] = made["n"].to_numpy(dtype=np.int64)
+    return Shingles(shelf, np.concatenate([[0], np.cumsum(sizes)]))
 
-    def shared_runs():
-        hashes, tables = WordHashes(), {}
 
-        def shared(key: np.ndarray) -> np.ndarray:
-            key = key >> np.uint64(64 - BITS)
-            out, bucket = np.zeros(len(key), dtype=bool), bucket_of(key, buckets)
-            for b in np.unique(bucket).tolist():
-                if b not in tables:
-                    tables[b] = SortedTable(shelf, str(b))
-                at = np.flatnonzero(bucket == b)
-                out[at] = tables[b].find(key[at]) >= 0
-            return out
+def tiles_of(block: Block, shared: Shingles, bound: Bound) -> Iterator[tuple[int, int, int, int, int, int, np.ndarray]]:
+    """(text, first start, starts, times, key, tile, shingle numbers) of the tiles of passages that may have a partner.
+
+    A tile is known by a hash of its words. It is given once for all times that it follows itself. Shingles that no other text has are numbered from -1 down within a tile.
+    """
+    t = bound.t
+    if len(block.words) < block.width:
+        return
+    value, inside = block.shingles()
+    number, odd = shared.find(value)
+    number[~inside] = -1
+    order, new = grouped(value, block.text_of(np.arange(len(value))))
+    size = distinct_within(order, new, t)
+    some = within(number >= 0, t)
+    plain = size == t
+    may = np.where(plain, (some >= bound.both()) | (within(odd & (number >= 0), t) >= bound.alone(t)), some >= bound.alone(size))
+    s = np.flatnonzero(may & (within(inside, t) == t))
+    if not len(s):
+        return
+    ((first, _, place, key),) = block.bands(number >= 0, ((0,),))
+    at = np.searchsorted(first, s, "right") - 1
+    piece = (place[at] - s) // STARTS
+    cut = np.ones(len(s), dtype=bool)
+    cut[1:] = (s[1:] != s[:-1] + 1) | (at[1:] != at[:-1]) | (piece[1:] != piece[:-1])
+    cut = np.flatnonzero(cut)
+    a, n = s[cut], np.diff(np.append(cut, len(s)))
+    prints = block.fingerprints()
+    tile = mix(mix(prints[a] + n.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + prints[a + n - 1]).view(np.int64)
+    text = block.text_of(a)
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (tile[1:] != tile[:-1]) | (text[1:] != text[:-1]) | (a[1:] != a[:-1] + n[:-1])
+    new = np.flatnonzero(new)
+    times = np.diff(np.append(new, len(a)))
+    keys = key[at[cut]].view(np.int64)
+    for i, k in zip(new.tolist(), times.tolist()):
+        ids = number[a[i] : a[i] + n[i] + t - 1]
+        if (own := ids < 0).any():
+            _, which, back = np.unique(value[a[i] : a[i] + len(ids)][own], return_index=True, return_inverse=True)
+            ids = ids.copy()
+            ids[own] = -1 - which[back]
+        yield int(text[i]), int(a[i] - block.offsets[text[i]]), int(n[i]), k, int(keys[i]), int(tile[i]), ids
+
+
+class Compared:
+    """A tile's shingles, made ready to be compared."""
+
+    def __init__(self, ids: np.ndarray, t: int) -> None:
+        self.ids, self.t = ids, t
+        self.order = np.argsort(ids, kind="stable")
+        self.sorted = ids[self.order]
+        #: without repeats every passage has ``t`` shingles
+        self.plain = bool((self.sorted[1:] != self.sorted[:-1]).all())
+        self.size = np.full(len(ids) - t + 1, t) if self.plain else distinct_within(*grouped(ids.view(np.uint64), np.zeros(len(ids), np.uint64)), t)
+
+    def has(self, common: np.ndarray) -> np.ndarray:
+        """Whether each passage holds each of some shingles of the tile."""
+        first = np.searchsorted(self.sorted, common)
+        starts = np.arange(len(self.size))[:, None]
+        if self.plain:
+            p = self.order[first]
+            return ((starts <= p) & (starts > p - self.t)).astype(np.float32)
+        out = np.zeros((len(self.size), len(common)), dtype=bool)
+        end = np.searchsorted(self.sorted, common, "right")
+        for k in range(int((end - first).max())):
+            p = self.order[np.minimum(first + k, end - 1)]
+            out |= (starts <= p) & (starts > p - self.t)
+        return out.astype(np.float32)
+
+    def similar(self, other: Compared, bound: Bound) -> np.ndarray | None:
+        """Which passages of the one are similar to which of the other; None if none is."""
+        mine = self.sorted if self.plain else np.unique(self.sorted)
+        common = mine[other.sorted[np.minimum(np.searchsorted(other.sorted, mine), len(other.sorted) - 1)] == mine]
+        common = common[common >= 0]
+        least = bound.both() if self.plain and other.plain else bound.alone(max(self.size.min(), other.size.min()))
+        if len(common) < least:
+            return None
+        both = self.has(common) @ other.has(common).T
+        found = 100 * both >= bound.percent * (self.size[:, None] + other.size[None, :] - both)
+        return found if found.any() else None
+
+    def equal(self, i: int, other: Compared, j: int) -> bool:
+        mine = self.ids[i : i + self.t]
+        return bool((mine >= 0).all() and (mine == other.ids[j : j + self.t]).all())
+
+
+def bits(flag: np.ndarray) -> int:
+    return sum(1 << i for i in np.flatnonzero(flag).tolist())
+
+
+def prefixes(tiles: list[np.ndarray], shared: Shingles, bound: Bound) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(tile, key, family, repeats, starts) of the shingles by which the passages of some tiles are found.
+
+    Rare shingles come first. A passage without repeats and another such one share a shingle among the first ``t`` -
+    ``both()`` + 1 (family 0); if one has repeats, among the first size - ``alone(size)`` + 1 of each (family 1).
+    ``starts`` are the passages of the tile, as bits, that have the shingle there.
+    """
+    t = bound.t
+    lengths = np.array([len(x) for x in tiles])
+    begin = np.concatenate([[0], np.cumsum(lengths)])
+    ids = np.concatenate(tiles)
+    who = np.repeat(np.arange(len(tiles)), lengths)
+    size = distinct_within(*grouped(ids.view(np.uint64), who), t)
+    rank = -ids
+    seen = np.flatnonzero(ids >= 0)
+    texts, flags = shared.facts(ids[seen])
+    rank[seen] = np.minimum(texts, (1 << 19) - 1) << NUMBER_BITS | ids[seen]
+    odd = np.zeros(len(ids), dtype=bool)
+    odd[seen] = flags
+    s = np.flatnonzero(np.arange(len(ids)) <= begin[who + 1] - t)
+    view = np.lib.stride_tricks.sliding_window_view(rank, t)
+    bit = np.int64(1) << (s - begin[who[s]])
+    plain = size[s] == t
+    long = bound.alone(t)
+    by_odd = plain & (within(odd, t)[s] >= long)
+    for family, repeats, rows, n in ((0, False, plain, t - bound.both() + 1), (1, False, by_odd, t - long + 1), (1, True, ~plain, 0)):
+        mask = np.zeros(len(ids), dtype=np.int64)
+        chosen = np.flatnonzero(rows)
+        for k in range(0, len(chosen), TOGETHER):
+            part = chosen[k : k + TOGETHER]
+            at, window = s[part], view[s[part]]
+            if repeats:
+                limit = np.empty(len(part), dtype=np.int64)
+                for i, (row, d) in enumerate(zip(window, size[at].tolist())):
+                    limit[i] = np.unique(row)[d - bound.alone(d)]
+            else:
+                limit = np.partition(window, n - 1, axis=1)[:, n - 1]
+            taken = (window <= limit[:, None]) & (window >= 1 << NUMBER_BITS)
+            for c in range(t):
+                hit = taken[:, c]
+                # starts differ, so no place is met twice
+                mask[at[hit] + c] |= bit[part[hit]]
+        p = np.flatnonzero(mask if not family else np.where(odd, mask, 0))
+        yield who[p], ids[p], np.full(len(p), family), np.full(len(p), repeats), mask[p]
+
+
+def repeated_passages(docs: DataFrame, width: int = 50, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 1_000_000, report: dict | None = None) -> DataFrame:
+    """Passages of ``width`` words or more of a text that occur, word for word or nearly, in another, with their classes.
+
+    ``width`` words in a row are linked with those of another text whose set of five-word shingles has a Jaccard similarity
+    of ``percent`` / 100 or more with theirs. A passage is all linked words of a text that hang together: its stretches of
+    ``width`` words start less than ``width`` apart. One row for each: ``doc_id``, ``first_word``, ``last_word``
+    (inclusive, from 0), and the class of passages that links join, known by the id and first word of the first of them,
+    ``class_id`` and ``class_word``. ``other_id`` and ``other_word`` say what the first ``width`` words are linked with,
+    ``exact`` whether word for word. Every link counts; no pairs are listed. Words are lower-cased. Shorter, empty and null
+    texts have no passages. Rows that repeat an id count as texts of their own. An empty table gives no rows. Other
+    columns are not read. ``report`` is given the numbers of compared pairs.
+    """
+    spark, bound = docs.sparkSession, Bound(width - SHINGLE + 1, percent)
+    report = {} if report is None else report
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    small_batches(spark)
+    shared = shared_shingles(rows, width, per_bucket)
+
+    def start() -> Callable[[list], dict]:
+        hashes, sent = WordHashes(), set()
 
         def work(texts: list) -> dict:
             out = [[] for _ in texts]
             for begin, _, offsets, h in word_blocks(texts, hashes):
-                block = Block(offsets, h, width)
-                found = block.bands()
-                prints = block.fingerprints().view(np.int64)
-                for first, last, place, key in found:
-                    kept = np.flatnonzero(shared(key)) if len(key) else []
-                    if not len(kept):
-                        continue
-                    first, last, place, key = first[kept], last[kept], place[kept], key[kept]
-                    who = block.text_of(first)
-                    base = offsets[who]
-                    columns = (key.view(np.int64), first - base, last - base, place - base, prints[first], prints[last])
-                    for text, row in zip((who + begin).tolist(), zip(*[c.tolist() for c in columns])):
-                        out[text].append(dict(zip(names, row)))
-            return {"runs": out}
+                for text, first, n, times, key, tile, ids in tiles_of(Block(offsets, h, width), shared, bound):
+                    # what a task has sent once is in its output
+                    out[begin + text].append({"first": first, "n": n, "times": times, "key": key, "tile": tile, "ids": None if tile in sent else ids})
+                    if len(sent) < SENT:
+                        sent.add(tile)
+            return {"tiles": out}
 
         return work
 
-    names = ("key", "first", "last", "place", "print0", "print1")
-    kinds = ("bigint", "int", "int", "int", "bigint", "bigint")
-    fields = ", ".join(f"{n}: {k}" for n, k in zip(names, kinds))
-    found = map_texts(rows, shared_runs, f"runs array<struct<{fields}>>").select("doc_id", F.inline("runs"))
-    found = materialise(found, "runs")
-
-    def slices(keys: DataFrame) -> DataFrame:
-        """(doc_id, first, last, words) of the runs with these keys, from one more pass over the texts."""
-        wanted = hash_table(keys, "key")
-
-        def start():
-            hashes = WordHashes()
-
-            def work(texts: list) -> dict:
-                out = [{} for _ in texts]
-                for begin, _, offsets, h in word_blocks(texts, hashes):
-                    block = Block(offsets, h, width)
-                    for first, last, _, key in block.bands():
-                        kept = np.flatnonzero(wanted.has(key.view(np.int64))) if len(key) else []
-                        for i in kept:
-                            d = int(block.text_of(first[i]))
-                            a, b = int(first[i]), int(last[i])
-                            out[begin + d][a - int(offsets[d]), b - int(offsets[d])] = h[a : b + width].view(np.int64)
-                return {"parts": [[{"first": a, "last": b, "words": w} for (a, b), w in found.items()] for found in out]}
-
-            return work
-
-        made = map_texts(rows, start, "parts array<struct<first: int, last: int, words: array<bigint>>>")
-        return materialise(made.select("doc_id", F.inline("parts")), "slices")
-
-    # equal at once: runs of a group with the same first, or the same last, passage
-    def equal(by: str, at: str, name: str) -> DataFrame:
-        who = F.struct(F.col("doc_id"), F.col(at).alias("at"), "first", "last", "place")
-        return found.groupBy("key", by).agg(F.count(F.lit(1)).alias(f"n_{name}"), F.min(who).alias(name))
-
-    both = found.join(equal("print0", "first", "e0"), ["key", "print0"]).join(equal("print1", "last", "e1"), ["key", "print1"])
-    both = materialise(both.select("doc_id", *names, "n_e0", "e0", "n_e1", "e1"), "equal-runs")
-    me = lambda e, at: (F.col(f"{e}.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col(f"{e}.at") == F.col(at))
-    lead0, lead1 = (F.col("n_e0") == 1) | me("e0", "first"), (F.col("n_e1") == 1) | me("e1", "last")
-    passage = lambda first, last, e, shift: (F.col(first).alias("first"), F.col(last).alias("last"), F.col(f"{e}.doc_id").alias("other_id"), shift.alias("other"))
-    exact = both.where(~lead0).select("doc_id", *passage("first", "first", "e0", F.col("e0.at")))
-    exact = exact.unionAll(both.where(~lead1).select("doc_id", *passage("last", "last", "e1", F.col("e1.at"))))
-    exact = exact.withColumn("exact", F.lit(True))
-    # the edges of equal passages, and what stands for a group of equal ones, still have to be compared
-    run = lambda e: F.struct(*[F.col(f"{e}.{c}") for c in ("doc_id", "first", "last", "place")])
-    edges = both.where(lead0 != lead1).select("key", _self(), F.when(~lead0, run("e0")).otherwise(run("e1")).alias("leader"))
-    parts = slices(both.where(lead0 | lead1).select("key").distinct())
-    links = [exact, _verified(parts, edges, width, percent)]
-    mine = [F.col("doc_id").eqNullSafe(F.col("p_id")), F.col("first") == F.col("p_first"), F.col("last") == F.col("p_last")]
-    parts = parts.select(F.col("doc_id").alias("p_id"), F.col("first").alias("p_first"), F.col("last").alias("p_last"), "words")
-    runs = both.where(lead0 | lead1).join(parts, mine).select("key", "doc_id", "first", (F.col("place") - F.col("first")).alias("at"), "words")
     # numbered as they are written, so the numbers stay
-    runs = materialise(runs.withColumn("number", F.monotonically_increasing_id()), "open-runs")
-    open_, depth = runs, 0
-    while not open_.isEmpty():
-        links.append(_led(open_, depth, width, percent))
-        # every round is rid of its leaders, so the rounds end
-        gone = links[-1].select("number").distinct()
-        done = gone if not depth else done.unionAll(gone)
-        open_ = runs.join(done, "number", "left_anti")
-        depth += 1
-    links[2:] = [more.where("linked") for more in links[2:]]
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionAll(more.select("doc_id", "first", "last", "other_id", "other", F.lit(False).alias("exact")))
-    return _joined(out, width)
-
-
-def _self() -> Column:
-    return F.struct("doc_id", "first", "last", "place").alias("run")
-
-
-def _verified(parts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, key, start, first, last, other_id, other) of the pairs of runs that are similar somewhere."""
-
-    def side(short: str) -> DataFrame:
-        return parts.select(F.col("doc_id").alias(f"{short}_id"), F.col("first").alias(f"{short}_first"), F.col("last").alias(f"{short}_last"), F.col("words").alias(f"{short}_words"))
-
-    def of(run: str, short: str):
-        return F.col(f"{run}.doc_id").eqNullSafe(F.col(f"{short}_id")) & (F.col(f"{run}.first") == F.col(f"{short}_first")) & (F.col(f"{run}.last") == F.col(f"{short}_last"))
-
-    joined = pairs.join(side("a"), of("run", "a")).join(side("b"), of("leader", "b"))
-    # both minima are the same shingle: this is how the two slices line up
-    shift = ((F.col("leader.place") - F.col("leader.first")) - (F.col("run.place") - F.col("run.first"))).cast("int")
-
-    @F.pandas_udf("array<int>")
-    def similar(a: pd.Series, b: pd.Series, by: pd.Series) -> pd.Series:
-        out = [matched(x.view(np.uint64), y.view(np.uint64), int(s), width, percent) for x, y, s in zip(a, b, by)]
-        return pd.Series([None if o is None else np.array(o, dtype=np.int32) for o in out], dtype=object)
-
-    hit = joined.select("key", "run", "leader", shift.alias("shift"), similar("a_words", "b_words", shift).alias("hit")).where("hit is not null")
-    first = F.col("run.first") + F.get("hit", F.lit(0))
-    return hit.select(
-        F.col("run.doc_id").alias("doc_id"),
-        "key",
-        F.col("run.first").alias("start"),
-        first.alias("first"),
-        (F.col("run.first") + F.get("hit", F.lit(1))).alias("last"),
-        F.col("leader.doc_id").alias("other_id"),
-        (F.col("leader.first") + F.get("hit", F.lit(0)) + F.col("shift")).alias("other"),
+    numbered = rows.withColumn("text_no", F.monotonically_increasing_id())
+    found = map_texts(numbered, start, "tiles array<struct<first: int, n: int, times: int, key: bigint, tile: bigint, ids: array<bigint>>>")
+    found = materialise(found.select("doc_id", "text_no", F.inline("tiles")), "tiles")
+    # a tile that follows itself reaches further; its linked passages hang together, as it has no more starts than one passage words
+    at = found.select("doc_id", "text_no", "first", "tile", ((F.col("times") - 1) * F.col("n")).alias("reach"))
+    place = F.struct("text_no", "first", "doc_id")
+    kinds = found.groupBy("tile").agg(
+        F.first("n").alias("n"), F.first("key").alias("key"), F.min(place).alias("lo"), F.max(place).alias("hi"), F.first("ids", ignorenulls=True).alias("ids")
     )
+    kinds = materialise(kinds.withColumn("copied", F.col("lo.text_no") < F.col("hi.text_no")), "kinds")
+
+    full = F.expr("shiftleft(1L, n) - 1")
+    links = kinds.where("copied").select("tile", F.col("tile").alias("other"), full.alias("mask"), F.lit(0).alias("i"), (F.col("n") - 1).alias("z"), F.lit(0).alias("j"), F.lit(True).alias("exact"))
+    head = F.struct("copied", "n", "tile")
+    heads = kinds.groupBy("key").agg(F.max(head).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.col("head.tile").alias("head"))
+    pairs = kinds.select("key", "tile").join(heads, "key").where("tile <> head").select(F.least("tile", "head").alias("a"), F.greatest("tile", "head").alias("b"))
+    compared = materialise(pairs, "pairs")
+    report["under one minimum"] = compared.count()
+    links = links.unionAll(_verified(compared, kinds, bound))
+    known = _labelled(None, links, at, width)
+    entries = _entries(kinds, shared, bound)
+    for name, lead in (("under one shingle", True), ("all that is left", False)):
+        more = materialise(_candidates(entries, kinds, known, lead).join(compared, ["a", "b"], "left_anti"), "pairs")
+        report[name] = more.count()
+        if not report[name]:
+            continue
+        compared = compared.unionAll(more)
+        links = links.unionAll(_verified(more, kinds, bound))
+        known = _labelled(known, links, at, width)
+    return _passages(at, known, links, kinds, width)
+
+
+def _verified(pairs: DataFrame, kinds: DataFrame, bound: Bound) -> DataFrame:
+    """(tile, other, mask, i, z, j, exact) of the pairs of tiles a, b with similar passages, from both sides: the tile's
+    linked passages as bits, the first and last of them, and a passage of the other that the first is linked with."""
 
-
-def _led(runs: DataFrame, depth: int, width: int, percent: int) -> DataFrame:
-    """(number, linked, doc_id, first, last, other_id, other): the runs that some leaders of their group match, and the leaders.
-
-    Leaders are drawn by hash. Every run is compared with all leaders that come before it, so each pair is met once.
-    """
-    order = F.struct(F.xxhash64(F.lit(depth), "number").alias("draw"), "number")
-    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(depth), "number"), "number"))
-    first = runs.withColumn("turn", turn).where(F.col("turn") <= LEADERS[min(depth, len(LEADERS) - 1)])
-    first = materialise(first.select("key", "number", "turn", "doc_id", "first", "at", "words"), "leaders")
-    together = F.struct(order.alias("order"), "doc_id", "first", "at", "words")
-    leaders = first.groupBy("key", ((F.col("turn") - 1) / TOGETHER).cast("int").alias("part")).agg(F.collect_list(together).alias("leaders"))
-
-    @F.pandas_udf("array<int>")
-    def similar(a: pd.Series, at: pd.Series, b: pd.Series, by: pd.Series) -> pd.Series:
+    def side(short: str) -> DataFrame:
+        same = F.when(~F.col("copied"), F.col("lo.text_no"))
+        return kinds.select(F.col("tile").alias(short), same.alias(f"{short}_only"), F.col("ids").alias(f"{short}_ids"))
+
+    def one(x: Compared, y: Compared, hit: np.ndarray) -> list[int]:
+        mine = np.flatnonzero(hit.any(axis=1))
+        i = int(mine[0])
+        places = np.flatnonzero(hit[i]).tolist()
+        same = next((j for j in places if x.equal(i, y, j)), None)
+        return [bits(hit.any(axis=1)), i, int(mine[-1]), places[0] if same is None else same, int(same is not None)]
+
+    @F.pandas_udf("array<bigint>")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
-        for x, p, many, places in zip(a, at, b, by):
-            x, hits = np.asarray(x).view(np.uint64), []
-            for i, (y, q) in enumerate(zip(many, places)):
-                # both minima are the same shingle: this is how the two slices line up
-                hit = matched(x, np.asarray(y).view(np.uint64), int(q) - int(p), width, percent)
-                hits += [] if hit is None else [i, *hit]
-            out.append(np.array(hits, dtype=np.int32))
+        for x, y in zip(a, b):
+            x, y = Compared(np.asarray(x), bound.t), Compared(np.asarray(y), bound.t)
+            hit = x.similar(y, bound)
+            out.append(None if hit is None else np.array(one(x, y, hit) + one(y, x, hit.T), dtype=np.int64))
         return pd.Series(out, dtype=object)
 
-    pairs = runs.withColumn("order", order).join(leaders, "key").withColumn("leaders", F.filter("leaders", lambda e: e["order"] < F.col("order"))).where(F.size("leaders") > 0)
-    hits = similar("words", "at", F.col("leaders.words"), F.col("leaders.at"))
-    kept = pairs.select("number", "doc_id", "first", "at", F.transform("leaders", lambda e: F.struct(e["doc_id"].alias("doc_id"), e["first"].alias("first"), e["at"].alias("at"))).alias("leaders"), hits.alias("hits"))
-    kept = kept.where(F.size("hits") > 0).withColumn("h", F.explode(F.expr("transform(sequence(0, size(hits) div 3 - 1), j -> struct(leaders[hits[3 * j]] AS leader, hits[3 * j + 1] AS a, hits[3 * j + 2] AS b))")))
-    shift = F.col("h.leader.at") - F.col("at")
-    found = kept.select(
-        "number",
-        F.lit(True).alias("linked"),
-        "doc_id",
-        (F.col("first") + F.col("h.a")).alias("first"),
-        (F.col("first") + F.col("h.b")).alias("last"),
-        F.col("h.leader.doc_id").alias("other_id"),
-        (F.col("h.leader.first") + F.col("h.a") + shift).alias("other"),
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    # both within one and the same text: no other text is involved
+    joined = joined.where(~F.coalesce(F.col("a_only") == F.col("b_only"), F.lit(False)))
+    hits = materialise(joined.select("a", "b", similar("a_ids", "b_ids").alias("h")).where("h is not null"), "links")
+
+    def seen(tile: str, other: str, k: int) -> DataFrame:
+        numbers = [F.col("h")[k + c] for c in range(5)]
+        return hits.select(
+            F.col(tile).alias("tile"), F.col(other).alias("other"), numbers[0].alias("mask"), numbers[1].cast("int").alias("i"),
+            numbers[2].cast("int").alias("z"), numbers[3].cast("int").alias("j"), (numbers[4] == 1).alias("exact"),
+        )
+
+    return seen("a", "b", 0).unionAll(seen("b", "a", 5))
+
+
+def _labelled(known: DataFrame | None, links: DataFrame, at: DataFrame, width: int) -> DataFrame:
+    """(tile, mask, i, z, label) of the linked tiles. Tiles of one label are joined by links, or by linked words that hang
+    together in a text."""
+    linked = materialise(links.groupBy("tile").agg(F.expr("bit_or(mask)").alias("mask"), F.min("i").alias("i"), F.max("z").alias("z")), "linked")
+    along = Window.partitionBy("text_no").orderBy("from")
+    spans = at.join(linked, "tile").select("text_no", "tile", (F.col("first") + F.col("i")).alias("from"), (F.col("first") + F.col("reach") + F.col("z")).alias("to"))
+    spans = spans.select("tile", F.lag("tile").over(along).alias("before"), (F.col("from") - F.lag("to").over(along)).alias("gap")).where(F.col("gap") < width)
+    edges = links.select(F.col("tile").alias("a"), F.col("other").alias("b")).unionAll(spans.select(F.col("tile").alias("a"), F.col("before").alias("b"))).where("a <> b")
+    if known is not None:
+        # what had a label stands for all that have it
+        old = known.select("tile", "label")
+        edges = edges.join(old.select(F.col("tile").alias("a"), F.col("label").alias("a_label")), "a", "left").join(old.select(F.col("tile").alias("b"), F.col("label").alias("b_label")), "b", "left")
+        edges = edges.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+        linked = linked.join(old, "tile", "left").withColumn("node", F.coalesce("label", "tile")).drop("label")
+    else:
+        linked = linked.withColumn("node", F.col("tile"))
+    joined = connected(edges).withColumnRenamed("component", "label")
+    return materialise(linked.join(joined, "node", "left").select("tile", "mask", "i", "z", F.coalesce("label", "node").alias("label")), "labels")
+
+
+def _entries(kinds: DataFrame, shared: Shingles, bound: Bound) -> DataFrame:
+    """What :func:`prefixes` finds for every tile."""
+    schema = StructType.fromDDL("tile bigint, shingle bigint, family int, repeats boolean, mask bigint")
+    arrow = to_arrow_schema(schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tile, ids = batch.column("tile").to_numpy(zero_copy_only=False), batch.column("ids")
+            ends, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+            for who, shingle, family, repeats, mask in prefixes([values[a:b] for a, b in zip(ends, ends[1:])], shared, bound):
+                yield pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) for x, f in zip((tile[who], shingle, family, repeats, mask), arrow)], schema=arrow)
+
+    return materialise(kinds.select("tile", "ids").mapInArrow(work, schema), "entries")
+
+
+def _candidates(entries: DataFrame, kinds: DataFrame, known: DataFrame, lead: bool) -> DataFrame:
+    """Pairs a < b of tiles that share a shingle of their prefixes and may still tell something: they are of different
+    classes, or a passage that has the shingle there is not linked yet. With ``lead`` just those with a leader of each shingle."""
+    state = kinds.select("tile", "copied", "n").join(known.select("tile", F.col("mask").alias("linked"), "label"), "tile", "left")
+    open_ = (F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("linked", F.lit(0).cast("long"))))) != 0
+    entries = entries.join(state, "tile").select("tile", "shingle", "family", "repeats", "copied", "n", F.coalesce("label", "tile").alias("label"), open_.alias("open"))
+    by = ["family", "shingle"]
+    head = F.max(F.struct("copied", "n", "tile", "label", "open", "repeats"))
+    groups = entries.groupBy(*by).agg(head.alias("head"), (F.min("label") != F.max("label")).alias("mixed"), F.max("open").alias("some"), F.max("repeats").alias("odd"), F.count(F.lit(1)).alias("m"))
+    groups = groups.where("m > 1 and (mixed or some) and (family = 0 or odd)")
+    if lead:
+        met = entries.join(groups.select(*by, "head"), by).where(F.col("tile") != F.col("head.tile"))
+        met = met.where((F.col("label") != F.col("head.label")) | F.col("open") | F.col("head.open"))
+        return met.select(F.least("tile", "head.tile").alias("a"), F.greatest("tile", "head.tile").alias("b")).distinct()
+    left = materialise(entries.join(groups.select(*by), by, "left_semi").select(*by, "tile", "label", "open", "repeats"), "entries-left")
+    # one of a pair has to be open, or has to have another label: both sides see all rows of a shingle that may still matter
+    x, y = left.alias("x"), left.alias("y")
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in by]
+    on += [F.col("x.tile") < F.col("y.tile"), (F.col("x.label") != F.col("y.label")) | F.col("x.open") | F.col("y.open")]
+    on += [(F.col("x.family") == 0) | F.col("x.repeats") | F.col("y.repeats")]
+    return x.join(y, on).select(F.col("x.tile").alias("a"), F.col("y.tile").alias("b")).distinct()
+
+
+def _passages(at: DataFrame, known: DataFrame, links: DataFrame, kinds: DataFrame, width: int) -> DataFrame:
+    ends = lambda: kinds.select(F.col("tile").alias("other"), "lo", "hi")
+    # what the first linked passage of a tile goes with; word for word if there is such a link
+    best = links.groupBy("tile").agg(F.min(F.struct("i", (~F.col("exact")).alias("near"), "other", "j")).alias("w"))
+    best = best.select("tile", F.col("w.other").alias("other"), F.col("w.j").alias("j"), F.col("w.near").alias("near")).join(ends(), "other")
+    spans = at.join(known.select("tile", "i", "z", "label"), "tile").join(best.select("tile", "j", "near", "lo", "hi"), "tile")
+    # an occurrence of the other in another text
+    to = F.when(F.col("lo.text_no") == F.col("text_no"), F.col("hi")).otherwise(F.col("lo"))
+    spans = spans.select("text_no", "doc_id", (F.col("first") + F.col("i")).alias("from"), (F.col("first") + F.col("reach") + F.col("z")).alias("to"), "label", to.alias("other"), "j", "near")
+    along = Window.partitionBy("text_no").orderBy("from")
+    spans = spans.withColumn("new", F.coalesce((F.col("from") - F.lag("to").over(along) >= width).cast("int"), F.lit(1)))
+    spans = spans.withColumn("part", F.sum("new").over(along))
+    whole = spans.groupBy("text_no", "part").agg(
+        F.first("doc_id").alias("doc_id"), F.min("from").alias("from"), F.max("to").alias("to"), F.min("label").alias("label"), F.min(F.struct("from", "other", "j", "near")).alias("w")
     )
-    led = first.select("number", F.lit(False).alias("linked"), "doc_id", "first", F.col("first").alias("last"), F.col("doc_id").alias("other_id"), F.col("first").alias("other"))
-    return materialise(found.unionAll(led), "near")
-
-
-def _joined(found: DataFrame, width: int) -> DataFrame:
-    """Passages that follow each other in both texts as one: same pair of texts, same distance, starts no more than a passage apart."""
-    gap = F.col("other") - F.col("first")
-    best = found.groupBy("doc_id", "first", "other_id", gap.alias("gap")).agg(F.max("last").alias("last"), F.max("exact").alias("exact"))
-    along = Window.partitionBy("doc_id", "other_id", "gap").orderBy("first")
-    reach = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    marked = best.withColumn("new", F.coalesce((F.col("first") > reach + width).cast("int"), F.lit(1)))
-    island = F.sum("new").over(along)
-    whole = marked.withColumn("island", island).groupBy("doc_id", "other_id", "gap", "island")
-    whole = whole.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("exact").alias("exact"))
-    return whole.select(
+    whole = materialise(whole, "passages")
+    classes = whole.groupBy("label").agg(F.min(F.struct("doc_id", "from")).alias("head"))
+    return whole.join(classes, "label").select(
         "doc_id",
-        F.col("first").cast("long").alias("first_word"),
-        (F.col("last") + width - 1).cast("long").alias("last_word"),
-        "other_id",
-        (F.col("first") + F.col("gap")).cast("long").alias("other_word"),
-        "exact",
+        F.col("from").cast("long").alias("first_word"),
+        (F.col("to") + width - 1).cast("long").alias("last_word"),
+        F.col("head.doc_id").alias("class_id"),
+        F.col("head.from").cast("long").alias("class_word"),
+        F.col("w.other.doc_id").alias("other_id"),
+        (F.col("w.other.first") + F.col("w.j")).cast("long").alias("other_word"),
+        (~F.col("w.near")).alias("exact"),
     )

@@ -6,12 +6,13 @@ packed sorted arrays, and all other passages go at once. Under a min-hash functi
 shingle has the smallest value share that value: they form a compact window, and the windows of a text are the nodes of
 the Cartesian tree over its hash values. They are found from sliding minima and cut what is left of a text into tiles,
 ranges of starts with one minimum. Equal passages have the same minimum at the same place, so copies fall into equal
-tiles, and a tile is worked on once however often it occurs.
+tiles, and a tile is worked on once however often it occurs. Nor do words matter that only one text has: tiles with the
+same pattern, that is the same shared shingles at the same places, are linked with the same, and are compared once.
 
-Different tiles with the same minimum are compared with the one that leads them, passage by passage. What this leaves is
+Different patterns with the same minimum are compared with the one that leads them, passage by passage. What this leaves is
 found by prefixes: under one order of all shingles, rare ones first, similar passages share a shingle within the first
-few of each. Tiles that share one are compared, again with a leader first, then pair by pair, but for pairs that are in
-one class already and have no passage without a partner. No pair that may still tell something is left out.
+few of each. Patterns that share one are compared, again with a leader first, then pair by pair, but for pairs that are
+in one class already and have no passage without a partner. No pair that may still tell something is left out.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -38,7 +40,7 @@ BANDS = ((0, 1),)
 CHUNK = 1_000_000
 #: Most starts of a tile, which are known by the bits of a long.
 STARTS = 60
-#: Tiles that one task remembers to have sent.
+#: Patterns that one task remembers to have sent.
 SENT = 200_000
 #: Passages whose prefixes are found together.
 TOGETHER = 20_000
@@ -475,54 +477,63 @@ def repeated_passages(docs: DataFrame, width: int = 50, percent: int = 80, id_co
             out = [[] for _ in texts]
             for begin, _, offsets, h in word_blocks(texts, hashes):
                 for text, first, n, times, key, tile, ids in tiles_of(Block(offsets, h, width), shared, bound):
+                    pattern = int(np.uint64(xxhash.xxh3_64_intdigest(ids.tobytes())).view(np.int64))
                     # what a task has sent once is in its output
-                    out[begin + text].append({"first": first, "n": n, "times": times, "key": key, "tile": tile, "ids": None if tile in sent else ids})
+                    out[begin + text].append({"first": first, "n": n, "times": times, "key": key, "tile": tile, "pattern": pattern, "ids": None if pattern in sent else ids})
                     if len(sent) < SENT:
-                        sent.add(tile)
+                        sent.add(pattern)
             return {"tiles": out}
 
         return work
 
     # numbered as they are written, so the numbers stay
     numbered = rows.withColumn("text_no", F.monotonically_increasing_id())
-    found = map_texts(numbered, start, "tiles array<struct<first: int, n: int, times: int, key: bigint, tile: bigint, ids: array<bigint>>>")
+    found = map_texts(numbered, start, "tiles array<struct<first: int, n: int, times: int, key: bigint, tile: bigint, pattern: bigint, ids: array<bigint>>>")
     found = materialise(found.select("doc_id", "text_no", F.inline("tiles")), "tiles")
     # a tile that follows itself reaches further; its linked passages hang together, as it has no more starts than one passage words
     at = found.select("doc_id", "text_no", "first", "tile", ((F.col("times") - 1) * F.col("n")).alias("reach"))
     place = F.struct("text_no", "first", "doc_id")
-    kinds = found.groupBy("tile").agg(
+    kinds = found.groupBy("tile").agg(F.first("n").alias("n"), F.first("pattern").alias("pattern"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+    kinds = materialise(kinds.withColumn("copied", F.col("lo.text_no") < F.col("hi.text_no")), "kinds")
+    place = F.struct("text_no", "tile")
+    patterns = found.groupBy("pattern").agg(
         F.first("n").alias("n"), F.first("key").alias("key"), F.min(place).alias("lo"), F.max(place).alias("hi"), F.first("ids", ignorenulls=True).alias("ids")
     )
-    kinds = materialise(kinds.withColumn("copied", F.col("lo.text_no") < F.col("hi.text_no")), "kinds")
+    patterns = materialise(patterns.withColumn("spread", F.col("lo.text_no") < F.col("hi.text_no")), "patterns")
 
     full = F.expr("shiftleft(1L, n) - 1")
     links = kinds.where("copied").select("tile", F.col("tile").alias("other"), full.alias("mask"), F.lit(0).alias("i"), (F.col("n") - 1).alias("z"), F.lit(0).alias("j"), F.lit(True).alias("exact"))
-    head = F.struct("copied", "n", "tile")
-    heads = kinds.groupBy("key").agg(F.max(head).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.col("head.tile").alias("head"))
-    pairs = kinds.select("key", "tile").join(heads, "key").where("tile <> head").select(F.least("tile", "head").alias("a"), F.greatest("tile", "head").alias("b"))
-    compared = materialise(pairs, "pairs")
+    heads = patterns.groupBy("key").agg(F.max(F.struct("spread", "n", "pattern")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.col("head.pattern").alias("head"))
+    pairs = patterns.select("key", "pattern").join(heads, "key").where("pattern <> head").select(F.least("pattern", "head").alias("a"), F.greatest("pattern", "head").alias("b"))
+    # tiles of one pattern are equal if all their shingles are shared, and have to be compared otherwise
+    alike = patterns.where("spread and array_min(ids) < 0").select(F.col("pattern").alias("a"), F.col("pattern").alias("b"))
+    compared = materialise(pairs.unionAll(alike), "pairs")
     report["under one minimum"] = compared.count()
-    links = links.unionAll(_verified(compared, kinds, bound))
+    links = links.unionAll(_verified(compared, patterns, kinds, bound))
     known = _labelled(None, links, at, width)
-    entries = _entries(kinds, shared, bound)
+    entries = _entries(patterns, shared, bound)
     for name, lead in (("under one shingle", True), ("all that is left", False)):
-        more = materialise(_candidates(entries, kinds, known, lead).join(compared, ["a", "b"], "left_anti"), "pairs")
+        more = materialise(_candidates(entries, patterns, kinds, known, lead).join(compared, ["a", "b"], "left_anti"), "pairs")
         report[name] = more.count()
         if not report[name]:
             continue
         compared = compared.unionAll(more)
-        links = links.unionAll(_verified(more, kinds, bound))
+        links = links.unionAll(_verified(more, patterns, kinds, bound))
         known = _labelled(known, links, at, width)
     return _passages(at, known, links, kinds, width)
 
 
-def _verified(pairs: DataFrame, kinds: DataFrame, bound: Bound) -> DataFrame:
-    """(tile, other, mask, i, z, j, exact) of the pairs of tiles a, b with similar passages, from both sides: the tile's
-    linked passages as bits, the first and last of them, and a passage of the other that the first is linked with."""
+def _verified(pairs: DataFrame, patterns: DataFrame, kinds: DataFrame, bound: Bound) -> DataFrame:
+    """(tile, other, mask, i, z, j, exact) of tiles whose patterns are a pair a, b with similar passages, from both sides: the
+    tile's linked passages as bits, the first and last of them, and a passage of the other that the first is linked with.
+
+    A tile is linked with all of the other pattern that other texts have. Two of these stand for them, in the first and in
+    the last text that has the pattern: what links join is the same.
+    """
 
     def side(short: str) -> DataFrame:
-        same = F.when(~F.col("copied"), F.col("lo.text_no"))
-        return kinds.select(F.col("tile").alias(short), same.alias(f"{short}_only"), F.col("ids").alias(f"{short}_ids"))
+        same = F.when(~F.col("spread"), F.col("lo.text_no"))
+        return patterns.select(F.col("pattern").alias(short), same.alias(f"{short}_only"), F.col("ids").alias(f"{short}_ids"))
 
     def one(x: Compared, y: Compared, hit: np.ndarray) -> list[int]:
         mine = np.flatnonzero(hit.any(axis=1))
@@ -545,14 +556,19 @@ def _verified(pairs: DataFrame, kinds: DataFrame, bound: Bound) -> DataFrame:
     joined = joined.where(~F.coalesce(F.col("a_only") == F.col("b_only"), F.lit(False)))
     hits = materialise(joined.select("a", "b", similar("a_ids", "b_ids").alias("h")).where("h is not null"), "links")
 
-    def seen(tile: str, other: str, k: int) -> DataFrame:
+    def seen(pattern: str, other: str, k: int) -> DataFrame:
         numbers = [F.col("h")[k + c] for c in range(5)]
         return hits.select(
-            F.col(tile).alias("tile"), F.col(other).alias("other"), numbers[0].alias("mask"), numbers[1].cast("int").alias("i"),
+            F.col(pattern).alias("pattern"), F.col(other).alias("with"), numbers[0].alias("mask"), numbers[1].cast("int").alias("i"),
             numbers[2].cast("int").alias("z"), numbers[3].cast("int").alias("j"), (numbers[4] == 1).alias("exact"),
         )
 
-    return seen("a", "b", 0).unionAll(seen("b", "a", 5))
+    both = seen("a", "b", 0).unionAll(seen("b", "a", 5))
+    ends = patterns.select(F.col("pattern").alias("with"), F.array_distinct(F.array("lo", "hi")).alias("ends"))
+    only = F.when(~F.col("copied"), F.col("lo.text_no")).alias("only")
+    tiles = both.join(ends, "with").join(kinds.select("pattern", "tile", only), "pattern").withColumn("end", F.explode("ends"))
+    tiles = tiles.where(F.col("only").isNull() | (F.col("only") != F.col("end.text_no")))
+    return tiles.select("tile", F.col("end.tile").alias("other"), "mask", "i", "z", "j", "exact")
 
 
 def _labelled(known: DataFrame | None, links: DataFrame, at: DataFrame, width: int) -> DataFrame:
@@ -575,50 +591,53 @@ def _labelled(known: DataFrame | None, links: DataFrame, at: DataFrame, width: i
     return materialise(linked.join(joined, "node", "left").select("tile", "mask", "i", "z", F.coalesce("label", "node").alias("label")), "labels")
 
 
-def _entries(kinds: DataFrame, shared: Shingles, bound: Bound) -> DataFrame:
-    """What :func:`prefixes` finds for every tile."""
-    schema = StructType.fromDDL("tile bigint, shingle bigint, family int, repeats boolean, mask bigint")
+def _entries(patterns: DataFrame, shared: Shingles, bound: Bound) -> DataFrame:
+    """What :func:`prefixes` finds for every pattern."""
+    schema = StructType.fromDDL("pattern bigint, shingle bigint, family int, repeats boolean, mask bigint")
     arrow = to_arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tile, ids = batch.column("tile").to_numpy(zero_copy_only=False), batch.column("ids")
+            pattern, ids = batch.column("pattern").to_numpy(zero_copy_only=False), batch.column("ids")
             ends, values = ids.offsets.to_numpy(), ids.values.to_numpy()
             for who, shingle, family, repeats, mask in prefixes([values[a:b] for a, b in zip(ends, ends[1:])], shared, bound):
-                yield pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) for x, f in zip((tile[who], shingle, family, repeats, mask), arrow)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) for x, f in zip((pattern[who], shingle, family, repeats, mask), arrow)], schema=arrow)
 
-    return materialise(kinds.select("tile", "ids").mapInArrow(work, schema), "entries")
+    return materialise(patterns.select("pattern", "ids").mapInArrow(work, schema), "entries")
 
 
-def _candidates(entries: DataFrame, kinds: DataFrame, known: DataFrame, lead: bool) -> DataFrame:
-    """Pairs a < b of tiles that share a shingle of their prefixes and may still tell something: they are of different
-    classes, or a passage that has the shingle there is not linked yet. With ``lead`` just those with a leader of each shingle."""
-    state = kinds.select("tile", "copied", "n").join(known.select("tile", F.col("mask").alias("linked"), "label"), "tile", "left")
-    open_ = (F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("linked", F.lit(0).cast("long"))))) != 0
-    entries = entries.join(state, "tile").select("tile", "shingle", "family", "repeats", "copied", "n", F.coalesce("label", "tile").alias("label"), open_.alias("open"))
+def _candidates(entries: DataFrame, patterns: DataFrame, kinds: DataFrame, known: DataFrame, lead: bool) -> DataFrame:
+    """Pairs a < b of patterns that share a shingle of their prefixes and may still tell something: their tiles are not of one
+    class, or a passage that has the shingle there is not linked yet. With ``lead`` just those with a leader of each shingle."""
+    label = F.coalesce("label", "tile")
+    state = kinds.select("tile", "pattern").join(known.select("tile", "mask", "label"), "tile", "left").groupBy("pattern")
+    state = state.agg(F.expr("bit_and(coalesce(mask, 0L))").alias("linked"), F.min(label).alias("low"), F.max(label).alias("high"))
+    state = state.join(patterns.select("pattern", "spread", "n"), "pattern")
+    open_ = F.col("mask").bitwiseAND(F.bitwise_not("linked")) != 0
+    entries = entries.join(state, "pattern").select("pattern", "shingle", "family", "repeats", "spread", "n", "low", "high", open_.alias("open"))
     by = ["family", "shingle"]
-    head = F.max(F.struct("copied", "n", "tile", "label", "open", "repeats"))
-    groups = entries.groupBy(*by).agg(head.alias("head"), (F.min("label") != F.max("label")).alias("mixed"), F.max("open").alias("some"), F.max("repeats").alias("odd"), F.count(F.lit(1)).alias("m"))
+    head = F.max(F.struct("spread", "n", "pattern", "low", "high", "open"))
+    groups = entries.groupBy(*by).agg(head.alias("head"), (F.min("low") != F.max("high")).alias("mixed"), F.max("open").alias("some"), F.max("repeats").alias("odd"), F.count(F.lit(1)).alias("m"))
     groups = groups.where("m > 1 and (mixed or some) and (family = 0 or odd)")
+    may = lambda x, y: (F.col(f"{x}low") != F.col(f"{y}high")) | (F.col(f"{x}high") != F.col(f"{y}low")) | F.col(f"{x}open") | F.col(f"{y}open")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     if lead:
-        met = entries.join(groups.select(*by, "head"), by).where(F.col("tile") != F.col("head.tile"))
-        met = met.where((F.col("label") != F.col("head.label")) | F.col("open") | F.col("head.open"))
-        return met.select(F.least("tile", "head.tile").alias("a"), F.greatest("tile", "head.tile").alias("b")).distinct()
-    left = materialise(entries.join(groups.select(*by), by, "left_semi").select(*by, "tile", "label", "open", "repeats"), "entries-left")
-    # one of a pair has to be open, or has to have another label: both sides see all rows of a shingle that may still matter
+        met = entries.join(groups.select(*by, "head"), by).where(F.col("pattern") != F.col("head.pattern")).where(may("", "head."))
+        return met.select(*pair("pattern", "head.pattern")).distinct()
+    left = materialise(entries.join(groups.select(*by), by, "left_semi").select(*by, "pattern", "repeats", "low", "high", "open"), "entries-left")
     x, y = left.alias("x"), left.alias("y")
-    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in by]
-    on += [F.col("x.tile") < F.col("y.tile"), (F.col("x.label") != F.col("y.label")) | F.col("x.open") | F.col("y.open")]
-    on += [(F.col("x.family") == 0) | F.col("x.repeats") | F.col("y.repeats")]
-    return x.join(y, on).select(F.col("x.tile").alias("a"), F.col("y.tile").alias("b")).distinct()
+    same = F.col("x.shingle") == F.col("y.shingle")
+    plain = x.where("family = 0").join(y.where("family = 0"), [same, F.col("x.pattern") < F.col("y.pattern"), may("x.", "y.")])
+    odd = x.where("family = 1 and repeats").join(y.where("family = 1"), [same, F.col("x.pattern") != F.col("y.pattern"), may("x.", "y.")])
+    return plain.unionAll(odd).select(*pair("x.pattern", "y.pattern")).distinct()
 
 
 def _passages(at: DataFrame, known: DataFrame, links: DataFrame, kinds: DataFrame, width: int) -> DataFrame:
     ends = lambda: kinds.select(F.col("tile").alias("other"), "lo", "hi")
-    # what the first linked passage of a tile goes with; word for word if there is such a link
-    best = links.groupBy("tile").agg(F.min(F.struct("i", (~F.col("exact")).alias("near"), "other", "j")).alias("w"))
+    # what the first linked passage of a tile goes with: word for word if there is such a link, a copy of the tile before all
+    best = links.groupBy("tile").agg(F.min(F.struct("i", (~F.col("exact")).alias("near"), (F.col("other") != F.col("tile")).alias("from_other"), "other", "j")).alias("w"))
     best = best.select("tile", F.col("w.other").alias("other"), F.col("w.j").alias("j"), F.col("w.near").alias("near")).join(ends(), "other")
     spans = at.join(known.select("tile", "i", "z", "label"), "tile").join(best.select("tile", "j", "near", "lo", "hi"), "tile")
     # an occurrence of the other in another text

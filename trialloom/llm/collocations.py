@@ -348,8 +348,9 @@ def frequent_phrases(docs: DataFrame, max_words: int, min_count: int, lang_col:
 # scores --------------------------------------------------------------------------------------------------------------
 def exact_score(a: str, left: str, right: str) -> Column:
     """floor(1000000 * a * a / (left * right)) in whole decimal numbers."""
-    d = lambda c: f"cast({c} as decimal(15, 0))"
-    return F.expr(f"(cast(1000000 as decimal(7, 0)) * {d(a)} * {d(a)}) div ({d(left)} * {d(right)})")
+    d = lambda c, digits: f"cast({c} as decimal({digits}, 0))"
+    # any two longs have a product of 38 digits at most; a million times a square has them up to 15 digits
+    return F.expr(f"(cast(1000000 as decimal(7, 0)) * {d(a, 15)} * {d(a, 15)}) div ({d(left, 19)} * {d(right, 19)})")
 
 
 def _scored(phrases: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:

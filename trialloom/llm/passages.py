@@ -17,7 +17,7 @@ in one class already and have no passage without a partner. No pair that may sti
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +31,8 @@ from pyspark.sql.types import StructType
 
 from trialloom.llm.components import connected
 from trialloom.llm.hash_tables import BITS, Shelf, SortedTable, bucket_of, fill_gaps, mix, new_shelf, split_by_bucket, summed, unpack
-from trialloom.llm.text import WordHashes, map_texts, small_batches, word_blocks
+from trialloom.llm.text import TextHashes as WordHashes
+from trialloom.llm.text import hashed_blocks, small_batches
 from trialloom.session import materialise
 
 SHINGLE = 5
@@ -46,6 +47,12 @@ SENT = 200_000
 TOGETHER = 20_000
 #: The order of shingles: how many texts have it, then its number.
 NUMBER_BITS = 43
+#: Bits of a shingle's number, moved up so that those of a tile's own are no less than 0.
+ID_BITS = 44
+#: Longs of a map of shingles.
+SKETCH = 4
+#: Pairs that are compared together, and cells of their matrices; the size of no passage.
+PAIRS, CELLS, TOO_LARGE = 2_000, 1_000_000, 1 << 20
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -179,24 +186,26 @@ def within(flag: np.ndarray, t: int) -> np.ndarray:
     return total[t:] - total[:-t]
 
 
-def grouped(value: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions ordered so that equal values of one text are neighbours, by place; and whether each begins such a group."""
+def repeated(value: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(before, after) of places that hold the same value of the same text, each with the next such place."""
     own = mix(value.astype(np.uint64) ^ mix(who.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
-    order = np.argsort(own, kind="stable")
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = own[order[1:]] != own[order[:-1]]
-    return order, new
-
-
-def distinct_within(order: np.ndarray, new: np.ndarray, t: int) -> np.ndarray:
-    """How many different values each ``t`` neighbours hold; ``order`` and ``new`` as from :func:`grouped`."""
-    again = np.flatnonzero(~new)
-    before, after = order[again - 1], order[again]
+    ascending = np.sort(own)
+    twice = ascending[1:][ascending[1:] == ascending[:-1]]
+    if not len(twice):
+        return (np.zeros(0, np.int64),) * 2
+    may = np.zeros(1 << 20, dtype=bool)
+    may[twice >> np.uint64(44)] = True
+    places = np.flatnonzero(may[own >> np.uint64(44)])
+    order = places[np.argsort(own[places], kind="stable")]
+    same = np.flatnonzero(own[order[1:]] == own[order[:-1]])
+    return order[same], order[same + 1]
+
+
+def distinct_within(before: np.ndarray, after: np.ndarray, n: int, t: int) -> np.ndarray:
+    """How many different values each ``t`` neighbours of ``n`` hold; ``before`` and ``after`` as from :func:`repeated`."""
     near = after - before < t
-    step = np.zeros(len(order) + 1, dtype=np.int64)
-    np.add.at(step, np.maximum(after[near] - t + 1, 0), -1)
-    np.add.at(step, before[near] + 1, 1)
-    return t + np.cumsum(step)[: len(order) - t + 1]
+    step = np.bincount(before[near] + 1, minlength=n + 1) - np.bincount(np.maximum(after[near] - t + 1, 0), minlength=n + 1)
+    return t + np.cumsum(step)[: n - t + 1]
 
 
 @dataclass(frozen=True)
@@ -275,26 +284,27 @@ def shared_shingles(rows: DataFrame, width: int, per_bucket: int) -> Shingles:
             return pd.DataFrame(split_by_bucket(bucket_of(keys, buckets), [keys], counts), columns=["bucket", "part"])
 
         for batch in batches:
-            for _, _, offsets, h in word_blocks(batch["text"].tolist(), hashes):
+            for _, _, offsets, h in hashed_blocks(batch["text"].tolist(), hashes):
                 if len(h) < width:
                     continue
                 block = Block(offsets, h, width)
                 value, inside = block.shingles()
                 who = block.text_of(np.arange(len(value)))
-                order, new = grouped(value, who)
+                before, after = repeated(value, who)
                 passage = within(inside, t) == t
-                odd = np.flatnonzero(passage & (distinct_within(order, new, t) < t))
+                odd = np.flatnonzero(passage & (distinct_within(before, after, len(value), t) < t))
                 step = np.zeros(len(value) + 1, dtype=np.int64)
                 step[odd] += 1
                 step[odd + t] -= 1
                 odd = np.cumsum(step)[:-1] > 0
-                group = np.flatnonzero(new)
                 kept = inside & (np.diff(offsets)[who] >= width)
-                first = kept[order[group]]
-                any_odd = np.logical_or.reduceat(odd[order], group)
-                # a group may begin inside a text and end on its last words, where no shingle is, never the other way
-                held.append(value[order[group[first]]] >> np.uint64(64 - BITS))
-                weights.append(1 + any_odd[first].astype(np.int64) * odd_one)
+                first = kept.copy()
+                first[after] = False
+                # equal values may begin inside a text and end on its last words, where no shingle is, never the other way;
+                # one that comes again tells only whether it is odd there
+                again = after[(odd & kept)[after]]
+                held.append(np.concatenate([value[first], value[again]]) >> np.uint64(64 - BITS))
+                weights.append(np.concatenate([1 + odd[first].astype(np.int64) * odd_one, np.full(len(again), odd_one)]))
                 size += len(held[-1])
                 if size >= CHUNK:
                     yield flush()
@@ -317,28 +327,42 @@ def shared_shingles(rows: DataFrame, width: int, per_bucket: int) -> Shingles:
     return Shingles(shelf, np.concatenate([[0], np.cumsum(sizes)]))
 
 
-def tiles_of(block: Block, shared: Shingles, bound: Bound) -> Iterator[tuple[int, int, int, int, int, int, np.ndarray]]:
-    """(text, first start, starts, times, key, tile, shingle numbers) of the tiles of passages that may have a partner.
+def ragged(begin: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of ``counts`` successive numbers from each of ``begin``."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    ends = np.cumsum(counts)
+    return row, np.arange(len(row)) + (begin - ends + counts)[row]
+
 
-    A tile is known by a hash of its words. It is given once for all times that it follows itself. Shingles that no other text has are numbered from -1 down within a tile.
+def tiles_of(block: Block, shared: Shingles, bound: Bound) -> dict[str, np.ndarray] | None:
+    """The tiles of passages that may have a partner: text, first start, starts, times, key, tile, and their shingle numbers.
+
+    A tile is known by a hash of its words. It is given once for all times that it follows itself. Shingles that no other text
+    has are numbered from -1 down within a tile. The numbers of tile k are ids[offsets[k]:offsets[k + 1]].
     """
     t = bound.t
     if len(block.words) < block.width:
-        return
+        return None
     value, inside = block.shingles()
     number, odd = shared.find(value)
     number[~inside] = -1
-    order, new = grouped(value, block.text_of(np.arange(len(value))))
-    size = distinct_within(order, new, t)
+    before, after = repeated(value, block.text_of(np.arange(len(value))))
+    size = distinct_within(before, after, len(value), t)
     some = within(number >= 0, t)
     plain = size == t
     may = np.where(plain, (some >= bound.both()) | (within(odd & (number >= 0), t) >= bound.alone(t)), some >= bound.alone(size))
     s = np.flatnonzero(may & (within(inside, t) == t))
     if not len(s):
-        return
-    ((first, _, place, key),) = block.bands(number >= 0, ((0,),))
-    at = np.searchsorted(first, s, "right") - 1
-    piece = (place[at] - s) // STARTS
+        return None
+    # windows are sought in the stretches of such starts alone; the last words of a stretch begin no shingle within it
+    split = np.flatnonzero(np.diff(s, prepend=-2) != 1)
+    lengths = np.diff(np.append(split, len(s)))
+    _, words = ragged(s[split], lengths + block.width - 1)
+    apart = Block(np.concatenate([[0], np.cumsum(lengths + block.width - 1)]), block.words[words], block.width)
+    moved = np.repeat(np.arange(len(split)), lengths) * (block.width - 1) + np.arange(len(s))
+    ((first, _, place, key),) = apart.bands((number >= 0)[np.minimum(words, len(number) - 1)][: len(words) - SHINGLE + 1], ((0,),))
+    at = np.searchsorted(first, moved, "right") - 1
+    piece = (place[at] - moved) // STARTS
     cut = np.ones(len(s), dtype=bool)
     cut[1:] = (s[1:] != s[:-1] + 1) | (at[1:] != at[:-1]) | (piece[1:] != piece[:-1])
     cut = np.flatnonzero(cut)
@@ -349,61 +373,141 @@ def tiles_of(block: Block, shared: Shingles, bound: Bound) -> Iterator[tuple[int
     new = np.ones(len(a), dtype=bool)
     new[1:] = (tile[1:] != tile[:-1]) | (text[1:] != text[:-1]) | (a[1:] != a[:-1] + n[:-1])
     new = np.flatnonzero(new)
-    times = np.diff(np.append(new, len(a)))
-    keys = key[at[cut]].view(np.int64)
-    for i, k in zip(new.tolist(), times.tolist()):
-        ids = number[a[i] : a[i] + n[i] + t - 1]
-        if (own := ids < 0).any():
-            _, which, back = np.unique(value[a[i] : a[i] + len(ids)][own], return_index=True, return_inverse=True)
-            ids = ids.copy()
-            ids[own] = -1 - which[back]
-        yield int(text[i]), int(a[i] - block.offsets[text[i]]), int(n[i]), k, int(keys[i]), int(tile[i]), ids
-
-
-class Compared:
-    """A tile's shingles, made ready to be compared."""
-
-    def __init__(self, ids: np.ndarray, t: int) -> None:
-        self.ids, self.t = ids, t
-        self.order = np.argsort(ids, kind="stable")
-        self.sorted = ids[self.order]
-        #: without repeats every passage has ``t`` shingles
-        self.plain = bool((self.sorted[1:] != self.sorted[:-1]).all())
-        self.size = np.full(len(ids) - t + 1, t) if self.plain else distinct_within(*grouped(ids.view(np.uint64), np.zeros(len(ids), np.uint64)), t)
-
-    def has(self, common: np.ndarray) -> np.ndarray:
-        """Whether each passage holds each of some shingles of the tile."""
-        first = np.searchsorted(self.sorted, common)
-        starts = np.arange(len(self.size))[:, None]
-        if self.plain:
-            p = self.order[first]
-            return ((starts <= p) & (starts > p - self.t)).astype(np.float32)
-        out = np.zeros((len(self.size), len(common)), dtype=bool)
-        end = np.searchsorted(self.sorted, common, "right")
-        for k in range(int((end - first).max())):
-            p = self.order[np.minimum(first + k, end - 1)]
-            out |= (starts <= p) & (starts > p - self.t)
-        return out.astype(np.float32)
-
-    def similar(self, other: Compared, bound: Bound) -> np.ndarray | None:
-        """Which passages of the one are similar to which of the other; None if none is."""
-        mine = self.sorted if self.plain else np.unique(self.sorted)
-        common = mine[other.sorted[np.minimum(np.searchsorted(other.sorted, mine), len(other.sorted) - 1)] == mine]
-        common = common[common >= 0]
-        least = bound.both() if self.plain and other.plain else bound.alone(max(self.size.min(), other.size.min()))
-        if len(common) < least:
-            return None
-        both = self.has(common) @ other.has(common).T
-        found = 100 * both >= bound.percent * (self.size[:, None] + other.size[None, :] - both)
-        return found if found.any() else None
-
-    def equal(self, i: int, other: Compared, j: int) -> bool:
-        mine = self.ids[i : i + self.t]
-        return bool((mine >= 0).all() and (mine == other.ids[j : j + self.t]).all())
-
-
-def bits(flag: np.ndarray) -> int:
-    return sum(1 << i for i in np.flatnonzero(flag).tolist())
+    times, key = np.diff(np.append(new, len(a))), key[at[cut]][new].view(np.int64)
+    a, n, text, tile = a[new], n[new], text[new], tile[new]
+
+    offsets = np.concatenate([[0], np.cumsum(n + t - 1)])
+    row, where = ragged(a, n + t - 1)
+    ids = number[where]
+    own = ids < 0
+    count = np.cumsum(own)
+    ids[own] = (np.concatenate([[0], count])[offsets[row]] - count)[own]
+    # one that was in the tile before has the number it had there, which that place got from the one before it
+    back = np.full(len(value), -1)
+    back[after] = before
+    again = np.flatnonzero(own & (back[where] >= a[row]))
+    if len(again):
+        point = np.arange(len(ids))
+        point[again] = offsets[row[again]] + back[where[again]] - a[row[again]]
+        while (point[point[again]] != point[again]).any():
+            point[again] = point[point[again]]
+        ids[again] = ids[point[again]]
+    return {"text": text, "first": a - block.offsets[text], "n": n, "times": times, "key": key, "tile": tile, "ids": ids, "offsets": offsets}
+
+
+def place_bits(t: int) -> int:
+    return (STARTS + t).bit_length()
+
+
+@dataclass
+class Side:
+    """The shingles of one tile of each of several pairs, by pair, number and place.
+
+    Each place stands for the passages, by their first and last start, that have the shingle there for the first time.
+    """
+
+    ids: np.ndarray
+    offsets: np.ndarray
+    t: int
+
+    def __post_init__(self) -> None:
+        lengths = np.diff(self.offsets)
+        self.starts = lengths - self.t + 1
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(self.ids)) - self.offsets[row]
+        bits = place_bits(self.t)
+        # one sort of single values
+        packed = np.sort(((row << ID_BITS) + self.ids + (1 << bits)) << bits | place)
+        place = packed & ((1 << bits) - 1)
+        self.key = packed >> bits
+        self.row = self.key >> ID_BITS
+        self.new = np.ones(len(packed), dtype=bool)
+        self.new[1:] = self.key[1:] != self.key[:-1]
+        self.low = np.maximum(place - self.t + 1, 0)
+        again = np.flatnonzero(~self.new)
+        self.low[again] = np.maximum(self.low[again], place[again - 1] + 1)
+        self.high = np.minimum(place, self.starts[self.row] - 1)
+        self.common = (self.key & ((1 << ID_BITS) - 1)) >= 1 << bits
+        self.plain = np.ones(len(lengths), dtype=bool)
+        self.plain[self.row[again]] = False
+
+    def sizes(self) -> np.ndarray:
+        """How many different shingles each passage has: a row of passages for each tile, the rest of it too large to be similar."""
+        n, most = len(self.starts), int(self.starts.max()) + 1
+        has = np.flatnonzero(self.low <= self.high)
+        at = self.row[has] * most
+        step = np.bincount(at + self.low[has], minlength=n * most) - np.bincount(at + self.high[has] + 1, minlength=n * most)
+        out = np.cumsum(step.reshape(n, most), axis=1)
+        out[np.arange(most) >= self.starts[:, None]] = TOO_LARGE
+        return out
+
+    def passages(self, row: np.ndarray, start: np.ndarray) -> np.ndarray:
+        return self.ids[(self.offsets[row] + start)[:, None] + np.arange(self.t)]
+
+
+def compare(x: Side, y: Side, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, facts) of the pairs that have similar passages. The facts from either side are the passages with a partner as
+    bits, the first and the last of them, one that the first is similar to, and whether the two are equal."""
+    none = np.zeros(0, np.int64), np.zeros((0, 10), np.int64)
+    mine = np.flatnonzero(x.common)
+    from_, to = np.searchsorted(y.key, x.key[mine], "left"), np.searchsorted(y.key, x.key[mine], "right")
+    met = to > from_
+    mine, from_, times = mine[met], from_[met], (to - from_)[met]
+    if not len(mine):
+        return none
+    shared = np.bincount(x.row[mine[x.new[mine]]], minlength=len(x.starts))
+    x_size, y_size = x.sizes(), y.sizes()
+    least = np.where(x.plain & y.plain, bound.both(), bound.alone(np.maximum(x_size.min(axis=1), y_size.min(axis=1))))
+    area = np.where(shared >= least, np.maximum(x.starts, y.starts) ** 2, 0)
+    rows = np.argsort(area, kind="stable")
+    rows = rows[area[rows] > 0]
+    if not len(rows):
+        return none
+    a = np.repeat(mine, times)
+    b = np.repeat(from_ - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(len(a))
+    has = (x.low[a] <= x.high[a]) & (y.low[b] <= y.high[b])
+    a, b = a[has], b[has]
+    ends = np.searchsorted(x.row[a], np.arange(len(x.starts) + 1))
+    found, facts = [], []
+    first = 0
+    while first < len(rows):
+        last = first + 1 + int(np.searchsorted(np.arange(2, len(rows) - first + 1) * area[rows[first + 1 :]], CELLS, "right"))
+        part, first = rows[first:last], last
+        counts = ends[part + 1] - ends[part]
+        at = np.repeat(ends[part] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        pair, p, q = np.repeat(np.arange(len(part)), counts), a[at], b[at]
+        n, m = int(x.starts[part].max()), int(y.starts[part].max())
+        # each two places with one shingle are a rectangle of pairs of passages
+        cell = lambda i, j: (pair * (n + 1) + i) * (m + 1) + j
+        more = np.concatenate([cell(x.low[p], y.low[q]), cell(x.high[p] + 1, y.high[q] + 1)])
+        less = np.concatenate([cell(x.high[p] + 1, y.low[q]), cell(x.low[p], y.high[q] + 1)])
+        cells = len(part) * (n + 1) * (m + 1)
+        both = (np.bincount(more, minlength=cells) - np.bincount(less, minlength=cells)).reshape(len(part), n + 1, m + 1)
+        both = both.cumsum(axis=1).cumsum(axis=2)[:, :n, :m]
+        xs, ys = x_size[part][:, :n], y_size[part][:, :m]
+        near = 100 * both >= bound.percent * (xs[:, :, None] + ys[:, None, :] - both)
+        hit = np.flatnonzero(near.any(axis=(1, 2)))
+        if len(hit):
+            part, near, both, xs, ys = part[hit], near[hit], both[hit], xs[hit], ys[hit]
+            found.append(part)
+            facts.append(np.concatenate([one_side(x, y, part, near, both, xs, ys), one_side(y, x, part, near.transpose(0, 2, 1), both.transpose(0, 2, 1), ys, xs)], axis=1))
+    return (np.concatenate(found), np.concatenate(facts)) if found else none
+
+
+def one_side(x: Side, y: Side, part: np.ndarray, near: np.ndarray, both: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    each = np.arange(len(part))
+    mine = near.any(axis=2)
+    mask = mine @ (np.int64(1) << np.arange(mine.shape[1]))
+    i, z = mine.argmax(axis=1), mine.shape[1] - 1 - mine[:, ::-1].argmax(axis=1)
+    size = xs[each, i][:, None]
+    k, j = np.nonzero(near[each, i] & (both[each, i] == size) & (ys == size))
+    own = x.passages(part[k], i[k])
+    same = ((own >= 0) & (own == y.passages(part[k], j))).all(axis=1)
+    with_, exact = near[each, i].argmax(axis=1), np.zeros(len(part), dtype=np.int64)
+    # the first of several is written last
+    k, j = k[same][::-1], j[same][::-1]
+    with_[k], exact[k] = j, 1
+    return np.stack([mask, i, z, with_, exact], axis=1)
 
 
 def prefixes(tiles: list[np.ndarray], shared: Shingles, bound: Bound) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -418,7 +522,7 @@ def prefixes(tiles: list[np.ndarray], shared: Shingles, bound: Bound) -> Iterato
     begin = np.concatenate([[0], np.cumsum(lengths)])
     ids = np.concatenate(tiles)
     who = np.repeat(np.arange(len(tiles)), lengths)
-    size = distinct_within(*grouped(ids.view(np.uint64), who), t)
+    size = distinct_within(*repeated(ids.view(np.uint64), who), len(ids), t)
     rank = -ids
     seen = np.flatnonzero(ids >= 0)
     texts, flags = shared.facts(ids[seen])
@@ -470,36 +574,45 @@ def repeated_passages(docs: DataFrame, width: int = 50, percent: int = 80, id_co
     small_batches(spark)
     shared = shared_shingles(rows, width, per_bucket)
 
-    def start() -> Callable[[list], dict]:
-        hashes, sent = WordHashes(), set()
-
-        def work(texts: list) -> dict:
-            out = [[] for _ in texts]
-            for begin, _, offsets, h in word_blocks(texts, hashes):
-                for text, first, n, times, key, tile, ids in tiles_of(Block(offsets, h, width), shared, bound):
-                    pattern = int(np.uint64(xxhash.xxh3_64_intdigest(ids.tobytes())).view(np.int64))
-                    # what a task has sent once is in its output
-                    out[begin + text].append({"first": first, "n": n, "times": times, "key": key, "tile": tile, "pattern": pattern, "ids": None if pattern in sent else ids})
-                    if len(sent) < SENT:
-                        sent.add(pattern)
-            return {"tiles": out}
-
-        return work
-
     # numbered as they are written, so the numbers stay
     numbered = rows.withColumn("text_no", F.monotonically_increasing_id())
-    found = map_texts(numbered, start, "tiles array<struct<first: int, n: int, times: int, key: bigint, tile: bigint, pattern: bigint, ids: array<bigint>>>")
-    found = materialise(found.select("doc_id", "text_no", F.inline("tiles")), "tiles")
+    schema = StructType([*numbered.select("doc_id", "text_no").schema.fields, *StructType.fromDDL("first int, n int, times int, key bigint, tile bigint, pattern bigint, ids array<bigint>").fields])
+    arrow = to_arrow_schema(schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, sent = WordHashes(), set()
+        for batch in batches:
+            for begin, _, offsets, h in hashed_blocks(batch.column("text").to_pylist(), hashes):
+                if (tiles := tiles_of(Block(offsets, h, width), shared, bound)) is None:
+                    continue
+                ids, ends = tiles["ids"], tiles["offsets"].tolist()
+                pattern = np.array([xxhash.xxh3_64_intdigest(ids[a:b]) for a, b in zip(ends, ends[1:])], dtype=np.uint64).view(np.int64)
+                # what a task has sent once is in its output, with the first of its tiles
+                known = np.zeros(len(pattern), dtype=bool)
+                for i, x in enumerate(pattern.tolist()):
+                    if x in sent:
+                        known[i] = True
+                    elif len(sent) < SENT:
+                        sent.add(x)
+                lengths = np.where(known, 0, np.diff(tiles["offsets"]))
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(ids[np.repeat(~known, np.diff(tiles["offsets"]))], pa.int64()), mask=pa.array(known)
+                )
+                at = pa.array(tiles["text"] + begin)
+                made = [batch.column("doc_id").take(at), batch.column("text_no").take(at), *(pa.array(tiles[c]) for c in ("first", "n", "times", "key", "tile")), pa.array(pattern), lists]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, arrow)], schema=arrow)
+
+    # places ascend by text and first word
+    found = materialise(numbered.mapInArrow(cut, schema).withColumn("place", F.monotonically_increasing_id()), "tiles")
     # a tile that follows itself reaches further; its linked passages hang together, as it has no more starts than one passage words
     at = found.select("doc_id", "text_no", "first", "tile", ((F.col("times") - 1) * F.col("n")).alias("reach"))
-    place = F.struct("text_no", "first", "doc_id")
-    kinds = found.groupBy("tile").agg(F.first("n").alias("n"), F.first("pattern").alias("pattern"), F.min(place).alias("lo"), F.max(place).alias("hi"))
-    kinds = materialise(kinds.withColumn("copied", F.col("lo.text_no") < F.col("hi.text_no")), "kinds")
-    place = F.struct("text_no", "tile")
-    patterns = found.groupBy("pattern").agg(
-        F.first("n").alias("n"), F.first("key").alias("key"), F.min(place).alias("lo"), F.max(place).alias("hi"), F.first("ids", ignorenulls=True).alias("ids")
-    )
-    patterns = materialise(patterns.withColumn("spread", F.col("lo.text_no") < F.col("hi.text_no")), "patterns")
+    ends = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("lo_text").alias("lo_text"), F.max("hi_text").alias("hi_text"), F.max("n").alias("n"), F.max("key").alias("key")]
+    each = found.select("tile", "pattern", "n", "key", F.col("place").alias("lo"), F.col("place").alias("hi"), F.col("text_no").alias("lo_text"), F.col("text_no").alias("hi_text"))
+    kinds = each.groupBy("tile").agg(*ends, F.max("pattern").alias("pattern"))
+    kinds = materialise(kinds.withColumn("copied", F.col("lo_text") < F.col("hi_text")), "kinds")
+    patterns = kinds.groupBy("pattern").agg(*ends, F.min_by("tile", "lo").alias("lo_tile"), F.max_by("tile", "hi").alias("hi_tile"))
+    patterns = patterns.join(found.where("ids is not null").select(F.col("place").alias("lo"), "ids"), "lo")
+    patterns = materialise(patterns.withColumn("spread", F.col("lo_text") < F.col("hi_text")), "patterns")
 
     full = F.expr("shiftleft(1L, n) - 1")
     links = kinds.where("copied").select("tile", F.col("tile").alias("other"), full.alias("mask"), F.lit(0).alias("i"), (F.col("n") - 1).alias("z"), F.lit(0).alias("j"), F.lit(True).alias("exact"))
@@ -513,14 +626,14 @@ def repeated_passages(docs: DataFrame, width: int = 50, percent: int = 80, id_co
     known = _labelled(None, links, at, width)
     entries = _entries(patterns, shared, bound)
     for name, lead in (("under one shingle", True), ("all that is left", False)):
-        more = materialise(_candidates(entries, patterns, kinds, known, lead).join(compared, ["a", "b"], "left_anti"), "pairs")
+        more = materialise(_candidates(entries, patterns, kinds, known, bound, lead).join(compared, ["a", "b"], "left_anti"), "pairs")
         report[name] = more.count()
         if not report[name]:
             continue
         compared = compared.unionAll(more)
         links = links.unionAll(_verified(more, patterns, kinds, bound))
         known = _labelled(known, links, at, width)
-    return _passages(at, known, links, kinds, width)
+    return _passages(found, at, known, links, kinds, width)
 
 
 def _verified(pairs: DataFrame, patterns: DataFrame, kinds: DataFrame, bound: Bound) -> DataFrame:
@@ -532,29 +645,32 @@ def _verified(pairs: DataFrame, patterns: DataFrame, kinds: DataFrame, bound: Bo
     """
 
     def side(short: str) -> DataFrame:
-        same = F.when(~F.col("spread"), F.col("lo.text_no"))
+        same = F.when(~F.col("spread"), F.col("lo_text"))
         return patterns.select(F.col("pattern").alias(short), same.alias(f"{short}_only"), F.col("ids").alias(f"{short}_ids"))
 
-    def one(x: Compared, y: Compared, hit: np.ndarray) -> list[int]:
-        mine = np.flatnonzero(hit.any(axis=1))
-        i = int(mine[0])
-        places = np.flatnonzero(hit[i]).tolist()
-        same = next((j for j in places if x.equal(i, y, j)), None)
-        return [bits(hit.any(axis=1)), i, int(mine[-1]), places[0] if same is None else same, int(same is not None)]
-
-    @F.pandas_udf("array<bigint>")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = Compared(np.asarray(x), bound.t), Compared(np.asarray(y), bound.t)
-            hit = x.similar(y, bound)
-            out.append(None if hit is None else np.array(one(x, y, hit) + one(y, x, hit.T), dtype=np.int64))
-        return pd.Series(out, dtype=object)
+    schema = StructType.fromDDL("a bigint, b bigint, h array<bigint>")
+    arrow = to_arrow_schema(schema)
+    together = min(PAIRS, 1 << (62 - ID_BITS - place_bits(bound.t)))
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, together):
+                batch = whole.slice(k, together)
+                sides = []
+                for name in ("a_ids", "b_ids"):
+                    ids = batch.column(name)
+                    ends = ids.offsets.to_numpy().astype(np.int64)
+                    sides.append(Side(ids.values.to_numpy()[ends[0] : ends[-1]], ends - ends[0], bound.t))
+                rows, facts = compare(*sides, bound)
+                if len(rows):
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * 10, pa.int32()), pa.array(facts.ravel(), pa.int64()))
+                    pair = [batch.column(c).take(pa.array(rows)) for c in "ab"]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*pair, lists], arrow)], schema=arrow)
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     # both within one and the same text: no other text is involved
     joined = joined.where(~F.coalesce(F.col("a_only") == F.col("b_only"), F.lit(False)))
-    hits = materialise(joined.select("a", "b", similar("a_ids", "b_ids").alias("h")).where("h is not null"), "links")
+    hits = materialise(joined.select("a", "b", "a_ids", "b_ids").mapInArrow(similar, schema), "links")
 
     def seen(pattern: str, other: str, k: int) -> DataFrame:
         numbers = [F.col("h")[k + c] for c in range(5)]
@@ -564,8 +680,9 @@ def _verified(pairs: DataFrame, patterns: DataFrame, kinds: DataFrame, bound: Bo
         )
 
     both = seen("a", "b", 0).unionAll(seen("b", "a", 5))
-    ends = patterns.select(F.col("pattern").alias("with"), F.array_distinct(F.array("lo", "hi")).alias("ends"))
-    only = F.when(~F.col("copied"), F.col("lo.text_no")).alias("only")
+    end = lambda x: F.struct(F.col(f"{x}_text").alias("text_no"), F.col(f"{x}_tile").alias("tile"))
+    ends = patterns.select(F.col("pattern").alias("with"), F.array_distinct(F.array(end("lo"), end("hi"))).alias("ends"))
+    only = F.when(~F.col("copied"), F.col("lo_text")).alias("only")
     tiles = both.join(ends, "with").join(kinds.select("pattern", "tile", only), "pattern").withColumn("end", F.explode("ends"))
     tiles = tiles.where(F.col("only").isNull() | (F.col("only") != F.col("end.text_no")))
     return tiles.select("tile", F.col("end.tile").alias("other"), "mask", "i", "z", "j", "exact")
@@ -577,8 +694,11 @@ def _labelled(known: DataFrame | None, links: DataFrame, at: DataFrame, width: i
     linked = materialise(links.groupBy("tile").agg(F.expr("bit_or(mask)").alias("mask"), F.min("i").alias("i"), F.max("z").alias("z")), "linked")
     along = Window.partitionBy("text_no").orderBy("from")
     spans = at.join(linked, "tile").select("text_no", "tile", (F.col("first") + F.col("i")).alias("from"), (F.col("first") + F.col("reach") + F.col("z")).alias("to"))
-    spans = spans.select("tile", F.lag("tile").over(along).alias("before"), (F.col("from") - F.lag("to").over(along)).alias("gap")).where(F.col("gap") < width)
-    edges = links.select(F.col("tile").alias("a"), F.col("other").alias("b")).unionAll(spans.select(F.col("tile").alias("a"), F.col("before").alias("b"))).where("a <> b")
+    spans = spans.withColumn("new", F.coalesce((F.col("from") - F.lag("to").over(along) >= width).cast("int"), F.lit(1)))
+    spans = spans.withColumn("part", F.sum("new").over(along))
+    # all tiles of a passage are joined with its smallest, so that no chain is as long as a passage
+    spans = spans.select("tile", F.min("tile").over(Window.partitionBy("text_no", "part")).alias("least")).where("tile <> least")
+    edges = links.select(F.col("tile").alias("a"), F.col("other").alias("b")).unionAll(spans.select(F.col("tile").alias("a"), F.col("least").alias("b"))).where("a <> b")
     if known is not None:
         # what had a label stands for all that have it
         old = known.select("tile", "label")
@@ -608,40 +728,76 @@ def _entries(patterns: DataFrame, shared: Shingles, bound: Bound) -> DataFrame:
     return materialise(patterns.select("pattern", "ids").mapInArrow(work, schema), "entries")
 
 
-def _candidates(entries: DataFrame, patterns: DataFrame, kinds: DataFrame, known: DataFrame, lead: bool) -> DataFrame:
+def _candidates(entries: DataFrame, patterns: DataFrame, kinds: DataFrame, known: DataFrame, bound: Bound, lead: bool) -> DataFrame:
     """Pairs a < b of patterns that share a shingle of their prefixes and may still tell something: their tiles are not of one
     class, or a passage that has the shingle there is not linked yet. With ``lead`` just those with a leader of each shingle."""
     label = F.coalesce("label", "tile")
     state = kinds.select("tile", "pattern").join(known.select("tile", "mask", "label"), "tile", "left").groupBy("pattern")
     state = state.agg(F.expr("bit_and(coalesce(mask, 0L))").alias("linked"), F.min(label).alias("low"), F.max(label).alias("high"))
-    state = state.join(patterns.select("pattern", "spread", "n"), "pattern")
+    # the longest leads; the rest of its rank is as good as any
+    rank = F.shiftleft(F.col("spread").cast("long"), 62) + F.shiftleft(F.col("n").cast("long"), 56) + F.shiftrightunsigned("pattern", 8)
+    state = state.join(patterns.select("pattern", "lo_text", "hi_text", rank.alias("rank")), "pattern")
     open_ = F.col("mask").bitwiseAND(F.bitwise_not("linked")) != 0
-    entries = entries.join(state, "pattern").select("pattern", "shingle", "family", "repeats", "spread", "n", "low", "high", open_.alias("open"))
+    told = ["pattern", "repeats", "low", "high", "open", "lo_text", "hi_text"]
     by = ["family", "shingle"]
-    head = F.max(F.struct("spread", "n", "pattern", "low", "high", "open"))
-    groups = entries.groupBy(*by).agg(head.alias("head"), (F.min("low") != F.max("high")).alias("mixed"), F.max("open").alias("some"), F.max("repeats").alias("odd"), F.count(F.lit(1)).alias("m"))
-    groups = groups.where("m > 1 and (mixed or some) and (family = 0 or odd)")
-    may = lambda x, y: (F.col(f"{x}low") != F.col(f"{y}high")) | (F.col(f"{x}high") != F.col(f"{y}low")) | F.col(f"{x}open") | F.col(f"{y}open")
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    entries = entries.join(state, "pattern").withColumn("open", open_).select(*by, "rank", *told)
+    groups = entries.groupBy(*by).agg(
+        F.min("low").alias("least"), F.max("high").alias("most"), F.max("open").alias("some"), F.max("repeats").alias("odd"), F.count(F.lit(1)).alias("m"),
+        F.min("lo_text").alias("from"), F.max("hi_text").alias("to"), F.max_by("pattern", "rank").alias("head"),
+    )
+    # nothing is to be found in one text, nor in one class that has no passage left
+    groups = groups.where("m > 1 and (least <> most or some) and (family = 0 or odd) and from < to").select(*by, "head")
+    left = materialise(entries.join(groups, by).select(*by, *told, "head"), "entries-left")
+    left = left.join(materialise(_sketches(left, patterns, bound), "sketches"), "pattern")
+    x, y = left.alias("x"), (left.where("pattern = head") if lead else left).alias("y")
+    # of two passages without repeats each lacks at most t - both() shingles of the other
+    lacks = lambda u, v, most: sum(F.bit_count(F.col(f"{u}.s{k}").bitwiseAND(F.bitwise_not(f"{v}.s{k}"))) for k in range(SKETCH)) + F.col(f"{u}.lacks") <= most
+    may = (F.col("x.low") != F.col("y.high")) | (F.col("x.high") != F.col("y.low")) | F.col("x.open") | F.col("y.open")
+    apart = (F.col("x.lo_text") != F.col("y.hi_text")) | (F.col("x.hi_text") != F.col("y.lo_text"))
+    tell = lambda most: (F.col("x.shingle") == F.col("y.shingle")) & may & apart & lacks("x", "y", most) & lacks("y", "x", most)
     if lead:
-        met = entries.join(groups.select(*by, "head"), by).where(F.col("pattern") != F.col("head.pattern")).where(may("", "head."))
-        return met.select(*pair("pattern", "head.pattern")).distinct()
-    left = materialise(entries.join(groups.select(*by), by, "left_semi").select(*by, "pattern", "repeats", "low", "high", "open"), "entries-left")
-    x, y = left.alias("x"), left.alias("y")
-    same = F.col("x.shingle") == F.col("y.shingle")
-    plain = x.where("family = 0").join(y.where("family = 0"), [same, F.col("x.pattern") < F.col("y.pattern"), may("x.", "y.")])
-    odd = x.where("family = 1 and repeats").join(y.where("family = 1"), [same, F.col("x.pattern") != F.col("y.pattern"), may("x.", "y.")])
+        once, repeats = F.col("x.pattern") != F.col("y.pattern"), F.col("x.repeats") | F.col("y.repeats")
+    else:
+        once, repeats = F.col("x.pattern") < F.col("y.pattern"), F.col("x.repeats")
+    plain = x.where("family = 0").join(y.where("family = 0"), tell(bound.t - bound.both()) & once)
+    odd = x.where("family = 1").join(y.where("family = 1"), tell(bound.t - bound.alone(bound.t)) & repeats & (F.col("x.pattern") != F.col("y.pattern")))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     return plain.unionAll(odd).select(*pair("x.pattern", "y.pattern")).distinct()
 
 
-def _passages(at: DataFrame, known: DataFrame, links: DataFrame, kinds: DataFrame, width: int) -> DataFrame:
-    ends = lambda: kinds.select(F.col("tile").alias("other"), "lo", "hi")
+def _sketches(some: DataFrame, patterns: DataFrame, bound: Bound) -> DataFrame:
+    """(pattern, lacks, s0, s1, ...): a map of the shared shingles of each of some patterns, and how many different ones are its
+    own, less those that a passage in it need not have."""
+    schema = StructType.fromDDL("pattern bigint, lacks int, " + ", ".join(f"s{k} bigint" for k in range(SKETCH)))
+    arrow = to_arrow_schema(schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("ids")
+            ends = ids.offsets.to_numpy().astype(np.int64)
+            values = ids.values.to_numpy()[ends[0] : ends[-1]]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            shared = values >= 0
+            flags = np.zeros((batch.num_rows, 64 * SKETCH), dtype=bool)
+            flags[row[shared], (mix(values[shared].view(np.uint64)) % np.uint64(64 * SKETCH)).astype(np.int64)] = True
+            maps = np.packbits(flags, axis=1, bitorder="little").view(np.int64)
+            own = np.unique(row[~shared] << 32 | -values[~shared])
+            lacks = np.bincount(own >> 32, minlength=batch.num_rows) - (np.diff(ends) - bound.t)
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip((batch.column("pattern"), lacks, *maps.T), arrow)], schema=arrow)
+
+    return patterns.join(some.select("pattern").distinct(), "pattern", "left_semi").select("pattern", "ids").mapInArrow(work, schema)
+
+
+def _passages(found: DataFrame, at: DataFrame, known: DataFrame, links: DataFrame, kinds: DataFrame, width: int) -> DataFrame:
+    ends = lambda: kinds.select(F.col("tile").alias("other"), "lo", "hi", "lo_text")
     # what the first linked passage of a tile goes with: word for word if there is such a link, a copy of the tile before all
     best = links.groupBy("tile").agg(F.min(F.struct("i", (~F.col("exact")).alias("near"), (F.col("other") != F.col("tile")).alias("from_other"), "other", "j")).alias("w"))
     best = best.select("tile", F.col("w.other").alias("other"), F.col("w.j").alias("j"), F.col("w.near").alias("near")).join(ends(), "other")
-    spans = at.join(known.select("tile", "i", "z", "label"), "tile").join(best.select("tile", "j", "near", "lo", "hi"), "tile")
+    spans = at.join(known.select("tile", "i", "z", "label"), "tile").join(best.select("tile", "j", "near", "lo", "hi", "lo_text"), "tile")
     # an occurrence of the other in another text
-    to = F.when(F.col("lo.text_no") == F.col("text_no"), F.col("hi")).otherwise(F.col("lo"))
+    to = F.when(F.col("lo_text") == F.col("text_no"), F.col("hi")).otherwise(F.col("lo"))
     spans = spans.select("text_no", "doc_id", (F.col("first") + F.col("i")).alias("from"), (F.col("first") + F.col("reach") + F.col("z")).alias("to"), "label", to.alias("other"), "j", "near")
     along = Window.partitionBy("text_no").orderBy("from")
     spans = spans.withColumn("new", F.coalesce((F.col("from") - F.lag("to").over(along) >= width).cast("int"), F.lit(1)))
@@ -651,13 +807,14 @@ def _passages(at: DataFrame, known: DataFrame, links: DataFrame, kinds: DataFram
     )
     whole = materialise(whole, "passages")
     classes = whole.groupBy("label").agg(F.min(F.struct("doc_id", "from")).alias("head"))
-    return whole.join(classes, "label").select(
+    others = found.select(F.col("place").alias("other"), F.col("doc_id").alias("other_id"), F.col("first").alias("other_first"))
+    return whole.withColumn("other", F.col("w.other")).join(others, "other").join(classes, "label").select(
         "doc_id",
         F.col("from").cast("long").alias("first_word"),
         (F.col("to") + width - 1).cast("long").alias("last_word"),
         F.col("head.doc_id").alias("class_id"),
         F.col("head.from").cast("long").alias("class_word"),
-        F.col("w.other.doc_id").alias("other_id"),
-        (F.col("w.other.first") + F.col("w.j")).cast("long").alias("other_word"),
+        "other_id",
+        (F.col("other_first") + F.col("w.j")).cast("long").alias("other_word"),
         (~F.col("w.near")).alias("exact"),
     )

@@ -119,6 +119,59 @@ def word_blocks(texts: list, hashes: WordHashes) -> Iterator[tuple[int, int, np.
             first, held, lengths, size = i + 1, [], [], 0
 
 
+_BLANKS = np.zeros(256, dtype=bool)
+_BLANKS[[9, 10, 11, 12, 13, 32]] = True
+#: Longer words are hashed one by one.
+LONG_WORD = 32
+
+
+class TextHashes:
+    """64-bit hashes of the words of several texts, all words at once."""
+
+    def __call__(self, texts: list[bytes]) -> np.ndarray:
+        return self.split(texts)[1]
+
+    def split(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, hashes): the words of text i are those from offsets[i] up to offsets[i + 1]."""
+        joined = b" ".join([*texts, b" " * 8])
+        letters = np.frombuffer(joined, dtype=np.uint8)
+        blank = _BLANKS[letters]
+        change = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        if not blank[0]:
+            change = np.concatenate([[0], change])
+        begin, length = change[::2], change[1::2] - change[::2]
+        eight = np.ndarray(len(joined) - 7, dtype="<u8", buffer=joined, strides=(1,))
+        value, open_ = length.astype(np.uint64), np.flatnonzero(length <= LONG_WORD)
+        for k in range(0, LONG_WORD, 8):
+            left = length[open_] - k
+            part = eight[begin[open_] + k]
+            part &= ~np.uint64(0) >> (np.uint64(8) * np.maximum(8 - left, 0).astype(np.uint64))
+            value[open_] = mixed(value[open_] * np.uint64(0x9E3779B97F4A7C15) + part)
+            open_ = open_[left > 8]
+        for i in np.flatnonzero(length > LONG_WORD).tolist():
+            value[i] = xxhash.xxh3_64_intdigest(joined[begin[i] : begin[i] + length[i]])
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        return np.searchsorted(begin, np.concatenate([[0], np.cumsum(sizes)])).astype(np.int64), value
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """The bits of each value spread over all of it, one to one."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def hashed_blocks(texts: list, hashes: TextHashes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """What :func:`word_blocks` gives, with the hashes of :class:`TextHashes`; a block has about as many words."""
+    first, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        held.append(text.encode().lower() if text else b"")
+        size += len(held[-1])
+        if size >= 6 * BLOCK_WORDS or i + 1 == len(texts):
+            yield first, i + 1, *hashes.split(held)
+            first, held, size = i + 1, [], 0
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text", mod: int = 5
 ) -> tuple[DataFrame, dict[int, int]]:

@@ -11,8 +11,9 @@ same pattern, that is the same shared shingles at the same places, are linked wi
 
 Different patterns with the same minimum are compared with the one that leads them, passage by passage. What this leaves is
 found by prefixes: under one order of all shingles, rare ones first, similar passages share a shingle within the first
-few of each. Patterns that share one are compared, again with a leader first, then pair by pair, but for pairs that are
-in one class already and have no passage without a partner. No pair that may still tell something is left out.
+few of each. Patterns that share one are compared pair by pair, but for pairs that are in one class already and have no
+passage without a partner, and for pairs that a map of their shingles rules out. No pair that may still tell something is
+left out.
 """
 
 from __future__ import annotations
@@ -625,12 +626,10 @@ def repeated_passages(docs: DataFrame, width: int = 50, percent: int = 80, id_co
     links = links.unionAll(_verified(compared, patterns, kinds, bound))
     known = _labelled(None, links, at, width)
     entries = _entries(patterns, shared, bound)
-    for name, lead in (("under one shingle", True), ("all that is left", False)):
-        more = materialise(_candidates(entries, patterns, kinds, known, bound, lead).join(compared, ["a", "b"], "left_anti"), "pairs")
-        report[name] = more.count()
-        if not report[name]:
-            continue
-        compared = compared.unionAll(more)
+    entries = _open_entries(entries, patterns, kinds, known)
+    more = materialise(_candidates(entries, patterns, bound).join(compared, ["a", "b"], "left_anti"), "pairs")
+    report["all that is left"] = more.count()
+    if report["all that is left"]:
         links = links.unionAll(_verified(more, patterns, kinds, bound))
         known = _labelled(known, links, at, width)
     return _passages(found, at, known, links, kinds, width)
@@ -685,7 +684,7 @@ def _verified(pairs: DataFrame, patterns: DataFrame, kinds: DataFrame, bound: Bo
     only = F.when(~F.col("copied"), F.col("lo_text")).alias("only")
     tiles = both.join(ends, "with").join(kinds.select("pattern", "tile", only), "pattern").withColumn("end", F.explode("ends"))
     tiles = tiles.where(F.col("only").isNull() | (F.col("only") != F.col("end.text_no")))
-    return tiles.select("tile", F.col("end.tile").alias("other"), "mask", "i", "z", "j", "exact")
+    return materialise(tiles.select("tile", F.col("end.tile").alias("other"), "mask", "i", "z", "j", "exact"), "tile-links")
 
 
 def _labelled(known: DataFrame | None, links: DataFrame, at: DataFrame, width: int) -> DataFrame:
@@ -728,39 +727,39 @@ def _entries(patterns: DataFrame, shared: Shingles, bound: Bound) -> DataFrame:
     return materialise(patterns.select("pattern", "ids").mapInArrow(work, schema), "entries")
 
 
-def _candidates(entries: DataFrame, patterns: DataFrame, kinds: DataFrame, known: DataFrame, bound: Bound, lead: bool) -> DataFrame:
-    """Pairs a < b of patterns that share a shingle of their prefixes and may still tell something: their tiles are not of one
-    class, or a passage that has the shingle there is not linked yet. With ``lead`` just those with a leader of each shingle."""
+def _open_entries(entries: DataFrame, patterns: DataFrame, kinds: DataFrame, known: DataFrame) -> DataFrame:
+    """The entries of shingles by which something may still be found: with the least and largest class of the pattern's tiles,
+    and whether a passage that has the shingle there is not linked yet."""
     label = F.coalesce("label", "tile")
     state = kinds.select("tile", "pattern").join(known.select("tile", "mask", "label"), "tile", "left").groupBy("pattern")
     state = state.agg(F.expr("bit_and(coalesce(mask, 0L))").alias("linked"), F.min(label).alias("low"), F.max(label).alias("high"))
-    # the longest leads; the rest of its rank is as good as any
-    rank = F.shiftleft(F.col("spread").cast("long"), 62) + F.shiftleft(F.col("n").cast("long"), 56) + F.shiftrightunsigned("pattern", 8)
-    state = state.join(patterns.select("pattern", "lo_text", "hi_text", rank.alias("rank")), "pattern")
+    state = state.join(patterns.select("pattern", "lo_text", "hi_text"), "pattern")
     open_ = F.col("mask").bitwiseAND(F.bitwise_not("linked")) != 0
     told = ["pattern", "repeats", "low", "high", "open", "lo_text", "hi_text"]
     by = ["family", "shingle"]
-    entries = entries.join(state, "pattern").withColumn("open", open_).select(*by, "rank", *told)
+    entries = entries.join(state, "pattern").withColumn("open", open_).select(*by, *told)
     groups = entries.groupBy(*by).agg(
         F.min("low").alias("least"), F.max("high").alias("most"), F.max("open").alias("some"), F.max("repeats").alias("odd"), F.count(F.lit(1)).alias("m"),
-        F.min("lo_text").alias("from"), F.max("hi_text").alias("to"), F.max_by("pattern", "rank").alias("head"),
+        F.min("lo_text").alias("from"), F.max("hi_text").alias("to"),
     )
     # nothing is to be found in one text, nor in one class that has no passage left
-    groups = groups.where("m > 1 and (least <> most or some) and (family = 0 or odd) and from < to").select(*by, "head")
-    left = materialise(entries.join(groups, by).select(*by, *told, "head"), "entries-left")
-    left = left.join(materialise(_sketches(left, patterns, bound), "sketches"), "pattern")
-    x, y = left.alias("x"), (left.where("pattern = head") if lead else left).alias("y")
+    groups = groups.where("m > 1 and (least <> most or some) and (family = 0 or odd) and from < to").select(*by)
+    return materialise(entries.join(groups, by, "left_semi"), "entries-left")
+
+
+def _candidates(entries: DataFrame, patterns: DataFrame, bound: Bound) -> DataFrame:
+    """Pairs a < b of patterns that share a shingle of their prefixes and may still tell something: their tiles are not of one
+    class, or a passage that has the shingle there is not linked yet. Pairs within one text and pairs that lack too many of
+    each other's shingles are none."""
+    left = entries.join(materialise(_sketches(entries, patterns, bound), "sketches"), "pattern")
+    x, y = left.alias("x"), left.alias("y")
     # of two passages without repeats each lacks at most t - both() shingles of the other
     lacks = lambda u, v, most: sum(F.bit_count(F.col(f"{u}.s{k}").bitwiseAND(F.bitwise_not(f"{v}.s{k}"))) for k in range(SKETCH)) + F.col(f"{u}.lacks") <= most
     may = (F.col("x.low") != F.col("y.high")) | (F.col("x.high") != F.col("y.low")) | F.col("x.open") | F.col("y.open")
     apart = (F.col("x.lo_text") != F.col("y.hi_text")) | (F.col("x.hi_text") != F.col("y.lo_text"))
     tell = lambda most: (F.col("x.shingle") == F.col("y.shingle")) & may & apart & lacks("x", "y", most) & lacks("y", "x", most)
-    if lead:
-        once, repeats = F.col("x.pattern") != F.col("y.pattern"), F.col("x.repeats") | F.col("y.repeats")
-    else:
-        once, repeats = F.col("x.pattern") < F.col("y.pattern"), F.col("x.repeats")
-    plain = x.where("family = 0").join(y.where("family = 0"), tell(bound.t - bound.both()) & once)
-    odd = x.where("family = 1").join(y.where("family = 1"), tell(bound.t - bound.alone(bound.t)) & repeats & (F.col("x.pattern") != F.col("y.pattern")))
+    plain = x.where("family = 0").join(y.where("family = 0"), tell(bound.t - bound.both()) & (F.col("x.pattern") < F.col("y.pattern")))
+    odd = x.where("family = 1 and repeats").join(y.where("family = 1"), tell(bound.t - bound.alone(bound.t)) & (F.col("x.pattern") != F.col("y.pattern")))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     return plain.unionAll(odd).select(*pair("x.pattern", "y.pattern")).distinct()
 

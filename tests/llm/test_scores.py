@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ import pytest
 from samples import awkward, empty, frame, labels, prose
 
 from trialloom.llm import kneser_ney, quality, rules, secrets, toxicity
-from trialloom.llm.text import held_out, lower_words, words
+from trialloom.llm.text import WordHashes, held_out, lower_words, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -218,6 +219,28 @@ def test_kneser_ney_awkward(spark):
     assert kneser_ney.perplexities(empty(spark), model).count() == 0
 
 
+def test_kneser_ney_open_files(spark, monkeypatch):
+    """A task that looks into many buckets keeps no file of them open, and maps no more tables than it may."""
+    texts = [prose(i, 60, 900) for i in range(40)]
+    model = kneser_ney.fit(frame(spark, texts), per_bucket=5)
+    keys, before = kneser_ney._with_before([kneser_ney.token_keys(t, WordHashes()) for t in texts])
+
+    def held():
+        with open("/proc/self/maps") as maps:
+            return len(os.listdir("/proc/self/fd")), sum(model.shelf.uri.rsplit("/", 1)[-1] in m for m in maps)
+
+    files, _ = held()
+    look = model.reader()
+    first = model.score(keys, before, look)
+    assert model.buckets > 300 and held()[0] <= files + 5 and held()[1] > 1000
+    monkeypatch.setattr(kneser_ney, "MAPPED", 100)
+    del look
+    few = model.reader()
+    for got, want in zip(model.score(keys, before, few), first):
+        np.testing.assert_array_equal(got, want)
+    assert held()[1] <= 100
+
+
 def test_entropy_counts():
     rng = random.Random(9)
     for rule in secrets.CLASSES:

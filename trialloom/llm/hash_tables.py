@@ -1,7 +1,8 @@
 """Sorted hash arrays in the shared folder, mapped into memory by the tasks that look things up.
 
-Keys are 48-bit hashes. They are dealt over buckets by hash; a bucket is one file per array. Tables are written by
-tasks, one bucket each, and never pass through the driver.
+Keys are 48-bit hashes. They are dealt over buckets by hash; a bucket is one file with all arrays of its table. Tables
+are written by tasks, one bucket each, and never pass through the driver. A mapped table is one mapping and holds no open
+file, so a task may use as many buckets as there are.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from trialloom.session import scratch_path
 
 BITS = 48
+#: Arrays begin at multiples of this in a file.
+ALIGN = np.lib.format.ARRAY_ALIGN
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,16 +77,22 @@ class Shelf:
         system, path = fs.FileSystem.from_uri(self.uri)
         return system, f"{path}/{name}"
 
-    def write(self, name: str, array: np.ndarray) -> None:
-        """Written aside first, then renamed: a repeated or lost task leaves a whole file or none."""
+    def write(self, name: str, *arrays: np.ndarray) -> None:
+        """Some arrays of one dimension as one file.
+
+        Written aside first, then renamed: a repeated or lost task leaves a whole file or none.
+        """
         system, path = self._at(name)
         system.create_dir(os.path.dirname(path), recursive=True)
         aside = f"{path}.{os.getpid()}.{os.urandom(4).hex()}"
         with system.open_output_stream(aside) as out:
-            np.lib.format.write_array(out, np.ascontiguousarray(array), allow_pickle=False)
+            for array in arrays:
+                np.lib.format.write_array(out, np.ascontiguousarray(array), allow_pickle=False)
+                out.write(bytes(-array.nbytes % ALIGN))
         system.move(aside, path)
 
-    def read(self, name: str) -> np.ndarray:
+    def read(self, name: str) -> list[np.ndarray]:
+        """The arrays of a file, mapped together; the mapping lasts as long as they do, the file is closed at once."""
         system, path = self._at(name)
         if not isinstance(system, fs.LocalFileSystem):
             local = os.path.join(tempfile.gettempdir(), self.uri.rsplit("/", 1)[-1], name)
@@ -91,28 +101,34 @@ class Shelf:
                 fs.copy_files(path, f"{local}.{os.getpid()}", source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
                 os.replace(f"{local}.{os.getpid()}", local)
             path = local
-        return np.load(path, mmap_mode="r", allow_pickle=False)
+        with pa.memory_map(path) as file:
+            whole = file.read_buffer()
+        found, source = [], pa.BufferReader(whole)
+        while source.tell() < whole.size:
+            np.lib.format.read_magic(source)
+            (n,), _, kind = np.lib.format.read_array_header_1_0(source)
+            found.append(np.frombuffer(whole, kind, n, source.tell()))
+            source.seek(source.tell() + -(-found[-1].nbytes // ALIGN) * ALIGN)
+        return found
 
 
 class SortedTable:
     """Sorted 48-bit keys with values: an index over the upper bits, the next 32 bits of each key, and value arrays."""
 
     def __init__(self, shelf: Shelf, name: str) -> None:
-        self.shelf, self.name = shelf, name
-        self.index, self.low = shelf.read(f"{name}-index.npy"), shelf.read(f"{name}-low.npy")
+        names, self.index, self.low, *arrays = shelf.read(f"{name}.npy")
+        self.arrays = dict(zip(names.astype(str).tolist(), arrays))
         self.bits = (len(self.index) - 1).bit_length() - 1
 
     @staticmethod
     def write(shelf: Shelf, name: str, keys: np.ndarray, **values: np.ndarray) -> None:
         bits = min(16, max(4, int(len(keys) // 8).bit_length()))
         short = keys >> np.uint64(BITS - bits - 32)
-        shelf.write(f"{name}-index.npy", np.searchsorted(short >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32))
-        shelf.write(f"{name}-low.npy", (short & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        for k, v in values.items():
-            shelf.write(f"{name}-{k}.npy", v)
+        index = np.searchsorted(short >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+        shelf.write(f"{name}.npy", np.array([*values], "S"), index, (short & np.uint64(0xFFFFFFFF)).astype(np.uint32), *values.values())
 
     def values(self, name: str) -> np.ndarray:
-        return self.shelf.read(f"{self.name}-{name}.npy")
+        return self.arrays[name]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key, or -1."""

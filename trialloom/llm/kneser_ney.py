@@ -24,6 +24,8 @@ from trialloom.llm.text import WordHashes, held_out, lower_words, map_texts, sma
 BEGIN, END = 1, 2
 #: Tokens counted together by a task before they are sent, tokens per bucket, and tokens scored together.
 CHUNK, PER_BUCKET, BLOCK = 2_000_000, 1_000_000, 200_000
+#: Tables that one task keeps mapped, below the 65,530 mappings that Linux allows a process by default.
+MAPPED = 30_000
 
 
 def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -71,6 +73,16 @@ class Bigrams:
     def reader(self):
         tables: dict[tuple[str, int], tuple] = {}
 
+        def opened(kind: str, number: int, names: tuple[str, ...]) -> tuple:
+            """A table that stays mapped; those beyond the limit are mapped anew each time."""
+            found = tables.get((kind, number))
+            if found is None:
+                t = SortedTable(self.shelf, f"{kind}/{number}")
+                found = t, [t.values(n) for n in names]
+                if len(tables) < MAPPED:
+                    tables[kind, number] = found
+            return found
+
         def look(kind: str, route: np.ndarray, keys: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
             """Values of keys, 0 where a key is unknown."""
             out = [np.zeros(len(keys), dtype=np.int64) for _ in names]
@@ -79,11 +91,7 @@ class Bigrams:
             at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             for a, b in zip(at, [*at[1:], len(order)]):
                 rows = order[a:b]
-                number = int(bucket[rows[0]])
-                if (kind, number) not in tables:
-                    t = SortedTable(self.shelf, f"{kind}/{number}")
-                    tables[kind, number] = (t, [t.values(n) for n in names])
-                t, arrays = tables[kind, number]
+                t, arrays = opened(kind, int(bucket[rows[0]]), names)
                 place = t.find(keys[rows])
                 hit = place >= 0
                 for o, v in zip(out, arrays):

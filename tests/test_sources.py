@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from trialloom.operators.rules import rule_truth
+from trialloom.operators.rules import facts, rule_truth
 from trialloom.operators.checks import (
     answer_missing, choice_count_off, failure_counts, not_numeric, recode, too_short, with_checks,
 )
@@ -183,6 +183,35 @@ def test_rule_truth(spark):
     assert len(out) == 48
 
 
+def test_rules_of_large_codebook(spark):
+    """A codebook of many rows in small files is not broadcast, nor are responses; one of few rows is."""
+    n = 250_000
+    book = spark.range(n).select(F.concat(F.lit("s"), "id").alias("survey"), F.lit("t").alias("target"), F.lit("0.0").alias("path"), F.lit("q://Q1/1").alias("left"), F.lit("Selected").alias("operator"), F.lit(None).cast("string").alias("right"), F.lit(None).cast("string").alias("conjunction"))
+    tags = book.select("survey", F.lit("a").alias("tag"), F.lit("Q1").alias("qid"))
+    # one response and its answer come twice
+    responses = spark.createDataFrame([(1, "s1", "1"), (2, "s2", "2"), (3, f"s{n}", "1"), (4, None, "1"), (1, "s1", "1"), (5, "s5", None)], "i int, survey string, a string")
+
+    def truth(limit):
+        known = facts(responses, ["i"], "survey", {"a": "a"}, [], tags.filter(limit))
+        out = rule_truth(responses, ["i"], "survey", book.filter(limit), known)
+        return sorted((r.i, r.holds) for r in out.collect()), "BroadcastExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+    assert truth("true") == ([(1, True), (2, False), (5, False)], False)
+    assert truth("survey IN ('s1', 's2')") == ([(1, True), (2, False)], True)
+
+
+def test_rule_terms_beside_facts(spark):
+    """A fact with two values counts with both; a comparison without its fact is unknown."""
+    terms = [("s", "t", "0.0", "x", "GreaterThan", "5", None), ("s", "u", "0.0", "x", "NotEqualTo", "a", None), ("s", "u", "0.1", "y", "Selected", None, "And"), ("s", None, "0.0", "x", "Selected", None, None)]
+    table = spark.createDataFrame(terms, "survey string, target string, path string, left string, operator string, right string, conjunction string")
+    responses = spark.createDataFrame([(i, "s") for i in range(4)], "i int, survey string")
+    known = spark.createDataFrame([(0, "x", "7"), (0, "x", "6"), (0, "y", None), (1, "x", "7"), (1, "x", "4"), (2, "y", None), (None, "x", "7")], "i int, left string, value string")
+    out = {(r.i, r.target): r.holds for r in rule_truth(responses, ["i"], "survey", table, known).collect()}
+    assert [out[i, "t"] for i in range(4)] == [True, False, None, None]
+    assert [out[i, "u"] for i in range(4)] == [True, False, None, False]
+    assert [out[i, None] for i in range(4)] == [True, True, False, False]
+
+
 def test_validations(definitions):
     out = {r["tag"]: r for r in validations(definitions).collect()}
     assert (out["hours"]["requested"], out["hours"]["max_value"], out["hours"]["min_chars"]) == (True, 100.0, None)

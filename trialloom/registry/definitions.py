@@ -9,7 +9,7 @@ from trialloom.operators.checks import (
 )
 from trialloom.operators.rules import breaches, facts, rule_truth
 from trialloom.registry.inputs import SURVEY_SQL, read, survey
-from trialloom.session import materialise, scratch_path
+from trialloom.session import materialise, scratch_path, spread
 from trialloom.sources.codebook import answers, choices, display_rules, questions, rules, validations
 from trialloom.sources.harmonise import harmonise
 from trialloom.sources.tables import load_snapshot, read_catalogue, read_csv, save_snapshot
@@ -47,7 +47,7 @@ DEFINITION = """{"SurveyEntry":{"SurveyName":"S%1$d"},"SurveyElements":[
 
 
 def definitions(spark, sf_dir):
-    parts = read(spark, sf_dir, "part")
+    parts = spread(read(spark, sf_dir, "part"), "p_partkey")
     one_line = DEFINITION.replace("\n", "")
     return parts.select(
         F.format_string(one_line, "p_partkey", "p_size", "p_name", "p_type", "p_brand").alias("definition")
@@ -147,7 +147,7 @@ def q_rule_display(spark, sf_dir):
     known = facts(responses, ids, "survey", choices_, ["plans"], questions(book))
     shown = rule_truth(responses, ids, "survey", display_rules(book), known)
     answered = responses.select(*ids, F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("string").isNotNull().alias("answered")) for t in ("kind", "values")])))
-    return shown.join(answered, [*ids, "target"]).groupBy("target", "holds").agg(F.count(F.lit(1)).alias("n"), F.count_if("answered").alias("n_answered"))
+    return shown.join(answered.hint("merge"), [*ids, "target"]).groupBy("target", "holds").agg(F.count(F.lit(1)).alias("n"), F.count_if("answered").alias("n_answered"))
 
 
 def q_validate(spark, sf_dir):

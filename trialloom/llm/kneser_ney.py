@@ -22,7 +22,7 @@ from trialloom.llm.hash_tables import BITS, Shelf, SortedTable, bucket_of, mix,
 from trialloom.llm.text import WordHashes, held_out, lower_words, map_texts, small_batches
 
 BEGIN, END = 1, 2
-#: Tokens counted together by a task before they are sent, tokens per bucket, and tokens scored together.
+#: Tokens counted together by a task before they are sent, tokens per bucket, and tokens scored together at least.
 CHUNK, PER_BUCKET, BLOCK = 2_000_000, 1_000_000, 200_000
 #: Tables that one task keeps mapped, below the 65,530 mappings that Linux allows a process by default.
 MAPPED = 30_000
@@ -247,6 +247,8 @@ def perplexities(docs: DataFrame, model: Bigrams, id_col: str = "doc_id", text_c
     texts are one end mark. Repeated rows and null ids are scored like any other; an empty table gives no rows.
     """
     n, v = model.tokens, model.types
+    # tokens scored together look into most buckets, so their number grows with these
+    block = max(BLOCK, 400 * model.buckets)
 
     def start():
         hashes, look = WordHashes(), model.reader()
@@ -257,7 +259,7 @@ def perplexities(docs: DataFrame, model: Bigrams, id_col: str = "doc_id", text_c
             for i, text in enumerate(texts):
                 held.append(token_keys(text, hashes))
                 size += len(held[-1])
-                if size < BLOCK and i + 1 < len(texts):
+                if size < block and i + 1 < len(texts):
                     continue
                 logs, raw = model.score(*_with_before(held), look)
                 base = np.log10((raw + 0.1) / (n + 0.1 * (v + 1)))
